@@ -45,6 +45,7 @@ class WordEncoder:
         if self.by_word:
             self.model = self.tokenizer.model
             self.pieces = re.compile(plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) + "|\n")
+            self.marks = [t["content"][:2].encode() for t in spec.get("added_tokens", [])]
             starts = "".join("|" + re.escape(t["content"][:2]) for t in spec.get("added_tokens", []))
             self.odd = re.compile(f"[^{re.escape(''.join(_PLAIN))}\n]{starts}")
             self.visible = byte_characters()
@@ -110,12 +111,31 @@ class WordEncoder:
         source = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.first[at] - end + n, n)
         return self.ids[source], n
 
+    def _parted(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of the same ids with fewer distinct words: A-Z lower-cased, a space between a letter and a full stop or comma.
+
+        Words are lower-cased and parted there anyway. Added tokens are looked for in the text as it is, so where the first
+        characters of one occur nothing is lower-cased.
+        """
+        if not any(m in buf.tobytes() for m in self.marks):
+            buf = kernel.FOLD[buf]
+        stop = (buf[1:] == 46) | (buf[1:] == 44)
+        stop &= (buf[:-1] >= 97) & (buf[:-1] <= 122)
+        where = np.flatnonzero(stop) + 1
+        out = np.full(len(buf) + len(where), 32, dtype=np.uint8)
+        keep = np.ones(len(out), dtype=bool)
+        keep[where + np.arange(len(where))] = False
+        out[keep] = buf
+        return out, at + np.searchsorted(where, at, "right")
+
     def encode(self, col: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts in a row (uint32), with each text's begin and the end; null is empty.
 
         ``last`` is appended to each text's ids if it is given.
         """
         buf, at = kernel.text_bytes(col)
+        if self.by_word:
+            buf, at = self._parted(buf, at)
         raw = buf.tobytes()
         texts = [raw[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         tail = b"" if last is None else None
