@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +9,8 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from strandlake.llm import idfile, packing, tokencount
-from strandlake.llm.tokens import encoder, tokenizer_path
+from strandlake.llm import tokens
+from strandlake.llm.tokens import WordEncoder, encoder, tokenizer_path
 
 WORDS, PIECES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
 ODD = ["", "   ", "a\x0bb\x0cc", "É  x y", "<|endoftext|>a <|startoftext|> b<|endoftext|>", "<|ENDOFTEXT|>", "éx", "ΑΣ Σ", "\x1cq\x1d", "it's we're 123 ½ ²", "漢字 テ", "a\x85b", "İstanbul ﬁ ŉ", "Ünï.,ço!!dé 'S ''s", "a" * 3000]
@@ -31,7 +33,7 @@ def crc(ids):
 
 def test_encoder_equals_library():
     texts = [t for _, t in rows()]
-    e = encoder(WORDS)
+    e = WordEncoder(WORDS)
     assert e.by_word
     ids, at = e.encode(pa.array(texts), 1)
     for i, t in enumerate(texts):
@@ -40,12 +42,19 @@ def test_encoder_equals_library():
 
 def test_encoder_of_another_kind():
     path = tokenizer_path("byte_bpe_50k.json")
-    e, texts = encoder(path), ["a b", None, "x  y\n z"]
+    e, texts = WordEncoder(path), ["a b", None, "x  y\n z"]
     assert not e.by_word
     ids, at = e.encode(pa.array(texts))
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(3)] == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_idle_encoders_go(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE_S", 0.2)
+    first = encoder(WORDS).encode(pa.array(["a b"]))[0].tolist()
+    time.sleep(1)
+    assert not tokens._encoders and encoder(WORDS).encode(pa.array(["a b"]))[0].tolist() == first
+
+
 def test_pack_covers_every_id(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string").selectExpr("*", "1 as ids", "2 as start").repartition(3)
     got = packing.pack(df, WORDS).collect()
