@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from strandlake.operators import sites  # noqa: F401  registers its queries
+from strandlake.operators import alignment, calls, ml, reads, sites, sources_lr, stats  # noqa: F401  each registers its queries
 from strandlake.registry import ORACLE_SQL, QUERIES  # noqa: F401
