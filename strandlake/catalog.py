@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.operators import alignment, calls, ml, reads, sites, sources_lr, stats  # noqa: F401  each registers its queries
+from strandlake.functions import text  # noqa: F401  each module registers its queries
+from strandlake.operators import alignment, calls, ml, reads, sites, sources_lr, stats  # noqa: F401
+from strandlake.plans import driver_queries  # noqa: F401
 from strandlake.registry import ORACLE_SQL, QUERIES  # noqa: F401
