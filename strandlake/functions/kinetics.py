@@ -38,11 +38,15 @@ def phred_probability(quality: Column) -> Column:
     return 1 - F.pow(F.lit(10.0), -(quality - 33) / F.lit(10.0))
 
 
+def bound(value: Column, f) -> Column:  # noqa: ANN001
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def median(signal: Column) -> Column:
     """Mean of the middle two of an even number; null for none."""
-    s, n = F.sort_array(signal), F.size(signal)
-    at = lambda i: F.get(s, i.cast("int"))
-    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / F.lit(2.0))
+    at = lambda s, i: F.get(s, i.cast("int"))
+    return bound(F.sort_array(signal), lambda s: (at(s, F.floor((F.size(s) - 1) / 2)) + at(s, F.floor(F.size(s) / 2))) / F.lit(2.0))
 
 
 def kmer_features(bases: Column, ipd: Column, pw: Column, pos: Column, k: int) -> Column:

@@ -9,6 +9,7 @@ from strandlake.plans import driver_views as views
 from strandlake.registry import query
 
 QUERY_OPS, REFERENCE_OPS = "MIS=X", "MDN=X"
+BROADCAST_BASES, TILE_BASES = 64 << 20, 1 << 20
 
 
 def walk(aligned: DataFrame) -> DataFrame:
@@ -20,32 +21,68 @@ def walk(aligned: DataFrame) -> DataFrame:
     return ops.select("*", start(QUERY_OPS).alias("q_start"), start(REFERENCE_OPS).alias("r_offset"))
 
 
-def aligned_pairs(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(read_id, q, r, query, reference) of every aligned column. Reference letters other than ACGT read A.
+def _reference_of(spans: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Column ``ref`` for rows (read_id, rname, pos, span): the reference from pos on, as long as the alignment.
 
-    Contigs go along whole to every alignment once, before columns are made; no row is made for gaps.
+    A reference of at most BROADCAST_BASES goes along with every task. A larger one is cut into tiles, and each alignment meets
+    the tiles that it lies on, so that no key is a whole contig.
+    """
+    size = contigs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+    named = contigs.select(F.col("contig").alias("rname"), F.col("seq").alias("whole"))
+    if size <= BROADCAST_BASES:
+        return spans.join(F.broadcast(named), "rname").withColumn("ref", F.substr("whole", F.col("pos") + 1, F.col("span").cast("int"))).drop("whole")
+    last = F.floor((F.length("whole") - 1) / TILE_BASES)
+    tiles = named.select("rname", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda t: F.substr("whole", (t * TILE_BASES + 1).cast("int"), F.lit(TILE_BASES)))).alias("tile", "part"))
+    first, end = F.floor(F.col("pos") / TILE_BASES), F.floor((F.col("pos") + F.greatest(F.col("span"), F.lit(1)) - 1) / TILE_BASES)
+    placed = spans.select("read_id", "rname", "pos", "span", F.explode(F.sequence(first.cast("int"), end.cast("int"))).alias("tile")).join(tiles, ["rname", "tile"])
+    lo = F.greatest(F.lit(0), F.col("pos") - F.col("tile") * TILE_BASES)
+    hi = F.least(F.lit(TILE_BASES), F.col("pos") + F.col("span") - F.col("tile") * TILE_BASES)
+    pieces = placed.select("read_id", F.struct("tile", F.substr("part", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("s")).alias("p"))
+    refs = pieces.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("ref"))
+    return spans.join(refs, "read_id")
+
+
+def _runs(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(read_id, q, r, columns): each run of aligned columns, with the letters of read (a) and reference (b); other letters than ACGT read A there.
+
+    The reference is cut to the alignment before anything is multiplied, and a run's row carries its own letters only.
     """
-    both = aligned.join(contigs.select(F.col("contig").alias("rname"), F.regexp_replace("seq", "[^ACGT]", "A").alias("ref")), "rname")
-    ops = walk(aligned).where("op in ('M', '=', 'X')")
-    runs = both.select("read_id", "seq", "ref", "pos").join(ops, "read_id")
-    cut = runs.select("read_id", F.col("q_start").alias("q"), (F.col("pos") + F.col("r_offset")).alias("r"), F.substr("seq", (F.col("q_start") + 1).cast("int"), F.col("n").cast("int")).alias("a"), F.substr("ref", (F.col("pos") + F.col("r_offset") + 1).cast("int"), F.col("n").cast("int")).alias("b"))
-    each = cut.select("read_id", "q", "r", F.posexplode(F.arrays_zip(F.split("a", "").alias("a"), F.split("b", "").alias("b"))).alias("i", "x"))
-    return each.select("read_id", (F.col("q") + F.col("i")).alias("q"), (F.col("r") + F.col("i")).alias("r"), F.col("x.a").alias("query"), F.col("x.b").alias("reference")).where("query is not null and reference is not null and query <> '' and reference <> ''")
+    ops = walk(aligned)
+    per_read = ops.groupBy("read_id").agg(F.max(F.col("r_offset") + F.when(F.col("op").isin(*REFERENCE_OPS), F.col("n")).otherwise(0)).alias("span"), F.collect_list(F.when(F.col("op").isin("M", "=", "X"), F.struct("n", "q_start", "r_offset"))).alias("runs"))
+    both = _reference_of(aligned.select("read_id", "seq", "rname", "pos").join(per_read, "read_id"), contigs)
+    cut = both.select("read_id", "seq", "pos", "runs", F.translate("ref", "NRYKMSWBDHVU", "A" * 12).alias("ref"))
+    letters = lambda s, at, n: F.split(F.substr(s, (at + 1).cast("int"), n.cast("int")), "")
+    each = F.transform("runs", lambda x: F.struct(x["q_start"].alias("q"), (F.col("pos") + x["r_offset"]).alias("r"), F.filter(F.arrays_zip(letters(F.col("seq"), x["q_start"], x["n"]).alias("a"), letters(F.col("ref"), x["r_offset"], x["n"]).alias("b")), lambda y: (y["a"] != "") & (y["b"] != "")).alias("columns")))
+    return cut.select("read_id", F.inline(each))
 
 
-def identity(aligned: DataFrame, contigs: DataFrame, long_gap: int = 20) -> DataFrame:
-    """(read_id, identity): equal columns out of all columns, in percent. Runs of gaps on one side of ``long_gap`` or more don't count."""
-    ops = walk(aligned)
+def aligned_pairs(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(read_id, q, r, query, reference) of every aligned column."""
+    each = _runs(aligned, contigs).select("read_id", "q", "r", F.posexplode("columns").alias("i", "x"))
+    return each.select("read_id", (F.col("q") + F.col("i")).alias("q"), (F.col("r") + F.col("i")).alias("r"), F.col("x.a").alias("query"), F.col("x.b").alias("reference"))
+
+
+def _identity(ops: DataFrame, columns: DataFrame, long_gap: int) -> DataFrame:
+    """(read_id, identity) of walked operations and (read_id, columns, same)."""
     side = F.when(F.col("op") == "I", "q").when(F.col("op").isin("D", "N"), "r")
     order = Window.partitionBy("read_id").orderBy("k")
     gaps = ops.where("op not in ('S', 'H', 'P')").withColumn("side", side)
     new = F.when(F.coalesce(F.lag("side").over(order), F.lit("-")) == F.coalesce("side", F.lit("-")), 0).otherwise(1)
     runs = gaps.withColumn("new", new).withColumn("run", F.sum("new").over(order))
     short = runs.where("side is not null").groupBy("read_id", "run").agg(F.sum("n").alias("n")).where(F.col("n") < long_gap).groupBy("read_id").agg(F.sum("n").alias("gaps"))
-    pairs = aligned_pairs(aligned, contigs).groupBy("read_id").agg(F.count("*").alias("columns"), F.count_if(F.col("query") == F.col("reference")).alias("same"))
-    both = aligned.select("read_id").join(pairs, "read_id", "left").join(short, "read_id", "left")
+    every = ops.select("read_id").distinct().join(columns, "read_id", "left").join(short, "read_id", "left")
     total = F.coalesce("columns", F.lit(0)) + F.coalesce("gaps", F.lit(0))
-    return both.select("read_id", F.coalesce(F.try_divide(100 * F.coalesce("same", F.lit(0)), total), F.lit(0.0)).alias("identity"))
+    return every.select("read_id", F.coalesce(F.try_divide(100 * F.coalesce("same", F.lit(0)), total), F.lit(0.0)).alias("identity"))
+
+
+def identity(aligned: DataFrame, contigs: DataFrame, long_gap: int = 20) -> DataFrame:
+    """(read_id, identity): equal columns out of all columns, in percent. Runs of gaps on one side of ``long_gap`` or more don't count.
+
+    Columns are counted inside their run's row.
+    """
+    same = F.size(F.filter("columns", lambda x: x["a"] == x["b"]))
+    columns = _runs(aligned, contigs).groupBy("read_id").agg(F.sum(F.size("columns")).alias("columns"), F.sum(same).alias("same"))
+    return _identity(walk(aligned), columns, long_gap)
 
 
 def base_table(aligned: DataFrame, contigs: DataFrame, calls: DataFrame, least_mapq: int = 10, least_identity: float = 98.0, least_passes: float = 6.0, mapped_only: bool = False) -> DataFrame:
@@ -58,7 +95,8 @@ def base_table(aligned: DataFrame, contigs: DataFrame, calls: DataFrame, least_m
     back = F.col("flag").bitwiseAND(16) != 0
     placed = calls.join(good.select("read_id", "flag", F.length("seq").alias("n"), "rname", "mapq"), "read_id")
     placed = placed.select("read_id", "rname", "mapq", F.when(back, "-").otherwise("+").alias("strand"), F.when(back, F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos")).cast("long").alias("qpos"), F.when(back, F.translate("base", "AT", "TA")).otherwise(F.col("base")).alias("base"), "prob")
-    pairs = aligned_pairs(good, contigs).where("query = reference and query in ('A', 'T')").select("read_id", F.col("q").alias("qpos"), F.col("r").alias("rpos"))
+    equal = F.filter(F.transform("columns", lambda x, i: F.when((x["a"] == x["b"]) & x["a"].isin("A", "T"), i)), lambda i: i.isNotNull())
+    pairs = _runs(good, contigs).select("read_id", "q", "r", F.explode(equal).alias("i")).select("read_id", (F.col("q") + F.col("i")).alias("qpos"), (F.col("r") + F.col("i")).alias("rpos"))
     out = placed.join(identity(good, contigs), "read_id", "left").join(pairs, ["read_id", "qpos"], "left")
     mapped = (F.col("mapq") >= least_mapq) & (F.col("identity") >= least_identity) & F.col("rpos").isNotNull()
     out = out.select("read_id", "strand", "qpos", "base", F.when(mapped, F.col("rname")).alias("rname"), F.when(mapped, F.col("rpos")).alias("rpos"), "prob")

@@ -13,12 +13,14 @@ TAGS = ("fi", "ri", "fp", "rp")
 
 
 def eligible(reads: DataFrame, passes: int = 3) -> DataFrame:
-    """Reads with enough passes on both strands and all four signals, with their pulse width over interval ratio."""
+    """Reads with enough passes on both strands and all four signals, with their pulse width over interval ratio.
+
+    A missing or empty signal has no median, so the ratio is null. It is made in a generator, which keeps later filters from working it out again.
+    """
     full = reads.where((F.col("fn") >= passes) & (F.col("rn") >= passes))
-    for t in TAGS:
-        full = full.where(F.col(t).isNotNull() & (F.size(t) > 0))
     m = {t: kinetics.median(F.col(t)) for t in TAGS}
-    return full.withColumn("ratio", F.try_divide(m["fp"] + m["rp"], m["fi"] + m["ri"])).where("ratio is not null")
+    ratio = F.try_divide(m["fp"] + m["rp"], m["fi"] + m["ri"])
+    return full.select("*", F.inline(F.array(F.struct(ratio.alias("ratio"))))).where("ratio is not null")
 
 
 def quality_filter(reads: DataFrame, least: float = 0.3, percentile: float = 0.99) -> DataFrame:
@@ -43,14 +45,16 @@ def has_signals(reads: DataFrame, rows: int = 50) -> bool:
 
 def signal_quantiles(reads: DataFrame) -> DataFrame:
     """Median, quartiles and 90 % quantile of each signal of each read, exact with linear interpolation, without exploding."""
+    names = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q90": 0.9}
 
     def at(s, q):  # noqa: ANN001, ANN202
         place = (F.size(s) - 1) * F.lit(q)
-        lo, hi = F.floor(place).cast("int"), F.ceil(place).cast("int")
-        return F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (place - lo)
+        low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
 
-    sorted_tags = reads.select("read_id", *[F.sort_array(t).alias(t) for t in TAGS])
-    return sorted_tags.select("read_id", *[F.when(F.size(t) > 0, at(F.col(t), q)).alias(f"{t}_{n}") for t in TAGS for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75), ("q90", 0.9))])
+    all_of = lambda t: kinetics.bound(F.sort_array(t), lambda s: F.struct(*[at(s, q).alias(n) for n, q in names.items()]))
+    rows = reads.select("read_id", F.inline(F.array(F.struct(*[all_of(t).alias(t) for t in TAGS]))))
+    return rows.select("read_id", *[F.col(f"{t}.{n}").alias(f"{t}_{n}") for t in TAGS for n in names])
 
 
 def with_status(stats: DataFrame, status: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ def bases(seq: str = "seq"):  # noqa: ANN201
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, seq, flag, fn, rn and the four kinetic arrays."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    # Made in a generator, so that no later expression makes it from the text again.
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.inline(F.array(F.struct(seq.alias("seq")))))
     docs = docs.where(F.length("seq") >= LEAST_LENGTH)
     signal = lambda a, b, c: F.transform(bases(), lambda x, i: ((F.ascii(x) * a + i * b + F.col("read_id") * c) % 256).cast("int"))
     flag = F.when(F.col("read_id") % 2 == 1, 16).otherwise(0)

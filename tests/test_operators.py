@@ -87,6 +87,17 @@ def test_clips_and_reference_n(spark):
     assert alignment.unknown_contigs(df, contigs.where("contig = 'x'")).count() == 1
 
 
+def test_reference_in_tiles(spark, monkeypatch):
+    r = random.Random(6)
+    contigs = spark.createDataFrame([(c, "".join(r.choices("ACGTN", k=n))) for c, n in (("c", 95), ("d", 16))], "contig string, seq string")
+    rows = [(i, "".join(r.choices("ACGT", k=30)), 0, "10M2I3D8M1D10M", r.choice("cd"), r.randrange(60), 30, 9.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "read_id long, seq string, flag int, cigar string, rname string, pos int, mapq int, ec double")
+    whole = sorted(map(tuple, alignment.aligned_pairs(df, contigs).collect()))
+    monkeypatch.setattr(alignment, "BROADCAST_BASES", 0)
+    monkeypatch.setattr(alignment, "TILE_BASES", 16)
+    assert sorted(map(tuple, alignment.aligned_pairs(df, contigs).collect())) == whole
+
+
 def test_base_table_of_a_reverse_read(spark):
     contigs = spark.createDataFrame([("c", "AACGT")], "contig string, seq string")
     found = spark.createDataFrame([(1, 0, "A", 0.9), (1, 4, "T", 0.2)], "read_id long, pos int, base string, prob double")
