@@ -9,8 +9,8 @@ from strandlake.llm import decontaminate, langid, minhash, packing, pii
 from strandlake.llm.store import written
 from strandlake.llm.tokens import tokenizer_path
 
-#: A document is rejected as of no known language if it has no letter or this is more than its prediction's score.
-LEAST_SCORE = 0.3
+#: A document is rejected as of no known language if it has no letter or this is more than its prediction's score: a near tie in both steps.
+LEAST_SCORE = 0.26
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
