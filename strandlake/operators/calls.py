@@ -51,6 +51,23 @@ def relabelled(seqs: DataFrame, calls: DataFrame, least: float = 0.5) -> DataFra
     return rows.select("read_id", F.array_join("all.l", "").alias("seq"))
 
 
+def calls_in_order(seqs: DataFrame, tags: DataFrame) -> DataFrame:
+    """(read_id, pos, base, prob): the i-th value of ZP taken for the i-th A or T of the sequence, wherever it belongs.
+
+    ZP lists all calls at A before those at T, so these places are wrong for most reads. This is how older outputs were made; ``resolve_tags`` is right.
+    """
+    base = seqs.select("read_id", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base in ('A', 'T')")
+    numbered = base.withColumn("i", F.row_number().over(Window.partitionBy("read_id").orderBy("pos")) - 1)
+    probs = tags.select("read_id", F.posexplode("zp").alias("i", "prob"))
+    return numbered.join(probs, ["read_id", "i"]).select("read_id", "pos", "base", F.col("prob").cast("double").alias("prob"))
+
+
+def relabelled_in_order(seqs: DataFrame, tags: DataFrame, least: float = 0.5) -> DataFrame:
+    """``relabelled`` with the places of ``calls_in_order``; reads without ZP give no row."""
+    known = seqs.join(tags.where(F.size("zp") > 0).select("read_id"), "read_id", "left_semi")
+    return relabelled(known, calls_in_order(known, tags), least)
+
+
 def histogram(values: DataFrame, buckets: int = 100, least: int = 1) -> DataFrame:
     """(read_id, bucket, share): of all values of a read, the share in each bucket; reads with fewer than ``least`` values give none."""
     at = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("prob") / F.lit(1.0 / buckets)))).cast("int")
@@ -88,6 +105,19 @@ def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relabelled(seqs, views.calls(seqs)).withColumn("seq", F.md5("seq"))
 
 
+@query(
+    "p27_relabel_in_order",
+    f"""WITH {views.SEQS_SQL}, {views.CALLS_SQL}, b AS (SELECT read_id, seq[i + 1] AS base, i AS pos FROM (SELECT read_id, seq, unnest(range(len(seq))) AS i FROM reads)),
+        o AS (SELECT read_id, pos, row_number() OVER (PARTITION BY read_id ORDER BY pos) AS k FROM b WHERE base IN ('A', 'T')),
+        z AS (SELECT read_id, prob, row_number() OVER (PARTITION BY read_id ORDER BY base, pos) AS k FROM calls)
+        SELECT read_id, md5(string_agg(CASE WHEN prob >= 0.5 AND base = 'A' THEN 'Z' WHEN prob >= 0.5 AND base = 'T' THEN 'O' ELSE base END, '' ORDER BY pos)) AS seq
+        FROM b LEFT JOIN o USING (read_id, pos) LEFT JOIN z USING (read_id, k) WHERE read_id IN (SELECT read_id FROM calls) GROUP BY read_id""",
+)
+def relabel_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = views.reads(spark, sf_dir).select("read_id", "seq")
+    return relabelled_in_order(seqs, encode_tags(seqs, views.calls(seqs))).withColumn("seq", F.md5("seq"))
+
+
 @query(
     "p29_prob_histogram",
     """SELECT l_suppkey AS read_id, b AS bucket, round(count(*) / sum(count(*)) OVER (PARTITION BY l_suppkey), 6) AS share

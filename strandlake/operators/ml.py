@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -113,6 +113,70 @@ def predict_reads(shares: DataFrame, model: Svm, vector: str = "features", n_cal
     return shares.withColumn("decision", decided(vector)).withColumn("tag", F.when(F.col(n_calls) < least_calls, "*").when(label == -1, "-").otherwise("+"))
 
 
+#: Rows that a machine is fitted on; its kernel matrix has as many rows and columns.
+MOST_TRAINING_ROWS = 2000
+
+
+def bounded_sample(rows: DataFrame, label: str, id_col: str, most: int = MOST_TRAINING_ROWS, seed: int = 42) -> DataFrame:
+    """Some ``most`` rows or fewer in the classes' own proportions, picked by a hash of the id; all rows if there are no more."""
+    total = rows.count()
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    return rows.where(place < most / total) if total > most else rows
+
+
+def out_of_fold(rows: DataFrame, grid: list[tuple[float, float]], folds: int = 5, vector: str = "features", label: str = "label", id_col: str = "vec_id", seed: int = 42) -> DataFrame:
+    """(cost, gamma, fold, id, label, decision): for each pair of ``grid``, each row's decision by the machine trained on the other folds.
+
+    Labels are above 0 for the first class. Classes are dealt evenly over the folds. Each pair and fold is a group of its own that takes all of
+    ``rows``, so pass a ``bounded_sample``. A fold whose training rows are all of one class decides for that class.
+    """
+    own = Window.partitionBy(label).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    dealt = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("double").alias("label"), ((F.row_number().over(own) - 1) % folds).alias("own_fold"))
+    runs = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("cost"), F.lit(float(g)).alias("gamma"), F.lit(i).alias("fold")) for c, g in grid for i in range(folds)]))
+    each = dealt.withColumn("run", runs).select("run.*", "id", "x", "label", "own_fold")
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        held = group["own_fold"] == group["fold"]
+        y = np.where(group["label"] > 0, 1.0, -1.0)
+        x = np.stack(group["x"].to_numpy())
+        seen, out = y[~held], group.loc[held, ["cost", "gamma", "fold", "id", "label"]]
+        if len(set(seen)) < 2:
+            return out.assign(decision=float(seen[0]) if len(seen) else 0.0)
+        return out.assign(decision=train_svm(x[~held], seen, group["cost"].iloc[0], group["gamma"].iloc[0]).decide(x[held]))
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return each.groupBy("cost", "gamma", "fold").applyInPandas(fit, f"cost double, gamma double, fold int, id {kind}, label double, decision double")
+
+
+def grid_search(rows: DataFrame, costs: list[float] | None = None, gammas: list[float] | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """(cost, gamma, n, accuracy) by cross validation, best first. By default powers of two: costs from -5 to 15, widths from 3 down to -15, in steps of 2."""
+    costs, gammas = costs or [2.0**i for i in range(-5, 16, 2)], gammas or [2.0**i for i in range(3, -16, -2)]
+    decided = out_of_fold(rows, [(c, g) for c in costs for g in gammas], **options)
+    right = (F.col("decision") > 0) == (F.col("label") > 0)
+    return decided.groupBy("cost", "gamma").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy")).orderBy(F.desc("accuracy"), "cost", "gamma")
+
+
+def fit_sigmoid(rows: DataFrame, decision: str = "decision", label: str = "label") -> tuple[float, float]:
+    """(a, b) of the probability 1 / (1 + exp(a * decision + b)), by likelihood under targets drawn in from 0 and 1 by the class counts.
+
+    A row with target t goes in as a positive of weight t and a negative of weight 1 - t. Without rows both are 0.
+    """
+    yes, n = rows.agg(F.count_if(F.col(label) > 0), F.count("*")).first()
+    if not n:
+        return 0.0, 0.0
+    target = F.when(F.col(label) > 0, F.lit((yes + 1) / (yes + 2))).otherwise(F.lit(1 / (n - yes + 2)))
+    halves = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w"))))
+    weighted = rows.select(array_to_vector(F.array(F.col(decision).cast("double"))).alias("x"), halves.alias("h")).select("x", "h.y", "h.w")
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", tol=1e-9).fit(weighted)
+    return -float(model.coefficients[0]), -float(model.intercept)
+
+
+def with_probability(rows: DataFrame, a: float, b: float, decision: str = "decision") -> DataFrame:
+    """Column ``prob`` of the first class."""
+    return rows.withColumn("prob", 1 / (1 + F.exp(a * F.col(decision) + b)))
+
+
 # --- networks and trainers ---------------------------------------------------------------------------------------
 
 
@@ -208,6 +272,36 @@ def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", *[F.round(kernel(k, F.col("a"), F.col("b"), coef0=1.0), 6).alias(k) for k in ("linear", "polynomial", "rbf", "sigmoid")])
 
 
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("label") >= 5, 1).otherwise(-1).alias("label"))
+    return bounded_sample(rows, "label", "vec_id")
+
+
+@query("m10_m13_grid_search")
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_search(_samples(spark, sf_dir), [0.5, 2.0], [0.25, 0.5], vector="embedding")
+
+
+@query("m9_probabilities")
+def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold decisions at the usual cost and width, and the probabilities that a sigmoid makes of them."""
+    decided = out_of_fold(_samples(spark, sf_dir), [(1.0, 0.5)], vector="embedding").cache()
+    return with_probability(decided, *fit_sigmoid(decided)).select(F.col("id").alias("vec_id"), "label", "decision", "prob")
+
+
+@query("m2_m3_train_validate")
+def train_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A machine fitted on a bounded sample of 70 % of each class, and its counts on all other rows."""
+    from strandlake.operators.sources_lr import stratified_split
+    from strandlake.operators.stats import binary_scores
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.when(F.col("label") >= 5, 1).otherwise(-1).alias("label"))
+    split = stratified_split(rows, "label", "vec_id")
+    seen = bounded_sample(split.where("train"), "label", "vec_id").orderBy("vec_id").toPandas()
+    model = train_svm(np.stack(seen["features"].to_numpy()).astype(np.float64), seen["label"].to_numpy(dtype=np.float64))
+    return binary_scores(predict_reads(split.where("not train").withColumn("n_calls", F.lit(1)), model), "label", "decision", 0.0)
+
+
 @query("m12_minmax", "WITH m AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, min(l_discount) AS dlo, max(l_discount) AS dhi FROM lineitem) SELECT l_orderkey, l_linenumber, round((l_quantity - lo) / (hi - lo), 6) AS q, round((l_discount - dlo) / (dhi - dlo), 6) AS d FROM lineitem, m")
 def minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("features", array_to_vector(F.array("l_quantity", "l_discount")))

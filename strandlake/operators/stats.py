@@ -156,6 +156,21 @@ def median_ratio_normalised(z: DataFrame, n: DataFrame, key: str = "kmer", place
     return z.join(factor, key).withColumn(value, F.try_divide(F.col(value), F.col("factor")))
 
 
+def signal_tests(z: DataFrame, n: DataFrame, key: str = "kmer", place: str = "place", value: str = "value") -> DataFrame:
+    """(key, place, ratio, t, df, p, adjusted): ``n`` against ``z`` at each place, once the values of ``z`` are divided by their key's factor.
+
+    ``ratio`` is that of the medians, z over n. All places of all keys are one family for the adjustment; a missing p counts as 1.
+    Places that lack one of the sides give no row.
+    """
+    side = lambda df, plain: df.select(key, place, value, F.lit(plain).alias("plain"))
+    both = side(median_ratio_normalised(z, n, key, place, value), False).unionByName(side(n, True))
+    median = lambda cond: F.median(F.when(cond, F.col(value)))
+    ratios = both.groupBy(key, place).agg(F.try_divide(median(~F.col("plain")), median(F.col("plain"))).alias("ratio"))
+    tests = pooled_t(both, [key, place], "plain", value).join(ratios, [key, place])
+    tests = tests.withColumns({"p": t_p_value(F.col("t"), F.col("df").cast("double")), "_id": F.struct(key, place)})
+    return benjamini_hochberg(tests, "p", "_id").select(key, place, "ratio", "t", "df", "p", "adjusted")
+
+
 _QV = "SELECT l_linenumber AS np, l_quantity AS qv, l_returnflag AS platform, l_linestatus = 'O' AS z FROM lineitem WHERE l_quantity < 100"
 
 
@@ -215,7 +230,6 @@ def bh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query("a16_a17_proportions", """WITH c AS (SELECT l_linenumber AS cat, count(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE AS k1, count(*) FILTER (WHERE l_linestatus = 'F')::DOUBLE AS k2 FROM lineitem GROUP BY 1),
     s AS (SELECT *, sum(k1) OVER () AS n1, sum(k2) OVER () AS n2 FROM c)
     SELECT cat, round((k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) AS z, round(2 * (asin(sqrt(k1 / (n1 / 1.695))) - asin(sqrt(k2 / n2))), 6) AS h FROM s""")
@@ -277,3 +291,10 @@ def platform_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem").withColumnRenamed("l_linenumber", "np")
     mean = lambda cond, name: i.where(cond).groupBy("np").agg(F.round(F.avg("l_quantity"), 6).alias(name))
     return mean("l_returnflag = 'A' and np < 6", "a").join(mean("l_returnflag = 'R' and np > 2", "b"), "np", "full").fillna(-1.0)
+
+
+@query("a13_a15_signal_tests")
+def tested_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order quantities by supplier and line stand for signals by k-mer and place."""
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("kmer"), F.col("l_linenumber").alias("place"), (F.col("l_quantity") + 0.5).alias("value"), "l_linestatus")
+    return signal_tests(v.where("l_linestatus = 'O'"), v.where("l_linestatus = 'F'"))

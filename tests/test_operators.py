@@ -125,6 +125,13 @@ def test_tags(spark):
     assert calls.histogram(found, least=2).select("read_id").distinct().count() == 1
 
 
+def test_relabelled_in_order(spark):
+    seqs = spark.createDataFrame([(1, "ATNTA"), (2, "AT"), (3, "AAT"), (4, "CG")], "read_id long, seq string")
+    tags = spark.createDataFrame([(1, [0.9, 0.1, 0.5, 0.4]), (2, None), (3, [0.2, 0.7]), (4, [])], "read_id long, zp array<float>")
+    # One value too few leaves the last base as it is; a read without values gives no row.
+    assert {r.read_id: r.seq for r in calls.relabelled_in_order(seqs, tags).collect()} == {1: "ZTNOA", 3: "AZT"}
+
+
 def test_random_round_trip(spark):
     r = random.Random(1)
     seqs = [(i, "".join(r.choices("ACGTN", k=80))) for i in range(40)]
@@ -186,6 +193,61 @@ def test_support_vector_machine(spark):
     assert got[:2] == ["*", "*"] and set(got[2:]) == {"-"}
 
 
+def test_signal_tests(spark):
+    r = random.Random(5)
+    value = {(k, p, z): [r.randrange(1, 60) + 7.0 * (z and k == 1 and p == 2) for _ in range(r.randrange(2, 9))] for k in range(3) for p in range(4) for z in (True, False)}
+    del value[2, 3, True]
+    sides = [spark.createDataFrame([(k, p, v) for (k, p, s), vs in value.items() if s == z for v in vs], "kmer int, place int, value double") for z in (True, False)]
+    got = {(x.kmer, x.place): x for x in stats.signal_tests(*sides).collect()}
+    want = {}
+    for k in range(3):
+        places = [p for p in range(4) if (k, p, True) in value]
+        factor = np.median([np.median(value[k, p, True]) / np.median(value[k, p, False]) for p in places])
+        for p in places:
+            a, b = np.array(value[k, p, False]), np.array(value[k, p, True]) / factor
+            df = len(a) + len(b) - 2
+            t = (a.mean() - b.mean()) / math.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / df * (1 / len(a) + 1 / len(b)))
+            want[k, p] = (np.median(b) / np.median(a), t, df, stats.t_tail(t, df))
+    assert got.keys() == want.keys()
+    assert all(np.allclose([got[x].ratio, got[x].t, got[x].df, got[x].p], want[x]) for x in want)
+    low = 1.0
+    for i, x in enumerate(sorted(want, key=lambda x: -want[x][3])):
+        low = min(low, want[x][3] * len(want) / (len(want) - i))
+        assert abs(got[x].adjusted - low) < 1e-9
+
+
+def test_cross_validation(spark):
+    rng = np.random.default_rng(8)
+    y = [1 if i % 3 else -1 for i in range(90)]
+    df = spark.createDataFrame([(i, (rng.normal(0.9 * v, 1.0, 2)).tolist(), v) for i, v in enumerate(y)], "vec_id long, features array<double>, label int")
+    decided = ml.out_of_fold(df, [(1.0, 0.5), (0.5, 2.0)], folds=3).toPandas()
+    assert len(decided) == 180 and (decided.groupby(["cost", "gamma", "fold"]).label.apply(lambda v: (v > 0).sum()) == 20).all()
+    rows = {r.vec_id: r for r in df.collect()}
+    own = decided[(decided.cost == 1.0) & (decided.fold == 1)]
+    rest = sorted(set(rows) - set(own.id))
+    model = ml.train_svm(np.array([rows[i].features for i in rest]), np.array([float(rows[i].label) for i in rest]))
+    assert np.allclose(model.decide(np.array([rows[i].features for i in own.id])), own.decision)
+    best = ml.grid_search(df, [1.0, 0.5], [0.5], folds=3).collect()
+    assert len(best) == 2 and best[0].n == 90 and best[0].accuracy >= best[1].accuracy > 0.7
+    one_class = ml.out_of_fold(df.where("label = 1"), [(1.0, 0.5)]).toPandas()
+    assert len(one_class) == 60 and (one_class.decision == 1).all()
+    assert ml.out_of_fold(df.where("vec_id < 0"), [(1.0, 0.5)]).count() == 0
+    assert ml.bounded_sample(df, "label", "vec_id").count() == 90 and 20 < ml.bounded_sample(df, "label", "vec_id", 45).count() < 70
+
+
+def test_probabilities(spark):
+    rng = np.random.default_rng(9)
+    d = rng.normal(0, 2, 400)
+    y = np.where(rng.random(400) < 1 / (1 + np.exp(-1.5 * d + 0.5)), 1, -1)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(d, y, strict=True)], "decision double, label int")
+    a, b = ml.fit_sigmoid(df)
+    p = 1 / (1 + np.exp(a * d + b))
+    t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
+    assert abs((t - p).sum()) < 1e-3 and abs(((t - p) * d).sum()) < 1e-3  # the likelihood's slopes are nought
+    got = [r.prob for r in ml.with_probability(df, a, b).collect()]
+    assert np.allclose(got, p) and ml.fit_sigmoid(df.where("label = 0")) == (0.0, 0.0)
+
+
 def test_text(spark):
     sizes = {0: "0", 999: "999", 1000: "1.00K", 1234567: "1.23M", 999499: "999K", 999500: "1.00M", 12345: "12.3K", 10**18: "1.00E"}
     got = dict(spark.createDataFrame([(k,) for k in sizes], "n long").select("n", text.number_to_size(F.col("n"))).collect())
