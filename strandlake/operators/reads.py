@@ -113,22 +113,34 @@ def feature_rows(reads: DataFrame, k: int = 11) -> DataFrame:
     return rows[0].unionByName(rows[1]).select("read_id", "strand", F.inline(cut))
 
 
-_SHORT = 160
-_strand_sql = lambda own, other, i, p, s: f"SELECT read_id, '{s}' AS strand, {own} AS own, {other} AS other, {i} AS ipd, {p} AS pw FROM reads WHERE len(seq) < {_SHORT}"
+def context_rows(reads: DataFrame, half: int = 10, margin: int = 50) -> DataFrame:
+    """(read_id, pos, base, kmer, ipd, pw) for each A and T ``margin`` bases or more from both ends, cut inside the read's row like ``feature_rows``."""
+    rows = reads.select("read_id", F.split("seq", "").alias("bases"), *TAGS)
+    near, far = max(margin, half), F.size("bases") - max(margin, half + 1)
+    at = F.filter(F.transform("bases", lambda b, i: F.when(b.isin("A", "T") & (i >= near) & (i <= far), i)), lambda i: i.isNotNull())
+
+    def cut(i):  # noqa: ANN001, ANN202
+        base, kmer = F.get("bases", i), F.array_join(F.slice("bases", i - half + 1, 2 * half + 1), "")
+        signals = [context_of.alias(n) for n, context_of in (("ipd", kinetics.context_signal(F.col("fi"), F.col("ri"), i, base, half)), ("pw", kinetics.context_signal(F.col("fp"), F.col("rp"), i, base, half)))]
+        return F.struct(i.alias("pos"), base.alias("base"), F.when(base == "T", sequence.strict_reverse_complement(kmer)).otherwise(kmer).alias("kmer"), *signals)
+
+    return rows.select("read_id", F.inline(F.transform(at, cut)))
+
+
 _rc = "reverse(translate(seq, 'ACGT', 'TGCA'))"
+_strand_sql = lambda other, i, p, s: f"SELECT read_id, '{s}' AS strand, len(seq) AS n, unnest(range(len(seq))) AS c, unnest(string_split({other}, '')) AS b, unnest({i}) AS ipd, unnest({p}) AS pw, {i}[1] AS i0, {i}[-1] AS i1, {p}[1] AS p0, {p}[-1] AS p1, {other}[1] AS b0, {other}[-1] AS b1 FROM reads"
+_around = lambda v, first, last: f"sum({v}) OVER w + greatest(0, 5 - c) * {first} + greatest(0, c + 6 - n) * {last}"
 
 
 @query(
     "p11_p13_kmer_features",
-    f"""WITH {views.READS_SQL}, strands AS ({_strand_sql('seq', _rc, 'ri', 'rp', '+')} UNION ALL {_strand_sql(_rc, 'seq', 'fi', 'fp', '-')}),
-        places AS (SELECT *, unnest(range(len(own))) AS pos FROM strands), a AS (SELECT *, len(own) - 1 - pos AS c FROM places WHERE own[pos + 1] = 'A'),
-        w AS (SELECT read_id, strand, pos, list_transform(range(-5, 6), lambda d: greatest(0, least(len(own) - 1, c + d))) AS ix, other, ipd, pw FROM a)
-        SELECT read_id, strand, pos::INT AS pos, 66 AS n, round(list_sum(list_transform(ix, lambda i: ipd[i + 1] / 255.0)), 6) AS ipd, round(list_sum(list_transform(ix, lambda i: pw[i + 1] / 255.0)), 6) AS pw,
-               list_sum(list_transform(ix, lambda i: (other[i + 1] = 'T')::INT))::DOUBLE AS t FROM w""",
+    f"""WITH {views.READS_SQL}, places AS ({_strand_sql(_rc, 'ri', 'rp', '+')} UNION ALL {_strand_sql('seq', 'fi', 'fp', '-')}),
+        sums AS (SELECT read_id, strand, b, (n - 1 - c)::INT AS pos, {_around('ipd', 'i0', 'i1')} AS ipd, {_around('pw', 'p0', 'p1')} AS pw, {_around("(b = 'T')::INT", "(b0 = 'T')::INT", "(b1 = 'T')::INT")} AS t
+            FROM places WINDOW w AS (PARTITION BY read_id, strand ORDER BY c ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+        SELECT read_id, strand, pos, 66 AS n, round(ipd / 255.0, 6)::DOUBLE AS ipd, round(pw / 255.0, 6)::DOUBLE AS pw, t::DOUBLE AS t FROM sums WHERE b = 'T'""",
 )
 def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of short reads, whose rows the SQL side can hold."""
-    rows = feature_rows(views.reads(spark, sf_dir).where(F.length("seq") < _SHORT))
+    rows = feature_rows(views.reads(spark, sf_dir))
     part = lambda k: F.aggregate(F.filter("features", lambda x, i: i % 6 == k), F.lit(0.0), lambda s, x: s + x)
     return rows.select("read_id", "strand", "pos", F.size("features").alias("n"), F.round(part(4), 6).alias("ipd"), F.round(part(5), 6).alias("pw"), part(3).alias("t"))
 
@@ -136,12 +148,10 @@ def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "p30_p31_f15_context",
     f"""WITH {views.READS_SQL}, places AS (SELECT *, unnest(range(len(seq))) AS pos FROM reads),
-        c AS (SELECT *, seq[pos + 1] AS base, seq[pos - 9:pos + 11] AS kmer FROM places WHERE seq[pos + 1] IN ('A', 'T') AND pos >= 50 AND pos <= len(seq) - 50 AND pos % 17 = 0)
+        c AS (SELECT *, seq[pos + 1] AS base, seq[pos - 9:pos + 11] AS kmer FROM places WHERE seq[pos + 1] IN ('A', 'T') AND pos >= 50 AND pos <= len(seq) - 50)
         SELECT read_id, pos::INT AS pos, base, CASE WHEN base = 'T' THEN reverse(translate(kmer, 'ACGT', 'TGCA')) ELSE kmer END AS kmer,
                list_sum(CASE WHEN base = 'A' THEN ri[len(seq) - 1 - pos - 9:len(seq) - 1 - pos + 11] ELSE fi[pos - 9:pos + 11] END)::BIGINT AS ipd FROM c""",
 )
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.reads(spark, sf_dir).select("*", F.posexplode(F.split("seq", "")).alias("pos", "base"))
-    rows = rows.where("base in ('A', 'T') and pos >= 50 and pos <= length(seq) - 50 and pos % 17 = 0")
-    signal = kinetics.context_signal(F.col("fi"), F.col("ri"), F.col("pos"), F.col("base"), 10)
-    return rows.select("read_id", "pos", "base", sequence.context_kmer(F.col("seq"), F.col("pos"), F.col("base"), 10).alias("kmer"), F.aggregate(signal, F.lit(0).cast("long"), lambda s, x: s + x).alias("ipd"))
+    total = F.aggregate("ipd", F.lit(0).cast("long"), lambda s, x: s + x)
+    return context_rows(views.reads(spark, sf_dir)).select("read_id", "pos", "base", "kmer", total.alias("ipd"))

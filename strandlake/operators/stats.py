@@ -211,22 +211,22 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled_t(_qv(spark, sf_dir), ["np", "platform"], "z", "qv").withColumn("p", t_p_value(F.col("t"), F.col("df").cast("double")))
 
 
-_P = "SELECT l_orderkey * 8 + l_linenumber AS id, l_returnflag AS g, (l_orderkey * 7919 % 1000 + 1) / 1001.0::DOUBLE AS p FROM lineitem WHERE l_linenumber = 1"
+_P = "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, ((l_orderkey * 7919 + l_linenumber * 389) % 1000 + 1) / 1001.0::DOUBLE AS p FROM lineitem"
 
 
 def _ps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return i.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("g"), ((F.col("l_orderkey") * 7919 % 1000 + 1) / F.lit(1001.0)).alias("p")).dropDuplicates(["id"])
+    p = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 389) % 1000 + 1) / F.lit(1001.0)
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), p.alias("p")).distinct()
 
 
 def _bh_sql(group: str) -> str:
-    return f"""WITH x AS (SELECT DISTINCT ON (id) * FROM ({_P})), r AS (SELECT *, row_number() OVER ({group} ORDER BY p, id) AS r, count(*) OVER ({group}) AS m FROM x)
+    return f"""WITH x AS ({_P}), r AS (SELECT *, row_number() OVER ({group} ORDER BY p, id) AS r, count(*) OVER ({group}) AS m FROM x)
         SELECT id, round(least(1.0, min(p * m / r) OVER ({group} ORDER BY r DESC)), 9) AS adjusted FROM r"""
 
 
 @query("a15_bh_adjust", _bh_sql(""))
 def bh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benjamini_hochberg(_ps(spark, sf_dir).select("id", "p"), "p", "id").select("id", F.round("adjusted", 9).alias("adjusted"))
+    return benjamini_hochberg(_ps(spark, sf_dir), "p", "id").select("id", F.round("adjusted", 9).alias("adjusted"))
 
 
 

@@ -58,6 +58,25 @@ def test_filters(spark):
     assert reads.has_signals(df) and not reads.has_signals(df.where("read_id = 0"))
 
 
+def test_context_rows(spark):
+    r = random.Random(7)
+    seqs = ["".join(r.choices("ACGTN", k=n)) for n in (0, 1, 5, 6, 7, 30, 41)]
+    rows = [(i, s, *([[r.randrange(256) for _ in s] for _ in range(4)])) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "read_id long, seq string, fi array<int>, ri array<int>, fp array<int>, rp array<int>")
+    for half, margin in ((2, 3), (3, 0)):
+        want = set()
+        for i, s, fi, ri, fp, rp in rows:
+            for p, b in enumerate(s):
+                if b in "AT" and max(half, margin) <= p <= len(s) - max(margin, half + 1):
+                    cut = lambda a, c: tuple(a[c - half : c + half + 1])
+                    kmer, c = s[p - half : p + half + 1], len(s) - 1 - p
+                    if b == "T":
+                        kmer = None if "N" in kmer else kmer[::-1].translate(str.maketrans("ACGT", "TGCA"))
+                    want.add((i, p, b, kmer, cut(ri, c) if b == "A" else cut(fi, p), cut(rp, c) if b == "A" else cut(fp, p)))
+        got = {(x.read_id, x.pos, x.base, x.kmer, tuple(x.ipd), tuple(x.pw)) for x in reads.context_rows(df, half, margin).collect()}
+        assert got == want and got
+
+
 def aligned(spark, cigar, seq, pos=0, flag=0):
     return spark.createDataFrame([(1, seq, flag, cigar, "c", pos, 30, 9.0)], "read_id long, seq string, flag int, cigar string, rname string, pos int, mapq int, ec double")
 
