@@ -284,9 +284,13 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m9_probabilities")
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold decisions at the usual cost and width, and the probabilities that a sigmoid makes of them."""
-    decided = out_of_fold(_samples(spark, sf_dir), [(1.0, 0.5)], vector="embedding").cache()
-    return with_probability(decided, *fit_sigmoid(decided)).select(F.col("id").alias("vec_id"), "label", "decision", "prob")
+    """Probabilities of all rows: the machine is fitted on a bounded sample, the sigmoid on that sample's out-of-fold decisions."""
+    seen = _samples(spark, sf_dir)
+    a, b = fit_sigmoid(out_of_fold(seen, [(1.0, 0.5)], vector="embedding").cache())
+    local = seen.orderBy("vec_id").toPandas()
+    model = train_svm(np.stack(local["embedding"].to_numpy()).astype(np.float64), local["label"].to_numpy(dtype=np.float64))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.lit(1).alias("n_calls"))
+    return with_probability(predict_reads(rows, model), a, b).select("vec_id", "decision", "prob")
 
 
 @query("m2_m3_train_validate")
