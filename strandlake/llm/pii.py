@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
-The field looks at zones, runs of chunks with digits or an at sign. A zone is cut into atoms (runs of letters, of
-digits, single other characters), and a segmentation of the atoms into entities of at most ``MOST_ATOMS`` atoms and plain single
+The field looks at zones, runs of chunks with digits or an at sign, and the chunks that such a sign or a spaced full stop joins
+to them. A zone is cut into atoms (runs of letters, of digits, of white space, single other characters), and a segmentation of the atoms into entities of at most ``MOST_ATOMS`` atoms and plain single
 atoms is scored by features of each whole span (its shape, digits, check digit, what stands beside it) and by which type
 follows which. Forward-backward sums over all segmentations fit the weights on generated examples, and the best
 segmentation, boundaries and types together, is found by the same dynamic programme with maxima.
@@ -73,9 +73,15 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 # --- the field ---------------------------------------------------------------------------------------------------
 
 MOST_ATOMS, MOST_ZONE = 16, 400
-_ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
-#: Chunks with a digit or an at sign, with single spaces between them. Possessive: no text makes it look twice.
-_ZONE = re.compile(r"[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+")
+_ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
+_SPACE = re.compile(r"\s+")
+_SIGN = re.compile(r"@|\(at\)|\[at\]")
+#: A chunk with a digit or an at sign. From a chunk's beginning only, and possessive: no text makes it look twice.
+_HOT = re.compile(r"(?<!\S)(?:[^\s0-9@(\[]++|\((?!at\))|\[(?!at\]))*+(?:[0-9@]|\(at\)|\[at\])\S*+")
+_CHUNK = re.compile(r"\s*+\S++")
+#: What goes on with a spaced domain: a lone full stop and the chunk after it, or a chunk that begins with one.
+_DOTTED = re.compile(r"\s++\.(?:\s++\S++|[\w-]\S*+)")
+_GAP = re.compile(r"\s++(?:\.\s++)?")
 _SHAPES = {
     "email": re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?\. ?[\w-]+)+", re.A),
     "ip": re.compile(r"\d{1,3}(?: ?\. ?\d{1,3}){3}", re.A),
@@ -89,7 +95,7 @@ _PLUS = re.compile(r"\+|00|\(")
 
 def _features(zone: str, lo: int, hi: int) -> list[float]:
     """Of the whole span zone[lo:hi], whatever its type."""
-    s = zone[lo:hi]
+    s = _SPACE.sub(" ", zone[lo:hi])
     digits = _NOT_DIGIT.sub("", s)
     n, before, after = len(digits), zone[lo - 1 : lo], zone[hi : hi + 1]
     parts = s.split(".")
@@ -295,6 +301,34 @@ def decode(zone: str, w: np.ndarray, move: np.ndarray) -> list[tuple[int, int, s
     return out[::-1]
 
 
+def zones(text: str) -> Iterator[Span]:
+    """Runs of chunks with a digit or an at sign, divided by white space or a lone full stop only. An at sign at a chunk's edge takes in the chunk
+    beside it, and the domain after it the chunks that spaced full stops join to it.
+    """
+    lo, hi = 0, -1
+    for m in _HOT.finditer(text):
+        a, b = m.span()
+        signs = [s.span() for s in _SIGN.finditer(text, a, b)]
+        if signs and signs[0][0] == a:
+            while a > max(hi, 0) and text[a - 1].isspace():
+                a -= 1
+            while a > max(hi, 0) and not text[a - 1].isspace():
+                a -= 1
+        if a > hi >= 0 and not _GAP.fullmatch(text, hi, a):
+            yield lo, hi
+            hi = -1
+        lo, hi = (lo if hi >= 0 else a), max(hi, b)
+        if signs and hi == b:
+            if signs[-1][1] == b and (more := _CHUNK.match(text, hi)):
+                hi = more.end()
+            if text.find(".", signs[-1][1], hi) == hi - 1 and (more := _CHUNK.match(text, hi)):
+                hi = more.end()
+            while more := _DOTTED.match(text, hi):
+                hi = more.end()
+    if hi >= 0:
+        yield lo, hi
+
+
 class Finder:
     """Finds spans with fixed weights; zones that come again are decoded once."""
 
@@ -305,8 +339,7 @@ class Finder:
         """Entities of the field that meet no base span."""
         taken = sorted(s for spans in base.values() for s in spans)
         out, k = [], 0
-        for m in _ZONE.finditer(text):
-            lo, end = m.span()
+        for lo, end in zones(text):
             while lo < end:  # a very long zone is cut at spaces, or after MOST_ZONE characters
                 hi = end if end - lo <= MOST_ZONE else max(text.rfind(" ", lo + 1, lo + MOST_ZONE), lo + MOST_ZONE * (" " not in text[lo + 1 : lo + MOST_ZONE]))
                 for a, b, kind in self.decode(text[lo:hi]):
@@ -319,7 +352,7 @@ class Finder:
 
     def find(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and all spans, by kind as listed and start."""
-        if not _DIGIT.search(text) and "@" not in text:
+        if not _DIGIT.search(text) and not any(sign in text for sign in ("@", "(at)", "[at]")):
             return [], []
         base = base_spans(text)
         first = [(k, *s) for k in KINDS for s in base[k]]

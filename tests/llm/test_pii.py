@@ -86,3 +86,33 @@ def test_rows(spark):
     out = {r.doc_id: r for r in pii.redact(df).where("doc_id = 3 and text like 'mail%' or doc_id in (1, 4)").collect()}
     assert out[3].text == "mail [EMAIL] or [PHONE]!" and out[4].text == "[CARD] [CARD]" and out[1].text is None and out[4].spans == 2
     assert pii.personal_data(df.limit(0)).collect() == []
+
+
+def test_entities_in_running_text(spark):
+    r = random.Random(2024)
+    words = lambda: " ".join(r.choice("the cat said that we met at noon and then wrote to our office".split()) for _ in range(r.randint(1, 9)))
+    cases = [pii.example(r) for _ in range(400)]
+    for gap in ("", " ", "  ", "\t", "\n", " \n"):
+        for sign in ("@", "(at)", "[at]"):
+            e = f"jo.ann{gap}{sign}{gap}mail.org"
+            cases.append((e, [(0, len(e), "email")]))
+        for e, kind in ((f"19{gap}.{gap}168{gap}.{gap}0{gap}.{gap}1", "ip"), (f"jo @ mail{gap}.{gap}org", "email"), (f"+31{gap or ' '}555{gap or ' '}010{gap or ' '}199", "phone")):
+            cases.append((e, [(0, len(e), kind)]))
+    rows, want = [], set()
+    for i, (zone, spans) in enumerate(cases):
+        before = words() + " "
+        rows.append((i, before + zone + " " + words()))
+        want |= {(i, k, a + len(before), b + len(before)) for a, b, k in spans}
+    got = {(x.doc_id, *s) for x in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in x.spans}
+    spaced = {(i, k, a, b) for i, k, a, b in want if k in ("email", "ip") and re.search(r"\s", rows[i][1][a:b])}
+    assert len(want & got) > 0.9 * len(want) and len(want & got) > 0.9 * len(got), (len(want & got), len(want), len(got))
+    assert len(spaced) > 40 and len(spaced & got) > 0.95 * len(spaced), spaced - got
+
+
+def test_zones():
+    parts = lambda text: [text[a:b] for a, b in pii.zones(text)]
+    assert parts("we met at noon . Then the end") == []
+    assert parts("to jo @ mail . org now") == ["jo @ mail . org"]
+    assert parts("to jo (at)\tmail.org. The end") == ["jo (at)\tmail.org."]
+    assert parts("a jo@ mail . co .uk b 1 . 2\n3 c 4") == ["jo@ mail . co .uk", "1 . 2\n3", "4"]
+    assert parts("@ x @ . @ y [at]") == ["@ x @ . @ y [at]"] and parts("@") == ["@"] and parts("") == []
