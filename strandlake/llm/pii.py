@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -72,7 +73,11 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # --- the field ---------------------------------------------------------------------------------------------------
 
-MOST_ATOMS, MOST_ZONE = 16, 400
+MOST_ATOMS, MOST_DIGITS = 16, 25
+#: Longest zone, and longest span, whose outcome is kept for when it comes again.
+KEPT_ZONE, KEPT_SPAN = 400, 64
+#: Atoms of a zone after which the pass looks for what is settled.
+SETTLE = 256
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _SPACE = re.compile(r"\s+")
 _SIGN = re.compile(r"@|\(at\)|\[at\]")
@@ -147,7 +152,7 @@ class Lattice:
                 a, b = spans[j]
                 digits += (b - a) * zone[a].isdigit()
                 at = at or zone[a] == "@" or zone[a:b] == "at"
-                if digits > 25:
+                if digits > MOST_DIGITS:
                     break
                 if zone[b - 1].isalnum() and (digits >= 4 or at):
                     self.ends[j + 1].append((i, len(rows)))
@@ -275,30 +280,75 @@ def train(examples: int = 500, rounds: int = 16, seed: int = 17) -> tuple[np.nda
     return w, move
 
 
-def decode(zone: str, w: np.ndarray, move: np.ndarray) -> list[tuple[int, int, str]]:
-    """The entities of the best segmentation."""
-    t = Lattice(zone)
-    if not len(t.x):
-        return []
-    score = t.x @ w.T
-    best = np.full((t.n + 1, len(KINDS) + 1), -1e18)
-    best[0, 0] = 0.0
-    back: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for j in range(1, t.n + 1):
-        ways = best[j - 1] + move[:, 0]
-        best[j, 0], back[j, 0] = ways.max(), (j - 1, int(ways.argmax()), -1)
-        for i, r in t.ends[j]:
-            ways = best[i][:, None] + move[:, 1:]
-            from_type, value = ways.argmax(axis=0), ways.max(axis=0) + score[r]
-            for y in np.flatnonzero(value > best[j, 1:]).tolist():
-                best[j, y + 1], back[j, y + 1] = value[y], (i, int(from_type[y]), r)
-    at, kind, out = t.n, int(best[t.n].argmax()), []
-    while at:
-        i, before, r = back[at, kind]
-        if r >= 0:
-            out.append((*t.bounds[r], KINDS[kind - 1]))
-        at, kind = i, before
-    return out[::-1]
+Score = Callable[[str, int, int], list[float]]
+
+
+def scorer(w: np.ndarray) -> Score:
+    """Scores by type of a span, from the span and the characters beside it; those of short spans are kept."""
+    score = lambda s, lo, hi: (w @ np.array(_features(s, lo, hi))).tolist()
+    kept = lru_cache(maxsize=1 << 15)(score)
+    return lambda s, lo, hi: (kept if hi - lo <= KEPT_SPAN else score)(s, lo, hi)
+
+
+def decode(zone: str, w: np.ndarray, move: np.ndarray, score: Score | None = None) -> list[tuple[int, int, str]]:
+    """The entities of the best segmentation of the whole zone, however long, in one pass. States that no open way leads through are let go:
+    what all open ways share is settled.
+    """
+    score, step, types = score or scorer(w), move.T.tolist(), range(len(KINDS) + 1)
+    best = [0.0] + [-1e18] * len(KINDS)
+    back: dict[int, list[tuple[int, int, int, int] | None]] = {}  # by last atom and type: first atom, type before, characters
+    starts: deque[tuple[int, int, int, list[tuple[float, int]]]] = deque()  # first atom, its character, digits before, best ways in by type
+    root, out = (0, 0), []
+    digits, sign, n, look = 0, -1, 0, SETTLE
+
+    def path(at: int, kind: int) -> list[tuple[int, int, str]]:
+        spans = []
+        while at > root[0]:
+            before, from_kind, lo, hi = back[at][kind]
+            if kind:
+                spans.append((lo, hi, KINDS[kind - 1]))
+            at, kind = before, from_kind
+        return spans[::-1]
+
+    for m in _ATOM.finditer(zone):
+        a, b = m.span()
+        first, into = zone[a], lambda y: max((best[t] + step[y][t], -t) for t in types)  # noqa: B023
+        value, came = into(0)
+        if first.isalnum() or first in "+(":
+            starts.append((n, a, digits, [into(y) for y in types[1:]]))
+        if first.isdigit():
+            digits += b - a
+        if first == "@" or zone[a:b] == "at":
+            sign = n
+        n += 1
+        while starts and (starts[0][0] < n - MOST_ATOMS or digits - starts[0][2] > MOST_DIGITS):
+            starts.popleft()
+        best, back[n] = [value] + [-1e18] * len(KINDS), [(n - 1, -came, a, b)] + [None] * len(KINDS)
+        if zone[b - 1].isalnum():
+            for i, lo, d, ways in starts:
+                if digits - d >= 4 or sign >= i:
+                    beside = min(lo, 1)
+                    each = score(zone[lo - beside : b + 2], beside, beside + b - lo)
+                    for y, (way, came) in enumerate(ways):
+                        if way + each[y] > best[y + 1]:
+                            best[y + 1], back[n][y + 1] = way + each[y], (i, -came, lo, b)
+        if n - root[0] >= look:
+            opened: dict[int, set[int]] = defaultdict(set)
+            for p in range(n - MOST_ATOMS, n + 1):
+                opened[p] |= {t for t in types if back[p][t]}
+            at = n
+            while len(opened) > 1 or len(opened[at]) > 1:
+                for t in opened.pop(at):
+                    i, came, *_ = back[at][t]
+                    opened[i].add(came)
+                at = max(opened)
+            (kind,) = opened[at]
+            out += path(at, kind)
+            for p in range(root[0] + 1, at + 1):
+                del back[p]
+            root = at, kind
+            look = max(SETTLE, 2 * (n - at))
+    return out + path(n, best.index(max(best)))
 
 
 def zones(text: str) -> Iterator[Span]:
@@ -330,24 +380,28 @@ def zones(text: str) -> Iterator[Span]:
 
 
 class Finder:
-    """Finds spans with fixed weights; zones that come again are decoded once."""
+    """Finds spans with fixed weights; short zones that come again are decoded once."""
 
     def __init__(self, w: np.ndarray, move: np.ndarray) -> None:
-        self.decode = lru_cache(maxsize=1 << 14)(lambda zone: decode(zone, w, move))
+        score = scorer(w)
+        self.decode = lambda zone: decode(zone, w, move, score)
+        self.kept = lru_cache(maxsize=1 << 14)(self.decode)
 
     def added(self, text: str, base: dict[str, list[Span]]) -> list[tuple[int, int, str]]:
         """Entities of the field that meet no base span."""
-        taken = sorted(s for spans in base.values() for s in spans)
+        taken: list[list[int]] = []  # what base spans cover
+        for a, b in sorted(s for spans in base.values() for s in spans):
+            if taken and a < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], b)
+            else:
+                taken.append([a, b])
         out, k = [], 0
-        for lo, end in zones(text):
-            while lo < end:  # a very long zone is cut at spaces, or after MOST_ZONE characters
-                hi = end if end - lo <= MOST_ZONE else max(text.rfind(" ", lo + 1, lo + MOST_ZONE), lo + MOST_ZONE * (" " not in text[lo + 1 : lo + MOST_ZONE]))
-                for a, b, kind in self.decode(text[lo:hi]):
-                    while k < len(taken) and taken[k][1] <= lo + a and (k + 1 == len(taken) or taken[k + 1][0] < lo + b):
-                        k += 1
-                    if not any(s < lo + b and lo + a < e for s, e in taken[max(0, k - 3) : k + 4]):
-                        out.append((lo + a, lo + b, kind))
-                lo = hi
+        for lo, hi in zones(text):
+            for a, b, kind in (self.kept if hi - lo <= KEPT_ZONE else self.decode)(text[lo:hi]):
+                while k < len(taken) and taken[k][1] <= lo + a:
+                    k += 1
+                if k == len(taken) or taken[k][0] >= lo + b:
+                    out.append((lo + a, lo + b, kind))
         return out
 
     def find(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -116,3 +116,45 @@ def test_zones():
     assert parts("to jo (at)\tmail.org. The end") == ["jo (at)\tmail.org."]
     assert parts("a jo@ mail . co .uk b 1 . 2\n3 c 4") == ["jo@ mail . co .uk", "1 . 2\n3", "4"]
     assert parts("@ x @ . @ y [at]") == ["@ x @ . @ y [at]"] and parts("@") == ["@"] and parts("") == []
+
+
+def uncut(zone, w, move):
+    """The best segmentation with all states of the whole zone at hand."""
+    t = pii.Lattice(zone)
+    score = t.x @ w.T if len(t.x) else t.x
+    best, back = [[0.0, *[-1e18] * 4]], [None]
+    for j in range(1, t.n + 1):
+        ways = {0: max((best[j - 1][k] + move[k, 0], -k, j - 1, -1) for k in range(5))}
+        for i, r in t.ends[j]:
+            for y in range(4):
+                s, k = max((best[i][k] + move[k, y + 1], -k) for k in range(5))
+                if y + 1 not in ways or s + score[r, y] > ways[y + 1][0]:
+                    ways[y + 1] = (s + score[r, y], k, i, r)
+        best.append([ways[y][0] if y in ways else -1e18 for y in range(5)])
+        back.append(ways)
+    at, kind, out = t.n, max(range(5), key=lambda y: best[t.n][y]), []
+    while at:
+        _, k, i, r = back[at][kind]
+        if kind:
+            out.append((*t.bounds[r], pii.KINDS[kind - 1]))
+        at, kind = i, -k
+    return out[::-1]
+
+
+def test_long_zones_are_decoded_whole():
+    w, move = pii.train()
+    r = random.Random(5)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    phones = " ".join(f"({d(3)}) {d(3)}-{d(4)}" for _ in range(120))
+    found = pii.Finder(w, move).added(phones, {})
+    assert [phones[a:b] for a, b, _ in found] == re.findall(r"\(\d+\) [\d-]+", phones) and {k for *_, k in found} == {"phone"}
+    table = "\n".join(",".join([d(5), d(16), f"{d(3)}-{d(3)}-{d(4)}", f"a{d(2)}@b.org"]) for _ in range(40))
+    dense = ",".join(d(r.choice([4, 13, 16, 9, 30])) for _ in range(150))
+    zones = [phones, table, dense, " ".join(pii.example(r)[0] for _ in range(60)), "1 " * 700]
+    for zone in zones:
+        assert pii.decode(zone, w, move) == pii.Finder(w, move).added(zone, {}) == uncut(zone, w, move)
+    noise = random.Random(6)
+    for zone in zones:  # weights under which many segmentations stay open
+        any_w = w * 0 + [[noise.gauss(0, 0.3) for _ in range(w.shape[1])] for _ in w]
+        any_move = move * 0 + [[noise.gauss(0, 3) for _ in move] for _ in move]
+        assert pii.decode(zone, any_w, any_move) == uncut(zone, any_w, any_move)
