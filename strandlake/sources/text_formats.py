@@ -41,7 +41,7 @@ def paf(spark: SparkSession, path: str) -> DataFrame:
     c = F.split(F.trim("value"), r"\s+")
     get = lambda i: F.get(c, i).try_cast("long")
     rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")).where(F.size(c) >= 12)
-    return rows.select(F.get(c, 0).alias("qname"), get(1).alias("qlen"), get(2).alias("qstart"), get(3).alias("qend"), F.get(c, 4).alias("strand"), F.get(c, 5).alias("target"), F.array_join(F.slice(c, 13, 1000), " ").alias("tags"), "line")
+    return rows.select(F.get(c, 0).alias("qname"), get(1).alias("qlen"), get(2).alias("qstart"), get(3).alias("qend"), F.get(c, 4).alias("strand"), F.get(c, 5).alias("target"), F.array_join(F.slice(c, 13, F.size(c)), " ").alias("tags"), "line")
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -49,8 +49,9 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(c) >= 11))
     get = lambda i, kind: F.get(c, i).try_cast(kind)
-    tag = lambda name, kind: F.get(F.filter(F.slice(c, 12, 10_000), lambda x: x.startswith(f"{name}:{kind}:")), 0)
-    numbers = lambda name, kind: F.transform(F.slice(F.split(tag(name, "B"), ","), 2, 1_000_000), lambda x: x.cast(kind))
+    tag = lambda name, kind: F.get(F.filter(F.slice(c, 12, F.size(c)), lambda x: x.startswith(f"{name}:{kind}:")), 0)
+    rest = lambda x: F.slice(x, 2, F.size(x))
+    numbers = lambda name, kind: F.transform(rest(F.split(tag(name, "B"), ",")), lambda x: x.cast(kind))
     one = lambda name, kind, to: F.coalesce(F.substr(tag(name, kind), F.lit(6)).try_cast(to), F.lit(0).cast(to))
     qual = F.when(F.get(c, 10) != "*", F.transform(F.split(F.get(c, 10), ""), lambda x: (F.ascii(x) - 33).cast("short")))
     return rows.select(

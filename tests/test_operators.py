@@ -362,3 +362,14 @@ def test_workflows(spark):
     assert all(t.mm.startswith("A+m,0") for t in tagged)
     model = ml.Svm(np.zeros((1, 100)), np.array([1.0]), 0.5, gamma=0.0)
     assert {t.tag for t in workflows.read_classes(found, model).collect()} == {"+"}
+
+
+def test_long_records_are_read_whole(spark, tmp_path):
+    n = 1_000_001
+    fields = ["q", "0", "c1", "11", "60", f"{n}M", "*", "0", "0", "A" * n, "*", *["xx:i:1"] * 10_000, "ec:f:7.5"]
+    tags = [f"{t}:B:C" + ",7" * n for t in ("fi", "ML")] + ["ZP:B:f" + ",0.5" * n]
+    (tmp_path / "a.sam").write_text("\t".join([*fields, *tags]) + "\n")
+    got = text_formats.sam(spark, str(tmp_path / "a.sam")).selectExpr("ec", "size(fi) as fi", "size(ml) as ml", "size(zp) as zp", "fi[1000000] as last", "rp").first()
+    assert (got.ec, got.fi, got.ml, got.zp, got.last, got.rp) == (7.5, n, n, n, 7, None)
+    (tmp_path / "p.paf").write_text("q 100 0 90 + t 500 1 91 80 90 60 " + "xx:i:1 " * 1000 + "dv:f:0.01\n")
+    assert text_formats.paf(spark, str(tmp_path / "p.paf")).first().tags.endswith("dv:f:0.01")
