@@ -19,11 +19,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
-    ids = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    kept = docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: the one with the smallest id. A row is known by its id and text, so rows that repeat an id with other
+    texts are documents of their own; rows without an id get a large one from their text for this.
+    """
+    kind = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
+    own = F.lit((1 << 63) - 1) - F.shiftrightunsigned(F.xxhash64("text"), 2)
+    key = [F.coalesce(F.col("doc_id").cast(kind), own.cast(kind)).alias("id"), F.xxhash64("text").alias("text_hash")]
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *key, "text")
+    near, none = minhash.near_duplicates(rows, id_col="id", by_row=True), F.col("group").isNull()
+    groups = near.groupBy("group", F.when(none, F.col("id")).alias("id"), F.when(none, F.col("text_hash")).alias("text_hash"))
+    kept = groups.agg(F.min(F.struct(near["id"], near["text_hash"])).alias("row")).select("row.*")
+    same = Window.partitionBy("id", "text_hash").orderBy("id")
+    return rows.drop("text").join(kept, ["id", "text_hash"], "left_semi").withColumn("copy", F.row_number().over(same)).where("copy = 1").select("doc.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,7 +94,8 @@ def _sketch(k: int):
         for b in batches:
             sets, at = kernel.shingle_sets(kernel.words(b.column(1), kernel.NOT_SPACE), k)
             tokens = signatures(sets, at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), _marks(sets, at), _binary(paths(tokens)), _binary(tokens.astype(np.uint16))], ["id", "n", "sig", "keys", "tokens"])
+            made = [b.column(0), pa.array(np.diff(at)), _marks(sets, at), _binary(paths(tokens)), _binary(tokens.astype(np.uint16))]
+            yield pa.RecordBatch.from_arrays([*made, *b.columns[2:]], ["id", "n", "sig", "keys", "tokens", *b.schema.names[2:]])
 
     return run
 
@@ -258,19 +259,22 @@ def _links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, by_row: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links) and kept.
 
     Words are runs of non-space bytes, A-Z lower-cased. A set holds the distinct ``k``-word shingles; a text of fewer words
     is one shingle; one without words (or null) has an empty set and no links. Two texts are linked when 100 times the
     intersection is at least ``percent`` times the union. Rows that repeat an id are rows of their own. A row whose id is
     null takes no part in links: its component_id is null and it is kept. An empty table gives no rows; other columns of
-    ``docs`` play no part.
+    ``docs`` play no part. With ``by_row`` two columns follow: text_hash, which tells rows of one id apart, and group, which rows of equal or linked
+    sets share (null for an empty set or a null id), as unlinked rows of one id may have the same component_id.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = written(texts.mapInArrow(_sketch(k), f"id {texts.schema['id'].dataType.simpleString()}, n long, sig binary, keys binary, tokens binary"), "sketches")
+    sketched = texts.withColumn("text_hash", F.xxhash64("text")) if by_row else texts
+    extra = ", text_hash long" if by_row else ""
+    base = written(sketched.mapInArrow(_sketch(k), f"id {texts.schema['id'].dataType.simpleString()}, n long, sig binary, keys binary, tokens binary{extra}"), "sketches")
     one = [F.first(c).alias(c) for c in ("n", "keys", "tokens")]
     classes = written(base.where("n > 0 and id is not null").groupBy("sig").agg(*one, F.min("id").alias("id")), "classes")
 
@@ -291,8 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = roots.withColumnRenamed("vertex", "sig").join(classes.select("sig", "id"), "sig")
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = named.join(smallest, "root").select("sig", F.col("component_id").alias("linked_id"))
+    linked = named.join(smallest, "root").select("sig", F.col("component_id").alias("linked_id"), *["root"] * by_row)
     alone = classes.select("sig", F.col("id").alias("own_id"))
-    out = base.select("id", "n", "sig").join(alone, "sig", "left").join(linked, "sig", "left")
+    out = base.select("id", "n", "sig", *["text_hash"] * by_row).join(alone, "sig", "left").join(linked, "sig", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("linked_id", "own_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    rows = ["text_hash", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("root", "sig")).alias("group")] if by_row else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *rows)

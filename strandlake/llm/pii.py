@@ -286,7 +286,7 @@ Score = Callable[[str, int, int], list[float]]
 def scorer(w: np.ndarray) -> Score:
     """Scores by type of a span, from the span and the characters beside it; those of short spans are kept."""
     score = lambda s, lo, hi: (w @ np.array(_features(s, lo, hi))).tolist()
-    kept = lru_cache(maxsize=1 << 15)(score)
+    kept = lru_cache(maxsize=1 << 12)(score)
     return lambda s, lo, hi: (kept if hi - lo <= KEPT_SPAN else score)(s, lo, hi)
 
 
