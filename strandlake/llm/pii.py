@@ -25,8 +25,9 @@ from strandlake.llm.store import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+#: Looked for at the beginning of a run of digits only, and without going back: a match that fails there fails everywhere in the run.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DIGIT = re.compile(r"[0-9]")
@@ -61,7 +62,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
         out["email"] = _emails(text)
     if _DIGIT.search(text):
         if "." in text:
-            out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0])
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -161,56 +162,66 @@ class Lattice:
         self.x = np.array(rows).reshape(-1, N_FEATURES)
 
 
-def _sum(v: np.ndarray) -> float:
-    m = v.max()
-    return m + np.log(np.exp(v - m).sum())
-
-
-def _forward(t: Lattice, score: np.ndarray, move: np.ndarray, ends: list[list[tuple[int, int]]]) -> np.ndarray:
-    """Log sums over all segmentations of the first i atoms whose last segment has type y; type 0 is plain."""
-    alpha = np.full((t.n + 1, len(KINDS) + 1), -1e9)
-    alpha[0, 0] = 0.0
-    for j in range(1, t.n + 1):
-        alpha[j, 0] = _sum(alpha[j - 1] + move[:, 0])
-        if ends[j]:
-            each = np.array([[_sum(alpha[i] + move[:, y + 1]) + score[r, y] for y in range(len(KINDS))] for i, r in ends[j]])
-            alpha[j, 1:] = np.logaddexp.reduce(each, axis=0)
-    return alpha
-
-
-def _loss(t: Lattice, truth: list[tuple[int, int]], w: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Negative log likelihood of the true segments (row, type), and its gradients."""
-    score = t.x @ w.T
-    alpha = _forward(t, score, move, t.ends)
-    total = _sum(alpha[t.n])
-    beta = np.full_like(alpha, -1e9)
-    beta[t.n] = 0.0
-    begins: list[list[tuple[int, int]]] = [[] for _ in range(t.n + 1)]
-    for j, own in enumerate(t.ends):
-        for i, r in own:
-            begins[i].append((j, r))
-    gw, gm = np.zeros_like(w), np.zeros_like(move)
-    for i in range(t.n - 1, -1, -1):
-        ways = [move[:, 0] + beta[i + 1, 0]]
-        gm[:, 0] += np.exp(np.minimum(0, alpha[i] + ways[0] - total))
-        for j, r in begins[i]:
-            for y in range(len(KINDS)):
-                way = move[:, y + 1] + score[r, y] + beta[j, y + 1]
-                p = np.exp(np.minimum(0, alpha[i] + way - total))
-                gm[:, y + 1] += p
-                gw[y] += p.sum() * t.x[r]
-                ways.append(way)
-        beta[i] = np.logaddexp.reduce(ways, axis=0)
-    own = {t_first: (r, y, j) for r, y in truth for j in range(t.n + 1) for t_first, rr in t.ends[j] if rr == r}
-    at, last, gold = 0, 0, 0.0
-    while at < t.n:
-        r, y, j = own.get(at, (-1, -1, at + 1))
-        gold += move[last, y + 1] + (score[r, y] if r >= 0 else 0.0)
-        gm[last, y + 1] -= 1
-        if r >= 0:
-            gw[y] -= t.x[r]
-        at, last = j, y + 1
-    return total - gold, gw, gm
+class Batch:
+    """Lattices side by side, those of fewer atoms filled up with segments of no weight, so that one pass of sums serves them all."""
+
+    def __init__(self, cases: list[tuple[Lattice, list[tuple[int, int]]]]) -> None:
+        self.n = np.array([t.n for t, _ in cases])
+        first = np.cumsum([0, *(len(t.bounds) for t, _ in cases)])
+        self.x = np.vstack([*(t.x for t, _ in cases), np.zeros((1, N_FEATURES))])  # the last row stands for no segment
+        self.row = np.full((len(cases), self.n.max() + 1, MOST_ATOMS), len(self.x) - 1)  # by lattice, last atom and number of atoms
+        self.true_rows, self.true_types, moves = [], [], []
+        for b, (t, truth) in enumerate(cases):
+            begin = {}
+            for j, own in enumerate(t.ends):
+                for i, r in own:
+                    self.row[b, j, j - i - 1] = first[b] + r
+                    begin[r] = i, j
+            self.true_rows += [first[b] + r for r, _ in truth]
+            self.true_types += [y for _, y in truth]
+            at, last = 0, 0
+            for (i, j), y in sorted((begin[r], y + 1) for r, y in truth):
+                moves += [(last, 0)] * (at < i) + [(0, 0)] * (i - at - 1) + [(0 if at < i else last, y)]
+                at, last = j, y
+            moves += [(last, 0)] * (at < t.n) + [(0, 0)] * (t.n - at - 1)
+        self.true_moves = np.zeros((len(KINDS) + 1,) * 2)
+        np.add.at(self.true_moves, tuple(np.array(moves, dtype=int).reshape(-1, 2).T), 1)
+
+    def loss(self, w: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Negative log likelihood of the true segmentations, and its gradients: forward and backward sums over all segmentations."""
+        score, step = self.x @ w.T, np.exp(move)
+        weight = np.exp(score)
+        weight[-1] = 0
+        weights = weight[self.row]  # lattice, last atom, atoms, type
+        size, end = len(self.n), int(self.n.max())
+        into = np.zeros((size, end + 1 + MOST_ATOMS, len(KINDS) + 1))  # sums up to each atom times the move on; MOST_ATOMS places in front
+        alpha = np.zeros((size, end + 1, len(KINDS) + 1))
+        alpha[:, 0, 0] = 1
+        into[:, MOST_ATOMS] = step[0]
+        for j in range(1, end + 1):
+            alpha[:, j, 0] = into[:, MOST_ATOMS + j - 1, 0]
+            alpha[:, j, 1:] = (into[:, j : j + MOST_ATOMS, 1:][:, ::-1] * weights[:, j]).sum(axis=1)
+            into[:, MOST_ATOMS + j] = alpha[:, j] @ step
+        total = alpha[np.arange(size), self.n].sum(axis=1)
+        beta = np.zeros((size, end + 1 + MOST_ATOMS, len(KINDS) + 1))
+        beta[np.arange(size), self.n] = 1 / total[:, None]
+        onward = np.zeros_like(weights)  # of each segment by its first atom: its weight times what follows
+        wide = np.zeros((size, end + 1 + MOST_ATOMS, MOST_ATOMS, len(KINDS)))
+        wide[:, : end + 1] = weights
+        atoms = np.arange(MOST_ATOMS)
+        moved = np.zeros((size, len(KINDS) + 1, len(KINDS) + 1))
+        for i in range(end - 1, -1, -1):
+            onward[:, i] = wide[:, i + 1 + atoms, atoms] * beta[:, i + 1 : i + 1 + MOST_ATOMS, 1:]
+            out = np.concatenate([beta[:, i + 1, :1], onward[:, i].sum(axis=1)], axis=1)
+            moved += alpha[:, i, :, None] * out[:, None, :]
+            beta[:, i] += out @ step.T
+        expected = np.zeros_like(score)
+        for d in range(MOST_ATOMS):
+            ends = np.arange(d + 1, end + 1)
+            expected[self.row[:, ends, d]] = into[:, MOST_ATOMS + ends - d - 1, 1:] * onward[:, ends - d - 1, d]  # no row but the last comes twice
+        expected[self.true_rows, self.true_types] -= 1
+        gold = score[self.true_rows, self.true_types].sum() + (self.true_moves * move).sum()
+        return float(np.log(total).sum() - gold), expected.T @ self.x, moved.sum(axis=0) * step - self.true_moves
 
 
 def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
@@ -257,8 +268,8 @@ def example(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 @lru_cache(maxsize=1)
-def train(examples: int = 500, rounds: int = 16, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by type and moves between types, by AdaGrad on generated zones. The same on every machine."""
+def train(examples: int = 500, rounds: int = 16, seed: int = 17, together: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by type and moves between types, by AdaGrad on generated zones, ``together`` of like length a step. The same on every machine."""
     r = random.Random(seed)
     cases = []
     while len(cases) < examples:
@@ -267,12 +278,15 @@ def train(examples: int = 500, rounds: int = 16, seed: int = 17) -> tuple[np.nda
         row = {b: i for i, b in enumerate(t.bounds)}
         if all((lo, hi) in row for lo, hi, _ in spans):
             cases.append((t, [(row[lo, hi], KINDS.index(k)) for lo, hi, k in spans]))
+    cases.sort(key=lambda c: c[0].n)
+    batches = [Batch(cases[i : i + together]) for i in range(0, examples, together)]
     w, move = np.zeros((len(KINDS), N_FEATURES)), np.zeros((len(KINDS) + 1,) * 2)
     sw, sm = np.full_like(w, 1e-6), np.full_like(move, 1e-6)
     for _ in range(rounds):
-        for t, truth in cases:
-            _, gw, gm = _loss(t, truth, w, move)
-            gw, gm = gw + 1e-3 * w, gm + 1e-3 * move
+        r.shuffle(batches)
+        for batch in batches:
+            _, gw, gm = batch.loss(w, move)
+            gw, gm = gw / len(batch.n) + 1e-3 * w, gm / len(batch.n) + 1e-3 * move
             sw += gw**2
             sm += gm**2
             w -= 0.5 * gw / np.sqrt(sw)

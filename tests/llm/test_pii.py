@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -71,7 +73,7 @@ def test_best_segmentation_by_brute_force():
 
 
 def test_rows(spark):
-    long = "x1 " * 100_000 + "a@b.co " + "9" * 50_000 + " " + "1 " * 20_000 + "@" * 5000
+    long = "x1 " * 100_000 + "a@b.co 1.2.3.4 " + "9" * 20_000 + " " + "1 " * 20_000 + "@" * 5000
     rows = [(1, None), (2, ""), (3, "mail hein.19@mail5.example.com or +1 (743) 555-3824!"), (4, "4465758382889437 4465758382889437"), (5, long), (None, "233.233.171.252!! é 1.2.3.4"), (3, "clean text, no digits"), (6, "on 2024-05-06 at 10:20:30 v1.2.3")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as base", "2 as spans")
     got = pii.personal_data(df).collect()
@@ -88,6 +90,63 @@ def test_rows(spark):
     assert pii.personal_data(df.limit(0)).collect() == []
 
 
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for text in ("." + "9" * 1_000_000, "1." * 500_000, "1." + "0" * 6000 + "7.2.3", "+1" + "(" * 1_000_000, "a@" * 300_000, "a" * 1_000_000 + "@b", "1 " * 500_000):
+        assert isinstance(pii.base_spans(text), dict)
+    assert time.time() - began < 60
+    assert pii.base_spans("1." + "0" * 6000 + "7.2.3")["ip"] == [(0, 6007)]
+
+
+def test_gradients_equal_sums_over_all_segmentations():
+    r, rng = random.Random(8), np.random.default_rng(8)
+    w, move = rng.normal(0, 0.3, (len(pii.KINDS), pii.N_FEATURES)), rng.normal(0, 0.3, (5, 5))
+    cases = []
+    while len(cases) < 5:
+        zone, spans = pii.example(r)
+        t = pii.Lattice(zone)
+        row = {b: i for i, b in enumerate(t.bounds)}
+        if t.n <= 5 and all((a, b) in row for a, b, _ in spans):
+            cases.append((t, [(row[a, b], pii.KINDS.index(k)) for a, b, k in spans]))
+
+    def ways(t, at, last):
+        """(score, feature sums, moves) of every segmentation of the atoms from ``at`` on."""
+        if at == t.n:
+            yield 0.0, np.zeros_like(w), np.zeros_like(move)
+            return
+        for j in range(at + 1, t.n + 1):
+            for i, r_, y in [(at, None, 0)] * (j == at + 1) + [(i, r_, y + 1) for i, r_ in t.ends[j] if i == at for y in range(4)]:
+                for s, fs, ms in ways(t, j, y):
+                    fs, ms = fs.copy(), ms.copy()
+                    ms[last, y] += 1
+                    if y:
+                        fs[y - 1] += t.x[r_]
+                    yield s + move[last, y] + (t.x[r_] @ w[y - 1] if y else 0.0), fs, ms
+
+    loss, gw, gm = 0.0, np.zeros_like(w), np.zeros_like(move)
+    for t, truth in cases:
+        begin = {r_: (i, j) for j, own in enumerate(t.ends) for i, r_ in own}
+        every = list(ways(t, 0, 0))
+        p = np.exp([s for s, *_ in every])
+        gw += sum(q * fs for q, (_, fs, _) in zip(p, every, strict=True)) / p.sum()
+        gm += sum(q * ms for q, (_, _, ms) in zip(p, every, strict=True)) / p.sum()
+        at, last, gold = 0, 0, 0.0
+        for (i, j), r_, y in sorted((begin[r_], r_, y + 1) for r_, y in truth):
+            for k, step in [(0, 1)] * (i - at) + [(y, j - i)]:
+                gold += move[last, k]
+                gm[last, k] -= 1
+                at, last = at + step, k
+            gold += t.x[r_] @ w[y - 1]
+            gw[y - 1] -= t.x[r_]
+        for _ in range(t.n - at):
+            gold += move[last, 0]
+            gm[last, 0] -= 1
+            last = 0
+        loss += np.log(p.sum()) - gold
+    got = pii.Batch(cases).loss(w, move)
+    assert abs(got[0] - loss) < 1e-8 and np.allclose(got[1], gw) and np.allclose(got[2], gm)
+
+
 def test_entities_in_running_text(spark):
     r = random.Random(2024)
     words = lambda: " ".join(r.choice("the cat said that we met at noon and then wrote to our office".split()) for _ in range(r.randint(1, 9)))
