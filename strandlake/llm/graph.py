@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.store import written
+from strandlake.llm.store import delete, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,11 +28,13 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             hop = to.select(F.col("u").alias("root"), F.col("p").alias("next"))
             chains = chains.join(hop, "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
-        chains = written(chains, "chains")
+        before, chains = chains, written(chains, "chains")
         pa, pb = to.select(F.col("u").alias("a"), F.col("p").alias("pa")), to.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         moved = left.join(pa, "a").join(pb, "b").where("pa <> pb")
-        left = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        old, left = left, written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        delete(old, to, before)
         turn += 1
+    delete(left)
     if chains is None:
         kind = edges.schema["a"].dataType
         return edges.sparkSession.createDataFrame([], "vertex int, root int").select(F.col("vertex").cast("string").cast(kind), F.col("root").cast("string").cast(kind))

@@ -1,17 +1,18 @@
 """Near-duplicate documents by a chosen-path set similarity join over word shingles.
 
-Every distinct shingle set walks a few independent random trees. At each node the path so far
-names two of the set's minwise tokens, and the set goes down the branch of each token's value, so
-sets in one node choose the same tokens and two sets with Jaccard similarity s stay together in
-each branch with probability s. Nodes of the last level are small: all pairs of a node are compared,
-first by their minwise signatures, then by their full sets.
-
-With two branches a level and three levels, a pair at s = 0.8 shares a node of one tree with
-probability 0.94, and of at least one of ``TREES`` = 4 trees with probability 0.99999 (nearer pairs more).
-
-Equal sets are one class from the start, whatever the number of copies. A pair is compared in the first
-node that it shares only. Nodes of more than ``TILE`` sets are cut into tiles compared by separate
-tasks. No task returns pairs: each returns a spanning forest of the links that it found.
+Every distinct shingle set walks a few independent random trees. A node names two of a set's minwise tokens, by a hash of the path
+so far, and the set goes down the branch of each token's value, so two sets of Jaccard similarity s stay together in each branch
+with probability s. Nodes of at most ``SMALL`` sets branch no further: all their pairs are compared, first by their minwise
+signatures, then by their full sets. Larger ones branch on, but for those that kept more than half of their parent's sets:
+these are near copies, which branching would not divide.
+
+With two branches at each node, whatever the depth, a pair at s = 0.8 shares a last node of one tree with probability
+0.9375 or more, and of at least one of ``TREES`` = 4 trees with probability 0.99998 or more (nearer pairs more).
+
+Equal sets are one class from the start, whatever the number of copies. A pair is compared in the first last node that it shares only. In
+a node of more than ``TILE`` sets all are first compared with one of them: those linked with it are connected and need no comparing among themselves,
+and only what the others have with all sets is cut into tiles for separate tasks. So a group of near copies costs its size and not its
+square. No task returns pairs: each returns a spanning forest of the links that it found.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import kernel
 from strandlake.llm.graph import components
-from strandlake.llm.store import small_batches, written
+from strandlake.llm.store import delete, small_batches, written
 
-TREES, LEVELS, TOKENS = 4, 3, 64
+TREES, TOKENS = 4, 64
+#: Sets up to which a node is compared whole; levels after which every node is.
+SMALL, LEVELS = 128, 10
 #: Sets on each side of a tile, and shingles of a tile's side.
 TILE, TILE_SHINGLES = 1024, 4_000_000
 #: Pairs whose signatures agree in fewer tokens than four standard deviations below the threshold are not verified.
@@ -36,7 +39,6 @@ SLACK = 4.0
 _rng = np.random.Generator(np.random.PCG64(8))
 _XOR = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROOT = kernel.mix(np.arange(1, TREES + 1, dtype=np.uint64))
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -54,17 +56,13 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return kernel.mix(out)
 
 
-def paths(tokens: np.ndarray) -> np.ndarray:
-    """Last-level nodes of each set: TREES * 2**LEVELS keys."""
-    rows = np.arange(len(tokens))[:, None]
-    path = np.repeat(_ROOT[None, :], len(tokens), axis=0)
-    for _ in range(LEVELS):
-        both = []
-        for branch in (1, 2):
-            chosen = kernel.mix(path + np.uint64(branch)) % np.uint64(TOKENS)
-            both.append(kernel.mix(path * np.uint64(0x9E3779B97F4A7C15) + tokens[rows, chosen.astype(np.int64)] + np.uint64(branch)))
-        path = np.concatenate(both, axis=1)
-    return path
+def branches(tokens: np.ndarray, path: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two nodes below each set's node, as two rows of path keys, and their slots (a node's number in its binary tree)."""
+    rows, keys = np.arange(len(tokens)), []
+    for branch in (1, 2):
+        chosen = (kernel.mix(path + np.uint64(branch)) % np.uint64(TOKENS)).astype(np.int64)
+        keys.append(kernel.mix(path * np.uint64(0x9E3779B97F4A7C15) + tokens[rows, chosen] + np.uint64(branch)))
+    return np.stack(keys), np.stack([2 * slot, 2 * slot + 1])
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -93,20 +91,34 @@ def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets, at = kernel.shingle_sets(kernel.words(b.column(1), kernel.NOT_SPACE), k)
-            tokens = signatures(sets, at)
-            made = [b.column(0), pa.array(np.diff(at)), _marks(sets, at), _binary(paths(tokens)), _binary(tokens.astype(np.uint16))]
-            yield pa.RecordBatch.from_arrays([*made, *b.columns[2:]], ["id", "n", "sig", "keys", "tokens", *b.schema.names[2:]])
+            made = [b.column(0), pa.array(np.diff(at)), _marks(sets, at), _binary(signatures(sets, at).astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([*made, *b.columns[2:]], ["id", "n", "sig", "tokens", *b.schema.names[2:]])
 
     return run
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = TREES << LEVELS
-    for b in batches:
-        if b.num_rows:
-            row = pa.array(np.repeat(np.arange(b.num_rows), width))
-            keys = _matrix(b.column(2), np.int64, width).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(width, dtype=np.int32), b.num_rows)), b.column(0).take(row), b.column(1).take(row)], ["key", "place", "sig", "n"])
+_NODE = "key long, slot int, parent long, sig binary, n long"
+
+
+def _nodes(first: bool):
+    """Rows (key, slot, parent, sig, n) of the nodes below the roots, from (sig, n, tokens, m), or below those of (sig, n, tokens, m, key, slot)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tokens = _matrix(b.column("tokens"), np.uint32, TOKENS).astype(np.uint64)
+            if first:
+                above = [(np.full(b.num_rows, kernel.mix(np.array([t + 1], np.uint64))[0]), np.full(b.num_rows, TREES + t, np.int32)) for t in range(TREES)]
+            else:
+                above = [(b.column("key").to_numpy().view(np.uint64), b.column("slot").to_numpy())]
+            for path, slot in above:
+                keys, slots = branches(tokens, path, slot)
+                row = pa.array(np.tile(np.arange(b.num_rows), 2))
+                cols = [pa.array(keys.ravel().view(np.int64)), pa.array(slots.ravel()), *(b.column(c).take(row) for c in ("m", "sig", "n"))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "slot", "parent", "sig", "n"])
+
+    return run
 
 
 def _sets(k: int):
@@ -150,8 +162,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         yield t, np.append(cuts(t), t.num_rows)
 
 
-def _pairs_of(at: np.ndarray, side: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (a < b) within each group; in a tile of two chunks (sides 0 and 1), only across. Some ``most`` pairs at a time."""
+def _pairs_of(at: np.ndarray, side: np.ndarray, label: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (a < b) of different labels within each group; in a tile of two sides (0 and 1), only across. Some ``most`` pairs at a time,
+    by the labels as they are when a part is asked for."""
     size = np.diff(at)
     last = np.repeat(at[1:], size)  # of each row, the end of its group
     left = last - np.arange(at[0], at[-1]) - 1
@@ -162,40 +175,66 @@ def _pairs_of(at: np.ndarray, side: np.ndarray, most: int = 400_000) -> Iterator
         c = left[i:j]
         a = np.repeat(np.arange(i, j), c)
         b = a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - total[i], c)
-        ok = (side[a] != side[b]) | (side[a] == 2)
+        ok = ((side[a] != side[b]) | (side[a] == 2)) & (label[a] != label[b])
         if ok.any():
             yield a[ok], b[ok]
         i = j
 
 
-def candidates(t: pa.Table, at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs to verify: sizes and signatures allow the threshold, and this is the first node that both sets are in."""
-    s = percent / 100
-    least = max(0.0, s - SLACK * np.sqrt(s * (1 - s) / TOKENS)) * TOKENS
-    n, place = t["n"].to_numpy(), t["place"].to_numpy()
-    tokens, keys = _matrix(t["tokens"], np.uint16, TOKENS), _matrix(t["keys"], np.int64, TREES << LEVELS)
-    for a, b in _pairs_of(at, t["side"].to_numpy()):
-        ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        a, b = a[ok], b[ok]
-        kept = []
-        for lo in range(0, len(a), 50_000):
-            x, y = a[lo : lo + 50_000], b[lo : lo + 50_000]
-            ok = (tokens[x] == tokens[y]).sum(axis=1) >= least
-            x, y = x[ok], y[ok]
-            ok = (keys[x] == keys[y]).argmax(axis=1) == place[x]
-            kept.append((x[ok], y[ok]))
-        if kept and any(len(x) for x, _ in kept):
-            yield np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
+class _Nodes:
+    """Rows of whole nodes or tiles, and which of their pairs are to be verified."""
+
+    def __init__(self, t: pa.Table, at: np.ndarray, percent: int) -> None:
+        s = percent / 100
+        self.least = max(0.0, s - SLACK * np.sqrt(s * (1 - s) / TOKENS)) * TOKENS
+        self.percent, self.at, self.side = percent, at, t["side"].to_numpy()
+        self.n, self.slot, self.rows = t["n"].to_numpy(), t["slot"].to_numpy(), t.num_rows
+        self.tokens = _matrix(t["tokens"], np.uint32, TOKENS)
+        self.same = t["sig"].combine_chunks().dictionary_encode().indices.to_numpy()
+        slots, keys = (t[c].combine_chunks() for c in ("slots", "keys"))
+        count = np.diff(slots.offsets.to_numpy())
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        row, width = np.repeat(np.arange(self.rows), count), int(count.max(initial=0))
+        self.slots, self.keys = np.full((self.rows, width), 1 << 30, np.int32), np.zeros((self.rows, width), np.int64)
+        self.slots[row, place], self.keys[row, place] = slots.flatten().to_numpy(), keys.flatten().to_numpy()
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sizes and signatures allow the threshold."""
+        ok = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
+        some = np.flatnonzero(ok)
+        for lo in range(0, len(some), 50_000):
+            i = some[lo : lo + 50_000]
+            ok[i] = (self.tokens[a[i]] == self.tokens[b[i]]).sum(axis=1) >= self.least
+        return ok
+
+    def first(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no last node of a smaller slot holds both sets."""
+        ok = self.same[a] != self.same[b]
+        for c in range(self.slots.shape[1]):
+            i = np.flatnonzero(ok & (self.slots[a, c] < self.slot[a]))
+            if len(i):
+                ok[i[(self.keys[b[i]] == self.keys[a[i], c][:, None]).any(axis=1)]] = False
+        return ok
+
+    def candidates(self, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in _pairs_of(self.at, self.side, label):
+            ok = self.likely(a, b)
+            a, b = a[ok], b[ok]
+            ok = self.first(a, b)
+            if ok.any():
+                yield a[ok], b[ok]
 
 
 def _active(percent: int):
+    """Rows that have a pair to verify."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["key", "tile"]):
-            on = np.zeros(t.num_rows, dtype=bool)
-            for a, b in candidates(t, at, percent):
-                on[a] = on[b] = True
-            if on.any():
-                yield from t.filter(pa.array(on)).combine_chunks().to_batches()
+            label = np.arange(1, t.num_rows + 1)  # 0 for those known to have one: pairs of two such say nothing new
+            for a, b in _Nodes(t, at, percent).candidates(label):
+                label[a] = label[b] = 0
+            if not label.all():
+                yield from t.filter(pa.array(label == 0)).combine_chunks().to_batches()
 
     return run
 
@@ -222,6 +261,14 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return total[where[: len(a)], where[len(a) :]].astype(np.int64)
 
 
+def _overlaps_with(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others that aren't empty."""
+    every = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    begin = np.cumsum([0, *map(len, others)])[:-1]
+    return np.add.reduceat((one[place] == every).astype(np.int64), begin)
+
+
 class _Forest:
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -238,27 +285,86 @@ class _Forest:
         return x != y
 
 
+#: Sets of a part whose pairs are verified one set after the other, before the rest is at once.
+PIVOTS = 8
+
+
+def verified(sets: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int, forest: _Forest) -> Iterator[tuple[int, int]]:
+    """Pairs of (a, b) that are linked and join something. The set of most pairs goes first, as pairs that it connects need no verifying."""
+    for _ in range(PIVOTS):
+        if len(a) < 16:
+            break
+        pivot = int(np.bincount(np.concatenate([a, b])).argmax())
+        own = (a == pivot) | (b == pivot)
+        others = np.where(a[own] == pivot, b[own], a[own])
+        both = _overlaps_with(sets[pivot], [sets[i] for i in others.tolist()])
+        for x in others[100 * both >= percent * (n[pivot] + n[others] - both)].tolist():
+            if forest.join(pivot, x):
+                yield pivot, x
+        a, b = a[~own], b[~own]
+        apart = np.array([forest.top(x) != forest.top(y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+        a, b = a[apart], b[apart]
+    if len(a):
+        both = _overlaps(sets, a, b)
+        ok = 100 * both >= percent * (n[a] + n[b] - both)
+        yield from (p for p in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if forest.join(*p))
+
+
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["key", "tile"], 4000):
-            n, sig = t["n"].to_numpy(), t["sig"]
-            raw = t["shingles"].to_pylist()
+            nodes, sets = _Nodes(t, at, percent), [np.frombuffer(r, dtype=np.uint64) for r in t["shingles"].to_pylist()]
             forest, found = _Forest(), []
-            group = np.searchsorted(at, np.arange(t.num_rows), "right")
-            for a, b in candidates(t, at, percent):
+            group, label = np.searchsorted(at, np.arange(t.num_rows), "right"), np.arange(t.num_rows)
+            for a, b in nodes.candidates(label):
+                before = len(found)
                 for cut in np.split(np.arange(len(a)), np.flatnonzero(np.diff(group[a])) + 1):
-                    x, y = a[cut], b[cut]
-                    lo = int(min(x.min(), y.min()))
-                    sets = [np.frombuffer(r, dtype=np.uint64) for r in raw[lo : int(max(x.max(), y.max())) + 1]]
-                    both = _overlaps(sets, x - lo, y - lo)
-                    ok = 100 * both >= percent * (n[x] + n[y] - both)
-                    found += [p for p in zip(x[ok].tolist(), y[ok].tolist(), strict=True) if forest.join(*p)]
+                    found += verified(sets, nodes.n, a[cut], b[cut], percent, forest)
+                if len(found) > before:
+                    label[:] = [forest.top(i) for i in range(t.num_rows)]
             if found:
-                yield pa.RecordBatch.from_arrays([sig.take(pa.array([p[i] for p in found])).combine_chunks() for i in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([t["sig"].take(pa.array([p[i] for p in found])).combine_chunks() for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _stars(percent: int):
+    """Of groups (key, tile) whose first row is the node's representative: the rows linked with it, and itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, ["key", "tile"], 4000):
+            n, sig = t["n"].to_numpy(), t["sig"].combine_chunks()
+            rep, linked = np.repeat(at[:-1], np.diff(at)), np.zeros(t.num_rows, dtype=bool)
+            sets = [np.frombuffer(r, dtype=np.uint64) for r in t["shingles"].to_pylist()]
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                both = _overlaps_with(sets[lo], sets[lo:hi])
+                linked[lo:hi] = 100 * both >= percent * (n[lo] + n[lo:hi] - both)
+            on = pa.array(np.flatnonzero(linked))
+            yield pa.RecordBatch.from_arrays([t["key"].combine_chunks().take(on), sig.take(pa.array(rep[linked])), sig.take(on)], ["key", "rep", "sig"])
 
     return run
 
 
+def _last_nodes(classes: DataFrame) -> DataFrame:
+    """(key, slot, sig, n, m, shingles, least) of all sets in nodes that don't branch, but for those alone in theirs: the node's sets, their shingles
+    and the first of their signatures."""
+    held = ["sig", "n", "tokens", "m"]
+    rows, first, last = classes.withColumn("m", F.lit(classes.count()).cast("long")).select(*held), True, None
+    for level in range(LEVELS):
+        own = written(rows.mapInArrow(_nodes(first), _NODE), "nodes")
+        crowded = own.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("sig").alias("least")).where("m > 1")
+        placed = written(own.join(crowded, "key"), "crowded")
+        delete(own)
+        on = (F.col("m") > SMALL) & (2 * F.col("m") <= F.col("parent")) & F.lit(level + 1 < LEVELS)
+        done = placed.where(~on).drop("parent")
+        last = done if last is None else last.unionByName(done)
+        big = placed.where(on)
+        if big.isEmpty():
+            break
+        rows, first = big.select("key", "slot", "sig", "m").join(classes.select("sig", "n", "tokens"), "sig").select(*held, "key", "slot"), False
+    return last
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, by_row: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links) and kept.
 
@@ -274,24 +380,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = texts.withColumn("text_hash", F.xxhash64("text")) if by_row else texts
     extra = ", text_hash long" if by_row else ""
-    base = written(sketched.mapInArrow(_sketch(k), f"id {texts.schema['id'].dataType.simpleString()}, n long, sig binary, keys binary, tokens binary{extra}"), "sketches")
-    one = [F.first(c).alias(c) for c in ("n", "keys", "tokens")]
+    base = written(sketched.mapInArrow(_sketch(k), f"id {texts.schema['id'].dataType.simpleString()}, n long, sig binary, tokens binary{extra}"), "sketches")
+    one = [F.first(c).alias(c) for c in ("n", "tokens")]
     classes = written(base.where("n > 0 and id is not null").groupBy("sig").agg(*one, F.min("id").alias("id")), "classes")
 
-    nodes = written(classes.select("sig", "n", "keys").mapInArrow(_nodes, "key long, place int, sig binary, n long"), "paths")
-    crowded = nodes.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where("m > 1")
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """Column ``shingles`` of rows with a sig."""
+        wanted = rows.select("sig").distinct().join(classes.select("sig", "id"), "sig").select("id").distinct()
+        sets = texts.join(wanted, "id").select("id", "text").mapInArrow(_sets(k), "sig binary, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
+        return rows.join(sets, "sig").select(*rows.columns, "shingles")
+
+    nodes = written(_last_nodes(classes), "last-nodes")
+    slots = nodes.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("slot", "key"))).alias("own"))  # a set's own nodes: some tens at most
+    about = classes.select("sig", "tokens").join(slots, "sig").select("sig", "tokens", F.col("own.slot").alias("slots"), F.col("own.key").alias("keys"))
     chunks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    tiles = nodes.drop("n").join(crowded.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.expr("cast(pmod(xxhash64(sig, key), chunks) as int)"))
-    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    tiles = tiles.select("key", (low * F.col("chunks") + high).alias("tile"), "place", F.when(low == high, 2).when(F.col("chunk") == low, 0).otherwise(1).alias("side"), "sig")
-    marked = tiles.join(classes.select("sig", "n", "tokens", "keys"), "sig").select("key", "tile", "place", "side", "sig", "n", "tokens", "keys")
+    chunk = lambda of, salt: F.pmod(F.xxhash64("sig", "key", F.lit(salt)), of).cast("int")
+    small, large = nodes.where(chunks == 1), nodes.where(chunks > 1).withColumn("chunks", chunks)
+
+    # Large nodes: who is linked with the first of them, and then the others (side 0) with all (side 1).
+    one_of = large.where(F.col("sig") == F.col("least")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = large.withColumn("tile", chunk(F.col("chunks"), 0)).where(F.col("sig") != F.col("least")).unionByName(one_of).withColumn("own", F.col("sig") != F.col("least"))
+    against = with_sets(dealt.select("key", "tile", "own", "sig", "n")).repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "sig")
+    stars = written(against.mapInArrow(_stars(percent), "key long, rep binary, sig binary"), "stars")
+    others = large.join(stars.select("key", "sig"), ["key", "sig"], "left_anti")
+    left = others.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("left"))
+    tile = lambda i, j: (F.col(i).cast("long") * F.col("chunks") + F.col(j)).alias("tile")
+    zero = others.join(left, "key").withColumns({"i": chunk(F.col("left"), 1), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)})
+    one = large.join(left, "key").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("left") - 1)), "j": chunk(F.col("chunks"), 0), "side": F.lit(1)})
+    whole = small.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(2), "chunks": F.lit(1)})
+    tiles = whole.select("key", tile("i", "j"), "slot", "side", "sig", "n")
+    for part in (zero, one):
+        tiles = tiles.unionByName(part.select("key", tile("i", "j"), "slot", "side", "sig", "n"))
+    marked = tiles.join(about, "sig").select("key", "tile", "slot", "side", "sig", "n", "tokens", "slots", "keys")
     active = written(marked.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "sig").mapInArrow(_active(percent), marked.schema), "active")
 
-    wanted = active.select("sig").distinct().join(classes.select("sig", "id"), "sig").select("id").distinct()
-    sets = texts.join(wanted, "id").select("id", "text").mapInArrow(_sets(k), "sig binary, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
-    verify = active.join(sets, "sig").select(*active.columns, "shingles").repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "sig")
-    roots = components(verify.mapInArrow(_links(percent), "a binary, b binary"))
+    verify = with_sets(active).repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "sig")
+    roots = components(verify.mapInArrow(_links(percent), "a binary, b binary").unionByName(stars.select(F.col("rep").alias("a"), F.col("sig").alias("b"))))
+    delete(nodes, stars, active)
 
     named = roots.withColumnRenamed("vertex", "sig").join(classes.select("sig", "id"), "sig")
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))

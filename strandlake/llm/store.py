@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,25 +17,60 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local one is made only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The session's ``spark.checkpoint.dir``. Where it is unset a local folder is made, but only for a local master: executors elsewhere could not read it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Folders that tables go to at present; the last one counts.
+_folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+    folder = _folders.get()[-1] if _folders.get() else f"{shared_dir(spark)}/strandlake"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here and survives lost executors."""
     path = path or table_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where tables that are still in use lie.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def delete(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that no later job reads."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            _remove(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go to a folder of their own, which goes at the end: have all that is to stay written to a path outside."""
+    at = table_path(spark, "scratch")
+    token = _folders.set((*_folders.get(), at))
+    try:
+        yield
+    finally:
+        _folders.reset(token)
+        _remove(spark, at)
 
 
 def small_batches(spark: SparkSession) -> None:
