@@ -10,9 +10,9 @@ With two branches at each node, whatever the depth, a pair at s = 0.8 shares a l
 0.9375 or more, and of at least one of ``TREES`` = 4 trees with probability 0.99998 or more (nearer pairs more).
 
 Equal sets are one class from the start, whatever the number of copies. A pair is compared in the first last node that it shares only. In
-a node of more than ``TILE`` sets all are first compared with one of them: those linked with it are connected and need no comparing among themselves,
-and only what the others have with all sets is cut into tiles for separate tasks. So a group of near copies costs its size and not its
-square. No task returns pairs: each returns a spanning forest of the links that it found.
+a node of more than ``TILE`` sets all are first compared with a few of them: sets that these connect need no comparing among themselves,
+and only what the others have with all sets is cut into tiles for separate tasks. So a group of near copies costs little more than its size,
+and not its square. No task returns pairs: each returns a spanning forest of the links that it found.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ from strandlake.llm.store import delete, small_batches, written
 
 TREES, TOKENS = 4, 64
 #: Sets up to which a node is compared whole; levels after which every node is.
-SMALL, LEVELS = 128, 10
+SMALL, LEVELS = 16, 10
 #: Sets on each side of a tile, and shingles of a tile's side.
 TILE, TILE_SHINGLES = 1024, 4_000_000
+#: Sets of a large node that all of its sets are compared with at first.
+STARS = 8
 #: Pairs whose signatures agree in fewer tokens than four standard deviations below the threshold are not verified.
 SLACK = 4.0
 
@@ -329,30 +331,50 @@ def _links(percent: int):
 
 
 def _stars(percent: int):
-    """Of groups (key, tile) whose first row is the node's representative: the rows linked with it, and itself."""
+    """Of groups (key, tile) that begin with the sets to compare with (``own`` is false): each link of one of these with another row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["key", "tile"], 4000):
-            n, sig = t["n"].to_numpy(), t["sig"].combine_chunks()
-            rep, linked = np.repeat(at[:-1], np.diff(at)), np.zeros(t.num_rows, dtype=bool)
+            n, own, sig = t["n"].to_numpy(), t["own"].to_numpy(), t["sig"].combine_chunks()
             sets = [np.frombuffer(r, dtype=np.uint64) for r in t["shingles"].to_pylist()]
+            stars, rows = [], []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                both = _overlaps_with(sets[lo], sets[lo:hi])
-                linked[lo:hi] = 100 * both >= percent * (n[lo] + n[lo:hi] - both)
-            on = pa.array(np.flatnonzero(linked))
-            yield pa.RecordBatch.from_arrays([t["key"].combine_chunks().take(on), sig.take(pa.array(rep[linked])), sig.take(on)], ["key", "rep", "sig"])
+                mid = lo + int((~own[lo:hi]).sum())
+                for i in range(lo, mid if mid < hi else lo):
+                    both = _overlaps_with(sets[i], sets[mid:hi])
+                    linked = mid + np.flatnonzero(100 * both >= percent * (n[i] + n[mid:hi] - both))
+                    stars.append(np.full(len(linked), i))
+                    rows.append(linked)
+            if rows:
+                i, j = pa.array(np.concatenate(stars)), pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([t["key"].combine_chunks().take(j), t["star"].combine_chunks().take(i), sig.take(i), sig.take(j)], ["key", "star", "rep", "sig"])
 
     return run
 
 
+def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node's sets of stars that rows are linked with, and how many rows: the stars that are connected and have most rows."""
+    for b in batches:
+        main = []
+        for found in b.column("found").to_pylist():
+            groups: list[list[int]] = []  # stars that are connected, and their rows
+            for x in found:
+                own = [x["mask"], x["n"]]
+                for g in [g for g in groups if g[0] & own[0]]:
+                    groups.remove(g)
+                    own = [own[0] | g[0], own[1] + g[1]]
+                groups.append(own)
+            main.append(max(groups, key=lambda g: (g[1], g[0]))[0])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(main, pa.int64())], ["key", "main"])
+
+
 def _last_nodes(classes: DataFrame) -> DataFrame:
-    """(key, slot, sig, n, m, shingles, least) of all sets in nodes that don't branch, but for those alone in theirs: the node's sets, their shingles
-    and the first of their signatures."""
+    """(key, slot, sig, n, m, shingles) of all sets in nodes that don't branch, but for those alone in theirs: the node's sets and their shingles."""
     held = ["sig", "n", "tokens", "m"]
     rows, first, last = classes.withColumn("m", F.lit(classes.count()).cast("long")).select(*held), True, None
     for level in range(LEVELS):
         own = written(rows.mapInArrow(_nodes(first), _NODE), "nodes")
-        crowded = own.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("sig").alias("least")).where("m > 1")
+        crowded = own.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where("m > 1")
         placed = written(own.join(crowded, "key"), "crowded")
         delete(own)
         on = (F.col("m") > SMALL) & (2 * F.col("m") <= F.col("parent")) & F.lit(level + 1 < LEVELS)
@@ -386,7 +408,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def with_sets(rows: DataFrame) -> DataFrame:
         """Column ``shingles`` of rows with a sig."""
-        wanted = rows.select("sig").distinct().join(classes.select("sig", "id"), "sig").select("id").distinct()
+        wanted = written(rows.select("sig").distinct().join(classes.select("sig", "id"), "sig").select("id").distinct(), "wanted")  # of a known size
         sets = texts.join(wanted, "id").select("id", "text").mapInArrow(_sets(k), "sig binary, shingles binary").groupBy("sig").agg(F.first("shingles").alias("shingles"))
         return rows.join(sets, "sig").select(*rows.columns, "shingles")
 
@@ -397,12 +419,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunk = lambda of, salt: F.pmod(F.xxhash64("sig", "key", F.lit(salt)), of).cast("int")
     small, large = nodes.where(chunks == 1), nodes.where(chunks > 1).withColumn("chunks", chunks)
 
-    # Large nodes: who is linked with the first of them, and then the others (side 0) with all (side 1).
-    one_of = large.where(F.col("sig") == F.col("least")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = large.withColumn("tile", chunk(F.col("chunks"), 0)).where(F.col("sig") != F.col("least")).unionByName(one_of).withColumn("own", F.col("sig") != F.col("least"))
-    against = with_sets(dealt.select("key", "tile", "own", "sig", "n")).repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "sig")
-    stars = written(against.mapInArrow(_stars(percent), "key long, rep binary, sig binary"), "stars")
-    others = large.join(stars.select("key", "sig"), ["key", "sig"], "left_anti")
+    # Large nodes: who is connected by some of them, and then the others (side 0) with all (side 1).
+    star = F.pmod(F.xxhash64("sig"), F.lit(STARS)).cast("int").alias("star")
+    some = large.groupBy("key", star).agg(F.min("sig").alias("sig"))
+    some = large.join(some, ["key", "sig"]).withColumns({"tile": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "own": F.lit(False)})
+    dealt = large.withColumns({"star": F.lit(0), "tile": chunk(F.col("chunks"), 0), "own": F.lit(True)}).unionByName(some).select("key", "tile", "own", "star", "sig", "n")
+    against = with_sets(dealt).repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "star")
+    stars = written(against.mapInArrow(_stars(percent), "key long, star int, rep binary, sig binary"), "stars")
+    masks = stars.groupBy("key", "sig").agg(F.sum(F.expr("shiftleft(1L, star)")).alias("mask"))
+    found = masks.groupBy("key", "mask").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("mask", "n")).alias("found"))  # 2**STARS a node at most
+    main = found.mapInArrow(_main, "key long, main long")
+    connected = masks.join(main, "key").where(F.col("mask").bitwiseAND(F.col("main")) != 0)
+    others = large.join(connected.select("key", "sig"), ["key", "sig"], "left_anti")
     left = others.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("left"))
     tile = lambda i, j: (F.col(i).cast("long") * F.col("chunks") + F.col(j)).alias("tile")
     zero = others.join(left, "key").withColumns({"i": chunk(F.col("left"), 1), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)})

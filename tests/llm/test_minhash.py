@@ -49,7 +49,7 @@ def case():
 
 
 #: Sizes of the program as it is, and so small that nodes branch, stop and are cut into tiles on a few rows.
-@pytest.mark.parametrize("sizes", [{}, {"SMALL": 2, "TILE": 4, "PIVOTS": 1}, {"SMALL": 1, "TILE": 1 << 20, "TILE_SHINGLES": 300, "LEVELS": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"SMALL": 2, "TILE": 4, "PIVOTS": 1, "STARS": 2}, {"SMALL": 1, "TILE": 1 << 20, "TILE_SHINGLES": 300, "LEVELS": 2}])
 def test_equals_brute_force(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(minhash, name, value)
