@@ -419,32 +419,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunk = lambda of, salt: F.pmod(F.xxhash64("sig", "key", F.lit(salt)), of).cast("int")
     small, large = nodes.where(chunks == 1), nodes.where(chunks > 1).withColumn("chunks", chunks)
 
-    # Large nodes: who is connected by some of them, and then the others (side 0) with all (side 1).
-    star = F.pmod(F.xxhash64("sig"), F.lit(STARS)).cast("int").alias("star")
-    some = large.groupBy("key", star).agg(F.min("sig").alias("sig"))
-    some = large.join(some, ["key", "sig"]).withColumns({"tile": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "own": F.lit(False)})
-    dealt = large.withColumns({"star": F.lit(0), "tile": chunk(F.col("chunks"), 0), "own": F.lit(True)}).unionByName(some).select("key", "tile", "own", "star", "sig", "n")
-    against = with_sets(dealt).repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "star")
-    stars = written(against.mapInArrow(_stars(percent), "key long, star int, rep binary, sig binary"), "stars")
-    masks = stars.groupBy("key", "sig").agg(F.sum(F.expr("shiftleft(1L, star)")).alias("mask"))
-    found = masks.groupBy("key", "mask").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("mask", "n")).alias("found"))  # 2**STARS a node at most
-    main = found.mapInArrow(_main, "key long, main long")
-    connected = masks.join(main, "key").where(F.col("mask").bitwiseAND(F.col("main")) != 0)
-    others = large.join(connected.select("key", "sig"), ["key", "sig"], "left_anti")
-    left = others.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("left"))
     tile = lambda i, j: (F.col(i).cast("long") * F.col("chunks") + F.col(j)).alias("tile")
-    zero = others.join(left, "key").withColumns({"i": chunk(F.col("left"), 1), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)})
-    one = large.join(left, "key").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("left") - 1)), "j": chunk(F.col("chunks"), 0), "side": F.lit(1)})
     whole = small.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(2), "chunks": F.lit(1)})
-    tiles = whole.select("key", tile("i", "j"), "slot", "side", "sig", "n")
-    for part in (zero, one):
-        tiles = tiles.unionByName(part.select("key", tile("i", "j"), "slot", "side", "sig", "n"))
+    tiles, stars = whole.select("key", tile("i", "j"), "slot", "side", "sig", "n"), None
+    if not large.isEmpty():
+        # Large nodes: who is connected by some of them, and then the others (side 0) with all (side 1).
+        star = F.pmod(F.xxhash64("sig"), F.lit(STARS)).cast("int").alias("star")
+        some = large.groupBy("key", star).agg(F.min("sig").alias("sig"))
+        some = large.join(some, ["key", "sig"]).withColumns({"tile": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "own": F.lit(False)})
+        dealt = large.withColumns({"star": F.lit(0), "tile": chunk(F.col("chunks"), 0), "own": F.lit(True)}).unionByName(some).select("key", "tile", "own", "star", "sig", "n")
+        against = with_sets(dealt).repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "star")
+        stars = written(against.mapInArrow(_stars(percent), "key long, star int, rep binary, sig binary"), "stars")
+        masks = stars.groupBy("key", "sig").agg(F.sum(F.expr("shiftleft(1L, star)")).alias("mask"))
+        found = masks.groupBy("key", "mask").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("mask", "n")).alias("found"))  # 2**STARS a node at most
+        main = found.mapInArrow(_main, "key long, main long")
+        connected = masks.join(main, "key").where(F.col("mask").bitwiseAND(F.col("main")) != 0)
+        others = large.join(connected.select("key", "sig"), ["key", "sig"], "left_anti")
+        left = others.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("left"))
+        zero = others.join(left, "key").withColumns({"i": chunk(F.col("left"), 1), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)})
+        one = large.join(left, "key").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("left") - 1)), "j": chunk(F.col("chunks"), 0), "side": F.lit(1)})
+        for part in (zero, one):
+            tiles = tiles.unionByName(part.select("key", tile("i", "j"), "slot", "side", "sig", "n"))
     marked = tiles.join(about, "sig").select("key", "tile", "slot", "side", "sig", "n", "tokens", "slots", "keys")
     active = written(marked.repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "sig").mapInArrow(_active(percent), marked.schema), "active")
 
     verify = with_sets(active).repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "sig")
-    roots = components(verify.mapInArrow(_links(percent), "a binary, b binary").unionByName(stars.select(F.col("rep").alias("a"), F.col("sig").alias("b"))))
-    delete(nodes, stars, active)
+    links = verify.mapInArrow(_links(percent), "a binary, b binary")
+    roots = components(links.unionByName(stars.select(F.col("rep").alias("a"), F.col("sig").alias("b"))) if stars else links)
+    delete(nodes, active, *[stars] * bool(stars))
 
     named = roots.withColumnRenamed("vertex", "sig").join(classes.select("sig", "id"), "sig")
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -5,9 +5,9 @@ alone; the rest of it goes, uncut, into the open window whose fill level makes t
 numbers of open windows at each level grow least (a new window is level 0). The counts are held in an
 array by level, so a placement looks at levels and never at windows.
 
-When the partition ends (or ``MOST_OPEN`` windows are open, which bounds the memory), the fullest open
-windows are filled from the emptiest ones by cutting; the one window left over is written as sequences
-whose lengths are powers of two, which need no padding.
+Documents are packed in runs of some ``RUN_IDS`` ids, which bounds the memory whatever their lengths. At a run's end the fullest
+open windows are filled from the emptiest ones by cutting, and the one window left over stays open for the next run; that of the
+partition's last run is written as sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from strandlake.llm.store import small_batches
 from strandlake.llm.tokens import encoder
 
 CAPACITY, END_ID = 2048, 1
-MOST_OPEN = 4096
+#: Ids of a run: 64 MB.
+RUN_IDS = 1 << 24
 
 #: row of the document, first of its ids, ids
 Piece = tuple[int, int, np.ndarray]
@@ -37,6 +38,7 @@ class SquaresPacker:
         self.capacity, self.emit = capacity, emit
         self.counts = np.zeros(capacity + 1, dtype=np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(capacity)]
+        self.run = 0
 
     def add(self, doc: object, ids: np.ndarray) -> None:
         full = len(ids) - len(ids) % self.capacity
@@ -44,6 +46,9 @@ class SquaresPacker:
             self.emit([(doc, start, ids[start : start + self.capacity])])
         if full < len(ids):
             self.place((doc, full, ids[full:]))
+        self.run += len(ids)
+        if self.run >= RUN_IDS:
+            self.close(last=False)
 
     def place(self, piece: Piece) -> None:
         size, n = len(piece[2]), self.counts
@@ -61,12 +66,10 @@ class SquaresPacker:
             return
         self.open[level + size].append(window)
         n[level + size] += 1
-        if n.sum() > MOST_OPEN:
-            self.close(last=False)
 
     def close(self, last: bool = True) -> None:
         windows = [(level, w) for level in range(self.capacity - 1, 0, -1) for w in self.open[level]]
-        self.counts[:] = 0
+        self.counts[:], self.run = 0, 0
         self.open = [[] for _ in range(self.capacity)]
         i, j = 0, len(windows) - 1
         while i < j:

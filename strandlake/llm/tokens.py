@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import threading
-import time
 import unicodedata
 
 import numpy as np
@@ -17,7 +15,7 @@ from strandlake.llm import kernel
 #: Texts of these characters alone are in NFC as they are, have one lower-case form in every library, and one class each.
 _PLAIN = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x17F)] if c not in (0x130, 0x149)]
 #: Distinct words whose ids a worker remembers. Reaching it starts the memory anew; results don't depend on it.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -192,40 +190,11 @@ def exact_by_word(spec: dict) -> bool:
     return clean and lower and first and rest and added and spec.get("post_processor") is None
 
 
-#: Seconds after which a worker that encodes nothing lets its encoders go, so that later stages have the memory.
-IDLE_S = 4.0
 _encoders: dict[str, WordEncoder] = {}
-_lock = threading.Lock()
-_last = [0.0]
 
 
-def _release() -> None:
-    while True:
-        time.sleep(IDLE_S / 4)
-        with _lock:
-            if time.monotonic() - _last[0] > IDLE_S:
-                _encoders.clear()
-                return
-
-
-class _Shared:
-    """A worker's encoder of a file, made when it is needed and kept while it is in use."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def encode(self, col: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        with _lock:
-            if self.path not in _encoders:
-                alone = not _encoders
-                _encoders[self.path] = WordEncoder(self.path)
-                if alone:
-                    threading.Thread(target=_release, daemon=True).start()
-            try:
-                return _encoders[self.path].encode(col, last)
-            finally:
-                _last[0] = time.monotonic()
-
-
-def encoder(path: str) -> _Shared:
-    return _Shared(path)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a file."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]

@@ -1,11 +1,12 @@
 import random
-import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from strandlake.llm import idfile, packing, tokencount
@@ -48,11 +49,23 @@ def test_encoder_of_another_kind():
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(3)] == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
-def test_idle_encoders_go(monkeypatch):
-    monkeypatch.setattr(tokens, "IDLE_S", 0.2)
-    first = encoder(WORDS).encode(pa.array(["a b"]))[0].tolist()
-    time.sleep(1)
-    assert not tokens._encoders and encoder(WORDS).encode(pa.array(["a b"]))[0].tolist() == first
+def test_memory_of_words_starts_anew(monkeypatch):
+    texts = [t for _, t in rows()]
+    want = WordEncoder(WORDS).encode(pa.array(texts))[0].tolist()
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 40)
+    e = WordEncoder(WORDS)
+    for lo in range(0, len(texts), 7):
+        e.encode(pa.array(texts[lo : lo + 7]))
+    assert e.encode(pa.array(texts))[0].tolist() == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="abzABZ019 .,'-\n\t<|>éÉßøæœ½²İŉΣσ漢テ\u0301\x1c\x85\xa0\xad", max_size=30) | st.text(max_size=20), max_size=6))
+def test_encoder_equals_library_on_odd_texts(texts):
+    e = encoder(WORDS)
+    ids, at = e.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_pack_covers_every_id(spark):
@@ -80,18 +93,42 @@ def test_pack_covers_every_id(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []
 
 
-def test_packer_bounds_open_windows():
+def test_packer_bounds_its_memory(monkeypatch):
+    monkeypatch.setattr(packing, "RUN_IDS", 33 * 500)
     out = []
     p = packing.SquaresPacker(64, out.append)
     for i in range(20000):
         p.add(i, np.zeros(33, dtype=np.uint32))
-        assert p.counts.sum() <= packing.MOST_OPEN + 1
+        assert p.counts.sum() <= 501
     p.close()
     assert sum(len(x[2]) for w in out for x in w) == 33 * 20000
     fills = [sum(len(x[2]) for x in w) for w in out]
     assert all(f == 64 or f & (f - 1) == 0 for f in fills) and sum(f != 64 for f in fills) <= 6
 
 
+@pytest.mark.parametrize("sizes", [[5, 7, 11, 33], [33], [1, 31, 32, 63], [20, 21, 22, 23]])
+def test_placement_equals_brute_force(sizes):
+    """The least sum of squares over all levels that the piece fits on, a lower level before a higher one."""
+    r, out, levels = random.Random(len(sizes)), [], {}
+    p = packing.SquaresPacker(64, out.append)
+    for i in range(600):
+        size, best = r.choice(sizes), None
+        for level in [0, *sorted(levels)]:
+            if level + size <= 64:
+                after = dict(levels)
+                if level:
+                    after[level] -= 1
+                if level + size < 64:
+                    after[level + size] = after.get(level + size, 0) + 1
+                total = sum(n * n for n in after.values())
+                if best is None or total < best[0]:
+                    best = total, {k: n for k, n in after.items() if n}
+        levels = best[1]
+        p.add(i, np.zeros(size, dtype=np.uint32))
+        assert {k: int(n) for k, n in enumerate(p.counts) if n} == levels
+    assert all(sum(len(x[2]) for x in w) == 64 for w in out)
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_segment_round_trip(planes):
     r = np.random.default_rng(1)
