@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Each stage keeps all columns of its documents but the last, whatever their names. A table without rows passes through all of them. Rows
+that repeat count each for itself but where a stage says so; none drops or cuts a text for its length.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, langid, minhash, packing, pii
-from strandlake.llm.store import written
+from strandlake.llm.store import delete, scratch, table_path, written
 from strandlake.llm.tokens import tokenizer_path
 
 #: A document is rejected as of no known language if it has no letter or this is more than its prediction's score: a near tie in both steps.
@@ -14,7 +18,7 @@ LEAST_SCORE = 0.26
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known."""
+    """Documents whose language is known: those with a null or empty text, or without a letter, go. A null id or language plays no part but in the fit."""
     return langid.known_languages(docs, langid.fit(docs), LEAST_SCORE)
 
 
@@ -34,18 +38,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item. A null or empty text has none and stays, as do repeated rows and null ids."""
     return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by its kind."""
+    """All documents, their personal data replaced by its kind; a null text stays null. ``n_chars`` is counted anew where there is one."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences with their ids."""
+    """Pieces of packed sequences with their ids; a null or empty text is its end mark alone."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -58,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, path = docs, table_path(spark, f"stage-{name}")
+        with scratch(spark):  # what a stage writes for itself goes with it, and what it read when it is done
+            docs = written(stage(spark, before, sf_dir), name, path)
+        delete(before)
     return STAGES[-1][1](spark, docs, sf_dir)
