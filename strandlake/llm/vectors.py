@@ -3,8 +3,9 @@
 Unit vectors with cosine c or more are at squared distance 2 - 2c or less. A fixed rotation spreads that evenly over the dimensions, which
 are then split into blocks; two such vectors are within their share of the squared distance in one block at least. Each block is a range
 join of its own: vectors are dealt to the cells of a grid over its first two dimensions and sent along to the neighbouring cells within
-reach, and in a cell all block distances are taken. Pairs within a block's budget are verified by their cosine in double precision, and
-count in the first block that they are within the budget of.
+reach. In a cell the vectors are halved along the block's widest dimension again and again, and each part meets only those whose distance from
+its bounding box, over all dimensions of the block, is within the budget. Pairs within a block's budget are verified by their cosine in
+double precision, and count in the first block that they are within the budget of.
 
 Equal vectors are one class with a weight. Crowded cells are cut into tiles of bounded size. Tasks return link counts and spanning
 forests, never pairs.
@@ -28,7 +29,9 @@ from strandlake.llm.store import small_batches, written
 COSINE = 0.95
 BLOCK_DIMS = 8
 #: Vectors on each side of a tile.
-TILE = 1 << 16
+TILE = 1 << 14
+#: Vectors of a part that is halved no further.
+PART = 128
 _SIDE = 1 << 12
 
 
@@ -63,15 +66,23 @@ def unit(raw: list[bytes]) -> np.ndarray:
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as double bytes with a signature; null where they link with nothing."""
     for b in batches:
-        sig, raw = [], []
-        for v in b.column(1):
-            x = np.array([np.nan if e is None else e for e in v.as_py()], dtype=np.float64) if v.is_valid else np.zeros(0)
-            with np.errstate(over="ignore"):
-                ok = len(x) and np.isfinite(x).all() and x.any()
-                if ok and not np.isfinite((x * x).sum()) or ok and (x * x).sum() < 1e-280:
-                    x = x / np.abs(x).max()  # out of reach of squares: the direction is what counts
-            raw.append(x.tobytes() if ok else None)
-            sig.append(blake2b(raw[-1], digest_size=16).digest() if ok else None)
+        col = b.column(1)
+        at = col.offsets.to_numpy().astype(np.int64)
+        values = col.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)  # nulls are not a number
+        size = np.diff(at)
+        ok = (size > 0) & col.is_valid().to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore", invalid="ignore"):
+            sums = np.add.reduceat(np.append(values * values, 0.0), at[:-1]) if len(size) else np.zeros(0)
+            finite = np.minimum.reduceat(np.append(np.isfinite(values), True), at[:-1]) if len(size) else ok
+            some = np.maximum.reduceat(np.append(values != 0, False), at[:-1]) if len(size) else ok
+        ok &= finite & some
+        sig, raw = [None] * len(size), [None] * len(size)
+        for i in np.flatnonzero(ok).tolist():
+            x = values[at[i] : at[i + 1]]
+            if not 1e-280 <= sums[i] < np.inf:
+                x = x / np.abs(x).max()  # out of reach of squares: the direction is what counts
+            raw[i] = x.tobytes()
+            sig[i] = blake2b(raw[i], digest_size=16).digest()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary()), pa.array(raw, pa.binary())], ["id", "sig", "vector"])
 
 
@@ -156,31 +167,50 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, i
     return out
 
 
+def _parts(z: np.ndarray, own: np.ndarray, other: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of ``own`` and those of ``other`` that may be within the squared distance ``most`` of one of them."""
+    open_parts = [(own, other)]
+    while open_parts:
+        own, other = open_parts.pop()
+        mine = z[own]
+        lo, hi = mine.min(axis=0), mine.max(axis=0)
+        beyond = np.maximum(0, np.maximum(lo - z[other], z[other] - hi))
+        other = other[np.einsum("ij,ij->i", beyond, beyond) <= most]
+        if not len(other):
+            continue
+        if len(own) <= PART or len(own) * len(other) <= PART * PART or not (hi > lo).any():
+            yield own, other
+            continue
+        wide = mine[:, (hi - lo).argmax()]
+        half = np.argpartition(wide, len(wide) // 2)
+        open_parts += [(own[half[: len(wide) // 2]], other), (own[half[len(wide) // 2 :]], other)]
+
+
 def cell_links(x: np.ndarray, block: int, cosine: float, role: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """For a cell's unit vectors: weights of those linked to each compared one and counted in this block, and a spanning forest."""
     dims = x.shape[1]
     y, parts, most = x @ rotation(dims), blocks(dims), budgets(dims, cosine)
-    own, other = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    z = y[:, parts[block]].astype(np.float32)
-    norm = (z * z).sum(axis=1, keepdims=True)
-    one = np.ones_like(norm)
-    left, right = np.hstack([-2 * z, norm, one])[own], np.ascontiguousarray(np.hstack([z, one, norm])[other].T)
+    z = np.ascontiguousarray(y[:, parts[block]], dtype=np.float32)
+    norm = (z * z).sum(axis=1)
     total, forest, label = np.zeros(len(x), dtype=np.int64), [], np.arange(len(x))
-    step = max(1, 4_000_000 // max(1, len(other)))
-    for lo in range(0, len(own), step):
-        near = np.flatnonzero((left[lo : lo + step] @ right).ravel() <= np.float32(most[block] + 1e-5))
-        for i in range(0, len(near), 50_000):
-            h, a = np.divmod(near[i : i + 50_000], len(other))
-            h, a = own[lo + h], other[a]
-            ok = (h != a) & (np.einsum("ij,ij->i", x[h], x[a]) >= cosine)
-            h, a = h[ok], a[ok]
-            apart = (y[h] - y[a]) ** 2
-            within = np.stack([apart[:, p].sum(axis=1) for p in parts], axis=1) <= most
-            ok = within.argmax(axis=1) == block
-            ok &= within[:, block]
-            h, a = h[ok], a[ok]
-            total += np.bincount(h, weights=weight[a], minlength=len(x)).astype(np.int64)
-            forest += _union(label, h, a)
+    loose = np.float32(most[block] + 1e-5)
+    for own, other in _parts(z, np.flatnonzero(role & 1), np.flatnonzero(role & 2), float(loose)):
+        step = max(1, 4_000_000 // len(other))
+        for lo in range(0, len(own), step):
+            mine = own[lo : lo + step]
+            near = np.flatnonzero((norm[mine][:, None] + norm[other] - 2 * (z[mine] @ z[other].T)).ravel() <= loose)
+            for i in range(0, len(near), 50_000):
+                h, a = np.divmod(near[i : i + 50_000], len(other))
+                h, a = mine[h], other[a]
+                ok = (h != a) & (np.einsum("ij,ij->i", x[h], x[a]) >= cosine)
+                h, a = h[ok], a[ok]
+                apart = (y[h] - y[a]) ** 2
+                within = np.stack([apart[:, p].sum(axis=1) for p in parts], axis=1) <= most
+                ok = within.argmax(axis=1) == block
+                ok &= within[:, block]
+                h, a = h[ok], a[ok]
+                total += np.bincount(h, weights=weight[a], minlength=len(x)).astype(np.int64)
+                forest += _union(label, h, a)
     return total, forest
 
 

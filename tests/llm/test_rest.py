@@ -46,11 +46,30 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     got = sorted((tuple(x) for x in vectors.near_vectors(df).collect()), key=repr)
     assert got == brute_vectors(rows)
     monkeypatch.setattr(vectors, "TILE", 20)
+    monkeypatch.setattr(vectors, "PART", 2)
     got = sorted((tuple(x) for x in vectors.near_vectors(df).collect()), key=repr)
     assert got == brute_vectors(rows)
     assert vectors.near_vectors(df.limit(0)).collect() == []
 
 
+def test_ties_at_the_threshold_and_huge_values(spark):
+    a = [1.0, 0.0, 0.0, 0.0]
+    rows = [(1, a), (2, [0.6, 0.8, 0.0, 0.0]), (3, [6e200, 8e200, 0.0, 0.0]), (4, [6e-200, 8e-200, 0.0, 0.0]), (5, [0.59, 0.807, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in vectors.near_vectors(df, cosine=0.6).collect()}
+    assert got == {1: (3, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (3, 1)}
+    assert vectors.near_vectors(df, cosine=0.6).where("vec_id = 1 and n_links = 3").count() == 1
+
+
+def test_parts_lose_no_near_pair():
+    r = np.random.default_rng(1)
+    z = np.concatenate([r.normal(0, 0.1, (700, 8)), np.repeat(r.normal(0, 0.1, (3, 8)), 90, axis=0)]).astype(np.float32)
+    own, other = np.arange(0, len(z), 2), np.arange(len(z))
+    got = {(int(h), int(a)) for o, t in vectors._parts(z, own, other, 0.02) for h in o for a in t}
+    near = ((z[own][:, None] - z[other]) ** 2).sum(axis=2) <= 0.02
+    assert {(int(own[i]), int(other[j])) for i, j in zip(*np.nonzero(near))} <= got and len(got) < 0.8 * len(own) * len(other)
+
+
 def test_chat_round_trip(spark):
     r = random.Random(1)
     odd = ["", None, "\\### Assistant: </turn> ok", "<turn:user>\nx</turn>\n", "\\l\\b\\g<>\\", "é漢\n\n", "a" * 50000]
