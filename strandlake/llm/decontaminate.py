@@ -5,7 +5,8 @@ that holds every one of them, so for exact containment one shingle is prefix eno
 over all documents. Documents meet windows at those shingles only; the shingle's place in its window and the
 document's bounds fix where the window would lie, and all its words are then compared.
 
-Items are taken in blocks of at most ``BLOCK_BYTES`` of text, whose index is broadcast; more items mean more passes.
+Items are taken in blocks of at most ``BLOCK_BYTES`` of text, whose index, flat arrays of some hundred bytes a word, is broadcast; more items mean
+more passes.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ _BITS = 22
 
 
 class Index(NamedTuple):
-    """Distinct windows of a block of items."""
+    """Distinct windows of a block of items, in flat arrays."""
 
-    words: list[bytes]  # of all items in a row
+    buf: np.ndarray  # bytes of all items, and the words in them
+    start: np.ndarray
+    end: np.ndarray
     begin: np.ndarray  # of each window, its first word
     length: np.ndarray
     hash: np.ndarray
-    owners: np.ndarray  # item ids (as text) of all windows in a row
+    items: np.ndarray  # ids as text, sorted
+    owners: np.ndarray  # items of all windows in a row
     owner_at: np.ndarray
     shingle: int
     # Prefix: sorted shingle hashes by shingle size, with the windows they stand for and their place in them.
@@ -45,32 +49,42 @@ class Index(NamedTuple):
 def windows_of(ids: list[str], texts: list[str | None], k: int, shingle: int) -> tuple[Index, np.ndarray]:
     """The index without its prefixes, and the hashes of all items' words."""
     w = kernel.words(pa.array(texts, pa.string()), kernel.ALNUM)
-    raw = w.buf.tobytes()
-    seen: dict[int, int] = {}
-    begin, length, hashes, owners = [], [], [], []
-    for item, lo, hi in zip(ids, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        n = min(k, hi - lo)
-        for i, h in enumerate(kernel.grams(w.hash[lo:hi], n).tolist()):
-            if h not in seen:
-                seen[h] = len(begin)
-                begin.append(lo + i)
-                length.append(n)
-                hashes.append(h)
-                owners.append(set())
-            owners[seen[h]].add(item)
-    lists = [sorted(o) for o in owners]
-    words = [raw[s:e] for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-    at = np.cumsum([0, *map(len, lists)])
-    return Index(words, np.array(begin, np.int64), np.array(length, np.int64), np.array(hashes, np.uint64), np.array([x for o in lists for x in o], dtype=object), at, shingle, {}, np.zeros(0, bool)), w.hash
+    count = np.diff(w.first)
+    items, item_of = np.unique(np.array(ids, dtype=object).astype(str), return_inverse=True) if ids else (np.zeros(0, str), np.zeros(0, np.int64))
+    begins, lengths, hashes, owners = [], [], [], []
+    for n in np.unique(np.minimum(count, k)).tolist():
+        if not n:
+            continue
+        which = np.flatnonzero(np.minimum(count, k) == n)
+        many = count[which] - n + 1
+        at = np.repeat(w.first[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        begins.append(at)
+        lengths.append(np.full(len(at), n))
+        hashes.append(kernel.grams(w.hash, n)[at])
+        owners.append(np.repeat(item_of[which], many))
+    none = [np.zeros(0, np.int64)]
+    begin, length, owner = (np.concatenate(x or none).astype(np.int64) for x in (begins, lengths, owners))
+    _, first, window = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+    pair = np.unique(window * max(1, len(items)) + owner)
+    own_window, own_item = np.divmod(pair, max(1, len(items)))
+    at = np.searchsorted(own_window, np.arange(len(first) + 1))
+    hashed = np.concatenate(hashes or [np.zeros(0, np.uint64)])[first]
+    return Index(w.buf, w.start, w.end, begin[first], length[first], hashed, items, own_item, at, shingle, {}, np.zeros(0, bool)), w.hash
+
+
+#: Windows whose shingles are looked at together.
+_TOGETHER = 1 << 17
 
 
 def _shingles(index: Index, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By shingle size: windows, and a matrix of the hashes of their shingles."""
+    """By shingle size: some windows, and a matrix of the hashes of their shingles."""
     for n in np.unique(index.length):
         q = min(index.shingle, int(n))
         which = np.flatnonzero(index.length == n)
         all_grams = kernel.grams(hashes, q)
-        yield q, which, all_grams[index.begin[which][:, None] + np.arange(int(n) - q + 1)]
+        for lo in range(0, len(which), _TOGETHER):
+            some = which[lo : lo + _TOGETHER]
+            yield q, some, all_grams[index.begin[some][:, None] + np.arange(int(n) - q + 1)]
 
 
 def _mask(values: np.ndarray) -> np.ndarray:
@@ -106,16 +120,16 @@ def _index(docs: DataFrame, items: list, k: int, shingle: int) -> Index | None:
     index, hashes = windows_of([r[0] for r in items], [r[1] for r in items], k, shingle)
     if not len(index.begin):
         return None
-    parts = list(_shingles(index, hashes))
-    known = np.unique(np.concatenate([m.ravel() for _, _, m in parts]))
+    known = np.unique(np.concatenate([np.unique(m) for _, _, m in _shingles(index, hashes)]))
+    sizes = sorted({min(shingle, int(n)) for n in np.unique(index.length)})
     context = docs.sparkSession.sparkContext
-    counted = docs.select("text").mapInArrow(_frequencies(context.broadcast(known), sorted({q for q, _, _ in parts})), "shingle long, n long")
+    counted = docs.select("text").mapInArrow(_frequencies(context.broadcast(known), sizes), "shingle long, n long")
     # As many rows as the block of items has shingles at most.
     counts = counted.groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
     often = np.zeros(len(known), dtype=np.int64)
     often[np.searchsorted(known, counts["shingle"].to_numpy(dtype=np.int64).view(np.uint64))] = counts["n"].to_numpy()
     prefix: dict[int, list] = {}
-    for q, which, m in parts:
+    for q, which, m in _shingles(index, hashes):
         rarest = np.lexsort((m, often[np.searchsorted(known, m)]), axis=1)[:, 0]
         prefix.setdefault(q, []).append((m[np.arange(len(m)), rarest], which, rarest))
     for q, found in prefix.items():
@@ -156,11 +170,14 @@ def occurrences(w: kernel.Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
     ok = np.zeros(len(start), dtype=bool)
     for x, (s, v) in enumerate(zip(start.tolist(), window.tolist(), strict=True)):
         n, b = int(index.length[v]), int(index.begin[v])
-        own = [w.buf[i:j].tobytes() for i, j in zip(w.start[s : s + n].tolist(), w.end[s : s + n].tolist(), strict=True)]
-        ok[x] = own == index.words[b : b + n]
+        ok[x] = _spelled(w.buf, w.start[s : s + n], w.end[s : s + n]) == _spelled(index.buf, index.start[b : b + n], index.end[b : b + n])
     return start[ok], window[ok]
 
 
+def _spelled(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    return [buf[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 _OUT = "n_words long, spans array<struct<first:long,end:long>>, item_ids array<string>"
 
 
@@ -178,7 +195,7 @@ def _scan(index):  # noqa: ANN001
             for t, s, v in zip(text.tolist(), start.tolist(), window.tolist(), strict=True):
                 own = s - int(w.first[t])
                 spans[t].append((own, own + int(known.length[v])))
-                items[t].update(known.owners[known.owner_at[v] : known.owner_at[v + 1]])
+                items[t].update(known.items[known.owners[known.owner_at[v] : known.owner_at[v + 1]]].tolist())
             merged = []
             for x in spans:
                 out: list[list[int]] = []
@@ -231,6 +248,8 @@ def contamination(docs: DataFrame, items: DataFrame, k: int = K, shingle: int =
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, k: int = K, shingle: int = SHINGLE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` without a hit word, all columns as they are."""
+    """Rows of ``docs`` without a hit word, all columns as they are, whatever their names. A row whose text is null or has no words stays; rows that
+    repeat are kept or dropped together; ids play no part. Without items all rows stay, and an empty table gives none.
+    """
     named = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
     return _scanned(named, items, k, shingle, item_col, item_text_col).where(F.size("spans") == 0).select("row.*")

@@ -64,3 +64,17 @@ def test_equals_brute_force(spark):
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 900)
     check(spark)
+
+
+def test_long_texts_and_rows_that_stay(spark):
+    item = [f"q{i}" for i in range(400)]
+    filler = " ".join(f"w{i % 977}" for i in range(300_000))
+    docs = [(1, f"{filler} {' '.join(item[50:70])} {filler}"), (2, f"{filler} {' '.join(item[50:59])} {filler}"), (3, None), (3, ""), (None, "..."), (4, "x" * 500_000), (4, "x" * 500_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as row", "'a' as spans", "2 as n_words", "3 as item_ids")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "x" * 500_000)], "item_id long, text string")
+    got = {(x.doc_id, x.n_words, x.n_hit, tuple(x.item_ids)) for x in contamination(df, items).collect()}
+    assert got == {(1, 600_020, 20, ("1",)), (2, 600_009, 0, ()), (3, 0, 0, ()), (None, 0, 0, ()), (4, 1, 1, ("2",))}
+    kept = decontaminate.uncontaminated(df, items)
+    assert kept.schema == df.schema and sorted((x.doc_id or 0, len(x.text or "")) for x in kept.collect()) == [(0, 3), (2, len(docs[1][1])), (3, 0), (3, 0)]
+    assert decontaminate.uncontaminated(df, items.limit(0)).count() == len(docs)
+    assert decontaminate.uncontaminated(df.limit(0), items).collect() == []
