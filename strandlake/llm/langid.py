@@ -197,7 +197,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def known_languages(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose language is known with a score of ``least`` or more, all columns as they are."""
+    """Rows of ``docs`` whose language is known with a score of ``least`` or more, all columns as they are, whatever their names.
+
+    A null text, one without a letter, and any text where nothing was learnt go; ids may be null or repeat, and an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     named = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))

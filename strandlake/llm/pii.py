@@ -482,6 +482,9 @@ def _redact(weights, place: int):  # noqa: ANN001
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by its kind; all other columns as they are."""
+    """``docs`` with every span in ``text_col`` replaced by its kind in brackets; all other columns as they are, whatever their names.
+
+    A null text stays null and an empty one empty; spans that overlap go as one; rows may repeat, ids play no part, an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_redact(train(), docs.columns.index(text_col)), T.StructType(docs.schema.fields))
