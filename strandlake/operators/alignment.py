@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequence import original
+from strandlake.operators.calls import called, grouped_calls
+from strandlake.operators.rows import back, by_read, letters
 from strandlake.plans import driver_views as views
 from strandlake.registry import query
 
@@ -42,47 +49,58 @@ def _reference_of(spans: DataFrame, contigs: DataFrame) -> DataFrame:
     return spans.join(refs, "read_id")
 
 
-def _runs(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(read_id, q, r, columns): each run of aligned columns, with the letters of read (a) and reference (b); other letters than ACGT read A there.
-
-    The reference is cut to the alignment before anything is multiplied, and a run's row carries its own letters only.
-    """
-    ops = walk(aligned)
-    per_read = ops.groupBy("read_id").agg(F.max(F.col("r_offset") + F.when(F.col("op").isin(*REFERENCE_OPS), F.col("n")).otherwise(0)).alias("span"), F.collect_list(F.when(F.col("op").isin("M", "=", "X"), F.struct("n", "q_start", "r_offset"))).alias("runs"))
-    both = _reference_of(aligned.select("read_id", "seq", "rname", "pos").join(per_read, "read_id"), contigs)
-    cut = both.select("read_id", "seq", "pos", "runs", F.translate("ref", "NRYKMSWBDHVU", "A" * 12).alias("ref"))
-    letters = lambda s, at, n: F.split(F.substr(s, (at + 1).cast("int"), n.cast("int")), "")
-    each = F.transform("runs", lambda x: F.struct(x["q_start"].alias("q"), (F.col("pos") + x["r_offset"]).alias("r"), F.filter(F.arrays_zip(letters(F.col("seq"), x["q_start"], x["n"]).alias("a"), letters(F.col("ref"), x["r_offset"], x["n"]).alias("b")), lambda y: (y["a"] != "") & (y["b"] != "")).alias("columns")))
-    return cut.select("read_id", F.inline(each))
+_OP = re.compile(r"(\d+)([MIDNSHP=X])")
+
+
+def _placed(aligned: DataFrame, contigs: DataFrame, *more: str) -> DataFrame:
+    """Alignments with the piece of the reference that they lie on (``ref``); other letters than ACGT read A there."""
+    each = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"))
+    span = F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    both = _reference_of(aligned.select("read_id", "seq", "cigar", "rname", "pos", *more).withColumn("span", span), contigs)
+    return both.withColumn("ref", F.translate("ref", "NRYKMSWBDHVU", "A" * 12))
+
+
+class Alignment:
+    """A row's aligned columns: places on the read (q) and from the alignment's position on (r), whether the letters are equal, and its identity."""
+
+    def __init__(self, b: pa.RecordBatch, i: int, long_gap: int = 20) -> None:
+        self.seq, self.ref = letters(b.column("seq")[i].as_py()), letters(b.column("ref")[i].as_py())
+        q, r, at, gaps, side, run = [], [], [0, 0], 0, None, 0
+        for n, op in [(int(n), op) for n, op in _OP.findall(b.column("cigar")[i].as_py())]:
+            if op in "M=X":
+                q.append(np.arange(at[0], at[0] + n))
+                r.append(np.arange(at[1], at[1] + n))
+            own = "q" if op == "I" else "r" if op in "DN" else None
+            if op not in "SHP":
+                if own != side:
+                    gaps += run if run < long_gap else 0
+                    side, run = own, 0
+                run += n if own else 0
+            at[0] += n if op in QUERY_OPS else 0
+            at[1] += n if op in REFERENCE_OPS else 0
+        gaps += run if run < long_gap else 0
+        q, r = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (q, r))
+        inside = (q < len(self.seq)) & (r < len(self.ref))
+        self.q, self.r = q[inside], r[inside]
+        self.equal = self.seq[self.q] == self.ref[self.r]
+        total = len(self.q) + gaps
+        self.identity = 100.0 * int(self.equal.sum()) / total if total else 0.0
 
 
 def aligned_pairs(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
     """(read_id, q, r, query, reference) of every aligned column."""
-    each = _runs(aligned, contigs).select("read_id", "q", "r", F.posexplode("columns").alias("i", "x"))
-    return each.select("read_id", (F.col("q") + F.col("i")).alias("q"), (F.col("r") + F.col("i")).alias("r"), F.col("x.a").alias("query"), F.col("x.b").alias("reference"))
 
+    def of(b: pa.RecordBatch, i: int) -> dict:
+        a, pos = Alignment(b, i), b.column("pos")[i].as_py()
+        chars = lambda x: pa.array(list(x.tobytes().decode("latin-1")), pa.string())
+        return {"q": a.q, "r": a.r + pos, "query": chars(a.seq[a.q]), "reference": chars(a.ref[a.r])}
 
-def _identity(ops: DataFrame, columns: DataFrame, long_gap: int) -> DataFrame:
-    """(read_id, identity) of walked operations and (read_id, columns, same)."""
-    side = F.when(F.col("op") == "I", "q").when(F.col("op").isin("D", "N"), "r")
-    order = Window.partitionBy("read_id").orderBy("k")
-    gaps = ops.where("op not in ('S', 'H', 'P')").withColumn("side", side)
-    new = F.when(F.coalesce(F.lag("side").over(order), F.lit("-")) == F.coalesce("side", F.lit("-")), 0).otherwise(1)
-    runs = gaps.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    short = runs.where("side is not null").groupBy("read_id", "run").agg(F.sum("n").alias("n")).where(F.col("n") < long_gap).groupBy("read_id").agg(F.sum("n").alias("gaps"))
-    every = ops.select("read_id").distinct().join(columns, "read_id", "left").join(short, "read_id", "left")
-    total = F.coalesce("columns", F.lit(0)) + F.coalesce("gaps", F.lit(0))
-    return every.select("read_id", F.coalesce(F.try_divide(100 * F.coalesce("same", F.lit(0)), total), F.lit(0.0)).alias("identity"))
+    return by_read(_placed(aligned, contigs), of, "q long, r long, query string, reference string")
 
 
 def identity(aligned: DataFrame, contigs: DataFrame, long_gap: int = 20) -> DataFrame:
-    """(read_id, identity): equal columns out of all columns, in percent. Runs of gaps on one side of ``long_gap`` or more don't count.
-
-    Columns are counted inside their run's row.
-    """
-    same = F.size(F.filter("columns", lambda x: x["a"] == x["b"]))
-    columns = _runs(aligned, contigs).groupBy("read_id").agg(F.sum(F.size("columns")).alias("columns"), F.sum(same).alias("same"))
-    return _identity(walk(aligned), columns, long_gap)
+    """(read_id, identity): equal columns out of all columns, in percent. Runs of gaps on one side of ``long_gap`` or more don't count."""
+    return by_read(_placed(aligned, contigs), lambda b, i: {"identity": pa.array([Alignment(b, i, long_gap).identity])}, "identity double")
 
 
 def base_table(aligned: DataFrame, contigs: DataFrame, calls: DataFrame, least_mapq: int = 10, least_identity: float = 98.0, least_passes: float = 6.0, mapped_only: bool = False) -> DataFrame:
@@ -90,17 +108,38 @@ def base_table(aligned: DataFrame, contigs: DataFrame, calls: DataFrame, least_m
 
     Calls are by place in the read as it was sequenced; rows are in alignment orientation. Coordinates are null unless the read is mapped well
     enough and the base equals the reference's. Reads with fewer passes give no rows; ``mapped_only`` drops rows without coordinates.
+    A read's alignment is walked once, in its own row, which its calls join as one row too.
     """
     good = aligned.where(F.coalesce("ec", F.lit(0.0)) >= least_passes)
-    back = F.col("flag").bitwiseAND(16) != 0
-    placed = calls.join(good.select("read_id", "flag", F.length("seq").alias("n"), "rname", "mapq"), "read_id")
-    placed = placed.select("read_id", "rname", "mapq", F.when(back, "-").otherwise("+").alias("strand"), F.when(back, F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos")).cast("long").alias("qpos"), F.when(back, F.translate("base", "AT", "TA")).otherwise(F.col("base")).alias("base"), "prob")
-    equal = F.filter(F.transform("columns", lambda x, i: F.when((x["a"] == x["b"]) & x["a"].isin("A", "T"), i)), lambda i: i.isNotNull())
-    pairs = _runs(good, contigs).select("read_id", "q", "r", F.explode(equal).alias("i")).select("read_id", (F.col("q") + F.col("i")).alias("qpos"), (F.col("r") + F.col("i")).alias("rpos"))
-    out = placed.join(identity(good, contigs), "read_id", "left").join(pairs, ["read_id", "qpos"], "left")
-    mapped = (F.col("mapq") >= least_mapq) & (F.col("identity") >= least_identity) & F.col("rpos").isNotNull()
-    out = out.select("read_id", "strand", "qpos", "base", F.when(mapped, F.col("rname")).alias("rname"), F.when(mapped, F.col("rpos")).alias("rpos"), "prob")
-    return out.where("rpos is not null") if mapped_only else out
+    rows = _placed(good, contigs, "flag", "mapq").join(grouped_calls(calls), "read_id")
+
+    def of(b: pa.RecordBatch, i: int) -> dict | None:
+        a = Alignment(b, i)
+        reverse, n = bool(b.column("flag")[i].as_py() & 16), len(a.seq)
+        at, p = called(b, i, back(a.seq) if reverse else a.seq)
+        if reverse:
+            at = n - 1 - at
+        rpos = np.full(n, -1, dtype=np.int64)
+        if b.column("mapq")[i].as_py() >= least_mapq and a.identity >= least_identity:
+            rpos[a.q[a.equal]] = a.r[a.equal] + b.column("pos")[i].as_py()
+        rpos = rpos[at]
+        if mapped_only:
+            at, p, rpos = at[rpos >= 0], p[rpos >= 0], rpos[rpos >= 0]
+        if not len(at):
+            return None
+        none = rpos < 0
+        names = pa.array(np.where(none, None, b.column("rname")[i].as_py()), pa.string())
+        base = pa.array(np.where(a.seq[at] == ord("A"), "A", "T").tolist(), pa.string())
+        return {"strand": pa.array(["-" if reverse else "+"] * len(at)), "qpos": at, "base": base, "rname": names, "rpos": pa.array(rpos, mask=none), "prob": pa.array(p)}
+
+    return by_read(rows, of, "strand string, qpos long, base string, rname string, rpos long, prob double")
+
+
+def with_checked_alignment(aligned: DataFrame) -> DataFrame:
+    """``aligned``, but a row whose cigar does not add up to its sequence, has an unknown letter or starts before its contig is an error when it is read."""
+    total = F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MIS=X]")), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    right = (F.col("cigar") == "*") | (F.col("cigar").rlike(r"^(\d+[MIDNSHP=X])+$") & (total == F.length("seq")) & (F.col("pos") >= 0))
+    return aligned.withColumn("cigar", F.when(F.coalesce(right, F.lit(True)), F.col("cigar")).otherwise(F.raise_error(F.concat(F.lit("not an alignment of its sequence: "), F.col("read_id").cast("string")))))
 
 
 def unknown_contigs(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -122,6 +161,11 @@ _IDENTITY = """runs AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY k
 _ALL = f"WITH {views.SEQS_SQL}, {views.ALIGN_SQL}, {views.CONTIGS_SQL}, {_PAIRS}, {_IDENTITY}"
 
 
+def sequenced(seqs: DataFrame) -> DataFrame:
+    """(read_id, seq) of reads as they were sequenced."""
+    return seqs.select("read_id", original(F.col("seq"), F.col("flag")).alias("seq"))
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.alignments(views.reads(spark, sf_dir).select("read_id", "seq", "flag"))
 
@@ -138,7 +182,7 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p26_f7_f11_base_table",
-    f"""{_ALL}, {views.CALLS_SQL}, placed AS (SELECT c.read_id, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand, (CASE WHEN flag = 16 THEN len(seq) - 1 - c.pos ELSE c.pos END)::BIGINT AS qpos,
+    f"""{_ALL}, {views.ORIGINAL_CALLS_SQL}, placed AS (SELECT c.read_id, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand, (CASE WHEN flag = 16 THEN len(seq) - 1 - c.pos ELSE c.pos END)::BIGINT AS qpos,
             CASE WHEN flag = 16 THEN translate(base, 'AT', 'TA') ELSE base END AS base, rname, mapq, prob FROM calls c JOIN aligned USING (read_id) WHERE ec >= 6)
         SELECT p.read_id, strand, qpos, base, CASE WHEN mapq >= 10 AND identity >= 20 AND r IS NOT NULL THEN rname ELSE '' END AS rname, CASE WHEN mapq >= 10 AND identity >= 20 THEN coalesce(r, -1) ELSE -1 END AS rpos, prob
         FROM placed p JOIN ident USING (read_id) LEFT JOIN (SELECT * FROM pairs WHERE a = b AND a IN ('A', 'T')) x ON x.read_id = p.read_id AND x.q = p.qpos""",
@@ -146,5 +190,5 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a low identity, as invented sequences agree by chance only."""
     seqs = views.reads(spark, sf_dir).select("read_id", "seq", "flag")
-    return base_table(views.alignments(seqs), views.contigs(spark, sf_dir), views.calls(seqs), least_identity=20.0).fillna({"rname": "", "rpos": -1})
+    return base_table(views.alignments(seqs), views.contigs(spark, sf_dir), views.calls(sequenced(seqs)), least_identity=20.0).fillna({"rname": "", "rpos": -1})
 

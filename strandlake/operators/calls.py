@@ -2,70 +2,175 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.rows import by_read, letters, lists, numbers
 from strandlake.plans import driver_views as views
 from strandlake.registry import query
 
+A, T = ord("A"), ord("T")
+
+
+def grouped_calls(calls: DataFrame) -> DataFrame:
+    """(read_id, places, probs): a read's calls in one row, by place. Calls without a probability are none; of calls at one place the least counts."""
+    one = calls.where("prob is not null").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("prob").cast("double").alias("prob")))).alias("c"))
+    return one.select("read_id", F.col("c.pos").alias("places"), F.col("c.prob").alias("probs"))
+
+
+def called(b: pa.RecordBatch, i: int, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and probabilities of a row's calls that stand at an A or T."""
+    at, p = numbers(b.column("places"), i, np.int64), numbers(b.column("probs"), i)
+    if at is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    at, first = np.unique(at, return_index=True)
+    p = p[first]
+    inside = (at >= 0) & (at < len(seq))
+    at, p = at[inside], p[inside]
+    here = (seq[at] == A) | (seq[at] == T)
+    return at[here], p[here]
+
 
 def base_ordinals(seqs: DataFrame) -> DataFrame:
     """(read_id, pos, base, ordinal): each A and T numbered among its like."""
-    base = seqs.select("read_id", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base in ('A', 'T')")
-    return base.withColumn("ordinal", F.row_number().over(Window.partitionBy("read_id", "base").orderBy("pos")) - 1)
+
+    def of(b: pa.RecordBatch, i: int) -> dict | None:
+        if not b.column("seq")[i].is_valid:
+            return None
+        seq = letters(b.column("seq")[i].as_py())
+        at = [np.flatnonzero(seq == base) for base in (A, T)]
+        base = np.repeat(["A", "T"], [len(x) for x in at])
+        return {"pos": np.concatenate(at).astype(np.int32), "base": pa.array(base.tolist(), pa.string()), "ordinal": np.concatenate([np.arange(len(x), dtype=np.int32) for x in at])}
+
+    return by_read(seqs.select("read_id", "seq"), of, "pos int, base string, ordinal int")
 
 
 def encode_tags(seqs: DataFrame, calls: DataFrame) -> DataFrame:
-    """MM, ML and ZP of each read with calls: gap counts of like bases, A first and then T, and probabilities in that order."""
-    known = base_ordinals(seqs).join(calls.select("read_id", "pos", "prob"), ["read_id", "pos"])
-    own = Window.partitionBy("read_id", "base").orderBy("pos")
-    gap = F.col("ordinal") - F.coalesce(F.lag("ordinal").over(own), F.lit(-1)) - 1
-    rows = known.withColumn("gap", gap).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("base", "pos", "gap", "prob"))).alias("all"))
-    group = lambda b, code: F.concat(F.lit(f"{b}{code}"), F.array_join(F.transform(F.filter("all", lambda x: x["base"] == b), lambda x: F.concat(F.lit(","), x["gap"].cast("string"))), ""), F.lit(";"))
-    ml = F.transform("all", lambda x: F.least(F.lit(255), F.floor(x["prob"] * 256)).cast("short"))
-    return rows.select("read_id", F.concat(group("A", "+m"), group("T", "-m")).alias("mm"), ml.alias("ml"), F.transform("all", lambda x: x["prob"].cast("float")).alias("zp"))
+    """MM, ML and ZP of each read with calls: gap counts of like bases, A first and then T, and probabilities in that order.
+
+    Only calls are shuffled, and joined with a read as one row; a call elsewhere than at an A or T is none.
+    """
+
+    def of(b: pa.RecordBatch, i: int) -> dict | None:
+        seq = letters(b.column("seq")[i].as_py())
+        at, p = called(b, i, seq)
+        if not len(at):
+            return None
+        text, zp = [], []
+        for base, code in ((A, "A+m"), (T, "T-m")):
+            own = seq[at] == base
+            ordinal = np.cumsum(seq == base)[at[own]] - 1
+            gaps = np.diff(ordinal, prepend=-1) - 1
+            text.append(",".join([code, *map(str, gaps.tolist())]) + ";")
+            zp.append(p[own])
+        zp = np.concatenate(zp)
+        ml = np.minimum(255, np.floor(zp * 256)).astype(np.int16)
+        return {"mm": pa.array(["".join(text)]), "ml": lists([ml], pa.int16()), "zp": lists([zp.astype(np.float32)], pa.float32())}
+
+    rows = seqs.where("seq is not null").select("read_id", "seq").join(grouped_calls(calls), "read_id")
+    return by_read(rows, of, "mm string, ml array<short>, zp array<float>")
+
+
+_GROUP = re.compile(r"([A-Z])([+-])([a-z]+|[0-9]+)[.?]?((?:,[0-9]+)*)\Z")
+
+
+def parsed_tags(mm: str, n: int) -> list[tuple[int, np.ndarray]]:
+    """Base and ordinals of each group, in order. Other groups than A+m and T-m, and gaps that don't match ``n`` probabilities, are errors."""
+    out, total = [], 0
+    for group in mm.split(";"):
+        if not group:
+            continue
+        m = _GROUP.match(group)
+        if not m or m[1] + m[2] + m[3] not in ("A+m", "T-m"):
+            raise ValueError(f"no group of A+m or T-m: {group[:40]}")
+        gaps = np.array(m[4].split(",")[1:], dtype=np.int64)
+        out.append((ord(m[1]), np.cumsum(gaps + 1) - 1))
+        total += len(gaps)
+    if total != n:
+        raise ValueError(f"{total} gaps and {n} probabilities")
+    return out
+
+
+def _tagged(b: pa.RecordBatch, i: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray] | None:
+    mm, zp, ml = b.column("mm")[i].as_py(), numbers(b.column("zp"), i), numbers(b.column("ml"), i)
+    if mm is None:
+        return None
+    p = zp if zp is not None else ml / 255.0 if ml is not None else np.zeros(0)
+    return parsed_tags(mm, len(p)), p
 
 
 def tag_calls(tags: DataFrame) -> DataFrame:
-    """(read_id, base, ordinal, prob) of MM with ZP, or ML / 255 where there is no ZP."""
-    gaps = lambda b, code: F.filter(F.split(F.regexp_extract("mm", rf"{b}\{code}m,?([0-9,]*);", 1), ","), lambda x: x != "")
-    probs = F.coalesce(F.transform("zp", lambda x: x.cast("double")), F.transform("ml", lambda x: x / F.lit(255.0)))
-    both = tags.select("read_id", gaps("A", "+").alias("a"), gaps("T", "-").alias("t"), probs.alias("p"))
-    as_rows = lambda c, b, skip: F.transform(c, lambda g, i: F.struct(F.lit(b).alias("base"), i.alias("i"), g.cast("int").alias("gap"), F.get("p", i + skip).alias("prob")))
-    rows = both.select("read_id", F.explode(F.concat(as_rows("a", "A", F.lit(0)), as_rows("t", "T", F.size("a")))).alias("c")).select("read_id", "c.*")
-    own = Window.partitionBy("read_id", "base").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("read_id", "base", (F.sum("gap").over(own) + F.col("i")).cast("int").alias("ordinal"), "prob")
+    """(read_id, base, ordinal, prob) of MM with ZP, or ML / 255 where there is no ZP; a null MM gives no rows, one that can't be right is an error."""
+
+    def of(b: pa.RecordBatch, i: int) -> dict | None:
+        found = _tagged(b, i)
+        if found is None:
+            return None
+        groups, p = found
+        base = np.repeat([chr(g) for g, _ in groups], [len(o) for _, o in groups])
+        return {"base": pa.array(base.tolist(), pa.string()), "ordinal": np.concatenate([o for _, o in groups] or [p]).astype(np.int32), "prob": pa.array(p)}
+
+    return by_read(tags.select("read_id", "mm", "ml", "zp"), of, "base string, ordinal int, prob double")
 
 
 def resolve_tags(seqs: DataFrame, tags: DataFrame) -> DataFrame:
-    """(read_id, pos, base, prob): tags resolved to places of the read as it was sequenced."""
-    return tag_calls(tags).join(base_ordinals(seqs), ["read_id", "base", "ordinal"]).select("read_id", "pos", "base", "prob")
+    """(read_id, pos, base, prob): tags resolved to places of the read as it was sequenced, inside the read's row; ordinals beyond its bases give none."""
+
+    def of(b: pa.RecordBatch, i: int) -> dict | None:
+        found = _tagged(b, i)
+        if found is None:
+            return None
+        groups, p = found
+        seq, places, bases, probs, at = letters(b.column("seq")[i].as_py()), [], [], [], 0
+        for base, ordinal in groups:
+            like, own = np.flatnonzero(seq == base), p[at : at + len(ordinal)]
+            at += len(ordinal)
+            own, ordinal = own[ordinal < len(like)], ordinal[ordinal < len(like)]
+            places.append(like[ordinal])
+            bases += [chr(base)] * len(ordinal)
+            probs.append(own)
+        return {"pos": np.concatenate(places or [np.zeros(0)]).astype(np.int32), "base": pa.array(bases, pa.string()), "prob": pa.array(np.concatenate(probs or [np.zeros(0)]))}
+
+    rows = seqs.where("seq is not null").select("read_id", "seq").join(tags.select("read_id", "mm", "ml", "zp"), "read_id")
+    return by_read(rows, of, "pos int, base string, prob double")
+
+
+def _written(seq: np.ndarray, at: np.ndarray, p: np.ndarray, least: float) -> dict:
+    out = seq.copy()
+    on = at[p >= least]
+    out[on] = np.where(seq[on] == A, ord("Z"), ord("O"))
+    return {"seq": pa.array([out.tobytes().decode("latin-1")])}
 
 
 def relabelled(seqs: DataFrame, calls: DataFrame, least: float = 0.5) -> DataFrame:
     """Sequences with Z for called A and O for called T of ``least`` or more; N stays."""
-    base = seqs.select("read_id", F.posexplode(F.split("seq", "")).alias("pos", "base"))
-    named = base.join(calls.select("read_id", "pos", "prob"), ["read_id", "pos"], "left")
-    letter = F.when((F.col("prob") >= least) & (F.col("base") == "A"), "Z").when((F.col("prob") >= least) & (F.col("base") == "T"), "O").otherwise(F.col("base"))
-    rows = named.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", letter.alias("l")))).alias("all"))
-    return rows.select("read_id", F.array_join("all.l", "").alias("seq"))
 
+    def of(b: pa.RecordBatch, i: int) -> dict:
+        seq = letters(b.column("seq")[i].as_py())
+        return _written(seq, *called(b, i, seq), least)
 
-def calls_in_order(seqs: DataFrame, tags: DataFrame) -> DataFrame:
-    """(read_id, pos, base, prob): the i-th value of ZP taken for the i-th A or T of the sequence, wherever it belongs.
+    rows = seqs.where("seq is not null").select("read_id", "seq").join(grouped_calls(calls), "read_id", "left")
+    return by_read(rows, of, "seq string")
 
-    ZP lists all calls at A before those at T, so these places are wrong for most reads. This is how older outputs were made; ``resolve_tags`` is right.
+
+def relabelled_in_order(seqs: DataFrame, tags: DataFrame, least: float = 0.5) -> DataFrame:
+    """``relabelled`` with the i-th value of ZP taken for the i-th A or T of the sequence, wherever it belongs; reads without ZP give no row.
+
+    ZP lists all calls at A before those at T, so these places are wrong for most reads. This is how older outputs were made; ``relabelled`` is right.
     """
-    base = seqs.select("read_id", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base in ('A', 'T')")
-    numbered = base.withColumn("i", F.row_number().over(Window.partitionBy("read_id").orderBy("pos")) - 1)
-    probs = tags.select("read_id", F.posexplode("zp").alias("i", "prob"))
-    return numbered.join(probs, ["read_id", "i"]).select("read_id", "pos", "base", F.col("prob").cast("double").alias("prob"))
 
+    def of(b: pa.RecordBatch, i: int) -> dict:
+        seq, p = letters(b.column("seq")[i].as_py()), numbers(b.column("zp"), i, np.float32)
+        at = np.flatnonzero((seq == A) | (seq == T))
+        n = min(len(at), len(p))
+        return _written(seq, at[:n], p[:n].astype(np.float64), least)
 
-def relabelled_in_order(seqs: DataFrame, tags: DataFrame, least: float = 0.5) -> DataFrame:
-    """``relabelled`` with the places of ``calls_in_order``; reads without ZP give no row."""
-    known = seqs.join(tags.where(F.size("zp") > 0).select("read_id"), "read_id", "left_semi")
-    return relabelled(known, calls_in_order(known, tags), least)
+    rows = seqs.where("seq is not null").select("read_id", "seq").join(tags.where(F.size("zp") > 0).select("read_id", "zp"), "read_id")
+    return by_read(rows, of, "seq string")
 
 
 def histogram(values: DataFrame, buckets: int = 100, least: int = 1) -> DataFrame:

@@ -2,38 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.functions import kinetics, sequence
+from strandlake.operators.rows import COMPLEMENT, back, by_read, letters, lists, numbers, quantile
 from strandlake.plans import driver_views as views
 from strandlake.registry import query
 
 TAGS = ("fi", "ri", "fp", "rp")
 
 
+def _medians(column: pa.Array) -> np.ndarray:
+    """Mean of the middle two of an even number; not a number for null and none."""
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return np.array([np.median(values[lo:hi]) if ok and hi > lo else np.nan for lo, hi, ok in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist(), strict=True)])
+
+
+def _ratios(batches):  # noqa: ANN001, ANN202
+    for b in batches:
+        m = {t: _medians(b.column(t)) for t in TAGS}
+        below = m["fi"] + m["ri"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(below == 0, np.nan, (m["fp"] + m["rp"]) / below)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, mask=np.isnan(ratio))], [*b.schema.names, "ratio"])
+
+
 def eligible(reads: DataFrame, passes: int = 3) -> DataFrame:
     """Reads with enough passes on both strands and all four signals, with their pulse width over interval ratio.
 
-    A missing or empty signal has no median, so the ratio is null. It is made in a generator, which keeps later filters from working it out again.
+    A missing or empty signal has no median, so the ratio is null and the read goes; so does one whose intervals' medians are 0.
     """
     full = reads.where((F.col("fn") >= passes) & (F.col("rn") >= passes))
-    m = {t: kinetics.median(F.col(t)) for t in TAGS}
-    ratio = F.try_divide(m["fp"] + m["rp"], m["fi"] + m["ri"])
-    return full.select("*", F.inline(F.array(F.struct(ratio.alias("ratio"))))).where("ratio is not null")
+    return full.mapInArrow(_ratios, T.StructType([*full.schema.fields, T.StructField("ratio", T.DoubleType())])).where("ratio is not null")
 
 
 def quality_filter(reads: DataFrame, least: float = 0.3, percentile: float = 0.99) -> DataFrame:
-    """Eligible reads with a ratio of ``least`` or more and under the percentile (exact, over all eligible reads)."""
-    known = eligible(reads)
-    cut = known.agg(F.percentile("ratio", percentile).alias("cut"))  # one row
-    return known.join(F.broadcast(cut), (F.col("ratio") >= least) & (F.col("ratio") < F.col("cut"))).drop("cut")
+    """Eligible reads with a ratio of ``least`` or more and under the percentile (exact, over all eligible reads).
+
+    The percentile is found by histograms over the ratios alone, kept while that lasts, so no task ever holds all of them.
+    """
+    ratios = eligible(reads.select("fn", "rn", *TAGS)).select("ratio").persist(StorageLevel.MEMORY_AND_DISK)
+    cut = quantile(ratios, "ratio", percentile)
+    ratios.unpersist()
+    return eligible(reads).where((F.col("ratio") >= least) & (F.col("ratio") < F.lit(cut)))
 
 
 def consistent(reads: DataFrame, least_length: int = 1000) -> DataFrame:
-    """Reads that are long enough and whose signals are as long as their sequence."""
+    """Reads that are long enough and whose signals, and qualities where there is such a column, are as long as their sequence."""
     out = reads.where(F.length("seq") >= least_length)
-    for t in TAGS:
+    for t in (*TAGS, *["qual"] * ("qual" in reads.columns)):
         out = out.where(F.size(t) == F.length("seq"))
     return out
 
@@ -43,18 +67,21 @@ def has_signals(reads: DataFrame, rows: int = 50) -> bool:
     return not reads.limit(rows).where(" or ".join(f"size({t}) > 0" for t in TAGS)).isEmpty()
 
 
+QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q90": 0.9}
+
+
 def signal_quantiles(reads: DataFrame) -> DataFrame:
-    """Median, quartiles and 90 % quantile of each signal of each read, exact with linear interpolation, without exploding."""
-    names = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q90": 0.9}
+    """Median, quartiles and 90 % quantile of each signal of each read, exact with linear interpolation; null for a missing or empty signal."""
 
-    def at(s, q):  # noqa: ANN001, ANN202
-        place = (F.size(s) - 1) * F.lit(q)
-        low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
-        return low + (high - low) * (place - F.floor(place))
+    def of(b: pa.RecordBatch, i: int) -> dict:
+        out = {}
+        for t in TAGS:
+            v = numbers(b.column(t), i)
+            found = np.quantile(v, list(QUANTILES.values())).tolist() if v is not None and len(v) else [None] * len(QUANTILES)
+            out |= {f"{t}_{n}": pa.array([x], pa.float64()) for n, x in zip(QUANTILES, found, strict=True)}
+        return out
 
-    all_of = lambda t: kinetics.bound(F.sort_array(t), lambda s: F.struct(*[at(s, q).alias(n) for n, q in names.items()]))
-    rows = reads.select("read_id", F.inline(F.array(F.struct(*[all_of(t).alias(t) for t in TAGS]))))
-    return rows.select("read_id", *[F.col(f"{t}.{n}").alias(f"{t}_{n}") for t in TAGS for n in names])
+    return by_read(reads.select("read_id", *TAGS), of, ", ".join(f"{t}_{n} double" for t in TAGS for n in QUANTILES))
 
 
 def with_status(stats: DataFrame, status: DataFrame) -> DataFrame:
@@ -71,9 +98,13 @@ def read_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(views.reads(spark, sf_dir)).select("read_id", F.round("ratio", 6).alias("ratio"))
 
 
-@query("f5_f6_consistent_reads", f"WITH {views.READS_SQL} SELECT read_id, len(seq)::BIGINT AS n FROM reads WHERE len(seq) >= 1000 AND len(fi) = len(seq) AND len(rp) = len(seq)")
+@query("f5_f6_consistent_reads", f"""WITH {views.READS_SQL} SELECT read_id, len(seq)::BIGINT AS n FROM (SELECT read_id, seq, CASE WHEN read_id % 11 = 1 THEN fi[2:] ELSE fi END AS fi, CASE WHEN read_id % 11 = 3 THEN ri[2:] ELSE ri END AS ri, CASE WHEN read_id % 11 = 5 THEN fp[2:] ELSE fp END AS fp, CASE WHEN read_id % 11 = 7 THEN rp[2:] ELSE rp END AS rp FROM reads)
+    WHERE len(seq) >= 1000 AND len(fi) = len(seq) AND len(ri) = len(seq) AND len(fp) = len(seq) AND len(rp) = len(seq)""")
 def consistent_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistent(views.reads(spark, sf_dir)).select("read_id", F.length("seq").cast("long").alias("n"))
+    """Each signal is a value short in some reads."""
+    reads = views.reads(spark, sf_dir)
+    short = {t: F.when(F.col("read_id") % 11 == k, F.slice(t, F.lit(2), F.size(t))).otherwise(F.col(t)) for t, k in zip(("fi", "ri", "fp", "rp"), (1, 3, 5, 7), strict=True)}
+    return consistent(reads.withColumns(short)).select("read_id", F.length("seq").cast("long").alias("n"))
 
 
 _q = ", ".join(f"round(list_aggregate({t}, 'quantile_cont', {q}), 6) AS {t}_{n}" for t in TAGS for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75), ("q90", 0.9)))
@@ -100,49 +131,99 @@ def signal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("l_orderkey", "l_linenumber", "code", kinetics.decode_frames(F.col("code")).alias("frames"), F.round(F.col("code") / 255.0, 6).alias("scaled"), F.round(kinetics.phred_probability(F.col("l_quantity") + 33), 6).alias("prob"))
 
 
+def _signals(b: pa.RecordBatch, i: int, n: int, names: tuple[str, ...]) -> list[np.ndarray] | None:
+    """Signals of a read, none if one is missing; a signal of another length than the sequence is an error."""
+    found = [numbers(b.column(t), i) for t in names]
+    if any(v is None for v in found):
+        return None
+    if any(len(v) != n for v in found):
+        raise ValueError(f"read {b.column('read_id')[i]}: signals and sequence differ in length")
+    return found
+
+
+def _windows(other: np.ndarray, ipd: np.ndarray, pw: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """[A, C, G, T, ipd/255, pw/255] for each base of the window around each centre, the first or last base repeated beyond an end."""
+    at = np.clip(centres[:, None] + np.arange(-(k // 2), k // 2 + 1), 0, len(other) - 1)
+    each = np.column_stack([*((other == base).astype(np.float64) for base in b"ACGT"), ipd / 255.0, pw / 255.0])
+    return each[at].reshape(-1)
+
+
 def feature_rows(reads: DataFrame, k: int = 11) -> DataFrame:
-    """One row for each A of either strand: its k-mer's features on the other strand, where the base is a T.
+    """One row (read_id, strand, pos, features) for each A of either strand: its k-mer's features on the other strand, where the base is a T.
 
-    Windows are cut inside the read's row, so that no row made here carries more than its own window.
+    Signals must be as long as the sequence; a read without one of them gives no rows.
     """
-    back = sequence.reverse_complement(F.col("seq"))
-    strands = [("+", F.col("seq"), back, "ri", "rp"), ("-", back, F.col("seq"), "fi", "fp")]
-    rows = [reads.select("read_id", F.lit(s).alias("strand"), F.split(own, "").alias("own"), F.split(other, "").alias("other"), F.col(i).alias("ipd"), F.col(p).alias("pw")) for s, own, other, i, p in strands]
-    at = F.filter(F.transform("own", lambda b, i: F.when(b == "A", i)), lambda i: i.isNotNull())
-    cut = F.transform(at, lambda i: F.struct(i.alias("pos"), kinetics.kmer_features(F.col("other"), F.col("ipd"), F.col("pw"), F.size("own") - 1 - i, k).alias("features")))
-    return rows[0].unionByName(rows[1]).select("read_id", "strand", F.inline(cut))
+
+    def of(b: pa.RecordBatch, i: int) -> dict | None:
+        if not b.column("seq")[i].is_valid:
+            return None
+        seq = letters(b.column("seq")[i].as_py())
+        found = _signals(b, i, len(seq), TAGS)
+        if found is None or not len(seq):
+            return None
+        fi, ri, fp, rp = found
+        own, strands, places, features = back(seq), [], [], []
+        for strand, mine, other, ipd, pw in (("+", seq, own, ri, rp), ("-", own, seq, fi, fp)):
+            at = np.flatnonzero(mine == ord("A"))
+            strands += [strand] * len(at)
+            places.append(at)
+            features.append(_windows(other, ipd, pw, len(seq) - 1 - at, k))
+        flat = np.concatenate(features)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(strands) + 1, dtype=np.int32) * (6 * k)), pa.array(flat))
+        return {"strand": pa.array(strands, pa.string()), "pos": np.concatenate(places).astype(np.int32), "features": rows}
+
+    return by_read(reads.select("read_id", "seq", *TAGS), of, "strand string, pos int, features array<double>")
 
 
 def context_rows(reads: DataFrame, half: int = 10, margin: int = 50) -> DataFrame:
-    """(read_id, pos, base, kmer, ipd, pw) for each A and T ``margin`` bases or more from both ends, cut inside the read's row like ``feature_rows``."""
-    rows = reads.select("read_id", F.split("seq", "").alias("bases"), *TAGS)
-    near, far = max(margin, half), F.size("bases") - max(margin, half + 1)
-    at = F.filter(F.transform("bases", lambda b, i: F.when(b.isin("A", "T") & (i >= near) & (i <= far), i)), lambda i: i.isNotNull())
+    """(read_id, pos, base, kmer, ipd, pw) for each A and T ``margin`` bases or more from both ends.
 
-    def cut(i):  # noqa: ANN001, ANN202
-        base, kmer = F.get("bases", i), F.array_join(F.slice("bases", i - half + 1, 2 * half + 1), "")
-        signals = [context_of.alias(n) for n, context_of in (("ipd", kinetics.context_signal(F.col("fi"), F.col("ri"), i, base, half)), ("pw", kinetics.context_signal(F.col("fp"), F.col("rp"), i, base, half)))]
-        return F.struct(i.alias("pos"), base.alias("base"), F.when(base == "T", sequence.strict_reverse_complement(kmer)).otherwise(kmer).alias("kmer"), *signals)
+    A T's k-mer is its reverse complement, null if that has other letters than A, C, G and T. Around an A stand the reverse strand's signals at
+    the mirrored place, around a T the forward one's. Signals must be as long as the sequence; a read without one of them gives no rows.
+    """
 
-    return rows.select("read_id", F.inline(F.transform(at, cut)))
+    def of(b: pa.RecordBatch, i: int) -> dict | None:
+        if not b.column("seq")[i].is_valid:
+            return None
+        seq = letters(b.column("seq")[i].as_py())
+        found = _signals(b, i, len(seq), TAGS)
+        at = np.flatnonzero((seq == ord("A")) | (seq == ord("T")))
+        at = at[(at >= max(margin, half)) & (at <= len(seq) - max(margin, half + 1))]
+        if found is None or not len(at):
+            return None
+        fi, ri, fp, rp = found
+        around = np.arange(-half, half + 1)
+        is_a, mer = seq[at] == ord("A"), seq[at[:, None] + around]
+        turned = COMPLEMENT[mer[:, ::-1]]
+        text = np.ascontiguousarray(np.where(is_a[:, None], mer, turned)).tobytes().decode("latin-1")
+        plain = np.isin(mer, list(b"ACGT")).all(axis=1) | is_a
+        width = 2 * half + 1
+        centre = np.where(is_a, len(seq) - 1 - at, at)[:, None] + around
+        cut = lambda a, t: lists(list(np.where(is_a[:, None], a[centre], t[centre]).astype(np.int32)), pa.int32())
+        kmers = [text[j * width : (j + 1) * width] if ok else None for j, ok in enumerate(plain.tolist())]
+        return {"pos": at.astype(np.int32), "base": pa.array(np.where(is_a, "A", "T")), "kmer": pa.array(kmers, pa.string()), "ipd": cut(ri, fi), "pw": cut(rp, fp)}
+
+    return by_read(reads.select("read_id", "seq", *TAGS), of, "pos int, base string, kmer string, ipd array<int>, pw array<int>")
 
 
 _rc = "reverse(translate(seq, 'ACGT', 'TGCA'))"
-_strand_sql = lambda other, i, p, s: f"SELECT read_id, '{s}' AS strand, len(seq) AS n, unnest(range(len(seq))) AS c, unnest(string_split({other}, '')) AS b, unnest({i}) AS ipd, unnest({p}) AS pw, {i}[1] AS i0, {i}[-1] AS i1, {p}[1] AS p0, {p}[-1] AS p1, {other}[1] AS b0, {other}[-1] AS b1 FROM reads"
-_around = lambda v, first, last: f"sum({v}) OVER w + greatest(0, 5 - c) * {first} + greatest(0, c + 6 - n) * {last}"
+_strand_sql = lambda other, i, p, s: f"SELECT read_id, '{s}' AS strand, len(seq) AS n, repeat({other}[1], 5) || {other} || repeat({other}[-1], 5) AS o, list_concat(list_concat([{i}[1] for x in range(5)], {i}), [{i}[-1] for x in range(5)]) AS ipd, list_concat(list_concat([{p}[1] for x in range(5)], {p}), [{p}[-1] for x in range(5)]) AS pw FROM reads"
+_placed = lambda v: "round((" + " + ".join(f"{j + 1} * {v}[c + {j + 1}]" for j in range(11)) + ") / 255.0, 6)::DOUBLE"
 
 
 @query(
     "p11_p13_kmer_features",
-    f"""WITH {views.READS_SQL}, places AS ({_strand_sql(_rc, 'ri', 'rp', '+')} UNION ALL {_strand_sql('seq', 'fi', 'fp', '-')}),
-        sums AS (SELECT read_id, strand, b, (n - 1 - c)::INT AS pos, {_around('ipd', 'i0', 'i1')} AS ipd, {_around('pw', 'p0', 'p1')} AS pw, {_around("(b = 'T')::INT", "(b0 = 'T')::INT", "(b1 = 'T')::INT")} AS t
-            FROM places WINDOW w AS (PARTITION BY read_id, strand ORDER BY c ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
-        SELECT read_id, strand, pos, 66 AS n, round(ipd / 255.0, 6)::DOUBLE AS ipd, round(pw / 255.0, 6)::DOUBLE AS pw, t::DOUBLE AS t FROM sums WHERE b = 'T'""",
+    f"""WITH {views.READS_SQL}, strands AS ({_strand_sql(_rc, 'ri', 'rp', '+')} UNION ALL {_strand_sql('seq', 'fi', 'fp', '-')})
+        SELECT read_id, strand, (n - 1 - c)::INT AS pos, 66 AS n, o[c + 1:c + 11] AS kmer, {_placed('ipd')} AS ipd, {_placed('pw')} AS pw
+        FROM (SELECT *, unnest(range(n)) AS c FROM strands) WHERE o[c + 6] = 'T'""",
 )
 def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bases of each window, and its signals weighted by their places."""
     rows = feature_rows(views.reads(spark, sf_dir))
-    part = lambda k: sum((F.get("features", 6 * j + k) for j in range(11)), F.lit(0.0))  # noqa: E731  compiled, unlike a lambda of Spark's
-    return rows.select("read_id", "strand", "pos", F.size("features").alias("n"), F.round(part(4), 6).alias("ipd"), F.round(part(5), 6).alias("pw"), part(3).alias("t"))
+    at = lambda j, k: F.get("features", 6 * j + k)
+    total = lambda k: F.round(sum(((j + 1) * at(j, k) for j in range(11)), F.lit(0.0)), 6)  # noqa: E731  compiled, unlike a lambda of Spark's
+    kmer = F.concat(*[F.concat(*[F.when(at(j, k) == 1, base).otherwise("") for k, base in enumerate("ACGT")]) for j in range(11)])
+    return rows.select("read_id", "strand", "pos", F.size("features").alias("n"), kmer.alias("kmer"), total(4).alias("ipd"), total(5).alias("pw"))
 
 
 @query(
@@ -150,8 +231,9 @@ def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {views.READS_SQL}, places AS (SELECT *, unnest(range(len(seq))) AS pos FROM reads),
         c AS (SELECT *, seq[pos + 1] AS base, seq[pos - 9:pos + 11] AS kmer FROM places WHERE seq[pos + 1] IN ('A', 'T') AND pos >= 50 AND pos <= len(seq) - 50)
         SELECT read_id, pos::INT AS pos, base, CASE WHEN base = 'T' THEN reverse(translate(kmer, 'ACGT', 'TGCA')) ELSE kmer END AS kmer,
-               list_sum(CASE WHEN base = 'A' THEN ri[len(seq) - 1 - pos - 9:len(seq) - 1 - pos + 11] ELSE fi[pos - 9:pos + 11] END)::BIGINT AS ipd FROM c""",
+               list_sum(CASE WHEN base = 'A' THEN ri[len(seq) - 1 - pos - 9:len(seq) - 1 - pos + 11] ELSE fi[pos - 9:pos + 11] END)::BIGINT AS ipd,
+               CASE WHEN base = 'A' THEN rp[len(seq) - 1 - pos - 9] ELSE fp[pos - 9] END AS first_pw FROM c""",
 )
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.aggregate("ipd", F.lit(0).cast("long"), lambda s, x: s + x)
-    return context_rows(views.reads(spark, sf_dir)).select("read_id", "pos", "base", "kmer", total.alias("ipd"))
+    total = sum((F.get("ipd", j) for j in range(21)), F.lit(0)).cast("long")
+    return context_rows(views.reads(spark, sf_dir)).select("read_id", "pos", "base", "kmer", total.alias("ipd"), F.get("pw", 0).alias("first_pw"))

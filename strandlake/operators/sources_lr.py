@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.rows import numbered
 from strandlake.registry import query, table
 
 FALSE_POSITIVE_RATE = 0.002
@@ -38,16 +39,25 @@ def mapping_filter(paf: DataFrame, least: float = 0.4, most_divergence: float =
     return first_per_key(paf, "qname", "line").where((part > least) & (dv < most_divergence))
 
 
-def sample_per_group(rows: DataFrame, group: str, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows of each group, those whose ids' hashes come first: the same rows in every run."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+def sample_per_group(rows: DataFrame, group: str, n: int, id_col: str, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """Up to ``n`` rows of each group, those whose ids' hashes (or ``order``) come first: the same rows in every run.
+
+    Spark keeps the first ``n`` of each group in each partition before it shuffles, so a large group does not meet in one task.
+    """
+    first = Window.partitionBy(group).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)) if order is None else order, id_col)
+    return rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")
 
 
 def stratified_split(rows: DataFrame, label: str, id_col: str, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """A boolean column ``train``: the given share of each class, dealt by a hash of the id."""
-    rank = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col))
-    return rows.withColumn("train", rank < share)
+    """A boolean column ``train``: the given share of each class, dealt by a hash of the id.
+
+    Rows are numbered by ranges of (class, hash, id), so that a class of any size is shared by many tasks. Ids must be distinct.
+    """
+    mixed = rows.withColumn("_hash", F.xxhash64(F.col(id_col), F.lit(seed)))
+    placed = numbered(mixed, label, "_hash", id_col, name="_i")
+    classes = placed.groupBy(label).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    known = placed.join(F.broadcast(classes.withColumnRenamed(label, "_label")), F.col(label).eqNullSafe(F.col("_label")))  # one row a class
+    return known.select(*rows.columns, (F.col("_i") - F.col("_first") < share * F.greatest(F.lit(1), F.col("_n") - 1)).alias("train"))
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +94,12 @@ def first_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping_filter(_paf(spark, sf_dir)).select("qname", "line")
 
 
-@query("w5_w6_group_sample", "SELECT l_suppkey, least(count(*), 50)::BIGINT AS n FROM lineitem GROUP BY 1")
+@query(
+    "w5_w6_group_sample",
+    """WITH i AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id FROM lineitem)
+       SELECT l_suppkey, count(*) AS n, sum(l_partkey)::BIGINT AS parts, min(id) AS least FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5(id), id) AS k FROM i) WHERE k <= 50 GROUP BY 1""",
+)
 def group_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return sample_per_group(rows, "l_suppkey", 50, "id").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
+    kept = sample_per_group(rows, "l_suppkey", 50, "id", order=F.md5("id"))
+    return kept.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"), F.min("id").alias("least"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import substitution
+from strandlake.operators.rows import numbered
 from strandlake.registry import query, table
 
 
@@ -66,11 +67,15 @@ def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def mann_whitney(rows: DataFrame, keys: list[str], side: str, value: str) -> DataFrame:
     """U of the rows where ``side`` is true, and z of the normal form with tie and continuity corrections, by group.
 
-    Ranks come from counts by distinct value, so a window sees distinct values only, whatever the number of rows.
+    Ranks come from counts by distinct value, so a window sees distinct values only, whatever the number of rows. Without ``keys`` all rows
+    are one group, whose values are put in order by ranges.
     """
     by_value = rows.where(F.col(value).isNotNull() & F.col(side).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("t"), F.count_if(F.col(side)).alias("t1"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("rank", before + (F.col("t") + 1) / 2)
+    if keys:
+        before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = by_value.withColumn("rank", before + (F.col("t") + 1) / 2)
+    else:
+        ranked = numbered(by_value, value, name="before", weight="t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
     out = ranked.groupBy(*keys).agg(F.sum("t1").alias("n1"), (F.sum("t") - F.sum("t1")).alias("n2"), F.sum(F.col("rank") * F.col("t1")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -103,7 +108,8 @@ def benjamini_hochberg(rows: DataFrame, p: str, id_col: str, group: list[str] |
         ranked = rows.withColumns({"_m": F.count("*").over(own), "_r": F.row_number().over(own.orderBy(p, id_col))})
         least = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(own.orderBy(F.col("_r").desc()))
         return ranked.withColumn("adjusted", F.least(F.lit(1.0), least)).drop("_m", "_r")
-    parts = rows.repartitionByRange(p, id_col).withColumn("_part", F.spark_partition_id())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartitionByRange(n, p, id_col).withColumn("_part", F.spark_partition_id())
     own = Window.partitionBy("_part")
     ranked = parts.withColumn("_r", F.row_number().over(own.orderBy(p, id_col)))
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -136,7 +142,7 @@ def binary_scores(rows: DataFrame, label: str, score: str, threshold: float = 0.
     """One row: n, true and false positives and negatives, accuracy, sensitivity, specificity and AUC (by ranks, ties at half)."""
     yes, on = F.col(label) == 1, F.col(score) >= threshold
     counts = rows.agg(F.count("*").alias("n"), F.count_if(yes & on).alias("tp"), F.count_if(~yes & on).alias("fp"), F.count_if(~yes & ~on).alias("tn"), F.count_if(yes & ~on).alias("fn"))
-    u = mann_whitney(rows.select(F.lit(1).alias("g"), yes.alias("yes"), F.col(score).alias("s")), ["g"], "yes", "s")
+    u = mann_whitney(rows.select(yes.alias("yes"), F.col(score).alias("s")), [], "yes", "s")
     auc = u.select(F.try_divide(F.col("u"), F.col("n1") * F.col("n2")).alias("auc"))
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(a) + F.col(b))
     return counts.crossJoin(auc).select("n", "tp", "fp", "tn", "fn", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), ratio("tp", "fn").alias("sensitivity"), ratio("tn", "fp").alias("specificity"), "auc")  # one row each

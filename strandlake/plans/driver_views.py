@@ -40,9 +40,9 @@ SEQS_SQL = f"""reads AS (
 
 
 def calls(seqs: DataFrame) -> DataFrame:
-    """Calls (read_id, pos, base, prob) at some A and T of each read, in its original orientation."""
-    base = seqs.select("read_id", F.posexplode(bases()).alias("pos", "base")).where("base in ('A', 'T') and (pos * 37 + read_id) % 3 = 0")
-    return base.withColumn("prob", (F.col("pos") * 29 + F.col("read_id") * 7) % 101 / F.lit(100.0))
+    """(read_id, pos, base, prob) at every A and T of each read, in its original orientation; prob is null where there is no call."""
+    base = seqs.select("read_id", F.posexplode(bases()).alias("pos", "base")).where("base in ('A', 'T')")
+    return base.withColumn("prob", F.when((F.col("pos") * 37 + F.col("read_id")) % 3 == 0, (F.col("pos") * 29 + F.col("read_id") * 7) % 101 / F.lit(100.0)))
 
 
 CALLS_SQL = """calls AS (
@@ -51,18 +51,22 @@ CALLS_SQL = """calls AS (
 )"""
 
 
+#: The same at places of the reads as they were sequenced, where ``seq`` is in alignment orientation.
+ORIGINAL_CALLS_SQL = CALLS_SQL.replace("FROM (SELECT read_id, seq,", "FROM (SELECT read_id, CASE WHEN flag = 16 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq,")
+
+
 def alignments(seqs: DataFrame) -> DataFrame:
     """Reads with a cigar, a 0-based position on a contig, mapping quality and pass count."""
     n, i = F.length("seq"), F.col("read_id")
     cut = F.least(F.lit(60), (n / 2).cast("int"))
     cigar = F.concat(F.lit("4H"), (3 + i % 5).cast("string"), F.lit("S"), (cut - 10).cast("string"), F.lit("M2I3D"), F.lit("10="), (19 + i % 3).cast("string"), F.lit("D"), (n - cut - 12 - (3 + i % 5)).cast("string"), F.lit("M"))
-    out = seqs.select("read_id", "seq", "flag", cigar.alias("cigar"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("rname"), (i % 40).cast("int").alias("pos"), (i % 30).cast("int").alias("mapq"), (i % 12).cast("double").alias("ec"))
+    out = seqs.select("read_id", "seq", "flag", cigar.alias("cigar"), F.concat(F.lit("c"), i.cast("string")).alias("rname"), (i % 40).cast("int").alias("pos"), (i % 30).cast("int").alias("mapq"), (i % 12).cast("double").alias("ec"))
     return out
 
 
 ALIGN_SQL = """aligned AS (
     SELECT read_id, seq, flag, '4H' || (3 + read_id % 5) || 'S' || (cut - 10) || 'M2I3D10=' || (19 + read_id % 3) || 'D' || (len(seq) - cut - 12 - (3 + read_id % 5)) || 'M' AS cigar,
-           'c' || (read_id % 3) AS rname, (read_id % 40)::INT AS pos, (read_id % 30)::INT AS mapq, (read_id % 12)::DOUBLE AS ec
+           'c' || read_id AS rname, (read_id % 40)::INT AS pos, (read_id % 30)::INT AS mapq, (read_id % 12)::DOUBLE AS ec
     FROM (SELECT *, least(60, len(seq) // 2) AS cut FROM reads)
 ), ops AS (
     SELECT read_id, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS t, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), 1) - 1 AS k FROM aligned
@@ -76,11 +80,11 @@ ALIGN_SQL = """aligned AS (
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three reference contigs, out of the longest text of three ids."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 3")
-    return docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("contig"), F.regexp_replace(F.repeat(F.regexp_replace(F.upper("text"), "[^ACGTN]", ""), 20), "X", "").alias("seq"))
+    """A reference contig of each document, its letters twice, so that its own read lies on it anywhere."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("contig"), F.repeat(F.regexp_replace(F.upper("text"), "[^ACGTN]", ""), 2).alias("seq"))
 
 
 CONTIGS_SQL = """contigs AS (
-    SELECT 'c' || doc_id AS contig, repeat(regexp_replace(upper(text), '[^ACGTN]', '', 'g'), 20) AS seq FROM documents WHERE doc_id < 3
+    SELECT 'c' || doc_id AS contig, repeat(regexp_replace(upper(text), '[^ACGTN]', '', 'g'), 2) AS seq FROM documents
 )"""

@@ -117,6 +117,14 @@ def test_reference_in_tiles(spark, monkeypatch):
     assert sorted(map(tuple, alignment.aligned_pairs(df, contigs).collect())) == whole
 
 
+def test_checked_alignment(spark):
+    good, bad = aligned(spark, "2H2S5M1H", "GGAACGT"), [aligned(spark, "5M", "AACG"), aligned(spark, "4M2Q", "AACG"), aligned(spark, "4M", "AACG", pos=-1)]
+    assert alignment.with_checked_alignment(good).collect() == good.collect()
+    for df in bad:
+        with pytest.raises(Exception, match="not an alignment"):
+            alignment.with_checked_alignment(df).collect()
+
+
 def test_base_table_of_a_reverse_read(spark):
     contigs = spark.createDataFrame([("c", "AACGT")], "contig string, seq string")
     found = spark.createDataFrame([(1, 0, "A", 0.9), (1, 4, "T", 0.2)], "read_id long, pos int, base string, prob double")
@@ -136,6 +144,12 @@ def test_tags(spark):
     assert got == {1: ("A+m,1,1;T-m,1;", [128, 255, 74]), 3: ("A+m;T-m,2;", [0])}
     back = sorted((r.read_id, r.pos, r.base, round(r.prob, 3)) for r in calls.resolve_tags(seqs, tags).collect())
     assert back == [(1, 1, "A", 0.5), (1, 3, "T", 0.29), (1, 8, "A", 1.0), (3, 2, "T", 0.0)]
+    tagged = lambda mm, zp: calls.resolve_tags(seqs, spark.createDataFrame([(1, mm, None, zp)], "read_id long, mm string, ml array<short>, zp array<float>"))
+    assert [(r.pos, r.base, round(r.prob, 2)) for r in tagged("A+m?,1;T-m.,0;", [0.9, 0.1]).collect()] == [(1, "A", 0.9), (2, "T", 0.1)]
+    for mm, zp in (("C+m,0;A+m,0;T-m;", [0.9, 0.1]), ("A+m,0;T-m,0;", [0.5]), ("A+m,0,0;T-m;", [0.5]), ("A+m,x;", [0.5])):
+        with pytest.raises(Exception, match="A.m|gaps and"):
+            tagged(mm, zp).collect()
+    assert tagged("A+m,90;T-m;", [0.9]).collect() == [] and tagged(None, None).collect() == []
     ml_only = sorted((r.pos, round(r.prob * 255)) for r in calls.resolve_tags(seqs, tags.withColumn("zp", F.lit(None).cast("array<float>"))).collect() if r.read_id == 1)
     assert ml_only == [(1, 128), (3, 74), (8, 255)]
     assert {r.read_id: r.seq for r in calls.relabelled(seqs, found).collect()} == {1: "AZTTACGNZ", 2: "CCCC", 3: "TTT"}
