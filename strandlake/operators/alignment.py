@@ -167,7 +167,7 @@ def sequenced(seqs: DataFrame) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.alignments(views.reads(spark, sf_dir).select("read_id", "seq", "flag"))
+    return views.alignments(views.sequences(spark, sf_dir).select("read_id", "seq", "flag"))
 
 
 @query("p23_cigar_walk", f"WITH {views.SEQS_SQL}, {views.ALIGN_SQL} SELECT read_id, k::INT AS k, op, n, q_start, r_offset FROM walked")
@@ -189,6 +189,6 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a low identity, as invented sequences agree by chance only."""
-    seqs = views.reads(spark, sf_dir).select("read_id", "seq", "flag")
+    seqs = views.sequences(spark, sf_dir).select("read_id", "seq", "flag")
     return base_table(views.alignments(seqs), views.contigs(spark, sf_dir), views.calls(sequenced(seqs)), least_identity=20.0).fillna({"rname": "", "rpos": -1})
 

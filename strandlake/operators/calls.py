@@ -183,7 +183,7 @@ def histogram(values: DataFrame, buckets: int = 100, least: int = 1) -> DataFram
 
 @query("p16_p21_mm_roundtrip", f"WITH {views.SEQS_SQL}, {views.CALLS_SQL} SELECT read_id, pos::INT AS pos, base, round(prob, 4) AS prob FROM calls")
 def mm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = views.reads(spark, sf_dir).select("read_id", "seq")
+    seqs = views.sequences(spark, sf_dir).select("read_id", "seq")
     return resolve_tags(seqs, encode_tags(seqs, views.calls(seqs))).withColumn("prob", F.round("prob", 4))
 
 
@@ -196,7 +196,7 @@ def mm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                sum(least(255, floor(prob * 256)))::BIGINT AS ml FROM g GROUP BY read_id""",
 )
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = views.reads(spark, sf_dir).select("read_id", "seq")
+    seqs = views.sequences(spark, sf_dir).select("read_id", "seq")
     return encode_tags(seqs, views.calls(seqs)).select("read_id", "mm", F.aggregate("ml", F.lit(0).cast("long"), lambda s, x: s + x).alias("ml"))
 
 
@@ -206,7 +206,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT read_id, md5(string_agg(CASE WHEN prob >= 0.5 AND b.base = 'A' THEN 'Z' WHEN prob >= 0.5 AND b.base = 'T' THEN 'O' ELSE b.base END, '' ORDER BY b.pos)) AS seq FROM b LEFT JOIN calls USING (read_id, pos) GROUP BY read_id""",
 )
 def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = views.reads(spark, sf_dir).select("read_id", "seq")
+    seqs = views.sequences(spark, sf_dir).select("read_id", "seq")
     return relabelled(seqs, views.calls(seqs)).withColumn("seq", F.md5("seq"))
 
 
@@ -219,7 +219,7 @@ def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM b LEFT JOIN o USING (read_id, pos) LEFT JOIN z USING (read_id, k) WHERE read_id IN (SELECT read_id FROM calls) GROUP BY read_id""",
 )
 def relabel_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = views.reads(spark, sf_dir).select("read_id", "seq")
+    seqs = views.sequences(spark, sf_dir).select("read_id", "seq")
     return relabelled_in_order(seqs, encode_tags(seqs, views.calls(seqs))).withColumn("seq", F.md5("seq"))
 
 

@@ -75,12 +75,15 @@ class Svm:
         return Svm(x, np.array([float(r[0]) for r in rows]), float(known["rho"]), labels, float(known.get("gamma", 0)), known["kernel_type"], float(known.get("coef0", 0)), int(known.get("degree", 3)))
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, gamma: float = 0.5, name: str = "rbf", eps: float = 1e-3, most: int = 100_000) -> Svm:
-    """C-SVC by sequential minimal optimisation, each step on the pair of variables that violates the conditions most."""
+def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, gamma: float = 0.5, name: str = "rbf", eps: float = 1e-3, most: int | None = None) -> Svm:
+    """C-SVC by sequential minimal optimisation, each step on the pair of variables that violates the conditions most.
+
+    A machine that isn't within ``eps`` of the optimum after ``most`` steps, by default 100 a row and 1,000,000 at least, is an error.
+    """
     m = Svm(x, y, 0.0, gamma=gamma, name=name)
     q = m.gram(m.vectors, m.vectors) * np.outer(y, y)
     alpha, gradient = np.zeros(len(y)), -np.ones(len(y))
-    for _ in range(most):
+    for _ in range(most or max(1_000_000, 100 * len(y))):
         up, low = ((y > 0) & (alpha < cost)) | ((y < 0) & (alpha > 0)), ((y > 0) & (alpha > 0)) | ((y < 0) & (alpha < cost))
         value = -y * gradient
         i, j = int(np.where(up, value, -np.inf).argmax()), int(np.where(low, value, np.inf).argmin())
@@ -92,6 +95,8 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, gamma: float = 0.
         alpha[i] += y[i] * step
         alpha[j] -= y[j] * step
         gradient += step * (y[i] * q[:, i] - y[j] * q[:, j])
+    else:
+        raise ArithmeticError("the machine has not converged")
     free = (alpha > 1e-9) & (alpha < cost - 1e-9)
     value = -y * gradient
     rho = -float(value[free].mean()) if free.any() else -(value[up].max() + value[low].min()) / 2

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.functions import kinetics, sequence
-from strandlake.operators.rows import COMPLEMENT, back, by_read, letters, lists, numbers, quantile
+from strandlake.operators.rows import COMPLEMENT, cut, flat, quantile
 from strandlake.plans import driver_views as views
 from strandlake.registry import query
 
 TAGS = ("fi", "ri", "fp", "rp")
 
 
-def _medians(column: pa.Array) -> np.ndarray:
-    """Mean of the middle two of an even number; not a number for null and none."""
-    at = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
-    valid = column.is_valid().to_numpy(zero_copy_only=False)
-    return np.array([np.median(values[lo:hi]) if ok and hi > lo else np.nan for lo, hi, ok in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist(), strict=True)])
+def _quantiles(column: pa.Array, shares: list[float]) -> np.ndarray:
+    """A column of quantiles for each share, with linear interpolation; not a number for null and none."""
+    values, at = flat(column)
+    n = np.diff(at)
+    ordered = np.append(values[np.lexsort((values, np.repeat(np.arange(len(n)), n)))], 0).astype(np.float64)
+    place = np.maximum(0, n - 1)[:, None] * np.array(shares)
+    low, high = (ordered[np.minimum(at[:-1, None] + f(place).astype(np.int64), len(values))] for f in (np.floor, np.ceil))
+    out = low + (high - low) * (place - np.floor(place))
+    out[(n == 0) | ~column.is_valid().to_numpy(zero_copy_only=False)] = np.nan
+    return out
 
 
 def _ratios(batches):  # noqa: ANN001, ANN202
     for b in batches:
-        m = {t: _medians(b.column(t)) for t in TAGS}
+        m = {t: _quantiles(b.column(t), [0.5])[:, 0] for t in TAGS}
         below = m["fi"] + m["ri"]
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(below == 0, np.nan, (m["fp"] + m["rp"]) / below)
@@ -73,15 +80,15 @@ QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q90": 0.9}
 def signal_quantiles(reads: DataFrame) -> DataFrame:
     """Median, quartiles and 90 % quantile of each signal of each read, exact with linear interpolation; null for a missing or empty signal."""
 
-    def of(b: pa.RecordBatch, i: int) -> dict:
-        out = {}
-        for t in TAGS:
-            v = numbers(b.column(t), i)
-            found = np.quantile(v, list(QUANTILES.values())).tolist() if v is not None and len(v) else [None] * len(QUANTILES)
-            out |= {f"{t}_{n}": pa.array([x], pa.float64()) for n, x in zip(QUANTILES, found, strict=True)}
-        return out
+    names = [f"{t}_{n}" for t in TAGS for n in QUANTILES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.hstack([_quantiles(b.column(t), list(QUANTILES.values())) for t in TAGS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, mask=np.isnan(c)) for c in found.T)], ["read_id", *names])
 
-    return by_read(reads.select("read_id", *TAGS), of, ", ".join(f"{t}_{n} double" for t in TAGS for n in QUANTILES))
+    kind = reads.schema["read_id"].dataType.simpleString()
+    return reads.select("read_id", *TAGS).mapInArrow(run, f"read_id {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def with_status(stats: DataFrame, status: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p1_revcomp", f"WITH {views.SEQS_SQL} SELECT read_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc FROM reads")
 def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.reads(spark, sf_dir).select("read_id", F.md5(sequence.reverse_complement(F.col("seq"))).alias("rc"))
+    return views.sequences(spark, sf_dir).select("read_id", F.md5(sequence.reverse_complement(F.col("seq"))).alias("rc"))
 
 
 @query("p6_p8_signal_codes", """SELECT l_orderkey, l_linenumber, code, CASE WHEN code < 64 THEN code WHEN code < 128 THEN 64 + (code - 64) * 2 WHEN code < 192 THEN 192 + (code - 128) * 4 ELSE 448 + (code - 192) * 8 END AS frames,
@@ -131,48 +138,63 @@ def signal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("l_orderkey", "l_linenumber", "code", kinetics.decode_frames(F.col("code")).alias("frames"), F.round(F.col("code") / 255.0, 6).alias("scaled"), F.round(kinetics.phred_probability(F.col("l_quantity") + 33), 6).alias("prob"))
 
 
-def _signals(b: pa.RecordBatch, i: int, n: int, names: tuple[str, ...]) -> list[np.ndarray] | None:
-    """Signals of a read, none if one is missing; a signal of another length than the sequence is an error."""
-    found = [numbers(b.column(t), i) for t in names]
-    if any(v is None for v in found):
-        return None
-    if any(len(v) != n for v in found):
-        raise ValueError(f"read {b.column('read_id')[i]}: signals and sequence differ in length")
-    return found
+#: Letters of sequences that are worked on at once.
+TOGETHER = 1 << 17
 
 
-def _windows(other: np.ndarray, ipd: np.ndarray, pw: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    """[A, C, G, T, ipd/255, pw/255] for each base of the window around each centre, the first or last base repeated beyond an end."""
-    at = np.clip(centres[:, None] + np.arange(-(k // 2), k // 2 + 1), 0, len(other) - 1)
-    each = np.column_stack([*((other == base).astype(np.float64) for base in b"ACGT"), ipd / 255.0, pw / 255.0])
-    return each[at].reshape(-1)
+class _Reads:
+    """Reads that have all signals, side by side: letters, the other strand's, signals, and of each place its read, its bounds and its mirrored place."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        whole = np.logical_and.reduce([b.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("seq", *TAGS)])
+        b = b.filter(pa.array(whole))
+        self.ids = b.column("read_id")
+        self.seq, at = flat(b.column("seq"))
+        self.signals = {}
+        for t in TAGS:
+            self.signals[t], own = flat(b.column(t))
+            if (own != at).any():
+                raise ValueError(f"read {self.ids[int((np.diff(own) != np.diff(at)).argmax())]}: {t} and the sequence differ in length")
+        self.read = np.repeat(np.arange(b.num_rows), np.diff(at))
+        self.first, self.last = at[:-1][self.read], at[1:][self.read] - 1
+        self.mirror = self.first + self.last - np.arange(len(self.seq))
+        self.other = COMPLEMENT[self.seq][self.mirror]
+
+
+def _by_reads(reads: DataFrame, f, schema: str) -> DataFrame:  # noqa: ANN001
+    """What ``f`` makes of some reads at a time: the places of its rows and their columns; the read's id is put in front."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in cut(batch, "seq", TOGETHER):
+                r = _Reads(b)
+                for at, columns in f(r):
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([r.ids.take(pa.array(r.read[at])), *columns.values()], ["read_id", *columns])
+
+    kind = reads.schema["read_id"].dataType.simpleString()
+    return reads.select("read_id", "seq", *TAGS).mapInArrow(run, f"read_id {kind}, {schema}")
+
+
+def _lists(values: np.ndarray, width: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // width + 1, dtype=np.int32) * width), pa.array(values))
 
 
 def feature_rows(reads: DataFrame, k: int = 11) -> DataFrame:
     """One row (read_id, strand, pos, features) for each A of either strand: its k-mer's features on the other strand, where the base is a T.
 
-    Signals must be as long as the sequence; a read without one of them gives no rows.
+    Features are [A, C, G, T, ipd/255, pw/255] for each base of the window, the first or last base repeated beyond an end. Signals must be as
+    long as the sequence; a read without one of them gives no rows.
     """
 
-    def of(b: pa.RecordBatch, i: int) -> dict | None:
-        if not b.column("seq")[i].is_valid:
-            return None
-        seq = letters(b.column("seq")[i].as_py())
-        found = _signals(b, i, len(seq), TAGS)
-        if found is None or not len(seq):
-            return None
-        fi, ri, fp, rp = found
-        own, strands, places, features = back(seq), [], [], []
-        for strand, mine, other, ipd, pw in (("+", seq, own, ri, rp), ("-", own, seq, fi, fp)):
+    def of(r: _Reads):  # noqa: ANN202
+        for strand, mine, other, ipd, pw in (("+", r.seq, r.other, "ri", "rp"), ("-", r.other, r.seq, "fi", "fp")):
             at = np.flatnonzero(mine == ord("A"))
-            strands += [strand] * len(at)
-            places.append(at)
-            features.append(_windows(other, ipd, pw, len(seq) - 1 - at, k))
-        flat = np.concatenate(features)
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(strands) + 1, dtype=np.int32) * (6 * k)), pa.array(flat))
-        return {"strand": pa.array(strands, pa.string()), "pos": np.concatenate(places).astype(np.int32), "features": rows}
+            window = np.clip(r.mirror[at][:, None] + np.arange(-(k // 2), k // 2 + 1), r.first[at][:, None], r.last[at][:, None])
+            each = np.column_stack([*((other == base) for base in b"ACGT"), r.signals[ipd] / 255.0, r.signals[pw] / 255.0]).astype(np.float32)
+            yield at, {"strand": pa.array([strand] * len(at)), "pos": pa.array((at - r.first[at]).astype(np.int32)), "features": _lists(each[window].reshape(-1), 6 * k)}
 
-    return by_read(reads.select("read_id", "seq", *TAGS), of, "strand string, pos int, features array<double>")
+    return _by_reads(reads, of, "strand string, pos int, features array<float>")
 
 
 def context_rows(reads: DataFrame, half: int = 10, margin: int = 50) -> DataFrame:
@@ -181,49 +203,48 @@ def context_rows(reads: DataFrame, half: int = 10, margin: int = 50) -> DataFram
     A T's k-mer is its reverse complement, null if that has other letters than A, C, G and T. Around an A stand the reverse strand's signals at
     the mirrored place, around a T the forward one's. Signals must be as long as the sequence; a read without one of them gives no rows.
     """
+    around, width = np.arange(-half, half + 1), 2 * half + 1
+
+    def of(r: _Reads):  # noqa: ANN202
+        pos, n = np.arange(len(r.seq)) - r.first, r.last - r.first + 1
+        inner = (pos >= max(margin, half)) & (pos <= n - max(margin, half + 1))
+        at = np.flatnonzero(inner & ((r.seq == ord("A")) | (r.seq == ord("T"))))
+        is_a, own = r.seq[at] == ord("A"), r.seq[at[:, None] + around]
+        mer = np.where(is_a[:, None], own, COMPLEMENT[own[:, ::-1]])
+        strange = ~np.isin(own, list(b"ACGT")).all(axis=1) & ~is_a
+        kmers = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(mer)))
+        kmers = pc.if_else(pa.array(strange), pa.scalar(None, pa.string()), kmers)
+        place = np.where(is_a, r.mirror[at], at)[:, None] + around
+        signal = lambda a, t: _lists(np.where(is_a[:, None], r.signals[a][place], r.signals[t][place]).astype(np.int32).reshape(-1), width)
+        yield at, {"pos": pa.array(pos[at].astype(np.int32)), "base": pa.array(np.where(is_a, "A", "T").tolist(), pa.string()), "kmer": kmers, "ipd": signal("ri", "fi"), "pw": signal("rp", "fp")}
 
-    def of(b: pa.RecordBatch, i: int) -> dict | None:
-        if not b.column("seq")[i].is_valid:
-            return None
-        seq = letters(b.column("seq")[i].as_py())
-        found = _signals(b, i, len(seq), TAGS)
-        at = np.flatnonzero((seq == ord("A")) | (seq == ord("T")))
-        at = at[(at >= max(margin, half)) & (at <= len(seq) - max(margin, half + 1))]
-        if found is None or not len(at):
-            return None
-        fi, ri, fp, rp = found
-        around = np.arange(-half, half + 1)
-        is_a, mer = seq[at] == ord("A"), seq[at[:, None] + around]
-        turned = COMPLEMENT[mer[:, ::-1]]
-        text = np.ascontiguousarray(np.where(is_a[:, None], mer, turned)).tobytes().decode("latin-1")
-        plain = np.isin(mer, list(b"ACGT")).all(axis=1) | is_a
-        width = 2 * half + 1
-        centre = np.where(is_a, len(seq) - 1 - at, at)[:, None] + around
-        cut = lambda a, t: lists(list(np.where(is_a[:, None], a[centre], t[centre]).astype(np.int32)), pa.int32())
-        kmers = [text[j * width : (j + 1) * width] if ok else None for j, ok in enumerate(plain.tolist())]
-        return {"pos": at.astype(np.int32), "base": pa.array(np.where(is_a, "A", "T")), "kmer": pa.array(kmers, pa.string()), "ipd": cut(ri, fi), "pw": cut(rp, fp)}
-
-    return by_read(reads.select("read_id", "seq", *TAGS), of, "pos int, base string, kmer string, ipd array<int>, pw array<int>")
+    return _by_reads(reads, of, "pos int, base string, kmer string, ipd array<int>, pw array<int>")
 
 
 _rc = "reverse(translate(seq, 'ACGT', 'TGCA'))"
 _strand_sql = lambda other, i, p, s: f"SELECT read_id, '{s}' AS strand, len(seq) AS n, repeat({other}[1], 5) || {other} || repeat({other}[-1], 5) AS o, list_concat(list_concat([{i}[1] for x in range(5)], {i}), [{i}[-1] for x in range(5)]) AS ipd, list_concat(list_concat([{p}[1] for x in range(5)], {p}), [{p}[-1] for x in range(5)]) AS pw FROM reads"
-_placed = lambda v: "round((" + " + ".join(f"{j + 1} * {v}[c + {j + 1}]" for j in range(11)) + ") / 255.0, 6)::DOUBLE"
+_placed = lambda v: "(" + " + ".join(f"{j + 1} * {v}[c + {j + 1}]" for j in range(11)) + ")::BIGINT"
 
 
 @query(
     "p11_p13_kmer_features",
     f"""WITH {views.READS_SQL}, strands AS ({_strand_sql(_rc, 'ri', 'rp', '+')} UNION ALL {_strand_sql('seq', 'fi', 'fp', '-')})
-        SELECT read_id, strand, (n - 1 - c)::INT AS pos, 66 AS n, o[c + 1:c + 11] AS kmer, {_placed('ipd')} AS ipd, {_placed('pw')} AS pw
+        SELECT read_id, strand, (n - 1 - c)::INT AS pos, 66 AS n, ({' + '.join(f"{4**j} * instr('CGT', o[c + {j + 1}])" for j in range(11))})::BIGINT AS kmer, {_placed('ipd')} AS ipd, {_placed('pw')} AS pw
         FROM (SELECT *, unnest(range(n)) AS c FROM strands) WHERE o[c + 6] = 'T'""",
 )
 def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bases of each window, and its signals weighted by their places."""
-    rows = feature_rows(views.reads(spark, sf_dir))
-    at = lambda j, k: F.get("features", 6 * j + k)
-    total = lambda k: F.round(sum(((j + 1) * at(j, k) for j in range(11)), F.lit(0.0)), 6)  # noqa: E731  compiled, unlike a lambda of Spark's
-    kmer = F.concat(*[F.concat(*[F.when(at(j, k) == 1, base).otherwise("") for k, base in enumerate("ACGT")]) for j in range(11)])
-    return rows.select("read_id", "strand", "pos", F.size("features").alias("n"), kmer.alias("kmer"), total(4).alias("ipd"), total(5).alias("pw"))
+    """The bases of each window as digits of base 4, and its signals weighted by their places."""
+    powers, places = 4 ** np.arange(11), np.arange(1, 12)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, at = flat(b.column("features"))
+            x = values.reshape(b.num_rows, 11, 6)
+            kmer = (x[:, :, :4] @ np.arange(4, dtype=np.float32)).astype(np.int64) @ powers
+            ipd, pw = (np.rint(x[:, :, k] * 255).astype(np.int64) @ places for k in (4, 5))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, (np.diff(at).astype(np.int32), kmer, ipd, pw))], ["read_id", "strand", "pos", "n", "kmer", "ipd", "pw"])
+
+    return feature_rows(views.reads(spark, sf_dir)).mapInArrow(digest, "read_id long, strand string, pos int, n int, kmer long, ipd long, pw long")
 
 
 @query(

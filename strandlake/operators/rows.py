@@ -36,6 +36,26 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all arrays (or bytes of all texts) of a column in a row, and where each begins, with the end."""
+    if pa.types.is_list(column.type):
+        at = column.offsets.to_numpy()
+        return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at.astype(np.int64) - at[0]
+    column = column.cast(pa.large_string())
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
+
+
+def cut(b: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some ``most`` values or letters of a column each, or one longer row."""
+    at, i = flat(b.column(column))[1], 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
+
+
 def by_read(rows: DataFrame, f: Callable[[pa.RecordBatch, int], dict[str, pa.Array | np.ndarray] | None], schema: str) -> DataFrame:
     """What ``f`` makes of each row (columns of equal length, or nothing), some thousand rows a batch; ``read_id`` is put in front."""
     kind = rows.schema["read_id"].dataType.simpleString()

@@ -18,6 +18,6 @@ from strandlake.registry import query
         FROM placed JOIN ident USING (read_id) JOIN pairs ON pairs.read_id = placed.read_id AND pairs.q = placed.q AND a = b AND a IN ('A', 'T') WHERE identity >= 20 GROUP BY 1, 2""",
 )
 def site_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = views.reads(spark, sf_dir).select("read_id", "seq", "flag")
+    seqs = views.sequences(spark, sf_dir).select("read_id", "seq", "flag")
     out = workflows.site_frequencies(views.alignments(seqs), views.contigs(spark, sf_dir), views.calls(sequenced(seqs)), least_identity=20.0)
     return out.withColumn("ratio", F.round("ratio", 6))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators.rows import cut, flat
 from strandlake.registry import table
 
 LEAST_LENGTH = 100
@@ -18,13 +23,35 @@ def bases(seq: str = "seq"):  # noqa: ANN201
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, seq, flag, fn, rn and the four kinetic arrays."""
-    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
-    # Made in a generator, so that no later expression makes it from the text again.
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.inline(F.array(F.struct(seq.alias("seq")))))
-    docs = docs.where(F.length("seq") >= LEAST_LENGTH)
-    signal = lambda a, b, c: F.transform(bases(), lambda x, i: ((F.ascii(x) * a + i * b + F.col("read_id") * c) % 256).cast("int"))
-    flag = F.when(F.col("read_id") % 2 == 1, 16).otherwise(0)
-    return docs.select("read_id", "seq", flag.alias("flag"), (1 + F.col("read_id") % 9).cast("int").alias("fn"), (1 + F.col("read_id") * 3 % 7).cast("int").alias("rn"), *[signal(*k).alias(n) for n, k in SIGNALS.items()])
+    made = _sequences(spark, sf_dir, SIGNALS)
+    i = F.col("read_id")
+    return made.select("read_id", "seq", F.when(i % 2 == 1, 16).otherwise(0).alias("flag"), (1 + i % 9).cast("int").alias("fn"), (1 + i * 3 % 7).cast("int").alias("rn"), *SIGNALS)
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, seq and flag of the same reads, for what looks at sequences alone."""
+    return _sequences(spark, sf_dir, {}).withColumn("flag", F.when(F.col("read_id") % 2 == 1, 16).otherwise(0))
+
+
+def _sequences(spark: SparkSession, sf_dir: str, signals: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """read_id and seq, the letters A, C, G and T of a document's text in either case, with signals made of them; short ones are left out."""
+    fold = np.zeros(256, dtype=np.uint8)
+    fold[list(b"ACGTacgt")] = list(b"ACGTACGT")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in cut(batch.filter(batch.column("text").is_valid()), "text", 1 << 20):
+                base, at = flat(b.column("text"))
+                base = fold[base]
+                at, base = np.append(0, np.cumsum(base > 0))[at], base[base > 0]
+                seq = pa.LargeStringArray.from_buffers(b.num_rows, pa.py_buffer(at), pa.py_buffer(base)).cast(pa.string())
+                row = np.repeat(np.arange(b.num_rows), np.diff(at))
+                base, place, key = base.astype(np.int64), np.arange(len(base)) - at[row], b.column("doc_id").to_numpy()[row]
+                made = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(((base * x + place * y + key * z) % 256).astype(np.int32))) for x, y, z in signals.values()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), seq, *made], ["read_id", "seq", *signals]).filter(pa.array(np.diff(at) >= LEAST_LENGTH))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(run, "read_id long, seq string" + "".join(f", {n} array<int>" for n in signals))
 
 
 _signal_sql = ", ".join(f"list_transform(range(len(seq)), lambda i: ((ascii(seq[i + 1]) * {a} + i * {b} + doc_id * {c}) % 256)::INT) AS {n}" for n, (a, b, c) in SIGNALS.items())
