@@ -61,7 +61,8 @@ def test_ties_at_the_threshold_and_huge_values(spark):
     assert vectors.near_vectors(df, cosine=0.6).where("vec_id = 1 and n_links = 3").count() == 1
 
 
-def test_parts_lose_no_near_pair():
+def test_parts_lose_no_near_pair(monkeypatch):
+    monkeypatch.setattr(vectors, "PART", 8)
     r = np.random.default_rng(1)
     z = np.concatenate([r.normal(0, 0.1, (700, 8)), np.repeat(r.normal(0, 0.1, (3, 8)), 90, axis=0)]).astype(np.float32)
     own, other = np.arange(0, len(z), 2), np.arange(len(z))
