@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import kernel
-from strandlake.llm.store import small_batches, written
+from strandlake.llm.store import let_go, small_batches, written
 
 K, SHINGLE = 10, 3
 BLOCK_BYTES = 16 << 20
@@ -103,6 +103,7 @@ def _found(grams: np.ndarray, known: np.ndarray, maybe: np.ndarray) -> tuple[np.
 
 def _frequencies(known, sizes):  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         values = known.value
         maybe, total = _mask(values), np.zeros(len(values), dtype=np.int64)
         for b in batches:
@@ -185,6 +186,7 @@ def _scan(index):  # noqa: ANN001
     """Appends n_words, spans and item_ids to (..., text, spans, item_ids); earlier passes' spans and ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = index.value if index else None
         for b in batches:
             w = kernel.words(b.column("text"), kernel.ALNUM)

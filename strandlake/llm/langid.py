@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.llm import kernel
-from strandlake.llm.store import small_batches
+from strandlake.llm.store import let_go, small_batches
 
 FEATURES = 2048
 #: Labelled rows to fit on: some SAMPLE_ROWS in all and PER_LANGUAGE of a language, picked by a hash of their ids.
@@ -145,6 +145,7 @@ def held_out(id_col: str = "doc_id"):  # noqa: ANN201
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for b in batches:
         x, lettered = features(b.column(0))
         keep = np.flatnonzero(lettered)
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def _predict(model):  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             langs, scores = [], [np.zeros(0)]
             for i in range(0, b.num_rows, 512):

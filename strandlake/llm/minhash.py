@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import kernel
 from strandlake.llm.graph import components
-from strandlake.llm.store import delete, small_batches, written
+from strandlake.llm.store import delete, let_go, small_batches, written
 
 TREES, TOKENS = 4, 64
 #: Sets up to which a node is compared whole; levels after which every node is.
@@ -91,6 +91,7 @@ def _marks(sets: np.ndarray, at: np.ndarray) -> pa.Array:
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             sets, at = kernel.shingle_sets(kernel.words(b.column(1), kernel.NOT_SPACE), k)
             made = [b.column(0), pa.array(np.diff(at)), _marks(sets, at), _binary(signatures(sets, at).astype(np.uint32))]
@@ -106,6 +107,7 @@ def _nodes(first: bool):
     """Rows (key, slot, parent, sig, n) of the nodes below the roots, from (sig, n, tokens, m), or below those of (sig, n, tokens, m, key, slot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -125,6 +127,7 @@ def _nodes(first: bool):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             sets, at = kernel.shingle_sets(kernel.words(b.column(1), kernel.NOT_SPACE), k)
             raw = memoryview(np.ascontiguousarray(sets)).cast("B")
@@ -231,6 +234,7 @@ def _active(percent: int):
     """Rows that have a pair to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t, at in whole_groups(batches, ["key", "tile"]):
             label = np.arange(1, t.num_rows + 1)  # 0 for those known to have one: pairs of two such say nothing new
             for a, b in _Nodes(t, at, percent).candidates(label):
@@ -314,6 +318,7 @@ def verified(sets: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray
 
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t, at in whole_groups(batches, ["key", "tile"], 4000):
             nodes, sets = _Nodes(t, at, percent), [np.frombuffer(r, dtype=np.uint64) for r in t["shingles"].to_pylist()]
             forest, found = _Forest(), []
@@ -334,6 +339,7 @@ def _stars(percent: int):
     """Of groups (key, tile) that begin with the sets to compare with (``own`` is false): each link of one of these with another row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t, at in whole_groups(batches, ["key", "tile"], 4000):
             n, own, sig = t["n"].to_numpy(), t["own"].to_numpy(), t["sig"].combine_chunks()
             sets = [np.frombuffer(r, dtype=np.uint64) for r in t["shingles"].to_pylist()]

@@ -140,7 +140,7 @@ def _pack(path: str, end_id: int, capacity: int):
             ids, at = encoder(path).encode(b.column(1), end_id)
             for doc, lo, hi in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 packer.add((doc, hi - lo), ids[lo:hi].copy())
-                if len(done) >= 4096:
+                if len(done) >= 512:
                     yield flush()
         packer.close()
         if done:

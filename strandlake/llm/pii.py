@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.store import small_batches
+from strandlake.llm.store import held, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -432,11 +432,9 @@ _SPAN = "array<struct<kind:string,start:long,end:long>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _finder(weights, made: dict = {}) -> Finder:  # noqa: ANN001, B006  one for each worker
-    key = tuple(w.tobytes() for w in weights)
-    if made.get("key") != key:
-        made.update(key=key, finder=Finder(*weights))
-    return made["finder"]
+def _finder(weights) -> Finder:  # noqa: ANN001
+    """The worker's finder with these weights."""
+    return held(f"finder {hash(tuple(w.tobytes() for w in weights))}", lambda: Finder(*weights))
 
 
 def _spans(weights):  # noqa: ANN001

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch handed to Python; long texts make small batches.
@@ -79,3 +83,25 @@ def small_batches(spark: SparkSession) -> None:
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: What a Python worker keeps for its next tasks: one operator's encoder, counter or finder at a time.
+_held: dict[str, object] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def let_go() -> None:
+    """Give back the memory that a worker's earlier tasks, of other operators, left behind."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:  # noqa: ANN401
+    """The worker's object of this name; another operator's goes before it is made."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]

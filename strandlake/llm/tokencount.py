@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import kernel
-from strandlake.llm.store import small_batches
-from strandlake.llm.tokens import encoder
+from strandlake.llm.store import held, small_batches
+from strandlake.llm.tokens import WordEncoder
 
 LIMIT = 4096
 #: Bytes of texts encoded at once, and of a part of a long text at least.
@@ -52,25 +52,21 @@ class PieceCounter:
 
 class JsonCounter:
     def __init__(self, path: str) -> None:
-        self.encoder = encoder(path)
+        self.encoder = WordEncoder(path)
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
         return np.diff(self.encoder.encode(pa.array(texts, pa.binary()).cast(pa.string()))[1])
 
 
-_counters: dict[str, PieceCounter | JsonCounter] = {}
-
-
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = (JsonCounter if path.endswith(".json") else PieceCounter)(path)
+        counter = held(f"counter {path}", lambda: (JsonCounter if path.endswith(".json") else PieceCounter)(path))
         for b in batches:
             buf, at = kernel.text_bytes(b.column(1))
             raw, out, i = buf.tobytes(), [np.zeros(0, np.int64)], 0
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + BATCH_BYTES, "right")) - 1)
-                out.append(_counters[path].counts([raw[lo:hi] for lo, hi in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]))
+                out.append(counter.counts([raw[lo:hi] for lo, hi in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]))
                 i = j
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(np.concatenate(out))], ["id", "n_bytes", "n_tokens"])
 

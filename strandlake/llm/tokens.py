@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 from strandlake.llm import kernel
+from strandlake.llm.store import held
 
 #: Texts of these characters alone are in NFC as they are, have one lower-case form in every library, and one class each.
 _PLAIN = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x17F)] if c not in (0x130, 0x149)]
@@ -190,11 +191,6 @@ def exact_by_word(spec: dict) -> bool:
     return clean and lower and first and rest and added and spec.get("post_processor") is None
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: WordEncoder(path))
