@@ -1,19 +1,30 @@
-"""BAM files: a Python data source that reads BGZF in tasks, and a writer of one file a partition.
+"""BAM files: a Python data source that reads and writes BGZF in tasks.
 
     spark.dataSource.register(BamSource)
-    spark.read.format("bam").load("/data/*.bam")
+    reads = spark.read.format("bam").load("/data/*.bam")
+    reads.write.format("bam").option("contigs", "c1:1000,c2:500").mode("append").save("/out")
 
-A file is one partition; ``read_id`` numbers a file's reads in file order, the file's place in the upper bits.
+A path is a file, a folder of .bam files or a pattern, on any store that pyarrow knows; one without a file is an error. A file is one partition;
+``read_id`` numbers a file's reads in file order, the file's place in the upper bits. A file that is cut off, or whose blocks don't match their
+checksums, is an error. Pulse signals are codes of 0 to 255: those stored as raw frames (B:S) are encoded as they are read.
+
+A task writes one file. It lies in a temporary folder until the whole job has ended, so a task that runs twice leaves its reads once.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from strandlake.functions import kinetics
 
 SCHEMA = "read_id long, qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual array<short>, fi array<int>, ri array<int>, fp array<int>, rp array<int>, fn int, rn int, ec double, mm string, ml array<short>, zp array<float>"
 _ARROW = pa.schema([("read_id", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("rname", pa.string()), ("pos", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.list_(pa.int16())), *[(t, pa.list_(pa.int32())) for t in ("fi", "ri", "fp", "rp")], ("fn", pa.int32()), ("rn", pa.int32()), ("ec", pa.float64()), ("mm", pa.string()), ("ml", pa.list_(pa.int16())), ("zp", pa.list_(pa.float32()))])
@@ -22,33 +33,74 @@ BASES, CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 TYPES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f", "A": "c"}
 
 
+def _exactly(f, n: int) -> bytes:  # noqa: ANN001
+    out = f.read(n)
+    if len(out) != n:
+        raise ValueError("BAM file is cut off within a block")
+    return out
+
+
 def _stream(f) -> Iterator[bytes]:  # noqa: ANN001
-    """Contents of the BGZF blocks of a file, one at a time."""
-    while head := f.read(18):
-        size = struct.unpack_from("<H", head, 16)[0] + 1
-        body = f.read(size - 18)
-        yield zlib.decompress(body[:-8], -15)
+    """Contents of the BGZF blocks of a file, one at a time. The last one must be empty, as that marks the end."""
+    data = None
+    while head := f.read(12):
+        if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
+            raise ValueError("no BGZF block")
+        extra, at, size = _exactly(f, struct.unpack_from("<H", head, 10)[0]), 0, None
+        while at + 4 <= len(extra):
+            n = struct.unpack_from("<H", extra, at + 2)[0]
+            if extra[at : at + 2] == b"BC" and n == 2:
+                size = struct.unpack_from("<H", extra, at + 4)[0] + 1
+            at += 4 + n
+        if size is None:
+            raise ValueError("BGZF block without its size")
+        body = _exactly(f, size - 12 - len(extra))
+        data = zlib.decompress(body[:-8], -15)
+        if struct.unpack("<II", body[-8:]) != (zlib.crc32(data), len(data)):
+            raise ValueError("BGZF block does not match its checksum")
+        yield data
+    if data != b"":
+        raise ValueError("BAM file is cut off: no end block")
 
 
 class _Reader:
     def __init__(self, f) -> None:  # noqa: ANN001
         self.blocks, self.held = _stream(f), bytearray()
 
-    def take(self, n: int) -> bytes | None:
+    def take(self, n: int, need: bool = True) -> bytes | None:
+        """The next bytes; at the file's end none, if they need not be there."""
         while len(self.held) < n:
             block = next(self.blocks, None)
             if block is None:
+                if self.held or need:
+                    raise ValueError("BAM file is cut off within a record")
                 return None
             self.held += block
         out = bytes(self.held[:n])
         del self.held[:n]
         return out
 
-    def number(self) -> int | None:
-        raw = self.take(4)
+    def number(self, need: bool = True) -> int | None:
+        raw = self.take(4, need)
         return None if raw is None else struct.unpack("<i", raw)[0]
 
 
+#: Tags of pulse signals.
+SIGNALS = ("fi", "ri", "fp", "rp")
+
+
+def _codes(name: str, kind: str, values: list[int]) -> list[int]:
+    """Codes of a signal: bytes (C) as they are, raw frames (S) encoded."""
+    if kind not in "CS":
+        raise ValueError(f"tag {name} is B:{kind}, not B:C or B:S")
+    if kind == "C":
+        return values
+    v = np.minimum(np.array(values, dtype=np.int64), kinetics.MOST_FRAMES)
+    frame, code, step = np.array(kinetics.SEGMENTS).T
+    at = np.searchsorted(frame, v, "right") - 1
+    return (code[at] + (v - frame[at]) // step[at]).tolist()
+
+
 def _tags(data: bytes, at: int) -> dict:
     out = {}
     while at < len(data):
@@ -60,6 +112,8 @@ def _tags(data: bytes, at: int) -> dict:
         elif kind == "B":
             item, n = TYPES[chr(data[at])], struct.unpack_from("<I", data, at + 1)[0]
             out[name] = list(struct.unpack_from(f"<{n}{item}", data, at + 5))
+            if name in SIGNALS:
+                out[name] = _codes(name, chr(data[at]), out[name])
             at += 5 + n * struct.calcsize(item)
         else:
             out[name] = struct.unpack_from("<" + TYPES[kind], data, at)[0]
@@ -95,7 +149,7 @@ def read_file(f, first: int = 0, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         names.append(r.take(r.number())[:-1].decode())
         r.number()
     held = []
-    while (size := r.number()) is not None:
+    while (size := r.number(need=False)) is not None:
         held.append({"read_id": first} | _record(r.take(size), names))
         first += 1
         if len(held) >= rows:
@@ -105,13 +159,45 @@ def read_file(f, first: int = 0, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
 
-def _open(path: str):  # noqa: ANN202
+def _store(path: str) -> tuple:
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _pattern(text: str) -> re.Pattern:
+    """A path pattern of *, ? and [...], none of which matches a slash."""
+    out = []
+    for part in re.split(r"(\*|\?|\[[^\]/]+\])", text):
+        if part in ("*", "?"):
+            out.append("[^/]*" if part == "*" else "[^/]")
+        elif part.startswith("[") and part.endswith("]"):
+            out.append("[" + ("^/" + part[2:-1] if part[1] in "!^" else part[1:-1]) + "]")
+        else:
+            out.append(re.escape(part))
+    return re.compile("".join(out))
+
+
+def files(path: str) -> list[str]:
+    """Paths, as the path's file system knows them, of all BAM files that it names, in order."""
     from pyarrow import fs
 
-    if "://" not in path:
-        return open(path, "rb")
-    store, at = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(at)
+    store, at = _store(path)
+    kind = store.get_file_info(at).type
+    if kind == fs.FileType.File:
+        return [at]
+    if kind == fs.FileType.Directory:
+        within = store.get_file_info(fs.FileSelector(at))
+        found = [x.path for x in within if x.type == fs.FileType.File and x.path.endswith(".bam")]
+    else:
+        base = re.split(r"[*?\[]", at)[0].rpartition("/")[0] or ("/" if at.startswith("/") else ".")
+        wanted = _pattern(at if base != "." else "./" + at.removeprefix("./"))
+        within = store.get_file_info(fs.FileSelector(base, recursive="/" in at[len(base) + 1 :], allow_not_found=True))
+        found = [x.path for x in within if x.type == fs.FileType.File and wanted.fullmatch(x.path)]
+    if not found:
+        raise FileNotFoundError(f"no BAM file at {path}")
+    return sorted(found)
 
 
 class BamSource(DataSource):
@@ -125,23 +211,75 @@ class BamSource(DataSource):
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return BamReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
+        return BamWriter(self.options, overwrite)
+
 
 class BamReader(DataSourceReader):
     def __init__(self, options) -> None:  # noqa: ANN001
         self.path = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-
-        found = [self.path] if "://" in self.path else sorted(glob.glob(self.path))
-        return [InputPartition((i, p)) for i, p in enumerate(found)]
+        return [InputPartition((i, p)) for i, p in enumerate(files(self.path))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         i, path = partition.value
-        with _open(path) as f:
+        with _store(self.path)[0].open_input_stream(path, compression=None) as f:
             yield from read_file(f, i << 40)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+
+
+class BamWriter(DataSourceWriter):
+    """Files of a job's tasks. Option ``contigs`` lists all contigs as name:length, comma-separated; a read of another one is an error."""
+
+    def __init__(self, options, overwrite: bool) -> None:  # noqa: ANN001
+        self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
+        pairs = [c.rpartition(":") for c in options.get("contigs", "").split(",") if c]
+        self.contigs = [(name, int(size)) for name, _, size in pairs]
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        store, at = _store(self.path)
+        name = f"part-{uuid.uuid4().hex}.bam"
+        store.create_dir(f"{at}/_temporary-{self.job}", recursive=True)
+        with store.open_output_stream(f"{at}/_temporary-{self.job}/{name}", compression=None) as f:
+            write_file((_defaults(r.asDict()) for r in iterator), f, self.contigs)
+        return Written(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, at = _store(self.path)
+        store.create_dir(at, recursive=True)
+        old = files(self.path) if self.overwrite and _has_files(self.path) else []
+        for m in messages:
+            store.move(f"{at}/_temporary-{self.job}/{m.name}", f"{at}/{m.name}")
+        for path in old:
+            store.delete_file(path)
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
+        store, at = _store(self.path)
+        if store.get_file_info(f"{at}/_temporary-{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{at}/_temporary-{self.job}")
+
+
+def _has_files(path: str) -> bool:
+    try:
+        return bool(files(path))
+    except FileNotFoundError:
+        return False
+
+
+def _defaults(row: dict) -> dict:
+    """A row with what a read without an alignment has, where columns are missing or null."""
+    given = {k: v for k, v in row.items() if v is not None}
+    return {"flag": 4, "rname": "*", "pos": -1, "mapq": 0, "cigar": "*", "seq": ""} | given
+
+
 def encode_record(row: dict, ref: int) -> bytes:
     name = row["qname"].encode() + b"\0"
     ops = [] if row["cigar"] == "*" else _cigar(row["cigar"])
@@ -164,8 +302,6 @@ def encode_record(row: dict, ref: int) -> bytes:
 
 
 def _cigar(text: str) -> list[int]:
-    import re
-
     return [int(n) << 4 | CIGAR.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", text)]
 
 
@@ -189,6 +325,8 @@ def write_file(rows: Iterator[dict], f, contigs: list[tuple[str, int]], program:
     place = {n: i for i, (n, _) in enumerate(contigs)}
     held = bytearray(head)
     for row in rows:
+        if row["rname"] != "*" and row["rname"] not in place:
+            raise ValueError(f"unknown contig: {row['rname']}")
         held += encode_record(row, place.get(row["rname"], -1))
         if len(held) > 1 << 20:
             f.write(b"".join(_blocks(bytes(held))))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import kinetics
+
+SIGNALS = ("fi", "ri", "fp", "rp")
 CALLS = "qname string, read_id int, strand string, qpos int, base string, rname string, rpos int, prob double"
 FREQUENCIES = "chr string, coor int, num_records_above_threshold long, num_records_below_threshold long, ratio_above_threshold double"
 
@@ -44,20 +47,35 @@ def paf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get(c, 0).alias("qname"), get(1).alias("qlen"), get(2).alias("qstart"), get(3).alias("qend"), F.get(c, 4).alias("strand"), F.get(c, 5).alias("target"), F.array_join(F.slice(c, 13, F.size(c)), " ").alias("tags"), "line")
 
 
+def _signal(tag: Column, values: Column) -> Column:
+    """Codes of a signal's values, by the type that its tag names."""
+    kind = F.substring(tag, 6, 1)
+    most = F.when(kind == "C", 255).otherwise((1 << 16) - 1)
+    bad = ~kind.isin("C", "S") | ~F.forall(values, lambda x: F.coalesce((x >= 0) & (x <= most), F.lit(False)))
+    codes = F.when(kind == "S", F.transform(values, kinetics.encode_frames)).otherwise(values)
+    return F.when(bad, F.raise_error(F.concat(F.lit("bad signal: "), F.substring(tag, 1, 40))).cast("array<int>")).otherwise(codes)
+
+
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment lines with their kinetic tags; positions are 0-based, a missing qual is null."""
-    c = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(c) >= 11))
-    get = lambda i, kind: F.get(c, i).try_cast(kind)
-    tag = lambda name, kind: F.get(F.filter(F.slice(c, 12, F.size(c)), lambda x: x.startswith(f"{name}:{kind}:")), 0)
-    rest = lambda x: F.slice(x, 2, F.size(x))
-    numbers = lambda name, kind: F.transform(rest(F.split(tag(name, "B"), ",")), lambda x: x.cast(kind))
-    one = lambda name, kind, to: F.coalesce(F.substr(tag(name, kind), F.lit(6)).try_cast(to), F.lit(0).cast(to))
-    qual = F.when(F.get(c, 10) != "*", F.transform(F.split(F.get(c, 10), ""), lambda x: (F.ascii(x) - 33).cast("short")))
+    """Alignment lines with their kinetic tags; positions are 0-based, a missing qual is null.
+
+    Pulse signals are codes of 0 to 255: raw frames (B:S) are encoded. A signal of another type or with a value out of range is an error.
+    """
+    lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 11)
+    kinds = dict.fromkeys(SIGNALS, "B") | {"fn": "i", "rn": "i", "ec": "f", "MM": "Z", "ML": "B", "ZP": "B"}
+    tag = lambda name, kind: F.get(F.filter("tags", lambda x: x.startswith(f"{name}:{kind}:")), 0)
+    # Steps of their own, so that a long line is taken apart once.
+    rows = lines.select("c", F.slice("c", 12, F.size("c")).alias("tags")).select("c", *[tag(t, kind).alias(f"tag_{t}") for t, kind in kinds.items()])
+    rows = rows.withColumns({f"parts_{t}": F.split(f"tag_{t}", ",") for t, kind in kinds.items() if kind == "B"})
+    numbers = lambda name, kind: F.slice(f"parts_{name}", 2, F.size(f"parts_{name}")).cast(f"array<{kind}>")
+    rows = rows.withColumns({f"raw_{t}": numbers(t, "int") for t in SIGNALS})
+    get = lambda i, kind: F.get("c", i).try_cast(kind)
+    one = lambda name, to: F.coalesce(F.substr(f"tag_{name}", F.lit(6)).try_cast(to), F.lit(0).cast(to))
+    qual = F.when(F.get("c", 10) != "*", F.transform(F.split(F.get("c", 10), ""), lambda x: (F.ascii(x) - 33).cast("short")))
     return rows.select(
-        F.get(c, 0).alias("qname"), get(1, "int").alias("flag"), F.get(c, 2).alias("rname"), (get(3, "int") - 1).alias("pos"), get(4, "int").alias("mapq"), F.get(c, 5).alias("cigar"), F.get(c, 9).alias("seq"), qual.alias("qual"),
-        *[numbers(t, "int").alias(t) for t in ("fi", "ri", "fp", "rp")], one("fn", "i", "int").alias("fn"), one("rn", "i", "int").alias("rn"), one("ec", "f", "double").alias("ec"),
-        F.substr(tag("MM", "Z"), F.lit(6)).alias("mm"), numbers("ML", "short").alias("ml"), numbers("ZP", "float").alias("zp"),
+        F.get("c", 0).alias("qname"), get(1, "int").alias("flag"), F.get("c", 2).alias("rname"), (get(3, "int") - 1).alias("pos"), get(4, "int").alias("mapq"), F.get("c", 5).alias("cigar"), F.get("c", 9).alias("seq"), qual.alias("qual"),
+        *[_signal(F.col(f"tag_{t}"), F.col(f"raw_{t}")).alias(t) for t in SIGNALS], one("fn", "int").alias("fn"), one("rn", "int").alias("rn"), one("ec", "double").alias("ec"),
+        F.substr("tag_MM", F.lit(6)).alias("mm"), numbers("ML", "short").alias("ml"), numbers("ZP", "float").alias("zp"),
     )
 
 
@@ -71,13 +89,16 @@ def plausible(line: Column) -> Column:
 
 
 def fasta(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """(contig, comment, seq). Records are split at '>' by the text source, so large files are read in parallel.
+    """(contig, comment, seq). A '>' that begins a line begins a record. The text source splits there, so large files are read in parallel.
 
     Comment lines (!, #, ;) and what follows a semicolon go, white space goes, letters become upper-case. A record without a name, with an
-    implausible first line or with characters that are no residues is dropped, or ends the job with ``mode="FAILFAST"``.
+    implausible first line or with characters that are no residues is dropped, or ends the job with ``mode="FAILFAST"``. Blank and comment
+    lines before a file's first record are none; other lines there count as a record.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
+    parts = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n>")  # lines that end with a carriage return alone aren't split by the source
+    # A file's first record keeps its '>', as no line feed stands before it.
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.explode(parts).alias("value")).where(~F.col("value").rlike(r"\A(?:\s*+[!#;][^\n]*+)*+\s*+\z"))
+    lines = F.split(F.regexp_replace("value", "^>", ""), "\n")
     name = F.regexp_extract(F.get(lines, 0), r"^(\S*)", 1)
     data = F.filter(F.slice(lines, 2, 1 << 30), lambda x: ~x.rlike("^[!#;]"))
     seq = F.upper(F.regexp_replace(F.array_join(F.transform(data, lambda x: F.regexp_replace(x, ";.*$", "")), ""), r"\s", ""))

@@ -1,6 +1,8 @@
 import io
 import math
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -333,11 +335,81 @@ def test_bam(spark, tmp_path):
     got = spark.read.format("bam").load(str(tmp_path / "*.bam"))
     assert got.count() == 1604 and got.select("read_id").distinct().count() == 1604
     first = got.where("qname = 'q1'").orderBy("read_id").first().asDict()
-    assert {k: v for k, v in first.items() if k != "read_id"} == row and first["read_id"] == 0
+    squeezed = row | {"ri": [255, 1, 2, 3, 4]}  # frames are stored as such and read as codes
+    assert {k: v for k, v in first.items() if k != "read_id"} == squeezed and first["read_id"] == 0
     second = got.where("qname = 'q2'").first()
     assert second.rname == "*" and second.qual is None and second.fi is None and second.ec == 0
 
 
+def test_bam_sink(spark, tmp_path):
+    spark.dataSource.register(bam.BamSource)
+    rows = [(f"q{i}", 0, "c2", i, "3M", "ACG", [7, 8, 9], [1, 2, 255]) for i in range(50)]
+    reads = spark.createDataFrame(rows, "qname string, flag int, rname string, pos int, cigar string, seq string, qual array<int>, fi array<int>").repartition(3)
+    save = lambda df, mode: df.write.format("bam").option("contigs", "c1:100,c2:200").mode(mode).save(str(tmp_path / "out"))
+    back = lambda at="out": spark.read.format("bam").load(str(tmp_path / at)).select("qname", "flag", "rname", "pos", "cigar", "seq", "qual", "fi")
+    save(reads, "append")
+    assert sorted(map(tuple, back().collect())) == sorted(rows) and len(bam.files(str(tmp_path / "out"))) == 3
+    save(reads.where("pos < 10"), "append")
+    assert back().count() == 60 and back("out/*.bam").count() == 60
+    assert spark.read.format("bam").load(f"file://{tmp_path}/o*t/part-*.bam").count() == 60
+    save(reads.where("pos < 5").coalesce(1).drop("fi", "cigar"), "overwrite")
+    got = back().collect()
+    assert len(got) == 5 and {(r.cigar, r.fi) for r in got} == {("*", None)} and not list((tmp_path / "out").glob("_temporary*"))
+    with pytest.raises(Exception, match="unknown contig"):
+        save(reads.withColumn("rname", F.lit("c9")), "append")
+    assert back().count() == 5 and not list((tmp_path / "out").glob("_temporary*"))
+    with pytest.raises(Exception, match="no BAM file"):
+        spark.read.format("bam").load(str(tmp_path / "none*.bam")).count()
+
+
+def test_bam_files_that_are_cut_off_or_damaged_are_errors():
+    out = io.BytesIO()
+    row = {"qname": "q", "flag": 4, "rname": "*", "pos": -1, "mapq": 0, "cigar": "*", "seq": "ACGT", "qual": None}
+    bam.write_file(iter([row] * 3), out, [])
+    whole = out.getvalue()
+    reads = lambda data: sum(b.num_rows for b in bam.read_file(io.BytesIO(data)))
+    assert reads(whole) == 3
+    plain = b"".join(bam._stream(io.BytesIO(whole)))
+    # Other extra fields before the block's size are legal.
+    size = len(whole) - len(bam.END) + 6
+    moved = whole[:10] + struct.pack("<H", 12) + b"XY\x02\0zz" + b"BC\x02\0" + struct.pack("<H", size - 1) + whole[18:]
+    assert reads(moved) == 3
+    record = len(bam.encode_record(row, -1))
+    for bad, why in [(whole[: -len(bam.END)], "no end block"), (whole[:-5], "cut off"), (whole[:40], "cut off"), (whole[:30] + bytes([whole[30] ^ 1]) + whole[31:], ".")]:
+        with pytest.raises((ValueError, zlib.error), match=why):
+            reads(bad)
+    for n in (2, 4, record - 1):  # within a record's size, after it, within its body
+        with pytest.raises(ValueError, match="within a record"):
+            reads(b"".join(bam._blocks(plain[: len(plain) - record + n])) + bam.END)
+
+
+def test_raw_signals_are_read_as_codes(spark, tmp_path):
+    line = "q\t4\t*\t0\t0\t*\t*\t0\t0\tACG\t*\t"
+    (tmp_path / "a.sam").write_text(line + "fi:B:S,63,64,65535\trp:B:S,191,192,448\tri:B:C,0,64,255\n")
+    got = text_formats.sam(spark, str(tmp_path / "a.sam")).first()
+    assert (got.fi, got.rp, got.ri, got.fp) == ([63, 64, 255], [127, 128, 192], [0, 64, 255], None)
+    assert bam._codes("fi", "S", list(range(1200))) == [r.c for r in spark.range(1200).select(kinetics.encode_frames(F.col("id")).alias("c")).collect()]
+    for bad in ("fi:B:C,256", "fi:B:S,-1", "fi:B:i,1", "fi:B:C,x"):
+        (tmp_path / "b.sam").write_text(line + bad + "\n")
+        with pytest.raises(Exception):  # noqa: B017
+            text_formats.sam(spark, str(tmp_path / "b.sam")).collect()
+
+
+def test_fasta_records_begin_at_lines(spark, tmp_path):
+    read = lambda text: [(tmp_path / "x.fa").write_bytes(text.encode()), sorted(tuple(r) for r in text_formats.fasta(spark, str(tmp_path / "x.fa")).collect())][1]
+    assert read(">c1 a>b\nAC\n>c2\nGT\n") == [("c1", "a>b", "AC"), ("c2", "", "GT")]
+    assert read("; note\n\n# other\n>c1\nAC\n") == [("c1", "", "AC")]
+    assert read("\n>c1\r\nAC\r\nGT\r\n>c2 x\r\nA\r\n") == [("c1", "", "ACGT"), ("c2", "x", "A")]
+    assert read(">c1\rAC\r>c2\rGT") == [("c1", "", "AC"), ("c2", "", "GT")]
+    assert read("") == [] and read("\n") == []
+    many = [(f"c{i}", "", "ACGT" * 50) for i in range(2000)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # splits fall anywhere, between the two characters too
+    try:
+        assert read("".join(f">{n}\n{s}\n" for n, _, s in many)) == sorted(many)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_streaming(spark, tmp_path):
     rows = [("c", i % 5, (i % 10) / 10) for i in range(100)]
     df = spark.createDataFrame(rows, "chr string, coor int, prob double")
