@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch handed to Python; long texts make small batches.
 BATCH_ROWS = 4096
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
