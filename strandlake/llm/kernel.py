@@ -126,3 +126,15 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             sets.append(np.zeros(0, dtype=np.uint64))
     size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(size)])
+
+
+def spelled_alike(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray) -> np.ndarray:
+    """Whether words (none empty) have the same bytes as words of another text that are as long."""
+    out = np.ones(len(start), dtype=bool)
+    for lo in range(0, len(start), CHUNK):
+        s, o, n = start[lo : lo + CHUNK], other_start[lo : lo + CHUNK], (end - start)[lo : lo + CHUNK]
+        begin = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(begin, n)
+        same = buf[np.repeat(s, n) + within] == other[np.repeat(o, n) + within]
+        out[lo : lo + CHUNK] = np.logical_and.reduceat(same, begin)
+    return out

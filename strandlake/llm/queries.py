@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, decontaminate, idfile, importance, langid, minhash, packing, pii, tokencount, vectors
+from strandlake.llm import chat, decontaminate, divergence, idfile, importance, langid, lexical, minhash, packing, pii, secrets, tokencount, vectors
 from strandlake.llm.store import table_path
 from strandlake.llm.tokens import tokenizer_path
 
@@ -79,6 +79,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.secrets(_table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return out.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 TRAP = "\\### Assistant: </turn> ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -92,9 +108,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8,
     "op9_language_id": op9,
     "op10_chat_formatting": op10,
+    "op11_ranked_search": op11,
+    "op12_source_divergence": op12,
+    "op13_secret_scans": op13,
 }
 
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": rf"""
+        WITH t AS (
+            SELECT doc_id, regexp_extract_all(regexp_replace({_FOLDED.format('text')}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents WHERE text IS NOT NULL
+        ), q AS (
+            SELECT item_id, unnest(regexp_extract_all(regexp_replace({_FOLDED.format('text')}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+')) AS term FROM benchmark WHERE text IS NOT NULL
+        ), total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM t WHERE len(w) > 0),
+        tf AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM t) GROUP BY doc_id, len(w), term),
+        weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * n_docs) // n_terms)))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN weight USING (term), total GROUP BY item_id, doc_id
+        )
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+    """,
+    "op12_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(regexp_replace({_FOLDED.format("coalesce(text, '')")}, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents
+        ), t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        own AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        n AS (SELECT lang, source, sum(c)::BIGINT AS n FROM own GROUP BY lang, source),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, 1 + (1000000000 * (coalesce(o.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) AS p
+            FROM groups g JOIN kept k ON g.lang = k.lang JOIN v ON v.lang = g.lang
+            LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+        ), whole AS (
+            SELECT lang, term, 1 + (1000000000 * (c + 2)) // ((sum(c) OVER (PARTITION BY lang))::BIGINT + 2 * v) AS q
+            FROM (SELECT lang, term, sum(c)::BIGINT AS c FROM own GROUP BY lang, term) JOIN v USING (lang)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+        ), parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN whole USING (lang, term) WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10
+    """,
     "op10_chat_formatting": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
