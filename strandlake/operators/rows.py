@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Complement of A, C, G, T and N; any other byte reads A.
 COMPLEMENT = np.full(256, ord("A"), dtype=np.uint8)
@@ -78,44 +81,115 @@ def by_read(rows: DataFrame, f: Callable[[pa.RecordBatch, int], dict[str, pa.Arr
     return rows.mapInArrow(run, f"read_id {kind}, {schema}")
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "ordinal", weight: str | None = None) -> DataFrame:
-    """Column ``name``: how many rows (or how much of ``weight``) come before in the order of ``order``, which must be of distinct values.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset a local folder is made, but only for a local master: executors elsewhere could not read it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="strandlake-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def held(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the shared folder and read again: every later job sees the same ones, whatever executors are lost."""
+    path = f"{shared_dir(rows.sparkSession)}/strandlake/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Bits of a row's place within its partition in Spark's increasing ids.
+_PLACE_BITS = 33
+
+
+def _running(weight: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            before = total + np.cumsum(b.column(weight).to_numpy()) - b.column(weight).to_numpy()
+            total += int(b.column(weight).to_numpy().sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before)], [*b.schema.names, "_before"])
+
+    return run
+
+
+def ranged(rows: DataFrame, *order: str, weight: str | None = None) -> DataFrame:
+    """``rows`` in ranges of ``order``, sorted and held: with ``_part``, ``_place`` (from 0 in its part) and ``_before``, the rows (or the sum of
+    ``weight``, whole numbers) before it in its part.
 
-    Rows are sorted where a partition by ranges puts them; only each partition's total is put in order by itself.
+    One shuffle. What a row's range is has been written with it, so ranks and sums by range speak of the same ranges.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = F.col(weight) if weight else F.lit(1)
-    parts = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = parts.withColumn("_upto", F.sum(one).over(own))
-    sizes = ranked.groupBy("_part").agg(F.sum(one).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
-    out = ranked.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
-    return out.select(*rows.columns, (F.col("_before") + F.col("_upto") - one).cast("long").alias(name))
+    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    if weight:
+        parts = parts.mapInArrow(_running(weight), T.StructType([*parts.schema.fields, T.StructField("_before", T.LongType())]))
+    out = held(parts.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    out = out.withColumns({"_part": F.shiftright("_at", _PLACE_BITS), "_place": place}).drop("_at")
+    return out if weight else out.withColumn("_before", F.col("_place"))
+
+
+def totals(parts: DataFrame, weight: str | None = None) -> DataFrame:
+    """(_part, _earlier, _all) of ranged rows: what all earlier parts hold, and what all hold together. One row a part."""
+    order = Window.orderBy("_part")
+    n = parts.groupBy("_part").agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return n.select("_part", earlier.alias("_earlier"), F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "ordinal", weight: str | None = None) -> DataFrame:
+    """Column ``name``: how many rows (or how much of ``weight``) come before in the order of ``order``; equal rows in any order, each with a number of its own.
+
+    Evaluated again, the result is the same: the rows are held as they were first ranged.
+    """
+    parts = ranged(rows, *order, weight=weight)
+    out = parts.join(F.broadcast(totals(parts, weight)), "_part")
+    return out.select(*rows.columns, (F.col("_earlier") + F.col("_before")).cast("long").alias(name))
 
 
 def order_statistic(values: DataFrame, column: str, k: int, few: int = 10_000) -> float:
-    """The k-th smallest value (from 0), narrowed down by histograms: no sort, and at most ``few`` values leave the executors."""
-    lo, hi = values.agg(F.min(column), F.max(column)).first()
+    """The k-th smallest value (from 0; null and not-a-number are none), narrowed down by histograms: no sort, and at most ``few`` values leave the executors.
+
+    Infinite values are counted apart, as no histogram holds them.
+    """
+    value = F.col(column).cast("double")
+    values = values.where(value.isNotNull() & ~F.isnan(value)).select(value.alias("v"))
+    infinite = float("inf")
+    low, high, n = values.agg(F.count_if(F.col("v") == -infinite), F.count_if(F.col("v") == infinite), F.count("*")).first()
+    if not 0 <= k < n:
+        raise IndexError(f"no value at {k} of {n}")
+    if k < low or k >= n - high:
+        return -infinite if k < low else infinite
+    values, k = values.where(F.abs("v") != infinite), k - low
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
     while lo < hi:
-        inside = values.where(F.col(column).between(lo, hi))
-        place = F.least(F.lit(4095), F.floor((F.col(column) - lo) / (hi - lo) * 4096)).alias("place")
-        for r in sorted(inside.groupBy(place).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()):
+        inside = values.where(F.col("v").between(lo, hi))
+        half = 0.5 if hi - lo == infinite else 1.0  # the difference of two doubles may be none
+        share = (F.col("v") * half - lo * half) / (hi * half - lo * half)
+        place = F.least(F.lit(4095), F.floor(share * 4096)).alias("place")
+        for r in sorted(inside.groupBy(place).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
             if k < r.n:
                 break
             k -= r.n
         lo, hi = r.lo, r.hi
         if r.n <= few:
-            return sorted(x[0] for x in inside.where(F.col(column).between(lo, hi)).select(column).collect())[k]
+            return sorted(x[0] for x in inside.where(F.col("v").between(lo, hi)).collect())[k]
     return lo
 
 
 def quantile(values: DataFrame, column: str, q: float) -> float | None:
-    """Exact, with linear interpolation between neighbours; null and not-a-number don't count, and nothing gives None."""
-    known = values.where(F.col(column).isNotNull() & ~F.isnan(column)).select(column)
+    """Exact, with linear interpolation between neighbours; null and not-a-number don't count, and nothing gives None.
+
+    Between an infinite value and another one lies that infinite value; between the two infinite ones, not-a-number.
+    """
+    known = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(column)
     n = known.count()
     if not n:
         return None
     place = (n - 1) * q
     low = order_statistic(known, column, int(place))
-    return low if place == int(place) else low + (order_statistic(known, column, int(place) + 1) - low) * (place - int(place))
+    if place == int(place):
+        return low
+    high = order_statistic(known, column, int(place) + 1)
+    return low if low == high else low + (high - low) * (place - int(place))

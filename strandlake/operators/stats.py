@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import substitution
-from strandlake.operators.rows import numbered
+from strandlake.operators.rows import numbered, ranged, totals
 from strandlake.registry import query, table
 
 
@@ -99,8 +99,8 @@ def pooled_t(rows: DataFrame, keys: list[str], side: str, value: str) -> DataFra
 def benjamini_hochberg(rows: DataFrame, p: str, id_col: str, group: list[str] | None = None) -> DataFrame:
     """Column ``adjusted``: p times m over its rank, never more than a later one's, at most 1. A missing p counts as 1.
 
-    Without ``group`` all rows are one family, ranked by range partitions: p-values are sorted where they lie, and only each partition's
-    row count and least value are put in order by themselves.
+    Without ``group`` all rows are one family, put in order by ranges that are written once: only each range's row count and least value are
+    put in order by themselves. Ids order rows of equal p and change nothing else; they may repeat.
     """
     rows = rows.withColumn(p, F.coalesce(F.col(p), F.lit(1.0)))
     if group:
@@ -108,18 +108,13 @@ def benjamini_hochberg(rows: DataFrame, p: str, id_col: str, group: list[str] |
         ranked = rows.withColumns({"_m": F.count("*").over(own), "_r": F.row_number().over(own.orderBy(p, id_col))})
         least = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(own.orderBy(F.col("_r").desc()))
         return ranked.withColumn("adjusted", F.least(F.lit(1.0), least)).drop("_m", "_r")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, p, id_col).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part")
-    ranked = parts.withColumn("_r", F.row_number().over(own.orderBy(p, id_col)))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
-    order = Window.orderBy("_part")  # one row a partition
-    before = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_m": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    raw = ranked.join(F.broadcast(before), "_part").withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_r") + F.col("_before")))
-    later = raw.groupBy("_part").agg(F.min("_raw").alias("_least")).withColumn("_later", F.min("_least").over(order.rowsBetween(1, Window.unboundedFollowing)))
-    within = F.min("_raw").over(own.orderBy(F.col("_r").desc()))
-    out = raw.withColumn("_within", within).join(F.broadcast(later.select("_part", "_later")), "_part")
-    return out.withColumn("adjusted", F.least(F.lit(1.0), "_within", F.coalesce("_later", F.lit(1.0)))).select(*rows.columns, "adjusted")
+    parts = ranged(rows, p, id_col)
+    raw = parts.join(F.broadcast(totals(parts)), "_part").withColumn("_raw", F.col(p) * F.col("_all") / (F.col("_earlier") + F.col("_place") + 1))
+    after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # one row a part
+    later = raw.groupBy("_part").agg(F.min("_raw").alias("_least")).select("_part", F.min("_least").over(after).alias("_later"))
+    within = F.min("_raw").over(Window.partitionBy("_part").orderBy(F.desc("_place")))
+    out = raw.withColumn("_within", within).join(F.broadcast(later), "_part")
+    return out.select(*rows.columns, F.least(F.lit(1.0), "_within", F.coalesce("_later", F.lit(1.0))).alias("adjusted"))
 
 
 def proportion_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
@@ -217,23 +212,23 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled_t(_qv(spark, sf_dir), ["np", "platform"], "z", "qv").withColumn("p", t_p_value(F.col("t"), F.col("df").cast("double")))
 
 
-_P = "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, ((l_orderkey * 7919 + l_linenumber * 389) % 1000 + 1) / 1001.0::DOUBLE AS p FROM lineitem"
+_P = "SELECT l_orderkey * 8 + l_linenumber AS id, ((l_orderkey * 7919 + l_linenumber * 389) % 1000 + 1) / 1001.0::DOUBLE AS p, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2"
 
 
 def _ps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 389) % 1000 + 1) / F.lit(1001.0)
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), p.alias("p")).distinct()
+    keys = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), p.alias("p")
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.min("l_partkey").alias("part"))
 
 
 def _bh_sql(group: str) -> str:
     return f"""WITH x AS ({_P}), r AS (SELECT *, row_number() OVER ({group} ORDER BY p, id) AS r, count(*) OVER ({group}) AS m FROM x)
-        SELECT id, round(least(1.0, min(p * m / r) OVER ({group} ORDER BY r DESC)), 9) AS adjusted FROM r"""
+        SELECT id, part, round(least(1.0, min(p * m / r) OVER ({group} ORDER BY r DESC)), 9) AS adjusted FROM r"""
 
 
 @query("a15_bh_adjust", _bh_sql(""))
 def bh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benjamini_hochberg(_ps(spark, sf_dir), "p", "id").select("id", F.round("adjusted", 9).alias("adjusted"))
-
+    return benjamini_hochberg(_ps(spark, sf_dir), "p", "id").select("id", "part", F.round("adjusted", 9).alias("adjusted"))
 
 
 @query("a16_a17_proportions", """WITH c AS (SELECT l_linenumber AS cat, count(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE AS k1, count(*) FILTER (WHERE l_linestatus = 'F')::DOUBLE AS k2 FROM lineitem GROUP BY 1),
@@ -258,7 +253,7 @@ def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substitution_counts(e.select(pick(["A", "C", "G", "T", "N", "AT"], F.col("event_id") % 6).alias("ref"), pick(["C,T", "G", "A", "<*>", "CC", "T,G"], F.col("event_id") % 7 % 6).alias("alt")))
 
 
-_SCORES = "SELECT doc_id, quality AS y, (doc_id * 37 % 101) / 100.0::DOUBLE * 0.5 + quality * 0.3 AS s FROM labels"
+_SCORES = "SELECT doc_id, quality AS y, (doc_id * 7919 % 100003) / 100000.0::DOUBLE * 0.5 + quality * 0.3 AS s FROM labels"
 
 
 @query("a18_a19_binary_scores", f"""WITH r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM ({_SCORES})),
@@ -266,7 +261,7 @@ _SCORES = "SELECT doc_id, quality AS y, (doc_id * 37 % 101) / 100.0::DOUBLE * 0.
           sum(rk) FILTER (WHERE y = 1)::DOUBLE AS r1 FROM r)
     SELECT n, tp, fp, tn, fn, round((tp + tn) / n, 6) AS accuracy, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity, round((r1 - (tp + fn) * (tp + fn + 1) / 2.0) / ((tp + fn) * (tn + fp)), 6)::DOUBLE AS auc FROM c""")
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("y"), ((F.col("doc_id") * 37 % 101) / 100.0 * 0.5 + F.col("quality") * 0.3).alias("s"))
+    rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("y"), ((F.col("doc_id") * 7919 % 100003) / 100000.0 * 0.5 + F.col("quality") * 0.3).alias("s"))
     out = binary_scores(rows, "y", "s")
     return out.select("n", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "specificity", "auc")])
 
