@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import original
@@ -28,35 +28,52 @@ def walk(aligned: DataFrame) -> DataFrame:
     return ops.select("*", start(QUERY_OPS).alias("q_start"), start(REFERENCE_OPS).alias("r_offset"))
 
 
+def _mapped() -> Column:
+    """Whether a read lies on a contig: not if it is flagged as unmapped, or lacks a contig, a position or a cigar."""
+    named = lambda c: F.coalesce(F.col(c), F.lit("*")) != "*"
+    return named("rname") & named("cigar") & (F.coalesce("pos", F.lit(-1)) >= 0) & (F.coalesce("flag", F.lit(0)).bitwiseAND(F.lit(4)) == 0) & F.col("seq").isNotNull()
+
+
+def _known(contig: Column, found: Column) -> Column:
+    """``found``, true or null; where a mapped read's contig isn't found the job ends."""
+    missing = F.raise_error(F.concat(F.lit("no such contig in the reference: "), contig)).cast("boolean")
+    return F.when(F.col("mapped"), F.coalesce(found, missing))
+
+
 def _reference_of(spans: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Column ``ref`` for rows (read_id, rname, pos, span): the reference from pos on, as long as the alignment.
+    """Column ``ref`` for rows (read_id, rname, pos, span, mapped): the reference from pos on, as long as the alignment; null for unmapped reads.
 
-    A reference of at most BROADCAST_BASES goes along with every task. A larger one is cut into tiles, and each alignment meets
-    the tiles that it lies on, so that no key is a whole contig.
+    A mapped read on a contig that the reference lacks is an error. A reference of at most BROADCAST_BASES goes along with every task. A larger
+    one is cut into tiles, and each alignment meets the tiles that it lies on, so that no key is a whole contig.
     """
     size = contigs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
-    named = contigs.select(F.col("contig").alias("rname"), F.col("seq").alias("whole"))
+    named = contigs.select(F.col("contig").alias("rname"), F.coalesce("seq", F.lit("")).alias("whole"))
     if size <= BROADCAST_BASES:
-        return spans.join(F.broadcast(named), "rname").withColumn("ref", F.substr("whole", F.col("pos") + 1, F.col("span").cast("int"))).drop("whole")
-    last = F.floor((F.length("whole") - 1) / TILE_BASES)
+        both = spans.join(F.broadcast(named), "rname", "left")
+        piece = F.substr("whole", F.col("pos") + 1, F.col("span").cast("int"))
+        return both.withColumn("ref", F.when(_known(F.col("rname"), F.when(F.col("whole").isNotNull(), F.lit(True))), piece)).drop("whole")
+    last = F.floor(F.greatest(F.lit(0), F.length("whole") - 1) / TILE_BASES)
     tiles = named.select("rname", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda t: F.substr("whole", (t * TILE_BASES + 1).cast("int"), F.lit(TILE_BASES)))).alias("tile", "part"))
     first, end = F.floor(F.col("pos") / TILE_BASES), F.floor((F.col("pos") + F.greatest(F.col("span"), F.lit(1)) - 1) / TILE_BASES)
-    placed = spans.select("read_id", "rname", "pos", "span", F.explode(F.sequence(first.cast("int"), end.cast("int"))).alias("tile")).join(tiles, ["rname", "tile"])
+    on = spans.where("mapped").select("read_id", "rname", "pos", "span", F.explode(F.sequence(first.cast("int"), end.cast("int"))).alias("tile"))
     lo = F.greatest(F.lit(0), F.col("pos") - F.col("tile") * TILE_BASES)
     hi = F.least(F.lit(TILE_BASES), F.col("pos") + F.col("span") - F.col("tile") * TILE_BASES)
-    pieces = placed.select("read_id", F.struct("tile", F.substr("part", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("s")).alias("p"))
+    pieces = on.join(tiles, ["rname", "tile"]).select("read_id", F.struct("tile", F.substr("part", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("s")).alias("p"))
     refs = pieces.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("ref"))
-    return spans.join(refs, "read_id")
+    names = named.select("rname", F.lit(True).alias("known"))  # no bases
+    checked = spans.join(names, "rname", "left").join(refs, "read_id", "left")
+    return checked.withColumn("ref", F.when(_known(F.col("rname"), F.col("known")), F.coalesce("ref", F.lit("")))).drop("known")
 
 
 _OP = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
 def _placed(aligned: DataFrame, contigs: DataFrame, *more: str) -> DataFrame:
-    """Alignments with the piece of the reference that they lie on (``ref``); other letters than ACGT read A there."""
+    """Alignments with the piece of the reference that they lie on (``ref``, null for unmapped reads); other letters than ACGT read A there."""
     each = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"))
     span = F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
-    both = _reference_of(aligned.select("read_id", "seq", "cigar", "rname", "pos", *more).withColumn("span", span), contigs)
+    rows = aligned.withColumn("mapped", _mapped()).select("read_id", "seq", "cigar", "rname", "pos", "mapped", *more)
+    both = _reference_of(rows.withColumn("span", span), contigs)
     return both.withColumn("ref", F.translate("ref", "NRYKMSWBDHVU", "A" * 12))
 
 
@@ -88,40 +105,45 @@ class Alignment:
 
 
 def aligned_pairs(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(read_id, q, r, query, reference) of every aligned column."""
+    """(read_id, q, r, query, reference) of every aligned column of mapped reads; a contig that the reference lacks is an error."""
 
     def of(b: pa.RecordBatch, i: int) -> dict:
         a, pos = Alignment(b, i), b.column("pos")[i].as_py()
         chars = lambda x: pa.array(list(x.tobytes().decode("latin-1")), pa.string())
         return {"q": a.q, "r": a.r + pos, "query": chars(a.seq[a.q]), "reference": chars(a.ref[a.r])}
 
-    return by_read(_placed(aligned, contigs), of, "q long, r long, query string, reference string")
+    return by_read(_placed(aligned, contigs).where("mapped"), of, "q long, r long, query string, reference string")
 
 
 def identity(aligned: DataFrame, contigs: DataFrame, long_gap: int = 20) -> DataFrame:
-    """(read_id, identity): equal columns out of all columns, in percent. Runs of gaps on one side of ``long_gap`` or more don't count."""
-    return by_read(_placed(aligned, contigs), lambda b, i: {"identity": pa.array([Alignment(b, i, long_gap).identity])}, "identity double")
+    """(read_id, identity) of mapped reads: equal columns out of all columns, in percent. Runs of gaps on one side of ``long_gap`` or more don't count."""
+    return by_read(_placed(aligned, contigs).where("mapped"), lambda b, i: {"identity": pa.array([Alignment(b, i, long_gap).identity])}, "identity double")
 
 
 def base_table(aligned: DataFrame, contigs: DataFrame, calls: DataFrame, least_mapq: int = 10, least_identity: float = 98.0, least_passes: float = 6.0, mapped_only: bool = False) -> DataFrame:
     """A row for each called A or T: read_id, strand, qpos, base, rname, rpos, prob.
 
     Calls are by place in the read as it was sequenced; rows are in alignment orientation. Coordinates are null unless the read is mapped well
-    enough and the base equals the reference's. Reads with fewer passes give no rows; ``mapped_only`` drops rows without coordinates.
-    A read's alignment is walked once, in its own row, which its calls join as one row too.
+    enough and the base equals the reference's; an unmapped read keeps its bases, without coordinates. A mapped read on a contig that the reference
+    lacks ends the job. Reads with fewer passes give no rows; ``mapped_only`` drops rows without coordinates.
+
+    A null flag is that of a forward read, a null mapping quality or pass count is 0, a null contig, position or cigar is that of an unmapped
+    read, and a null sequence has no bases. A read's alignment is walked once, in its own row, which its calls join as one row too.
     """
     good = aligned.where(F.coalesce("ec", F.lit(0.0)) >= least_passes)
-    rows = _placed(good, contigs, "flag", "mapq").join(grouped_calls(calls), "read_id")
+    rows = _placed(good, contigs, "flag", "mapq").where("seq is not null").join(grouped_calls(calls), "read_id")
 
     def of(b: pa.RecordBatch, i: int) -> dict | None:
-        a = Alignment(b, i)
-        reverse, n = bool(b.column("flag")[i].as_py() & 16), len(a.seq)
-        at, p = called(b, i, back(a.seq) if reverse else a.seq)
+        seq = letters(b.column("seq")[i].as_py())
+        reverse, n = bool((b.column("flag")[i].as_py() or 0) & 16), len(seq)
+        at, p = called(b, i, back(seq) if reverse else seq)
         if reverse:
             at = n - 1 - at
         rpos = np.full(n, -1, dtype=np.int64)
-        if b.column("mapq")[i].as_py() >= least_mapq and a.identity >= least_identity:
-            rpos[a.q[a.equal]] = a.r[a.equal] + b.column("pos")[i].as_py()
+        if b.column("ref")[i].is_valid and (b.column("mapq")[i].as_py() or 0) >= least_mapq:
+            a = Alignment(b, i)
+            if a.identity >= least_identity:
+                rpos[a.q[a.equal]] = a.r[a.equal] + b.column("pos")[i].as_py()
         rpos = rpos[at]
         if mapped_only:
             at, p, rpos = at[rpos >= 0], p[rpos >= 0], rpos[rpos >= 0]
@@ -129,7 +151,7 @@ def base_table(aligned: DataFrame, contigs: DataFrame, calls: DataFrame, least_m
             return None
         none = rpos < 0
         names = pa.array(np.where(none, None, b.column("rname")[i].as_py()), pa.string())
-        base = pa.array(np.where(a.seq[at] == ord("A"), "A", "T").tolist(), pa.string())
+        base = pa.array(np.where(seq[at] == ord("A"), "A", "T").tolist(), pa.string())
         return {"strand": pa.array(["-" if reverse else "+"] * len(at)), "qpos": at, "base": base, "rname": names, "rpos": pa.array(rpos, mask=none), "prob": pa.array(p)}
 
     return by_read(rows, of, "strand string, qpos long, base string, rname string, rpos long, prob double")
@@ -175,15 +197,15 @@ def cigar_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk(_aligned(spark, sf_dir))
 
 
-@query("p24_identity", f"{_ALL} SELECT read_id, round(identity, 6) AS identity FROM ident")
+@query("p24_identity", f"{_ALL} SELECT read_id, round(identity, 6) AS identity FROM ident JOIN aligned USING (read_id) WHERE rname <> '*'")
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity(_aligned(spark, sf_dir), views.contigs(spark, sf_dir)).withColumn("identity", F.round("identity", 6))
 
 
 @query(
     "p26_f7_f11_base_table",
-    f"""{_ALL}, {views.ORIGINAL_CALLS_SQL}, placed AS (SELECT c.read_id, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand, (CASE WHEN flag = 16 THEN len(seq) - 1 - c.pos ELSE c.pos END)::BIGINT AS qpos,
-            CASE WHEN flag = 16 THEN translate(base, 'AT', 'TA') ELSE base END AS base, rname, mapq, prob FROM calls c JOIN aligned USING (read_id) WHERE ec >= 6)
+    f"""{_ALL}, {views.ORIGINAL_CALLS_SQL}, placed AS (SELECT c.read_id, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand, (CASE WHEN flag & 16 > 0 THEN len(seq) - 1 - c.pos ELSE c.pos END)::BIGINT AS qpos,
+            CASE WHEN flag & 16 > 0 THEN translate(base, 'AT', 'TA') ELSE base END AS base, rname, mapq, prob FROM calls c JOIN aligned USING (read_id) WHERE ec >= 6)
         SELECT p.read_id, strand, qpos, base, CASE WHEN mapq >= 10 AND identity >= 20 AND r IS NOT NULL THEN rname ELSE '' END AS rname, CASE WHEN mapq >= 10 AND identity >= 20 THEN coalesce(r, -1) ELSE -1 END AS rpos, prob
         FROM placed p JOIN ident USING (read_id) LEFT JOIN (SELECT * FROM pairs WHERE a = b AND a IN ('A', 'T')) x ON x.read_id = p.read_id AND x.q = p.qpos""",
 )

@@ -13,7 +13,7 @@ from strandlake.registry import query
 
 @query(
     "wf_site_frequencies",
-    f"""{_ALL}, {views.ORIGINAL_CALLS_SQL}, placed AS (SELECT c.read_id, CASE WHEN flag = 16 THEN len(seq) - 1 - c.pos ELSE c.pos END AS q, rname, prob FROM calls c JOIN aligned USING (read_id) WHERE ec >= 6 AND mapq >= 10)
+    f"""{_ALL}, {views.ORIGINAL_CALLS_SQL}, placed AS (SELECT c.read_id, CASE WHEN flag & 16 > 0 THEN len(seq) - 1 - c.pos ELSE c.pos END AS q, rname, prob FROM calls c JOIN aligned USING (read_id) WHERE ec >= 6 AND mapq >= 10)
         SELECT rname AS chr, r AS coor, count(*) FILTER (WHERE prob >= 0.5) AS above, count(*) FILTER (WHERE prob < 0.5) AS below, round(avg((prob >= 0.5)::INT), 6) AS ratio
         FROM placed JOIN ident USING (read_id) JOIN pairs ON pairs.read_id = placed.read_id AND pairs.q = placed.q AND a = b AND a IN ('A', 'T') WHERE identity >= 20 GROUP BY 1, 2""",
 )

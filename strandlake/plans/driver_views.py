@@ -82,18 +82,27 @@ CALLS_SQL = """calls AS (
 ORIGINAL_CALLS_SQL = CALLS_SQL.replace("FROM (SELECT read_id, seq,", "FROM (SELECT read_id, CASE WHEN flag = 16 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq,")
 
 
+#: A read in so many is unmapped.
+UNMAPPED = 7
+
+
 def alignments(seqs: DataFrame) -> DataFrame:
-    """Reads with a cigar, a 0-based position on a contig, mapping quality and pass count."""
+    """Reads with a cigar, a 0-based position on a contig, mapping quality and pass count. Some are unmapped, and have none but a pass count."""
     n, i = F.length("seq"), F.col("read_id")
     cut = F.least(F.lit(60), (n / 2).cast("int"))
     cigar = F.concat(F.lit("4H"), (3 + i % 5).cast("string"), F.lit("S"), (cut - 10).cast("string"), F.lit("M2I3D"), F.lit("10="), (19 + i % 3).cast("string"), F.lit("D"), (n - cut - 12 - (3 + i % 5)).cast("string"), F.lit("M"))
-    out = seqs.select("read_id", "seq", "flag", cigar.alias("cigar"), F.concat(F.lit("c"), i.cast("string")).alias("rname"), (i % 40).cast("int").alias("pos"), (i % 30).cast("int").alias("mapq"), (i % 12).cast("double").alias("ec"))
-    return out
-
-
-ALIGN_SQL = """aligned AS (
-    SELECT read_id, seq, flag, '4H' || (3 + read_id % 5) || 'S' || (cut - 10) || 'M2I3D10=' || (19 + read_id % 3) || 'D' || (len(seq) - cut - 12 - (3 + read_id % 5)) || 'M' AS cigar,
-           'c' || read_id AS rname, (read_id % 40)::INT AS pos, (read_id % 30)::INT AS mapq, (read_id % 12)::DOUBLE AS ec
+    none = lambda value, column, name: F.when(i % UNMAPPED == 3, F.lit(value)).otherwise(column).alias(name)
+    contig = F.concat(F.lit("c"), i.cast("string"))
+    flag = F.col("flag") + F.when(i % UNMAPPED == 3, 4).otherwise(0)
+    return seqs.select(
+        "read_id", "seq", flag.alias("flag"), none("*", cigar, "cigar"), none("*", contig, "rname"), none(-1, (i % 40).cast("int"), "pos"), none(0, (i % 30).cast("int"), "mapq"), (i % 12).cast("double").alias("ec")
+    )
+
+
+_none = lambda value, column: f"CASE WHEN read_id % {UNMAPPED} = 3 THEN {value} ELSE {column} END"
+ALIGN_SQL = f"""aligned AS (
+    SELECT read_id, seq, flag + {_none(4, 0)} AS flag, {_none("'*'", "'4H' || (3 + read_id % 5) || 'S' || (cut - 10) || 'M2I3D10=' || (19 + read_id % 3) || 'D' || (len(seq) - cut - 12 - (3 + read_id % 5)) || 'M'")} AS cigar,
+           {_none("'*'", "'c' || read_id")} AS rname, {_none(-1, "(read_id % 40)::INT")} AS pos, {_none(0, "(read_id % 30)::INT")} AS mapq, (read_id % 12)::DOUBLE AS ec
     FROM (SELECT *, least(60, len(seq) // 2) AS cut FROM reads)
 ), ops AS (
     SELECT read_id, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS t, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), 1) - 1 AS k FROM aligned

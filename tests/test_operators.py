@@ -100,6 +100,35 @@ def test_neighbouring_gaps(spark):
     assert run("5S", 5) == 0.0
 
 
+READ = "read_id long, seq string, flag int, cigar string, rname string, pos int, mapq int, ec double"
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_unmapped_reads_keep_their_bases(spark, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(alignment, "BROADCAST_BASES", 0)
+        monkeypatch.setattr(alignment, "TILE_BASES", 4)
+    contigs = spark.createDataFrame([("c", "GGACGTAACC"), ("e", None)], "contig string, seq string")
+    s = "ACGTAA"
+    rows = [
+        (1, s, 0, "6M", "c", 2, 60, 9.0), (2, s, 4, "*", "*", -1, 0, 9.0), (3, s, 20, None, None, None, None, 9.0), (4, s, None, "6M", "c", 2, 60, 9.0), (5, s, 0, "6M", "c", 2, None, 9.0), (6, None, 0, "6M", "c", 2, 60, 9.0),
+        (7, s, 4, "6M", "nowhere", 2, 60, 9.0), (8, s, 0, "6M", "c", 2, 60, None), (9, s, 0, "6M", "c", 8, 60, 9.0), (10, s, 0, "6M", "e", 0, 60, 9.0),
+    ]
+    calls_of = spark.createDataFrame([(r[0], p, 0.5) for r in rows for p in range(6)], "read_id long, pos int, prob double")
+    got = {}
+    for r in alignment.base_table(spark.createDataFrame(rows, READ), contigs, calls_of).collect():
+        got.setdefault(r.read_id, []).append((r.strand, r.qpos, r.base, r.rname, r.rpos))
+    mapped = [("+", 0, "A", "c", 2), ("+", 3, "T", "c", 5), ("+", 4, "A", "c", 6), ("+", 5, "A", "c", 7)]
+    plain = [(*x[:3], None, None) for x in mapped]
+    assert {k: sorted(v) for k, v in got.items()} == {1: mapped, 2: plain, 3: [("-", *x[1:]) for x in plain], 4: mapped, 5: plain, 7: plain, 9: plain, 10: plain}
+    assert {r.read_id for r in alignment.base_table(spark.createDataFrame(rows, READ), contigs, calls_of, mapped_only=True).collect()} == {1, 4}
+    assert {r.read_id for r in alignment.identity(spark.createDataFrame(rows, READ), contigs).collect()} == {1, 4, 5, 8, 9, 10}
+    unknown = spark.createDataFrame([(1, s, 0, "6M", "x", 2, 60, 9.0)], READ)
+    for f in (lambda: alignment.base_table(unknown, contigs, calls_of), lambda: alignment.identity(unknown, contigs), lambda: alignment.aligned_pairs(unknown, contigs)):
+        with pytest.raises(Exception, match="no such contig"):
+            f().collect()
+
+
 def test_clips_and_reference_n(spark):
     contigs = spark.createDataFrame([("c", "NACGT")], "contig string, seq string")
     df = aligned(spark, "2H2S5M1H", "GGAACGT")
