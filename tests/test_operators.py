@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import kinetics, sequence, text
 from strandlake.operators import alignment, calls, ml, reads, sites, sources_lr, stats
 from strandlake.plans import workflows
-from strandlake.sources import bam, text_formats
+from strandlake.sources import bam, bam_decode, text_formats
 from strandlake.streaming import sites as stream
 
 
@@ -398,7 +398,7 @@ def test_bam_files_that_are_cut_off_or_damaged_are_errors():
     whole = out.getvalue()
     reads = lambda data: sum(b.num_rows for b in bam.read_file(io.BytesIO(data)))
     assert reads(whole) == 3
-    plain = b"".join(bam._stream(io.BytesIO(whole)))
+    plain = b"".join(data for _, data in bam._blocks_from(io.BytesIO(whole), 0))
     # Other extra fields before the block's size are legal.
     size = len(whole) - len(bam.END) + 6
     moved = whole[:10] + struct.pack("<H", 12) + b"XY\x02\0zz" + b"BC\x02\0" + struct.pack("<H", size - 1) + whole[18:]
@@ -417,7 +417,7 @@ def test_raw_signals_are_read_as_codes(spark, tmp_path):
     (tmp_path / "a.sam").write_text(line + "fi:B:S,63,64,65535\trp:B:S,191,192,448\tri:B:C,0,64,255\n")
     got = text_formats.sam(spark, str(tmp_path / "a.sam")).first()
     assert (got.fi, got.rp, got.ri, got.fp) == ([63, 64, 255], [127, 128, 192], [0, 64, 255], None)
-    assert bam._codes("fi", "S", list(range(1200))) == [r.c for r in spark.range(1200).select(kinetics.encode_frames(F.col("id")).alias("c")).collect()]
+    assert bam_decode.codes("fi", "S", np.arange(1200)).tolist() == [r.c for r in spark.range(1200).select(kinetics.encode_frames(F.col("id")).alias("c")).collect()]
     for bad in ("fi:B:C,256", "fi:B:S,-1", "fi:B:i,1", "fi:B:C,x"):
         (tmp_path / "b.sam").write_text(line + bad + "\n")
         with pytest.raises(Exception):  # noqa: B017
