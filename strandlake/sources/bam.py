@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from strandlake.operators.rows import held
+from strandlake.sources import paths
 from strandlake.sources.bam_decode import BASES, CIGAR, MOST_OPS, SCHEMA, decoded, likely_heads
 
 #: Bytes of a range, of records decoded at once, and of unpacked data that is searched at once for a record.
@@ -260,7 +261,7 @@ def reads(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Dat
     Files are read twice: the first pass, which runs at once, counts. Its one row a range goes along with every task, MOST_RANGES at most.
     """
     spark.dataSource.register(BamSource)
-    store = _store(path)[0]
+    store = paths.store_of(path)[0]
     total = sum(i.size for i in store.get_file_info(files(path)))
     source = lambda mode: spark.read.format("bam").option("splitBytes", max(split_bytes, total // MOST_RANGES + 1)).option("mode", mode).load(path)
     counts = held(source("count"), "bam-ranges")
@@ -274,45 +275,9 @@ def reads(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Dat
     return rows.withColumn("read_id", F.col("_start") + F.col("read_id")).drop("file", "lo", "_start")
 
 
-def _store(path: str) -> tuple:
-    """The file system of a path, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def _pattern(text: str) -> re.Pattern:
-    """A path pattern of *, ? and [...], none of which matches a slash."""
-    out = []
-    for part in re.split(r"(\*|\?|\[[^\]/]+\])", text):
-        if part in ("*", "?"):
-            out.append("[^/]*" if part == "*" else "[^/]")
-        elif part.startswith("[") and part.endswith("]"):
-            out.append("[" + ("^/" + part[2:-1] if part[1] in "!^" else part[1:-1]) + "]")
-        else:
-            out.append(re.escape(part))
-    return re.compile("".join(out))
-
-
 def files(path: str) -> list[str]:
     """Paths, as the path's file system knows them, of all BAM files that it names, in order."""
-    from pyarrow import fs
-
-    store, at = _store(path)
-    kind = store.get_file_info(at).type
-    if kind == fs.FileType.File:
-        return [at]
-    if kind == fs.FileType.Directory:
-        within = store.get_file_info(fs.FileSelector(at))
-        found = [x.path for x in within if x.type == fs.FileType.File and x.path.endswith(".bam")]
-    else:
-        base = re.split(r"[*?\[]", at)[0].rpartition("/")[0] or ("/" if at.startswith("/") else ".")
-        wanted = _pattern(at if base != "." else "./" + at.removeprefix("./"))
-        within = store.get_file_info(fs.FileSelector(base, recursive="/" in at[len(base) + 1 :], allow_not_found=True))
-        found = [x.path for x in within if x.type == fs.FileType.File and wanted.fullmatch(x.path)]
-    if not found:
-        raise FileNotFoundError(f"no BAM file at {path}")
-    return sorted(found)
+    return paths.files(path, (".bam",), "BAM")
 
 
 class BamSource(DataSource):
@@ -338,16 +303,16 @@ class BamReader(DataSourceReader):
         self.path, self.mode, self.split = options["path"], options.get("mode", "files"), int(options.get("splitBytes", SPLIT_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        paths = files(self.path)
-        sizes = [i.size for i in _store(self.path)[0].get_file_info(paths)]
+        found = files(self.path)
+        sized = list(enumerate((p, i.size) for p, i in zip(found, paths.store_of(self.path)[0].get_file_info(found), strict=True)))
         if self.mode == "files":
-            return [InputPartition((i, p, 0, n, n)) for i, (p, n) in enumerate(zip(paths, sizes, strict=True))]
-        return [InputPartition((i, p, lo, min(n, lo + self.split), n)) for i, (p, n) in enumerate(zip(paths, sizes, strict=True)) for lo in range(0, max(1, n), self.split)]
+            return [InputPartition((i, p, 0, n, n)) for i, (p, n) in sized]
+        return [InputPartition((i, p, lo, min(n, lo + self.split), n)) for i, (p, n) in sized for lo in range(0, max(1, n), self.split)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         i, path, lo, hi, size = partition.value
         end = FILE_END if hi >= size else hi
-        with _store(self.path)[0].open_input_file(path) as f:
+        with paths.store_of(self.path)[0].open_input_file(path) as f:
             if self.mode == "count":
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([v], pa.int64()) for v in (lo, *count_range(f, lo, end, size)))], ["file", "lo", "reads", "first_at", "next_at"])
                 return
@@ -372,7 +337,7 @@ class BamWriter(DataSourceWriter):
         self.contigs = [(name, int(size)) for name, _, size in pairs]
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        store, at = _store(self.path)
+        store, at = paths.store_of(self.path)
         name = f"part-{uuid.uuid4().hex}.bam"
         store.create_dir(f"{at}/_temporary-{self.job}", recursive=True)
         with store.open_output_stream(f"{at}/_temporary-{self.job}/{name}", compression=None) as f:
@@ -380,7 +345,7 @@ class BamWriter(DataSourceWriter):
         return Written(name)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, at = _store(self.path)
+        store, at = paths.store_of(self.path)
         store.create_dir(at, recursive=True)
         old = files(self.path) if self.overwrite and _has_files(self.path) else []
         for m in messages:
@@ -392,7 +357,7 @@ class BamWriter(DataSourceWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         from pyarrow import fs
 
-        store, at = _store(self.path)
+        store, at = paths.store_of(self.path)
         if store.get_file_info(f"{at}/_temporary-{self.job}").type == fs.FileType.Directory:
             store.delete_dir(f"{at}/_temporary-{self.job}")
 

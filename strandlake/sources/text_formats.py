@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import kinetics
+from strandlake.sources.fastq import SPLIT_BYTES, FastqSource
 
 SIGNALS = ("fi", "ri", "fp", "rp")
 CALLS = "qname string, read_id int, strand string, qpos int, base string, rname string, rpos int, prob double"
@@ -28,9 +29,18 @@ def base_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get(c, 0).alias("qname"), get(1, "int").alias("read_id"), F.get(c, 2).alias("strand"), get(3, "int").alias("qpos"), F.get(c, 4).alias("base"), F.when(full, F.get(c, 5)).alias("rname"), F.when(full, get(6, "int")).alias("rpos"), last.alias("prob"))
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): lines with their place, which orders them by file path, block of the file, and place within it, however files are taken apart.
+
+    A block is read in one task from its begin to its end, so the numbers that a task deals out put its lines in order.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return spark.read.text(path).select("value", place.alias("line"))
+
+
 def status_table(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, status) of rows of two columns; of a key that comes again the last row counts, in file order within a file."""
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("c"), F.monotonically_increasing_id().alias("line")).where(F.size("c") == 2)
+    """(read_id, status) of rows of two columns; of a key that comes again the last row in file order counts."""
+    lines = ordered_lines(spark, path).select(F.split("value", "\t").alias("c"), "line").where(F.size("c") == 2)
     return lines.groupBy(F.get("c", 0).alias("read_id")).agg(F.max_by(F.get("c", 1), "line").alias("status"))
 
 
@@ -40,10 +50,10 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def paf(spark: SparkSession, path: str) -> DataFrame:
-    """The first columns, the tags as one text, and a line number that follows file order."""
+    """The first columns, the tags as one text, and ``line``, a key that follows file order."""
     c = F.split(F.trim("value"), r"\s+")
     get = lambda i: F.get(c, i).try_cast("long")
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")).where(F.size(c) >= 12)
+    rows = ordered_lines(spark, path).where(F.size(c) >= 12)
     return rows.select(F.get(c, 0).alias("qname"), get(1).alias("qlen"), get(2).alias("qstart"), get(3).alias("qend"), F.get(c, 4).alias("strand"), F.get(c, 5).alias("target"), F.array_join(F.slice(c, 13, F.size(c)), " ").alias("tags"), "line")
 
 
@@ -109,16 +119,14 @@ def fasta(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame
     return out.where("ok").drop("ok")
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, comment, seq, qual) of records of four lines whose quality is as long as their sequence.
+def fastq(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(name, comment, seq, qual) of records of four lines whose quality is as long as their sequence, read in ranges of some ``split_bytes``.
 
-    Lines are numbered within their file and put together by fours, so a file is one task's sorting but any number of files go in parallel.
+    Other lines, and records whose quality is of another length, are passed over.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r$", "").alias("v"), F.monotonically_increasing_id().alias("i"))
-    n = F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1
-    four = lines.withColumn("n", n).groupBy("file", F.floor(F.col("n") / 4).alias("record")).agg(*[F.max(F.when(F.col("n") % 4 == k, F.col("v"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
-    good = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
-    return four.where(good).select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.trim(F.regexp_extract("head", r"^@\S*\s+(.*)$", 1)).alias("comment"), "seq", "qual")
+    spark.dataSource.register(FastqSource)
+    rows = spark.read.format("fastq").option("splitBytes", split_bytes).load(path).where(F.length("seq") == F.length("qual"))
+    return rows.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.trim(F.regexp_extract("head", r"^@\S*\s+(.*)$", 1)).alias("comment"), "seq", "qual")
 
 
 def write_fasta(seqs: DataFrame, path: str, name: str = "read_id", seq: str = "seq") -> None:
