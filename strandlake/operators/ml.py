@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -11,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators import svm
+from strandlake.operators.svm import Svm
 from strandlake.registry import query, table
 
 # --- support vector machines -------------------------------------------------------------------------------------
@@ -37,71 +41,9 @@ def kernel(name: str, a: Column, b: Column, gamma: float = 0.5, coef0: float = 0
     raise ValueError(f"no kernel {name}")
 
 
-class Svm:
-    """A two-class machine: decision(x) = sum of coefficient * kernel(support vector, x) - rho; above 0 is the first label."""
-
-    def __init__(self, vectors: np.ndarray, coefficients: np.ndarray, rho: float, labels: tuple[float, float] = (1.0, -1.0), gamma: float = 0.5, name: str = "rbf", coef0: float = 0.0, degree: int = 3) -> None:
-        self.vectors, self.coefficients, self.rho, self.labels = np.asarray(vectors, dtype=np.float64), np.asarray(coefficients, dtype=np.float64), rho, labels
-        self.gamma, self.name, self.coef0, self.degree = gamma, name, coef0, degree
-
-    def gram(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        d = x @ y.T
-        if self.name == "rbf":
-            return np.exp(-self.gamma * np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * d))
-        return {"linear": lambda: d, "polynomial": lambda: (self.gamma * d + self.coef0) ** self.degree, "sigmoid": lambda: np.tanh(self.gamma * d + self.coef0)}[self.name]()
-
-    def decide(self, x: np.ndarray) -> np.ndarray:
-        return self.gram(x, self.vectors) @ self.coefficients - self.rho
-
-    def to_text(self) -> str:
-        """The usual model file."""
-        n = [(self.coefficients > 0).sum(), (self.coefficients <= 0).sum()]
-        head = ["svm_type c_svc", f"kernel_type {self.name}", *[f"degree {self.degree}"] * (self.name == "polynomial"), *[f"gamma {self.gamma!r}"] * (self.name != "linear"), *[f"coef0 {self.coef0!r}"] * (self.name in ("polynomial", "sigmoid"))]
-        head += ["nr_class 2", f"total_sv {len(self.vectors)}", f"rho {self.rho!r}", "label " + " ".join(f"{v:g}" for v in self.labels), f"nr_sv {n[0]} {n[1]}", "SV"]
-        rows = [" ".join([repr(float(c)), *(f"{i + 1}:{float(v)!r}" for i, v in enumerate(x) if v)]) for c, x in zip(self.coefficients, self.vectors, strict=True)]
-        return "\n".join(head + rows) + "\n"
-
-    @staticmethod
-    def from_text(text: str, dims: int | None = None) -> Svm:
-        head, _, body = text.partition("\nSV\n")
-        known = dict(line.split(" ", 1) for line in head.split("\n"))
-        rows = [line.split() for line in body.split("\n") if line.strip()]
-        pairs = [[(int(i), float(v)) for i, v in (p.split(":") for p in r[1:])] for r in rows]
-        x = np.zeros((len(rows), dims or max((i for p in pairs for i, _ in p), default=0)))
-        for k, p in enumerate(pairs):
-            for i, v in p:
-                x[k, i - 1] = v
-        labels = tuple(float(v) for v in known["label"].split())
-        return Svm(x, np.array([float(r[0]) for r in rows]), float(known["rho"]), labels, float(known.get("gamma", 0)), known["kernel_type"], float(known.get("coef0", 0)), int(known.get("degree", 3)))
-
-
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, gamma: float = 0.5, name: str = "rbf", eps: float = 1e-3, most: int | None = None) -> Svm:
-    """C-SVC by sequential minimal optimisation, each step on the pair of variables that violates the conditions most.
-
-    A machine that isn't within ``eps`` of the optimum after ``most`` steps, by default 100 a row and 1,000,000 at least, is an error.
-    """
-    m = Svm(x, y, 0.0, gamma=gamma, name=name)
-    q = m.gram(m.vectors, m.vectors) * np.outer(y, y)
-    alpha, gradient = np.zeros(len(y)), -np.ones(len(y))
-    for _ in range(most or max(1_000_000, 100 * len(y))):
-        up, low = ((y > 0) & (alpha < cost)) | ((y < 0) & (alpha > 0)), ((y > 0) & (alpha > 0)) | ((y < 0) & (alpha < cost))
-        value = -y * gradient
-        i, j = int(np.where(up, value, -np.inf).argmax()), int(np.where(low, value, np.inf).argmin())
-        if value[i] - value[j] < eps:
-            break
-        curve = max(q[i, i] + q[j, j] - 2 * y[i] * y[j] * q[i, j], 1e-12)
-        step = (value[i] - value[j]) / curve
-        step = min(step, cost - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else cost - alpha[j])
-        alpha[i] += y[i] * step
-        alpha[j] -= y[j] * step
-        gradient += step * (y[i] * q[:, i] - y[j] * q[:, j])
-    else:
-        raise ArithmeticError("the machine has not converged")
-    free = (alpha > 1e-9) & (alpha < cost - 1e-9)
-    value = -y * gradient
-    rho = -float(value[free].mean()) if free.any() else -(value[up].max() + value[low].min()) / 2
-    keep = alpha > 1e-12
-    return Svm(m.vectors[keep], (alpha * y)[keep], rho, gamma=gamma, name=name)
+    """A C-SVC; see ``svm.train`` for the other forms."""
+    return svm.train(x, y, "c_svc", cost=cost, gamma=gamma, name=name, eps=eps, most=most)
 
 
 def predict_reads(shares: DataFrame, model: Svm, vector: str = "features", n_calls: str = "n_calls", least_calls: int = 1) -> DataFrame:
@@ -118,7 +60,7 @@ def predict_reads(shares: DataFrame, model: Svm, vector: str = "features", n_cal
     return shares.withColumn("decision", decided(vector)).withColumn("tag", F.when(F.col(n_calls) < least_calls, "*").when(label == -1, "-").otherwise("+"))
 
 
-#: Rows that a machine is fitted on; its kernel matrix has as many rows and columns.
+#: Rows that a machine is fitted on.
 MOST_TRAINING_ROWS = 2000
 
 
@@ -182,6 +124,67 @@ def with_probability(rows: DataFrame, a: float, b: float, decision: str = "decis
     return rows.withColumn("prob", 1 / (1 + F.exp(a * F.col(decision) + b)))
 
 
+class Classes(NamedTuple):
+    """One machine for each pair of classes, and the two numbers of its sigmoid."""
+
+    labels: list
+    machines: list[tuple[int, int, Svm, float, float]]
+
+
+def fit_classes(rows: DataFrame, cost: float = 1.0, gamma: float = 0.5, folds: int = 5, vector: str = "features", label: str = "label", id_col: str = "vec_id", most: int = MOST_TRAINING_ROWS, seed: int = 42) -> Classes:
+    """A one-versus-one machine for each pair of classes, with a sigmoid fitted on decisions out of folds.
+
+    Fitted on some ``most`` rows or fewer. Each pair is a group of its own, so the pairs are fitted side by side. Rows of a null label are left out.
+    """
+    seen = bounded_sample(rows.where(F.col(label).isNotNull()), label, id_col, most, seed).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col(label).alias("label"))
+    labels = sorted(r[0] for r in seen.select("label").distinct().collect())  # no more than rows of the sample
+    if len(labels) < 2:
+        return Classes(labels, [])
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda j: F.struct(F.least(j, "own").alias("a"), F.greatest(j, "own").alias("b"))))
+    each = seen.withColumn("own", place).withColumn("p", pairs).where("p.a < p.b").select("id", "x", "own", "p.a", "p.b")
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        x, y = np.stack(group["x"].to_numpy()), np.where(group["own"] == group["a"], 1.0, -1.0)
+        fold, decision = np.zeros(len(y), dtype=np.int64), np.zeros(len(y))
+        for k in (1, -1):
+            fold[y == k] = np.arange((y == k).sum()) % folds
+        for f in range(folds):
+            held, rest = fold == f, fold != f
+            if held.any():
+                decision[held] = svm.train(x[rest], y[rest], cost=cost, gamma=gamma).decide(x[held]) if len(set(y[rest])) > 1 else (y[rest][:1] if rest.any() else 0.0)
+        a, b = svm.sigmoid_of(decision, y > 0)
+        return pd.DataFrame([(int(group["a"].iloc[0]), int(group["b"].iloc[0]), svm.train(x, y, cost=cost, gamma=gamma).to_text(), a, b)], columns=["a", "b", "machine", "slope", "offset"])
+
+    found = each.groupBy("a", "b").applyInPandas(fit, "a int, b int, machine string, slope double, offset double").collect()  # vectors of the sample, once a pair
+    dims = len(seen.first().x)
+    return Classes(labels, sorted((r.a, r.b, Svm.from_text(r.machine, dims), r.slope, r.offset) for r in found))
+
+
+def class_probabilities(rows: DataFrame, model: Classes, vector: str = "features") -> DataFrame:
+    """Columns ``probs``, in the order of the model's labels, and ``predicted``, the likeliest label (the first of equal ones). A null vector has null in both."""
+    shared, k = rows.sparkSession.sparkContext.broadcast(model), len(model.labels)
+
+    def score(s: pd.Series) -> pd.Series:
+        known = s.notna().to_numpy()
+        x = np.array([np.asarray(v, dtype=np.float64) for v in s[known]]).reshape(int(known.sum()), -1)
+        out = np.full(len(s), None, dtype=object)
+        if len(x):
+            r = np.zeros((len(x), k, k))
+            for a, b, m, slope, offset in shared.value.machines:
+                r[:, a, b] = 1 / (1 + np.exp(np.clip(slope * m.decide(x) + offset, -500, 500)))
+                r[:, b, a] = 1 - r[:, a, b]
+            p = svm.coupled(r) if k > 1 else np.ones((len(x), 1))
+            for i, v in zip(np.flatnonzero(known), p.tolist(), strict=True):
+                out[i] = v
+        return pd.Series(out)
+
+    score.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    out = rows.withColumn("probs", F.pandas_udf(score, "array<double>")(vector))
+    return out.withColumn("predicted", F.get(F.array(*map(F.lit, model.labels)), F.array_position("probs", F.array_max("probs")).cast("int") - 1))
+
+
 # --- networks and trainers ---------------------------------------------------------------------------------------
 
 
@@ -298,6 +301,13 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_probability(predict_reads(rows, model), a, b).select("vec_id", "decision", "prob")
 
 
+@query("m9_class_probabilities")
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all ten classes for all rows; the machines are fitted on a bounded sample."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), "label")
+    return class_probabilities(rows, fit_classes(rows)).select("vec_id", "label", "predicted", F.transform("probs", lambda p: F.round(p, 6)).alias("probs"))
+
+
 @query("m2_m3_train_validate")
 def train_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A machine fitted on a bounded sample of 70 % of each class, and its counts on all other rows."""
