@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import svm
+from strandlake.operators.rows import held
 from strandlake.operators.svm import Svm
 from strandlake.registry import query, table
 
@@ -219,18 +220,8 @@ def forest_importance(rows: DataFrame, trees: int = 100, seed: int = 42) -> Data
     return rows.sparkSession.createDataFrame(pairs, "feature int, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def depth_sweep(train: DataFrame, test: DataFrame, dims: int, depths: range = range(1, 3), width: int = 32, seeds: tuple[int, ...] = (1,)) -> DataFrame:
-    """(depth, seed, auc) of perceptrons of so many hidden layers."""
-    rate, out = BinaryClassificationEvaluator(), []
-    for depth in depths:
-        for seed in seeds:
-            model = MultilayerPerceptronClassifier(layers=[dims, *[width] * depth, 2], seed=seed, maxIter=50).fit(train)
-            out.append((depth, seed, float(rate.evaluate(model.transform(test)))))
-    return train.sparkSession.createDataFrame(out, "depth int, seed int, auc double")
-
-
 def permutation_importance(rows: DataFrame, model, features: list[int], seed: int = 7) -> DataFrame:  # noqa: ANN001
-    """(feature, loss): fall of AUC when one feature's values are shuffled over the rows. Stands in for gradient explainers."""
+    """(feature, loss): fall of AUC when one feature's values are shuffled over the rows, for any model; ``nets`` has gradient explanations."""
     rate = BinaryClassificationEvaluator()
     whole, out = rate.evaluate(model.transform(rows)), []
     arrays = rows.withColumn("a", vector_to_array("features"))
@@ -294,7 +285,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of all rows: the machine is fitted on a bounded sample, the sigmoid on that sample's out-of-fold decisions."""
     seen = _samples(spark, sf_dir)
-    a, b = fit_sigmoid(out_of_fold(seen, [(1.0, 0.5)], vector="embedding").cache())
+    a, b = fit_sigmoid(held(out_of_fold(seen, [(1.0, 0.5)], vector="embedding"), "decisions"))
     local = seen.orderBy("vec_id").toPandas()
     model = train_svm(np.stack(local["embedding"].to_numpy()).astype(np.float64), local["label"].to_numpy(dtype=np.float64))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.lit(1).alias("n_calls"))
@@ -335,15 +326,7 @@ def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m14_forest_importance")
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest_importance(labelled_vectors(spark, sf_dir), trees=20)
-
-
-@query("m15_m17_depth_sweep")
-def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandlake.operators.sources_lr import stratified_split
-
-    rows = stratified_split(labelled_vectors(spark, sf_dir), "label", "vec_id").cache()
-    return depth_sweep(rows.where("train"), rows.where("not train"), 64)
+    return forest_importance(labelled_vectors(spark, sf_dir))
 
 
 @query("m20_pca")
