@@ -6,7 +6,7 @@ over all documents. Documents meet windows at those shingles only; the shingle's
 document's bounds fix where the window would lie, and all its words are then compared.
 
 Items are taken in blocks of at most ``BLOCK_BYTES`` of text, whose index, flat arrays of some hundred bytes a word, is broadcast; more items mean
-more passes.
+more passes. A block's index takes some 250 MB on the driver while it is made.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ from strandlake.llm import kernel
 from strandlake.llm.store import let_go, small_batches, written
 
 K, SHINGLE = 10, 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _BITS = 22
 
 
@@ -168,18 +169,55 @@ def occurrences(w: kernel.Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start, window = np.concatenate(starts), np.concatenate(which)
-    ok = np.zeros(len(start), dtype=bool)
-    for x, (s, v) in enumerate(zip(start.tolist(), window.tolist(), strict=True)):
-        n, b = int(index.length[v]), int(index.begin[v])
-        ok[x] = _spelled(w.buf, w.start[s : s + n], w.end[s : s + n]) == _spelled(index.buf, index.start[b : b + n], index.end[b : b + n])
+    n = index.length[window]
+    hit = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+    d, v = start[hit] + within, index.begin[window][hit] + within
+    alike = w.end[d] - w.start[d] == index.end[v] - index.start[v]
+    d, v = d[alike], v[alike]
+    alike[alike] = kernel.spelled_alike(w.buf, w.start[d], w.end[d], index.buf, index.start[v])
+    ok = np.bincount(hit[~alike], minlength=len(n)) == 0
     return start[ok], window[ok]
 
 
-def _spelled(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-    return [buf[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+_OUT = "n_words long, spans array<struct<first:long,end:long>>, item_ids array<string>"
 
 
-_OUT = "n_words long, spans array<struct<first:long,end:long>>, item_ids array<string>"
+def _lists(text: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """A list for each of n texts; ``values`` are in the order of texts."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def _merged(earlier: pa.Array, first: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Ranges of words by text: earlier ones, within their texts, and new ones, within the batch; those that meet are one."""
+    n = pc.fill_null(pc.list_value_length(earlier), 0).to_numpy(zero_copy_only=False)
+    old = earlier.flatten()
+    base = np.repeat(first[:-1], n)
+    start = np.append(base + old.field("first").to_numpy(), start)
+    end = np.append(base + old.field("end").to_numpy(), end)
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    text = np.searchsorted(first, start, "right") - 1
+    begins = np.append(True, (start[1:] > reach[:-1]) | (text[1:] != text[:-1])) if len(start) else np.zeros(0, bool)
+    text, lo, hi = text[begins], start[begins], reach[np.append(np.flatnonzero(begins)[1:] - 1, len(start) - 1)] if len(start) else reach
+    return _lists(text, len(first) - 1, pa.StructArray.from_arrays([pa.array(lo - first[text]), pa.array(hi - first[text])], ["first", "end"]))
+
+
+def _owners(earlier: pa.Array, first: np.ndarray, start: np.ndarray, window: np.ndarray, known: Index | None) -> pa.Array:
+    """Sorted ids by text of the items that own windows found in it, and of earlier ones."""
+    texts = len(first) - 1
+    n = known.owner_at[window + 1] - known.owner_at[window] if known else window
+    entry = np.repeat(known.owner_at[window] - np.cumsum(n) + n, n) + np.arange(n.sum()) if known else window
+    text = np.repeat(np.searchsorted(first, start, "right") - 1, n)
+    size = max(1, len(known.items)) if known else 1
+    text, item = np.divmod(np.unique(text * size + (known.owners[entry] if known else 0)), size)
+    names = pa.array(known.items.tolist() if known else [], pa.string()).take(pa.array(item))
+    if earlier.null_count == len(earlier):
+        return _lists(text, texts, names)
+    sets = [set(x or ()) for x in earlier.to_pylist()]  # another block's items
+    for t, name in zip(text.tolist(), names.to_pylist(), strict=True):
+        sets[t].add(name)
+    return pa.array([sorted(x) for x in sets], pa.list_(pa.string()))
 
 
 def _scan(index):  # noqa: ANN001
@@ -191,25 +229,9 @@ def _scan(index):  # noqa: ANN001
         for b in batches:
             w = kernel.words(b.column("text"), kernel.ALNUM)
             start, window = occurrences(w, known) if known else (np.zeros(0, np.int64),) * 2
-            spans, items = b.column("spans").to_pylist(), [set(x or ()) for x in b.column("item_ids").to_pylist()]
-            spans = [[(s["first"], s["end"]) for s in x or ()] for x in spans]
-            text = np.searchsorted(w.first, start, "right") - 1
-            for t, s, v in zip(text.tolist(), start.tolist(), window.tolist(), strict=True):
-                own = s - int(w.first[t])
-                spans[t].append((own, own + int(known.length[v])))
-                items[t].update(known.items[known.owners[known.owner_at[v] : known.owner_at[v + 1]]].tolist())
-            merged = []
-            for x in spans:
-                out: list[list[int]] = []
-                for lo, hi in sorted(x):
-                    if out and lo <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], hi)
-                    else:
-                        out.append([lo, hi])
-                merged.append([{"first": lo, "end": hi} for lo, hi in out])
             keep = [i for i, c in enumerate(b.schema.names) if c not in ("n_words", "spans", "item_ids")]
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            cols = [b.column(i) for i in keep] + [pa.array(np.diff(w.first)), pa.array(merged, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            spans = _merged(b.column("spans"), w.first, start, start + (known.length[window] if known else 0))
+            cols = [b.column(i) for i in keep] + [pa.array(np.diff(w.first)), spans, _owners(b.column("item_ids"), w.first, start, window, known)]
             yield pa.RecordBatch.from_arrays(cols, [b.schema.names[i] for i in keep] + ["n_words", "spans", "item_ids"])
 
     return run

@@ -78,3 +78,23 @@ def test_long_texts_and_rows_that_stay(spark):
     assert kept.schema == df.schema and sorted((x.doc_id or 0, len(x.text or "")) for x in kept.collect()) == [(0, 3), (2, len(docs[1][1])), (3, 0), (3, 0)]
     assert decontaminate.uncontaminated(df, items.limit(0)).count() == len(docs)
     assert decontaminate.uncontaminated(df.limit(0), items).collect() == []
+
+
+def test_a_full_block_of_items_fits_on_the_driver():
+    """The index of BLOCK_BYTES of items, but for its counts, while it is made; numpy's memory is traced."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(50_000)]
+    texts, size = [], 0
+    while size < decontaminate.BLOCK_BYTES:
+        texts.append(" ".join(words[i] for i in rng.integers(0, 50_000, 60)))
+        size += len(texts[-1])
+    tracemalloc.start()
+    index, hashes = decontaminate.windows_of([str(i) for i in range(len(texts))], texts, 10, 3)
+    known = np.unique(np.concatenate([np.unique(m) for _, _, m in decontaminate._shingles(index, hashes)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(known) > 500_000 and peak < 400 << 20, peak >> 20
