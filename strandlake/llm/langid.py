@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ from strandlake.llm.store import let_go, small_batches
 FEATURES = 2048
 #: Labelled rows to fit on: some SAMPLE_ROWS in all and PER_LANGUAGE of a language, picked by a hash of their ids.
 SAMPLE_ROWS, PER_LANGUAGE = 4000, 800
+#: Languages that are learnt, those with most rows (equal ones by name). There is a machine for each pair of families, so with many their number is what counts.
+MOST_LANGUAGES = 100
 UNKNOWN = "und"
 #: Families of closely related languages; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -87,54 +89,92 @@ def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0, roun
     return w
 
 
+class Machines(NamedTuple):
+    """One-versus-one machines of some names: of each, the places of its two names, and its weights (the bias last)."""
+
+    names: list[str]
+    first: np.ndarray
+    second: np.ndarray
+    weights: np.ndarray
+
+
 class Model(NamedTuple):
-    families: list[str]
-    languages: dict[str, list[str]]
-    between: dict[tuple[str, str], np.ndarray]
-    within: dict[tuple[str, str], np.ndarray]
+    between: Machines  # families
+    within: dict[str, Machines]  # languages of each family
+
+    @property
+    def languages(self) -> list[str]:
+        return sorted(n for m in self.within.values() for n in m.names)
+
 
+NOTHING = Model(Machines([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FEATURES + 1))), {})
 
-def _vote(x: np.ndarray, names: list[str], machines: dict[tuple[str, str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Winner of all one-versus-one decisions (ties go to the larger sum of squashed margins), and its mean squashed margin."""
-    wins, total = np.zeros((len(x), len(names))), np.zeros((len(x), len(names)))
-    for (a, b), w in machines.items():
-        p = 1 / (1 + np.exp(-2 * np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        for n, q in ((a, p), (b, 1 - p)):
-            wins[:, names.index(n)] += q >= 0.5
-            total[:, names.index(n)] += q
-    best = (wins + total / (len(names) + 1)).argmax(axis=1)
-    return best, total[np.arange(len(x)), best] / max(1, len(names) - 1) if len(names) > 1 else np.ones(len(x))
 
+def _vote(x: np.ndarray, m: Machines) -> tuple[np.ndarray, np.ndarray]:
+    """Winner of all one-versus-one decisions, and its mean squashed margin. Equal wins go to the larger sum of squashed margins, then to the first name."""
+    p = 1 / (1 + np.exp(-2 * np.clip(x @ m.weights[:, :-1].T + m.weights[:, -1], -30, 30)))
+    wins, total = np.zeros((len(x), len(m.names))), np.zeros((len(x), len(m.names)))
+    for i in range(len(m.names)):
+        a, b = m.first == i, m.second == i
+        wins[:, i] = (p[:, a] >= 0.5).sum(axis=1) + (p[:, b] <= 0.5).sum(axis=1)
+        total[:, i] = p[:, a].sum(axis=1) + (1 - p[:, b]).sum(axis=1)
+    best = (wins + total / (len(m.names) + 1)).argmax(axis=1)
+    return best, total[np.arange(len(x)), best] / max(1, len(m.names) - 1) if len(m.names) > 1 else np.ones(len(x))
 
-def train(x: np.ndarray, langs: np.ndarray) -> Model:
+
+def pairs_of(langs: np.ndarray) -> tuple[list[str], dict[str, list[str]], list[tuple[str | None, str, str]]]:
+    """Families, the languages of each, and all machines to fit: (None, family, family) or (family, language, language)."""
     names = sorted(set(langs.tolist()))
-    family = np.array([_FAMILY.get(n, n) for n in langs], dtype=object)
-    families = sorted(set(family.tolist()))
+    families = sorted({_FAMILY.get(n, n) for n in names})
     languages = {f: [n for n in names if _FAMILY.get(n, n) == f] for f in families}
+    return families, languages, [(None, a, b) for a, b in combinations(families, 2)] + [(f, a, b) for f in families for a, b in combinations(languages[f], 2)]
 
-    def machines(all_names: list[str], own: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
-        out = {}
-        for a, b in combinations(all_names, 2):
-            rows = (own == a) | (own == b)
-            out[a, b] = support_vector_machine(x[rows], np.where(own[rows] == a, 1.0, -1.0))
-        return out
 
-    within = {}
-    for f in families:
-        within |= machines(languages[f], langs)
-    return Model(families, languages, machines(families, family), within)
+def machine(x: np.ndarray, langs: np.ndarray, family: str | None, a: str, b: str) -> np.ndarray:
+    """Weights of the machine that tells two families, or two languages of a family, apart."""
+    own = langs if family is not None else np.array([_FAMILY.get(n, n) for n in langs], dtype=object)
+    rows = (own == a) | (own == b)
+    return support_vector_machine(x[rows], np.where(own[rows] == a, 1.0, -1.0))
+
+
+def _fit_pairs(shared, pairs):  # noqa: ANN001
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, langs = shared.value
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([machine(x, langs, *pairs[i]).tobytes()], pa.binary())], ["id", "w"])
+
+    return run
+
+
+def train(spark: SparkSession, x: np.ndarray, langs: np.ndarray) -> Model:
+    """All machines, each fitted in a task on the sample, which goes along: some SAMPLE_ROWS rows of FEATURES numbers."""
+    families, languages, pairs = pairs_of(langs)
+    weights = np.zeros((len(pairs), FEATURES + 1))
+    if pairs:
+        shared = spark.sparkContext.broadcast((x, langs))
+        tasks = spark.range(0, len(pairs), 1, min(len(pairs), spark.sparkContext.defaultParallelism)).mapInArrow(_fit_pairs(shared, pairs), "id long, w binary")
+        for r in tasks.collect():  # a vector a pair
+            weights[r.id] = np.frombuffer(r.w)
+
+    def of(names: list[str], family: str | None) -> Machines:
+        own = [i for i, p in enumerate(pairs) if p[0] == family]
+        place = {n: i for i, n in enumerate(names)}
+        side = lambda k: np.array([place[pairs[i][k]] for i in own], dtype=np.int64)
+        return Machines(names, side(1), side(2), weights[own])
+
+    return Model(of(families, None), {f: of(languages[f], f) for f in families})
 
 
 def predict_rows(model: Model, x: np.ndarray, lettered: np.ndarray) -> tuple[list[str], np.ndarray]:
     lang, score = np.full(len(x), UNKNOWN, dtype=object), np.zeros(len(x))
-    if model.families and len(x):
-        family, sure = _vote(x, model.families, model.between)
-        for i, f in enumerate(model.families):
+    if model.between.names and len(x):
+        family, sure = _vote(x, model.between)
+        for i, f in enumerate(model.between.names):
             rows = np.flatnonzero(lettered & (family == i))
             if len(rows):
-                names = model.languages[f]
-                best, own = _vote(x[rows], names, {k: w for k, w in model.within.items() if k[0] in names})
-                lang[rows] = np.array(names, dtype=object)[best]
+                best, own = _vote(x[rows], model.within[f])
+                lang[rows] = np.array(model.within[f].names, dtype=object)[best]
                 score[rows] = sure[rows] * own
     return lang.tolist(), np.clip(score, 0.0, 1.0)
 
@@ -153,22 +193,27 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a sample of the rows that have text, language and id and aren't held out. ``lang_col`` is read here only."""
-    small_batches(docs.sparkSession)
+    """Learn from a sample of the rows that have text, language and id and aren't held out. ``lang_col`` is read here only.
+
+    The MOST_LANGUAGES languages with most rows are learnt, each from some rows of its own, whatever their number.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("id").isNotNull() & ~held_out("id"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    most = min(PER_LANGUAGE, SAMPLE_ROWS // max(1, len(counts)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
-        return Model([], {}, {}, {})
-    share = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(1.0, most / c))) for n, c in sorted(counts.items())])
+        return NOTHING
+    most = min(PER_LANGUAGE, SAMPLE_ROWS // len(counts))
     # 31 bits of a hash of the id, as a number below 1: some ``most`` rows of each language whatever the table's size.
-    picked = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(1 << 31)) / F.lit(float(1 << 31)) < share)
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, most / r.n))])
+    place = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    picked = rows.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
     sample = picked.select("text", "lang").mapInArrow(_features, "x binary, lang string").toPandas()
     if not len(sample):
-        return Model([], {}, {}, {})
+        return NOTHING
     sample = sample.sort_values(["lang", "x"])  # the same machines whatever order the rows came in
-    return train(np.frombuffer(b"".join(sample["x"]), dtype=np.float32).reshape(-1, FEATURES), sample["lang"].to_numpy(dtype=object))
+    return train(spark, np.frombuffer(b"".join(sample["x"]), dtype=np.float32).reshape(-1, FEATURES), sample["lang"].to_numpy(dtype=object))
 
 
 def _predict(model):  # noqa: ANN001
