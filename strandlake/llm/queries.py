@@ -65,8 +65,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], rows.schema)
-    out = chat.format_chat(rows.unionByName(trap))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    trap = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(TRAP).alias("text"))
+    out = chat.format_chat(rows.unionByName(trap.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])))
     out = out.select("conv_id", "formatted", chat.read_chat(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
