@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import kernel
-from strandlake.llm.store import delete, let_go, small_batches, written
+from strandlake.llm.store import bounded_batches, delete, let_go, written
 
 LEAST_DOCS, TOP_TERMS = 10, 10
 #: ASCII letters and all other than ASCII characters.
@@ -206,7 +206,6 @@ class Audit:
     """The tables of one audit: terms kept, groups, joint histograms, and the two parts of the report."""
 
     def __init__(self, docs: DataFrame, lang_col: str, source_col: str, text_col: str, least_docs: int) -> None:
-        small_batches(docs.sparkSession)
         text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
         rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
         counted = rows.mapInArrow(_count_terms, "lang string, source string, term string, count long, docs long").repartition("lang", "term")
@@ -270,9 +269,10 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     Every row of ``docs`` is a document, repeated or not; null text, language and source read as ''. A source without terms has its pairs all
     the same; one alone in its language has none. An empty table gives no rows. Other columns play no part.
     """
-    audit = Audit(docs, lang_col, source_col, text_col, least_docs)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     part = lambda rows, name: rows.select("lang", "source", F.lit(name).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
-    out = written(part(audit.pairs(), "pair").unionByName(part(audit.excess(), "term").where(F.col("rank") <= top_terms)), "divergence")
+    with bounded_batches(docs.sparkSession):
+        audit = Audit(docs, lang_col, source_col, text_col, least_docs)
+        out = written(part(audit.pairs(), "pair").unionByName(part(audit.excess(), "term").where(F.col("rank") <= top_terms)), "divergence")
     delete(audit.terms, audit.groups)
     return out

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import kernel
-from strandlake.llm.store import delete, let_go, small_batches, written
+from strandlake.llm.store import bounded_batches, delete, let_go, written
 
 K = 20
 BLOCK_BYTES = 4 << 20
@@ -270,14 +270,14 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "
     Other columns play no part.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     listed = items.select(F.col(item_text_col).cast("string").alias("text"), F.col(item_col).alias("item_id")).where("text is not null")
     size = listed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, kind, out = max(1, -(-int(size) // BLOCK_BYTES)), listed.schema["item_id"].dataType, None
     for i in range(blocks):
         block = [tuple(r) for r in listed.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == i).collect()]  # bounded by BLOCK_BYTES
-        found = _block(texts, block, k) if block else None
+        with bounded_batches(spark):
+            found = _block(texts, block, k) if block else None
         if found is not None:
             names = spark.createDataFrame([(j, r[1]) for j, r in enumerate(block)], f"item int, item_id {kind.simpleString()}")
             named = found.join(names, "item").select(F.col("item_id").alias(item_col), F.col("rank").cast("int"), F.col("id").alias(id_col), "score")

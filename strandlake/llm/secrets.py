@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import kernel
-from strandlake.llm.store import let_go, small_batches, written
+from strandlake.llm.store import bounded_batches, let_go, written
 
 #: Kinds of spans, in the order of ties.
 KINDS = ("assign", "access", "hex", "random")
@@ -259,8 +259,26 @@ def secrets(docs: DataFrame, share: float = FALSE_DISCOVERIES, id_col: str = "do
     A null text is empty and has no spans; ids may be null or repeat; a text of any length is looked at whole; an empty table gives no rows;
     other columns play no part.
     """
+    with bounded_batches(docs.sparkSession):
+        made, least = _tested(docs, share, id_col, text_col)
+    names = F.array(*map(F.lit, KINDS))
+    base = F.transform("base", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    out = made.select("id", base.alias("base"), "found")
+    more = F.filter("found", lambda f: F.lit(False) if least is None else (_level(f) >= least))
+    added = F.transform(more, lambda f: F.struct(F.lit(KINDS[3]).alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
+    # No added span begins where a base one does, so its kind's name plays no part in the order.
+    both = F.array_sort(F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(names, s["kind"]).alias("order"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return out.select(F.col("id").alias(id_col), "base", F.transform(both, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+
+
+def _level(f) -> Column:  # noqa: ANN001
+    """Steps of evidence of a candidate. Its weighted chance is chance * mean bits / bits; the level leaves the mean out."""
+    return F.when(f["evidence"] > 0, F.floor((f["evidence"] + F.log10(f["bits"])) * STEPS)).otherwise(F.lit(0)).cast("int")
+
+
+def _tested(docs: DataFrame, share: float, id_col: str, text_col: str) -> tuple[DataFrame, int | None]:
+    """Spans and candidates of all documents, written, and the level that the false discovery rule takes candidates from."""
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = texts.select("text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # some 4,400 rows at most
     pairs = np.zeros(_SIZE * _SIZE)
@@ -269,16 +287,7 @@ def secrets(docs: DataFrame, share: float = FALSE_DISCOVERIES, id_col: str = "do
     shared = spark.sparkContext.broadcast(pairs.reshape(_SIZE, _SIZE))
     made = written(texts.mapInArrow(_scan(shared), f"id {texts.schema['id'].dataType.simpleString()}, {_SPANS}"), "secrets")
     each = made.select(F.explode("found").alias("f")).select("f.evidence", "f.bits")
-    # The weighted chance is chance * mean bits / bits; its level leaves the mean out.
-    level = lambda f: F.when(f["evidence"] > 0, F.floor((f["evidence"] + F.log10(f["bits"])) * STEPS)).otherwise(F.lit(0)).cast("int")
-    tally = each.select(level({"evidence": F.col("evidence"), "bits": F.col("bits")}).alias("level"), "bits").groupBy("level").agg(F.count("*").alias("n"), F.sum("bits").alias("bits")).collect()  # some 32,000 rows at most
+    tally = each.select(_level({"evidence": F.col("evidence"), "bits": F.col("bits")}).alias("level"), "bits").groupBy("level").agg(F.count("*").alias("n"), F.sum("bits").alias("bits")).collect()  # some 32,000 rows at most
     m = sum(r.n for r in tally)
     least = least_level([(r.level, r.n) for r in tally], sum(r.bits for r in tally) / m, share) if m else None
-    names = F.array(*map(F.lit, KINDS))
-    base = F.transform("base", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    out = made.select("id", base.alias("base"), "found")
-    more = F.filter("found", lambda f: F.lit(False) if least is None else (level(f) >= least))
-    added = F.transform(more, lambda f: F.struct(F.lit(KINDS[3]).alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-    # No added span begins where a base one does, so its kind's name plays no part in the order.
-    both = F.array_sort(F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(names, s["kind"]).alias("order"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return out.select(F.col("id").alias(id_col), "base", F.transform(both, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return made, least

@@ -78,13 +78,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes as well as by rows, so that long texts don't pile up in one batch."""
+    """Bound the session's Arrow batches by bytes as well as by rows, so that long texts don't pile up in one batch.
+
+    The settings stay, as a result that is not yet computed reads them when it is.
+    """
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` while an operator runs its jobs; the session's own settings come back. For operators whose result no Arrow function makes any more."""
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = [spark.conf.get(n) for n in names]
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
 #: What a Python worker keeps for its next tasks: one operator's encoder, counter or finder at a time.
 _held: dict[str, object] = {}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
