@@ -89,6 +89,30 @@ def number_to_size(n: Column, digits: int = 3, suffix: str = "") -> Column:
     return F.when(power == 0, text).otherwise(F.concat(shown, F.substr(F.lit(SUFFIXES), power.cast("int"), F.lit(1)), F.lit(suffix)))
 
 
+def number_to_binary_size(n: Column, digits: int = 3, suffix: str = "") -> Column:
+    """Three significant digits or more and a 1024-based suffix, rounded half up: 1536 is 1.50Ki. What would take more digits, or be 1024, takes the next suffix."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    power = sum((n >= 1024**k).cast("int") for k in range(1, 7))
+
+    def shown(p: Column) -> tuple[Column, Column]:
+        """The number with this suffix, and whether it fits."""
+        unit = F.element_at(F.array(*[F.lit(1024**k) for k in range(7)]), p + 1)
+        whole = F.call_function("div", n, unit)
+        before = F.length(whole.cast("string"))
+        more = F.greatest(F.lit(0), F.least(digits - before, 3 * p))
+        ten = lambda k: F.element_at(F.array(*[F.lit(10**i) for i in range(19)]), k + 1)
+        scaled = F.call_function("div", 2 * wide(n) * wide(ten(more)) + wide(unit), 2 * wide(unit))
+        longer = (more > 0) & (F.length(F.call_function("div", scaled, ten(more)).cast("string")) > before)
+        scaled, more = F.when(longer, F.call_function("div", scaled, F.lit(10))).otherwise(scaled), F.when(longer, more - 1).otherwise(more)
+        first = F.call_function("div", scaled, ten(more))
+        rest = F.when(more > 0, F.concat(F.lit("."), F.lpad((scaled - first * ten(more)).cast("string"), more, F.lit("0")))).otherwise("")
+        fits = (F.length(first.cast("string")) <= digits) & (first != 1024) & (whole < 1000 if digits == 3 else F.lit(True))
+        return F.concat(first.cast("string"), rest, F.substr(F.lit(SUFFIXES), p, F.lit(1)), F.lit("i" + suffix)), fits
+
+    text, fits = shown(power)
+    return F.when(power == 0, n.cast("string")).otherwise(F.when(fits, text).otherwise(shown(F.least(power + 1, F.lit(6)))[0]))
+
+
 def is_number(s: Column) -> Column:
     """A sign, digits with a fraction between or before them, and a small e exponent."""
     return s.rlike(r"^[+-]?([0-9]+(\.[0-9]+)?|\.[0-9]+)(e[+-]?[0-9]+)?$")

@@ -229,7 +229,8 @@ def permutation_importance(rows: DataFrame, model, features: list[int], seed: in
         # Each row takes the value of the row that follows it in an order by hashes, within one of many groups.
         group, order = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(64)), F.xxhash64("vec_id", F.lit(seed + f))
         own = Window.partitionBy(group).orderBy(order)
-        mixed = arrays.withColumn("_v", F.coalesce(F.lead(F.get("a", f)).over(own), F.get("a", f))).withColumn("features", array_to_vector(F.transform("a", lambda x, i, f=f: F.when(i == f, F.col("_v")).otherwise(x))))
+        drawn = arrays.withColumn("_v", F.coalesce(F.lead(F.get("a", f)).over(own), F.get("a", f)))
+        mixed = drawn.withColumn("features", array_to_vector(F.concat(F.slice("a", 1, f), F.array("_v"), F.slice("a", f + 2, F.size("a")))))
         out.append((f, float(whole - rate.evaluate(model.transform(mixed)))))
     return rows.sparkSession.createDataFrame(out, "feature int, loss double")
 

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -280,6 +281,14 @@ def files(path: str) -> list[str]:
     return paths.files(path, (".bam",), "BAM")
 
 
+def write(rows: DataFrame, path: str, contigs: str, mode: str = "append", parts: int | None = None) -> None:
+    """Write reads in the order of ``read_id``: files hold ranges of it, their names are in its order, and each is sorted."""
+    rows.sparkSession.dataSource.register(BamSource)
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(n, "read_id").sortWithinPartitions("read_id").drop("read_id")
+    ordered.write.format("bam").option("contigs", contigs).mode(mode).save(path)
+
+
 class BamSource(DataSource):
     """Option ``splitBytes``: size of ranges. ``mode``: ``files`` (the default: a file a task), or what ``reads`` asks for: ``count`` and ``ranges``."""
 
@@ -338,7 +347,7 @@ class BamWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         store, at = paths.store_of(self.path)
-        name = f"part-{uuid.uuid4().hex}.bam"
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bam"
         store.create_dir(f"{at}/_temporary-{self.job}", recursive=True)
         with store.open_output_stream(f"{at}/_temporary-{self.job}/{name}", compression=None) as f:
             write_file((_defaults(r.asDict()) for r in iterator), f, self.contigs)

@@ -316,6 +316,10 @@ def test_text(spark):
     sizes = {0: "0", 999: "999", 1000: "1.00K", 1234567: "1.23M", 999499: "999K", 999500: "1.00M", 12345: "12.3K", 10**18: "1.00E"}
     got = dict(spark.createDataFrame([(k,) for k in sizes], "n long").select("n", text.number_to_size(F.col("n"))).collect())
     assert got == sizes
+    binary = {0: "0", 1023: "1023", 1024: "1.00Ki", 1536: "1.50Ki", 10 * 1024: "10.0Ki", 10239: "10.0Ki", 1000 * 1024 - 1: "0.98Mi", 999 * 1024: "999Ki", 999 * 1024 + 512: "0.98Mi", 1024**2: "1.00Mi", 2**63 - 1: "8.00Ei", 5 * 1024**4 + 1024**4 // 8: "5.13Ti"}
+    assert dict(spark.createDataFrame([(k,) for k in binary], "n long").select("n", text.number_to_binary_size(F.col("n"))).collect()) == binary
+    four = {1023 * 1024 + 1000: "1.000Mi", 1010 * 1024: "1010Ki", 12345: "12.06Ki"}
+    assert dict(spark.createDataFrame([(k,) for k in four], "n long").select("n", text.number_to_binary_size(F.col("n"), 4)).collect()) == four
     back = {"1.5K": 1500, "2MiB": 2097152, "7": 7, "x": None, "3 GB": 3 * 10**9}
     assert dict(spark.createDataFrame([(k,) for k in back], "s string").select("s", text.size_to_number(F.col("s"))).collect()) == back
     ok = {"1": True, "-1.5e3": True, ".5": True, "5.": False, "": False, "1e": False, "+": False, "1E3": False}
@@ -391,6 +395,78 @@ def test_bam_sink(spark, tmp_path):
         spark.read.format("bam").load(str(tmp_path / "none*.bam")).count()
 
 
+def test_bam_sink_in_order(spark, tmp_path):
+    rows = [(i, f"q{i:04d}", "ACGT") for i in range(500)]
+    df = spark.createDataFrame(rows, "read_id long, qname string, seq string").orderBy(F.xxhash64("qname")).repartition(5)
+    bam.write(df, str(tmp_path / "out"), "", parts=4)
+    assert len(bam.files(str(tmp_path / "out"))) == 4
+    back = spark.read.format("bam").load(str(tmp_path / "out")).orderBy("read_id").collect()
+    assert [r.qname for r in back] == [q for _, q, _ in rows]
+
+
+def test_tsv_sink(spark, tmp_path):
+    rows = [(1, 'a "quoted" \\ text', None, 0.5), (2, "", "x,y", -1e300)]
+    text_formats.write_tsv(spark.createDataFrame(rows, "n int, a string, b string, v double").coalesce(1), str(tmp_path / "t"), header=True)
+    lines = next((tmp_path / "t").glob("part-*")).read_text().split("\n")
+    assert lines[:2] == ["n\ta\tb\tv", '1\ta "quoted" \\ text\t\t0.5'] and lines[2].split("\t")[0] == "2" and lines[2].endswith("x,y\t-1.0E300")
+    again = text_formats.tsv(spark, str(tmp_path / "t"), "n int, a string, b string, v double", header=True).orderBy("n").collect()
+    assert (again[0].a, again[0].b, again[1].b, again[1].v) == (rows[0][1], None, "x,y", -1e300)
+
+
+def test_flipped_places(spark):
+    df = spark.createDataFrame([(0, 10), (9, 10), (4, 10)], "pos int, n int")
+    assert [tuple(r) for r in df.select(sequence.flip(F.col("pos"), F.col("n")), sequence.flip(F.col("pos"), F.col("n"), 2)).collect()] == [(9, 8), (0, -1), (5, 4)]
+
+
+def test_reads_whose_quality_is_of_another_length_are_inconsistent(spark):
+    full = {t: [1, 2, 3, 4] for t in reads.TAGS}
+    rows = [dict(read_id=i, seq="ACGT", qual=q, **full) for i, q in ((1, [1, 2, 3, 4]), (2, [1]), (3, None))]
+    df = spark.createDataFrame([{k: r[k] for k in ("read_id", "seq", "qual", *reads.TAGS)} for r in rows], "read_id long, seq string, qual array<int>, fi array<int>, ri array<int>, fp array<int>, rp array<int>")
+    assert sorted(r.read_id for r in reads.consistent(df, 4).collect()) == [1, 3]
+
+
+def test_windowed_frequency(spark, tmp_path):
+    """Windows come out once the watermark has passed them; a late call doesn't count."""
+    calls_at = "chr string, coor int, prob double, at timestamp"
+    batches = [
+        [("c", 1, 0.9, "2024-01-01 00:01:00"), ("c", 1, 0.1, "2024-01-01 00:09:00"), ("c", 2, 0.7, "2024-01-01 00:11:00")],
+        [("c", 1, 0.8, "2024-01-01 00:05:00"), ("c", 9, 0.8, "2024-01-01 01:30:00")],
+        [("c", 1, 0.8, "2024-01-01 00:02:00"), ("c", 9, 0.8, "2024-01-01 03:00:00")],
+    ]
+    source = tmp_path / "in"
+    source.mkdir()
+    for k, rows in enumerate(batches):
+        part = spark.createDataFrame(rows, "chr string, coor int, prob double, at string").withColumn("at", F.to_timestamp("at"))
+        part.coalesce(1).write.parquet(str(source / f"b={k}"))
+        found = stream.windowed_frequency(spark.readStream.schema(calls_at).option("recursiveFileLookup", "true").parquet(str(source)), "at")
+        found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {(str(r.window.start)[11:16], r.chr, r.coor): (r.above, r.below) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("00:00", "c", 1): (2, 1), ("00:10", "c", 2): (1, 0), ("01:30", "c", 9): (1, 0)}
+
+
+def test_models_of_the_queries_have_the_right_values(spark):
+    """Components up to their sign, network scores, and shares of importance, against numpy."""
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.stack(e["embedding"].to_numpy()).astype(np.float64)
+    got = np.array([r.components for r in ml.pca(spark, sf).orderBy("vec_id").collect()])
+    way = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2]
+    want = (x - x.mean(0)) @ way.T
+    assert all(min(np.abs(got[:, j] - s * want[:, j]).max() for s in (1, -1)) < 1e-6 for j in range(2))
+    rng = np.random.Generator(np.random.PCG64(1))
+    w1, w2 = rng.standard_normal((64, 16)) / 8, rng.standard_normal((16, 2)) / 4
+    out = np.maximum(0, x @ w1) @ w2
+    p = np.exp(out[:, 1]) / np.exp(out).sum(1)
+    assert np.abs(np.array([r.prob for r in ml.network(spark, sf).orderBy("vec_id").collect()]) - p).max() < 2e-5
+    strong = spark.createDataFrame([(float(i % 7 > 3), i % 7 + 0.1 * (i % 3), float(i * 37 % 11)) for i in range(400)], "label double, a double, b double").select("label", ml.array_to_vector(F.array("a", "b")).alias("features"))
+    found = {r.feature: r.importance for r in ml.forest_importance(strong, trees=20).collect()}
+    assert abs(sum(found.values()) - 1) < 1e-9 and found[0] > 0.7
+    mixed = strong.withColumn("vec_id", F.monotonically_increasing_id())
+    model = ml.RandomForestClassifier(numTrees=10, seed=1).fit(strong)
+    loss = {r.feature: r.loss for r in ml.permutation_importance(mixed, model, [0, 1]).collect()}
+    assert loss[0] > 0.2 > abs(loss[1])
+
+
 def test_bam_files_that_are_cut_off_or_damaged_are_errors():
     out = io.BytesIO()
     row = {"qname": "q", "flag": 4, "rname": "*", "pos": -1, "mapq": 0, "cigar": "*", "seq": "ACGT", "qual": None}
