@@ -193,11 +193,14 @@ def mm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         o AS (SELECT *, row_number() OVER (PARTITION BY read_id, base ORDER BY pos) - 1 AS k FROM (SELECT read_id, seq[i + 1] AS base, i AS pos FROM (SELECT read_id, seq, unnest(range(len(seq))) AS i FROM reads)) WHERE base IN ('A', 'T')),
         g AS (SELECT c.read_id, c.base, c.pos, c.prob, o.k - coalesce(lag(o.k) OVER (PARTITION BY c.read_id, c.base ORDER BY c.pos), -1) - 1 AS gap FROM calls c JOIN o USING (read_id, base, pos))
         SELECT read_id, 'A+m' || coalesce(string_agg(',' || gap, '' ORDER BY pos) FILTER (WHERE base = 'A'), '') || ';T-m' || coalesce(string_agg(',' || gap, '' ORDER BY pos) FILTER (WHERE base = 'T'), '') || ';' AS mm,
-               sum(least(255, floor(prob * 256)))::BIGINT AS ml FROM g GROUP BY read_id""",
+               sum(i * least(255, floor(prob * 256)))::BIGINT AS ml, sum(i * round(prob * 100))::BIGINT AS zp FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY base, pos) AS i FROM g) GROUP BY read_id""",
 )
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities weighted by their places."""
     seqs = views.sequences(spark, sf_dir).select("read_id", "seq")
-    return encode_tags(seqs, views.calls(seqs)).select("read_id", "mm", F.aggregate("ml", F.lit(0).cast("long"), lambda s, x: s + x).alias("ml"))
+    by_place = lambda c: F.aggregate(F.transform(c, lambda x, i: (i + 1) * x.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    zp = F.transform("zp", lambda x: F.round(x.cast("double") * 100))
+    return encode_tags(seqs, views.calls(seqs)).select("read_id", "mm", by_place("ml").alias("ml"), by_place(zp).alias("zp"))
 
 
 @query(

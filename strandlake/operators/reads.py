@@ -62,11 +62,11 @@ def quality_filter(reads: DataFrame, least: float = 0.3, percentile: float = 0.9
 
 
 def consistent(reads: DataFrame, least_length: int = 1000) -> DataFrame:
-    """Reads that are long enough and whose signals, and qualities where there is such a column, are as long as their sequence."""
+    """Reads that are long enough and whose signals, and qualities where there is such a column, are as long as their sequence. A missing quality is no fault."""
     out = reads.where(F.length("seq") >= least_length)
-    for t in (*TAGS, *["qual"] * ("qual" in reads.columns)):
+    for t in TAGS:
         out = out.where(F.size(t) == F.length("seq"))
-    return out
+    return out.where(F.col("qual").isNull() | (F.size("qual") == F.length("seq"))) if "qual" in reads.columns else out
 
 
 def has_signals(reads: DataFrame, rows: int = 50) -> bool:
@@ -105,13 +105,14 @@ def read_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(views.reads(spark, sf_dir)).select("read_id", F.round("ratio", 6).alias("ratio"))
 
 
-@query("f5_f6_consistent_reads", f"""WITH {views.READS_SQL} SELECT read_id, len(seq)::BIGINT AS n FROM (SELECT read_id, seq, CASE WHEN read_id % 11 = 1 THEN fi[2:] ELSE fi END AS fi, CASE WHEN read_id % 11 = 3 THEN ri[2:] ELSE ri END AS ri, CASE WHEN read_id % 11 = 5 THEN fp[2:] ELSE fp END AS fp, CASE WHEN read_id % 11 = 7 THEN rp[2:] ELSE rp END AS rp FROM reads)
-    WHERE len(seq) >= 1000 AND len(fi) = len(seq) AND len(ri) = len(seq) AND len(fp) = len(seq) AND len(rp) = len(seq)""")
+@query("f5_f6_consistent_reads", f"""WITH {views.READS_SQL} SELECT read_id, len(seq)::BIGINT AS n FROM (SELECT read_id, seq, CASE WHEN read_id % 11 = 1 THEN fi[2:] ELSE fi END AS fi, CASE WHEN read_id % 11 = 3 THEN ri[2:] ELSE ri END AS ri, CASE WHEN read_id % 11 = 5 THEN fp[2:] ELSE fp END AS fp, CASE WHEN read_id % 11 = 7 THEN rp[2:] ELSE rp END AS rp, CASE WHEN read_id % 11 = 2 THEN NULL WHEN read_id % 11 = 9 THEN fi[2:] ELSE fi END AS qual FROM reads)
+    WHERE len(seq) >= 1000 AND (qual IS NULL OR len(qual) = len(seq)) AND len(fi) = len(seq) AND len(ri) = len(seq) AND len(fp) = len(seq) AND len(rp) = len(seq)""")
 def consistent_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each signal is a value short in some reads."""
+    """Each signal is a value short in some reads, and so is the quality, which others lack."""
     reads = views.reads(spark, sf_dir)
     short = {t: F.when(F.col("read_id") % 11 == k, F.slice(t, F.lit(2), F.size(t))).otherwise(F.col(t)) for t, k in zip(("fi", "ri", "fp", "rp"), (1, 3, 5, 7), strict=True)}
-    return consistent(reads.withColumns(short)).select("read_id", F.length("seq").cast("long").alias("n"))
+    qual = F.when(F.col("read_id") % 11 == 9, F.slice("fi", F.lit(2), F.size("fi"))).when(F.col("read_id") % 11 != 2, F.col("fi"))
+    return consistent(reads.withColumns(short | {"qual": qual})).select("read_id", F.length("seq").cast("long").alias("n"))
 
 
 _q = ", ".join(f"round(list_aggregate({t}, 'quantile_cont', {q}), 6) AS {t}_{n}" for t in TAGS for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75), ("q90", 0.9)))
@@ -247,14 +248,17 @@ def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_rows(views.reads(spark, sf_dir)).mapInArrow(digest, "read_id long, strand string, pos int, n int, kmer long, ipd long, pw long")
 
 
+_by_place = lambda value: "(" + " + ".join(f"{j + 11} * " + value.format(j=j) for j in range(-10, 11)) + ")::BIGINT"
+
+
 @query(
     "p30_p31_f15_context",
     f"""WITH {views.READS_SQL}, places AS (SELECT *, unnest(range(len(seq))) AS pos FROM reads),
         c AS (SELECT *, seq[pos + 1] AS base, seq[pos - 9:pos + 11] AS kmer FROM places WHERE seq[pos + 1] IN ('A', 'T') AND pos >= 50 AND pos <= len(seq) - 50)
         SELECT read_id, pos::INT AS pos, base, CASE WHEN base = 'T' THEN reverse(translate(kmer, 'ACGT', 'TGCA')) ELSE kmer END AS kmer,
-               list_sum(CASE WHEN base = 'A' THEN ri[len(seq) - 1 - pos - 9:len(seq) - 1 - pos + 11] ELSE fi[pos - 9:pos + 11] END)::BIGINT AS ipd,
-               CASE WHEN base = 'A' THEN rp[len(seq) - 1 - pos - 9] ELSE fp[pos - 9] END AS first_pw FROM c""",
+               {_by_place("CASE WHEN base = 'A' THEN ri[len(seq) - pos + {j}] ELSE fi[pos + 1 + {j}] END")} AS ipd, {_by_place("CASE WHEN base = 'A' THEN rp[len(seq) - pos + {j}] ELSE fp[pos + 1 + {j}] END")} AS pw FROM c""",
 )
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = sum((F.get("ipd", j) for j in range(21)), F.lit(0)).cast("long")
-    return context_rows(views.reads(spark, sf_dir)).select("read_id", "pos", "base", "kmer", total.alias("ipd"), F.get("pw", 0).alias("first_pw"))
+    """Signals weighted by their places."""
+    by_place = lambda c: sum(((j + 1) * F.get(c, j) for j in range(21)), F.lit(0)).cast("long")
+    return context_rows(views.reads(spark, sf_dir)).select("read_id", "pos", "base", "kmer", by_place("ipd").alias("ipd"), by_place("pw").alias("pw"))
