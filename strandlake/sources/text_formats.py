@@ -66,12 +66,19 @@ def _signal(tag: Column, values: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("bad signal: "), F.substring(tag, 1, 40))).cast("array<int>")).otherwise(codes)
 
 
-def sam(spark: SparkSession, path: str) -> DataFrame:
+def sam(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """Alignment lines with their kinetic tags; positions are 0-based, a missing qual is null.
 
+    A line of fewer than 11 columns, or whose flag, position or mapping quality is no number, is an error; with ``mode="PERMISSIVE"`` the former
+    are left out and the latter are null. Empty lines are none.
+
     Pulse signals are codes of 0 to 255: raw frames (B:S) are encoded. A signal of another type or with a value out of range is an error.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 11)
+    strict = mode == "FAILFAST"
+    bad = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.substring(F.array_join("c", " "), 1, 60)))
+    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != "")).select(F.split("value", "\t").alias("c"))
+    full = F.size("c") >= 11
+    lines = lines.select(F.when(full, F.col("c")).otherwise(bad("not an alignment line").cast("array<string>")).alias("c")) if strict else lines.where(full)
     kinds = dict.fromkeys(SIGNALS, "B") | {"fn": "i", "rn": "i", "ec": "f", "MM": "Z", "ML": "B", "ZP": "B"}
     tag = lambda name, kind: F.get(F.filter("tags", lambda x: x.startswith(f"{name}:{kind}:")), 0)
     # Steps of their own, so that a long line is taken apart once.
@@ -79,7 +86,7 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumns({f"parts_{t}": F.split(f"tag_{t}", ",") for t, kind in kinds.items() if kind == "B"})
     numbers = lambda name, kind: F.slice(f"parts_{name}", 2, F.size(f"parts_{name}")).cast(f"array<{kind}>")
     rows = rows.withColumns({f"raw_{t}": numbers(t, "int") for t in SIGNALS})
-    get = lambda i, kind: F.get("c", i).try_cast(kind)
+    get = lambda i, kind: F.coalesce(F.get("c", i).try_cast(kind), bad(f"column {i + 1} is no number").cast(kind)) if strict else F.get("c", i).try_cast(kind)
     one = lambda name, to: F.coalesce(F.substr(f"tag_{name}", F.lit(6)).try_cast(to), F.lit(0).cast(to))
     qual = F.when(F.get("c", 10) != "*", F.transform(F.split(F.get("c", 10), ""), lambda x: (F.ascii(x) - 33).cast("short")))
     return rows.select(

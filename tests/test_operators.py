@@ -488,6 +488,16 @@ def test_bam_files_that_are_cut_off_or_damaged_are_errors():
             reads(b"".join(bam._blocks(plain[: len(plain) - record + n])) + bam.END)
 
 
+def test_damaged_alignment_lines(spark, tmp_path):
+    good = "q\t0\tc\t5\t60\t3M\t*\t0\t0\tACG\t*"
+    for k, line in enumerate(["q\t0\tc\t5", good.replace("\t5\t", "\tx\t"), good.replace("q\t0", "q\tzero")]):
+        (tmp_path / f"{k}.sam").write_text(f"@HD\tVN:1.6\n{good}\n\n{line}\n")
+        with pytest.raises(Exception, match="not an alignment line|is no number"):
+            text_formats.sam(spark, str(tmp_path / f"{k}.sam")).collect()
+        rows = text_formats.sam(spark, str(tmp_path / f"{k}.sam"), "PERMISSIVE").collect()
+        assert len(rows) == (1 if k == 0 else 2) and rows[0].pos == 4 and (k == 0 or None in (rows[1].pos, rows[1].flag))
+
+
 def test_raw_signals_are_read_as_codes(spark, tmp_path):
     line = "q\t4\t*\t0\t0\t*\t*\t0\t0\tACG\t*\t"
     (tmp_path / "a.sam").write_text(line + "fi:B:S,63,64,65535\trp:B:S,191,192,448\tri:B:C,0,64,255\n")
