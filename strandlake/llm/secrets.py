@@ -50,7 +50,7 @@ ALPHABETS = [
     TOKEN,
 ]
 _SIZE = len(TOKEN)
-_CODE = np.full(256, -1, dtype=np.int64)
+_CODE = np.full(256, -1, dtype=np.int8)
 _CODE[list(TOKEN)] = np.arange(_SIZE)
 #: Of each alphabet, the place of each token character, or -1; and which alphabets hold a character, as bits.
 _PLACE = np.array([[a.find(bytes([c])) for c in TOKEN] for a in ALPHABETS])
@@ -68,12 +68,14 @@ _tail = np.vectorize(lambda z: 0.5 * math.erfc(z / math.sqrt(2)), otypes=[float]
 def pair_counts(col: pa.Array) -> np.ndarray:
     """How often each token character follows each other one in some texts."""
     buf, at = kernel.text_bytes(col)
-    code = _CODE[buf]
-    if len(code) < 2:
-        return np.zeros((_SIZE, _SIZE), dtype=np.int64)
-    both = (code[:-1] >= 0) & (code[1:] >= 0)
-    both[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(buf))] - 1] = False  # from one text to the next
-    return np.bincount((code[:-1] * _SIZE + code[1:])[both], minlength=_SIZE * _SIZE).reshape(_SIZE, _SIZE)
+    out = np.zeros(_SIZE * _SIZE, dtype=np.int64)
+    for lo in range(0, len(buf) - 1, kernel.CHUNK):
+        code = _CODE[buf[lo : lo + kernel.CHUNK + 1]].astype(np.int64)
+        both = (code[:-1] >= 0) & (code[1:] >= 0)
+        ends = at[(at > lo) & (at < lo + len(code))] - 1 - lo
+        both[ends[ends < len(both)]] = False  # from one text to the next
+        out += np.bincount((code[:-1] * _SIZE + code[1:])[both], minlength=_SIZE * _SIZE)
+    return out.reshape(_SIZE, _SIZE)
 
 
 class Ordinary:
@@ -106,7 +108,7 @@ def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray, ordinary: Ordin
     n = (end - start).astype(np.float64)
     token = np.repeat(np.arange(len(start)), end - start)
     at = np.cumsum(end - start) - (end - start)
-    code = _CODE[buf[np.repeat(start - at, end - start) + np.arange(len(token))]]
+    code = _CODE[buf[np.repeat(start - at, end - start) + np.arange(len(token))]].astype(np.int64)
     held = np.bitwise_and.reduceat(_HOLDS[code], at)
     kind = np.argmax((held[:, None] >> np.arange(len(ALPHABETS))) & 1, axis=1)
     k = np.array([len(a) for a in ALPHABETS], dtype=np.float64)[kind]
@@ -182,10 +184,9 @@ _SPANS = "base array<struct<start:long,kind:int,end:long>>, found array<struct<s
 def _apart(col: pa.Array) -> tuple[bytes, np.ndarray]:
     """All texts, each followed by a zero byte, and where each begins."""
     buf, at = kernel.text_bytes(col)
+    data = memoryview(np.ascontiguousarray(buf))
     n = len(at) - 1
-    out = np.zeros(len(buf) + n, dtype=np.uint8)
-    out[np.arange(len(buf)) + np.repeat(np.arange(n), np.diff(at))] = buf
-    return out.tobytes(), at + np.arange(n + 1)
+    return b"".join(x for i in range(n) for x in (data[at[i] : at[i + 1]], b"\0")), at + np.arange(n + 1)
 
 
 def _grouped(text: np.ndarray, n: int, columns: dict[str, pa.Array]) -> pa.Array:
@@ -214,9 +215,10 @@ def _scan(shared):  # noqa: ANN001
                 parts.append(np.stack(battery(buf, start[lo:hi], end[lo:hi], ordinary)))
                 lo = hi
             bits, even, chance = np.hstack(parts) if parts else np.zeros((3, 0))
-            point = np.append(0, np.cumsum((buf & 0xC0) != 0x80))  # code points before each byte
+            inner = np.flatnonzero((buf & 0xC0) == 0x80)  # bytes that begin no code point
+            point = lambda x: x - np.searchsorted(inner, x)
             text_of = lambda x: np.searchsorted(at, x, "right") - 1
-            place = lambda x, t: pa.array(point[x] - point[at[t]])
+            place = lambda x, t: pa.array(point(x) - point(at[t]))
             t = text_of(spans[:, 0])
             base = _grouped(t, b.num_rows, {"start": place(spans[:, 0], t), "kind": pa.array(spans[:, 1].astype(np.int32)), "end": place(spans[:, 2], t)})
             t = text_of(start)

@@ -85,6 +85,14 @@ def test_false_discovery_rule_equals_a_plain_one():
     assert secrets.least_level([(0, 5)], 100.0, 0.01) is None
 
 
+def test_pairs_in_small_chunks(monkeypatch):
+    texts = pa.array(["ab cd-efg", None, "", "h", "ij", "kÉl" * 9])
+    want = secrets.pair_counts(texts)
+    for n in (1, 2, 3, 7):
+        monkeypatch.setattr(secrets.kernel, "CHUNK", n)
+        assert (secrets.pair_counts(texts) == want).all()
+
+
 def test_pairs_stay_within_texts():
     n = secrets.pair_counts(pa.array(["ab", None, "", "cd e", "f"]))
     at = {chr(a) + chr(b): int(n[i, j]) for i, a in enumerate(secrets.TOKEN) for j, b in enumerate(secrets.TOKEN) if n[i, j]}
