@@ -72,6 +72,7 @@ class Columns:
         self.m, self.x, self.of = m, x, of
         self.room = max(2, (CACHE_BYTES if most is None else most) // max(1, 8 * len(x)))
         self.held: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.squares = (x * x).sum(axis=1) if m.name == "rbf" else None
         at = np.arange(len(x))
         self.diagonal = x[at, at] if m.name == "precomputed" else np.concatenate([np.zeros(0), *(np.einsum("ii->i", m.gram(x[i : i + 256], x[i : i + 256])) for i in range(0, len(x), 256))])
 
@@ -87,7 +88,10 @@ class Columns:
         else:
             if len(self.held) >= self.room:
                 self.held.popitem(last=False)
-            self.held[r] = self.m.gram(self.x, self.rows(np.array([r])))[:, 0]
+            if self.squares is None:
+                self.held[r] = self.m.gram(self.x, self.rows(np.array([r])))[:, 0]
+            else:
+                self.held[r] = np.exp(-self.m.gamma * np.maximum(0, self.squares + self.squares[r] - 2 * (self.x @ self.x[r])))
         return self.held[r]
 
     def sums(self, variables: np.ndarray, weight: np.ndarray) -> np.ndarray:
