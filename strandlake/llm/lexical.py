@@ -157,8 +157,8 @@ class Ranking:
         self._generators()
 
     def _generators(self) -> None:
-        """Entries that generate candidates, by term, and what an item's others can add at most."""
-        s = self.s
+        """Entries that generate candidates, by term, and what an item's others can add at most. Made anew for a batch if thresholds have risen."""
+        s, self.risen = self.s, False
         on = s.later >= np.maximum(1, self.threshold[s.item])
         order = np.flatnonzero(on)[np.argsort(s.term[on], kind="stable")]
         self.by_term = s.item[order], s.weight[order]
@@ -169,6 +169,8 @@ class Ranking:
         self.others[some] = s.later[place[some]]
 
     def add(self, b: pa.RecordBatch) -> None:
+        if self.risen:
+            self._generators()
         row, term, impact = _flat(b)
         at = np.searchsorted(row, np.arange(b.num_rows + 1))
         step = max(1, CELLS // max(1, self.s.n_items))
@@ -210,10 +212,9 @@ class Ranking:
         self.item, self.score, self.ids = item[order], score[order], ids.take(pa.array(order))
         count = np.bincount(self.item, minlength=self.s.n_items)
         full = np.flatnonzero(count >= self.k)
-        before = self.threshold.copy()
-        self.threshold[full] = np.maximum(self.threshold[full], self.score[np.cumsum(count)[full] - 1])
-        if (self.threshold > before).any():
-            self._generators()
+        kth = self.score[np.cumsum(count)[full] - 1]
+        self.risen |= bool((kth > self.threshold[full]).any())
+        self.threshold[full] = np.maximum(self.threshold[full], kth)
 
 
 def _rank(shared, k: int):  # noqa: ANN001
