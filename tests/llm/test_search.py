@@ -33,7 +33,7 @@ def plain(docs, items, k):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 3, 20])
+@pytest.mark.parametrize("k", [1, 20])
 def test_equals_brute_force(spark, k):
     rng = random.Random(k)
     words = [f"w{i}" for i in range(300)] + ["É", "ß7", "THE", "of"] * 20
