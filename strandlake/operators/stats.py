@@ -207,9 +207,26 @@ def t_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled_t(_qv(spark, sf_dir), ["np", "platform"], "z", "qv").withColumn("t", F.round("t", 6))
 
 
-@query("a13_p_values")
+def _tail_sql(rows: str, keys: str) -> str:
+    """(keys, p): two-sided p of Student's t, by Simpson's rule over the density in the angle whose tangent is t over the root of df."""
+    return f"""SELECT {keys}, 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * top / 6000 * sum(CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * pow(cos(top * j / 2000), df - 1)) AS p
+        FROM (SELECT *, atan(abs(t) / sqrt(df)) AS top FROM {rows} WHERE t IS NOT NULL), range(2001) AS r(j) GROUP BY {keys}, df, top"""
+
+
+_T_SQL = """CASE WHEN n1 + n2 > 2 THEN (m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 0) END"""
+
+
+def _sides_sql(rows: str, keys: str, side: str, value: str) -> str:
+    of = lambda f, own: f"{f}({value}) FILTER (WHERE {'' if own else 'NOT '}{side})"
+    parts = ", ".join(f"{of(f, own)} AS {n}{2 - own}" for own in (True, False) for n, f in (("n", "count"), ("m", "avg"), ("v", "var_samp")))
+    return f"SELECT {keys}, n1 + n2 - 2 AS df, {_T_SQL} AS t FROM (SELECT {keys}, {parts} FROM {rows} GROUP BY {keys}) WHERE n1 > 0 AND n2 > 0"
+
+
+@query("a13_p_values", f"""WITH t AS ({_sides_sql(f"({_QV})", "np, platform", "z", "qv")}), p AS ({_tail_sql("t", "np, platform")})
+    SELECT np, platform, round(t, 6) AS t, df, round(p, 6) AS p FROM t LEFT JOIN p USING (np, platform)""")
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooled_t(_qv(spark, sf_dir), ["np", "platform"], "z", "qv").withColumn("p", t_p_value(F.col("t"), F.col("df").cast("double")))
+    out = pooled_t(_qv(spark, sf_dir), ["np", "platform"], "z", "qv").withColumn("p", t_p_value(F.col("t"), F.col("df").cast("double")))
+    return out.select("np", "platform", F.round("t", 6).alias("t"), "df", F.round("p", 6).alias("p"))
 
 
 _P = "SELECT l_orderkey * 8 + l_linenumber AS id, ((l_orderkey * 7919 + l_linenumber * 389) % 1000 + 1) / 1001.0::DOUBLE AS p, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2"
@@ -294,8 +311,20 @@ def platform_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean("l_returnflag = 'A' and np < 6", "a").join(mean("l_returnflag = 'R' and np > 2", "b"), "np", "full").fillna(-1.0)
 
 
-@query("a13_a15_signal_tests")
+_SIGNALS = "SELECT l_suppkey AS kmer, l_linenumber AS place, l_quantity + 0.5 AS value, l_linestatus = 'O' AS z FROM lineitem"
+
+
+@query("a13_a15_signal_tests", f"""WITH v AS ({_SIGNALS}),
+    m AS (SELECT kmer, place, median(value) FILTER (WHERE z) AS mz, median(value) FILTER (WHERE NOT z) AS mn FROM v GROUP BY 1, 2),
+    f AS (SELECT kmer, median(mz / mn) AS factor FROM m WHERE mz IS NOT NULL AND mn IS NOT NULL GROUP BY 1),
+    b AS (SELECT kmer, place, NOT z AS plain, CASE WHEN z THEN value / factor ELSE value END AS value FROM v LEFT JOIN f USING (kmer) WHERE factor IS NOT NULL OR NOT z),
+    t AS ({_sides_sql("b", "kmer, place", "plain", "value")}), p AS ({_tail_sql("t", "kmer, place")}),
+    q AS (SELECT kmer, place, median(value) FILTER (WHERE NOT plain) / median(value) FILTER (WHERE plain) AS ratio FROM b GROUP BY 1, 2),
+    x AS (SELECT kmer, place, ratio, t, df, coalesce(p, 1) AS p FROM t LEFT JOIN p USING (kmer, place) JOIN q USING (kmer, place)),
+    r AS (SELECT *, row_number() OVER (ORDER BY p, kmer, place) AS r, count(*) OVER () AS m FROM x)
+    SELECT kmer, place, round(ratio, 6) AS ratio, round(t, 6) AS t, df, round(p, 6) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS adjusted FROM r""")
 def tested_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order quantities by supplier and line stand for signals by k-mer and place."""
     v = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("kmer"), F.col("l_linenumber").alias("place"), (F.col("l_quantity") + 0.5).alias("value"), "l_linestatus")
-    return signal_tests(v.where("l_linestatus = 'O'"), v.where("l_linestatus = 'F'"))
+    out = signal_tests(v.where("l_linestatus = 'O'"), v.where("l_linestatus = 'F'"))
+    return out.select("kmer", "place", "df", *[F.round(c, 6).alias(c) for c in ("ratio", "t", "p", "adjusted")])
