@@ -454,10 +454,10 @@ def test_models_of_the_queries_have_the_right_values(spark):
     want = (x - x.mean(0)) @ way.T
     assert all(min(np.abs(got[:, j] - s * want[:, j]).max() for s in (1, -1)) < 1e-6 for j in range(2))
     rng = np.random.Generator(np.random.PCG64(1))
-    w1, w2 = rng.standard_normal((64, 16)) / 8, rng.standard_normal((16, 2)) / 4
-    out = np.maximum(0, x @ w1) @ w2
-    p = np.exp(out[:, 1]) / np.exp(out).sum(1)
-    assert np.abs(np.array([r.prob for r in ml.network(spark, sf).orderBy("vec_id").collect()]) - p).max() < 2e-5
+    layers = [(rng.standard_normal((64, 16)) / 8, rng.standard_normal(16)), (rng.standard_normal((16, 2)) / 4, rng.standard_normal(2))]
+    out = np.maximum(0, x @ layers[0][0] + layers[0][1]) @ layers[1][0] + layers[1][1]
+    scored = ml.score_network(spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("embedding", "features"), layers).orderBy("vec_id").collect()
+    assert np.abs(np.array([r.prob for r in scored]) - np.exp(out[:, 1]) / np.exp(out).sum(1)).max() < 2e-5
     strong = spark.createDataFrame([(float(i % 7 > 3), i % 7 + 0.1 * (i % 3), float(i * 37 % 11)) for i in range(400)], "label double, a double, b double").select("label", ml.array_to_vector(F.array("a", "b")).alias("features"))
     found = {r.feature: r.importance for r in ml.forest_importance(strong, trees=20).collect()}
     assert abs(sum(found.values()) - 1) < 1e-9 and found[0] > 0.7
