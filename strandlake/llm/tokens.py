@@ -6,6 +6,7 @@ import json
 import os
 import re
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from strandlake.llm.store import held
 
 #: Texts of these characters alone are in NFC as they are, have one lower-case form in every library, and one class each.
 _PLAIN = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x17F)] if c not in (0x130, 0x149)]
-#: Distinct words whose ids a worker remembers. Reaching it starts the memory anew; results don't depend on it.
-WORDS_KEPT = 300_000
+#: Distinct words whose ids a worker remembers. Where there would be more, those met once go, and all but the most frequent half; results don't depend on it.
+WORDS_KEPT = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,6 +59,30 @@ class WordEncoder:
         self.first = np.zeros(1 << 12, dtype=np.int64)
         self.ids = np.zeros(1 << 14, dtype=np.uint32)
         self.used = 0
+        self.met = np.zeros(1 << 12, dtype=np.int64)
+
+    def _trim(self) -> None:
+        """Forget words that have been met once since they were learnt or kept, and the least frequent ones beyond half the room."""
+        names, met = list(self.place), self.met[: len(self.place)]
+        keep = np.flatnonzero(met > 1)
+        if len(keep) > WORDS_KEPT // 2:
+            keep = np.sort(keep[np.argsort(-met[keep], kind="stable")[: WORDS_KEPT // 2]])
+        n, first, ids = self.count[keep], self.first[keep], self.ids
+        self.clear()
+        self._put([names[i] for i in keep.tolist()], n, ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+
+    def _put(self, words: list[bytes], n: np.ndarray, ids: np.ndarray) -> None:
+        """Remember words, how many ids each has, and all of them in a row."""
+        start = len(self.place)
+        self.place.update(zip(words, range(start, start + len(words)), strict=True))
+        while len(self.count) < start + len(words):
+            self.count, self.first, self.met = (np.append(a, np.zeros_like(a)) for a in (self.count, self.first, self.met))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.count[start : start + len(words)] = n
+        self.first[start : start + len(words)] = self.used + np.cumsum(n) - n
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def _plain(self, words: list[str]) -> list[list[int]]:
         """Ids of words of plain characters, each piece once through the library's BPE model."""
@@ -80,33 +105,23 @@ class WordEncoder:
         plain = iter(self._plain([t for i, t in enumerate(texts) if i not in there] if odd else texts))
         whole = iter(self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False))
         found = [next(whole).ids if i in there else next(plain) for i in range(len(texts))]
-        start = len(self.place)
-        self.place.update(zip(words, range(start, start + len(words)), strict=True))
         n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        while len(self.count) < start + len(words):
-            self.count, self.first = np.append(self.count, np.zeros_like(self.count)), np.append(self.first, np.zeros_like(self.first))
-        while len(self.ids) < self.used + n.sum():
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.count[start : start + len(words)] = n
-        self.first[start : start + len(words)] = self.used + np.cumsum(n) - n
-        self.ids[self.used : self.used + n.sum()] = np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(n.sum()))
-        self.used += int(n.sum())
+        self._put(words, n, np.fromiter((x for f in found for x in f), dtype=np.uint32, count=int(n.sum())))
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each word has."""
-        get = self.place.get
-        found = [get(w, -1) for w in words]
-        at = np.fromiter(found, dtype=np.int64, count=len(found))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         lacking = np.flatnonzero(at < 0)
         if len(lacking):
             missed = [words[i] for i in lacking.tolist()]
             new = list(dict.fromkeys(missed))
             if self.place and len(self.place) + len(new) > WORDS_KEPT:
-                self.clear()
+                self._trim()
                 return self._words(words)
             self._learn(new)
             place = self.place
             at[lacking] = np.fromiter([place[w] for w in missed], dtype=np.int64, count=len(missed))
+        self.met[: len(self.place)] += np.bincount(at, minlength=len(self.place))
         n = self.count[at]
         end = np.cumsum(n)
         source = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.first[at] - end + n, n)
