@@ -2,13 +2,13 @@
 
 Unit vectors with cosine c or more are at squared distance 2 - 2c or less. A fixed rotation spreads that evenly over the dimensions, which
 are then split into blocks; two such vectors are within their share of the squared distance in one block at least. Each block is a range
-join of its own: vectors are dealt to the cells of a grid over its first two dimensions and sent along to the neighbouring cells within
-reach. In a cell the vectors are halved along the block's widest dimension again and again, and each part meets only those whose distance from
+join: vectors are halved along the block's widest dimension again and again, and each part meets only those whose distance from
 its bounding box, over all dimensions of the block, is within the budget. Pairs within a block's budget are verified by their cosine in
 double precision, and count in the first block that they are within the budget of.
 
-Equal vectors are one class with a weight. Crowded cells are cut into tiles of bounded size. Tasks return link counts and spanning
-forests, never pairs.
+Equal vectors are one class with a weight. Classes are packed into tiles of bounded size, by their signatures, one row a tile. A task takes
+pairs of tiles, of which it reads the written table again: vectors are shuffled twice and written once, however many tiles there are, and only
+the work grows with the square of the number of classes. Tasks return link counts and spanning forests, never pairs.
 """
 
 from __future__ import annotations
@@ -24,15 +24,18 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.graph import components
 from strandlake.llm.minhash import whole_groups
-from strandlake.llm.store import small_batches, written
+from strandlake.llm.store import delete, small_batches, written
 
 COSINE = 0.95
 BLOCK_DIMS = 8
-#: Vectors on each side of a tile.
-TILE = 1 << 14
+#: Vectors of a tile, some more or fewer.
+TILE = 1 << 13
+#: Tiles of a table that has fewer vectors than so many full ones, unless they get very small.
+LEAST_TILES = 12
 #: Vectors of a part that is halved no further.
 PART = 128
-_SIDE = 1 << 12
+#: Bytes of a vector's signature.
+SIGNATURE = 16
 
 
 @lru_cache(maxsize=8)
@@ -58,13 +61,8 @@ def budgets(dims: int, cosine: float) -> np.ndarray:
     return np.array([(2 - 2 * cosine) * (b.stop - b.start) / dims for b in blocks(dims)]) + 1e-6
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as double bytes with a signature; null where they link with nothing."""
+    """Vectors as bytes, in single precision where that is exact, with a signature; null where they link with nothing."""
     for b in batches:
         col = b.column(1)
         at = col.offsets.to_numpy().astype(np.int64)
@@ -81,71 +79,37 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = values[at[i] : at[i + 1]]
             if not 1e-280 <= sums[i] < np.inf:
                 x = x / np.abs(x).max()  # out of reach of squares: the direction is what counts
-            raw[i] = x.tobytes()
-            sig[i] = blake2b(raw[i], digest_size=16).digest()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary()), pa.array(raw, pa.binary())], ["id", "sig", "vector"])
-
-
-def _cells(raw: list[bytes], cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For all vectors and blocks: rows, cells they belong to or reach into, and whether it is their own."""
-    size = np.array([len(r) // 8 for r in raw])
-    for dims in np.unique(size).tolist():
-        rows = np.flatnonzero(size == dims)
-        y = unit([raw[i] for i in rows]) @ rotation(dims)
-        for k, (b, most) in enumerate(zip(blocks(dims), budgets(dims, cosine), strict=True)):
-            reach = np.sqrt(most) + 1e-6
-            grid = [y[:, b.start], y[:, min(b.start + 1, b.stop - 1)]]
-            own = [np.floor(g / (2 * reach)).astype(np.int64) for g in grid]
-            low = [np.floor((g - reach) / (2 * reach)).astype(np.int64) for g in grid]
-            high = [np.floor((g + reach) / (2 * reach)).astype(np.int64) for g in grid]
-            for i in (0, 1):
-                for j in (0, 1):
-                    c = [np.where(s, h, lo) for s, h, lo in zip((i, j), high, low, strict=True)]
-                    new = (high[0] - low[0] >= i) & (high[1] - low[1] >= j)
-                    cell = ((dims * _SIDE + k) * _SIDE + c[0] % _SIDE) * _SIDE + c[1] % _SIDE
-                    home = (c[0] == own[0]) & (c[1] == own[1])
-                    yield rows[new], cell[new], home[new]
-
-
-def _census(cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for b in batches:
-            for _, cell, _ in _cells(b.column(0).to_pylist(), cosine):
-                for c, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True)), strict=True):
-                    total[c] = total.get(c, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
+            with np.errstate(over="ignore"):
+                single = x.astype(np.float32)
+            raw[i] = (single if (single == x).all() else x).tobytes()
+            sig[i] = blake2b(x.tobytes(), digest_size=SIGNATURE).digest()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary()), pa.array(size.astype(np.int32)), pa.array(raw, pa.binary())], ["id", "sig", "dims", "vector"])
 
-    return run
 
+def tiles(n: int) -> int:
+    """Into how many tiles ``n`` vectors are cut."""
+    return max(1, -(-n // TILE), min(LEAST_TILES, -(-n // (TILE >> 3))))
 
-def _deal(cosine: float, crowded):  # noqa: ANN001
-    """Rows (cell, tile, role, sig, weight, vector); role: 1 compared, 2 compared with, 3 both."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks_of = crowded.value
-        for b in batches:
-            raw, sig = b.column(2).to_pylist(), b.column(0).to_pylist()
-            chunk = np.array([int.from_bytes(s[:6], "little") for s in sig], dtype=np.int64)
-            parts = []
-            for rows, cell, home in _cells(raw, cosine):
-                many = np.array([chunks_of.get(c, 1) for c in cell.tolist()], dtype=np.int64)
-                one = many == 1
-                parts.append((rows[one], cell[one], np.zeros(one.sum(), np.int64), np.where(home[one], 3, 2)))
-                for n in np.unique(many[~one]).tolist():
-                    r, c, h = (v[many == n] for v in (rows, cell, home))
-                    own = chunk[r] % n
-                    for x in range(n):
-                        parts.append((r, c, x * n + own, np.where(h & (own == x), 3, 2)))
-                        side = h & (own != x)
-                        parts.append((r[side], c[side], own[side] * n + x, np.ones(side.sum(), np.int64)))
-            for lo in range(0, len(parts), 8):
-                rows, cell, tile, role = (np.concatenate(v) for v in zip(*parts[lo : lo + 8], strict=True))
-                if len(rows):
-                    at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(tile), pa.array(role), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], ["cell", "tile", "role", "sig", "weight", "vector"])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each tile, with its signatures, weights and vectors side by side; single precision where that is exact for all."""
+    for t, at in whole_groups(batches, ["dims", "tile"], 2000):
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            g = t.slice(lo, hi - lo)
+            dims, raw = g["dims"][0].as_py(), g["vector"].to_pylist()
+            if len({len(r) for r in raw}) > 1:
+                raw = [np.frombuffer(r, np.float32 if len(r) == 4 * dims else np.float64).astype(np.float64).tobytes() for r in raw]
+            cols = [pa.array([v]) for v in (g["tile"][0].as_py(), dims, b"".join(g["sig"].to_pylist()), g["weight"].to_numpy().tobytes(), b"".join(raw))]
+            yield pa.RecordBatch.from_arrays(cols, ["tile", "dims", "sigs", "weights", "vectors"])
 
-    return run
+
+def _side(b: pa.RecordBatch, i: int, side: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Signatures, weights and unit vectors of a tile."""
+    sigs, weights, raw = (b.column(f"{c}_{side}")[i].as_py() for c in ("sigs", "weights", "vectors"))
+    n = len(sigs) // SIGNATURE
+    kind = np.float32 if len(raw) == 4 * n * b.column("dims_a")[i].as_py() else np.float64
+    x = np.frombuffer(raw, kind).astype(np.float64).reshape(n, -1)
+    return [sigs[j : j + SIGNATURE] for j in range(0, len(sigs), SIGNATURE)], np.frombuffer(weights, np.int64), x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -186,50 +150,56 @@ def _parts(z: np.ndarray, own: np.ndarray, other: np.ndarray, most: float) -> It
         open_parts += [(own[half[: len(wide) // 2]], other), (own[half[len(wide) // 2 :]], other)]
 
 
-def cell_links(x: np.ndarray, block: int, cosine: float, role: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For a cell's unit vectors: weights of those linked to each compared one and counted in this block, and a spanning forest."""
+def tile_links(x: np.ndarray, own: np.ndarray, other: np.ndarray, cosine: float, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Weights of those linked to each unit vector, over pairs of one of ``own`` and one of ``other`` (the same, or none in common), and a spanning forest."""
     dims = x.shape[1]
-    y, parts, most = x @ rotation(dims), blocks(dims), budgets(dims, cosine)
-    z = np.ascontiguousarray(y[:, parts[block]], dtype=np.float32)
-    norm = (z * z).sum(axis=1)
+    y, parts, budget = x @ rotation(dims), blocks(dims), budgets(dims, cosine)
     total, forest, label = np.zeros(len(x), dtype=np.int64), [], np.arange(len(x))
-    loose = np.float32(most[block] + 1e-5)
-    for own, other in _parts(z, np.flatnonzero(role & 1), np.flatnonzero(role & 2), float(loose)):
-        step = max(1, 4_000_000 // len(other))
-        for lo in range(0, len(own), step):
-            mine = own[lo : lo + step]
-            near = np.flatnonzero((norm[mine][:, None] + norm[other] - 2 * (z[mine] @ z[other].T)).ravel() <= loose)
-            for i in range(0, len(near), 50_000):
-                h, a = np.divmod(near[i : i + 50_000], len(other))
-                h, a = mine[h], other[a]
-                ok = (h != a) & (np.einsum("ij,ij->i", x[h], x[a]) >= cosine)
-                h, a = h[ok], a[ok]
-                apart = (y[h] - y[a]) ** 2
-                within = np.stack([apart[:, p].sum(axis=1) for p in parts], axis=1) <= most
-                ok = within.argmax(axis=1) == block
-                ok &= within[:, block]
-                h, a = h[ok], a[ok]
-                total += np.bincount(h, weights=weight[a], minlength=len(x)).astype(np.int64)
-                forest += _union(label, h, a)
+    same = own is other
+    for block, most in enumerate(budget.tolist()):
+        z = np.ascontiguousarray(y[:, parts[block]], dtype=np.float32)
+        norm, one = (z * z).sum(axis=1, keepdims=True), np.ones((len(z), 1), dtype=np.float32)
+        near_to, nearby = np.hstack([-2 * z, norm, one]), np.hstack([z, one, norm])  # their products are the squared distances
+        loose = np.float32(most + 1e-5)
+        for some, around in _parts(z, own, other, float(loose)):
+            across = nearby[around].T
+            step = max(1, 1_000_000 // len(around))
+            for lo in range(0, len(some), step):
+                mine = some[lo : lo + step]
+                near = np.flatnonzero((near_to[mine] @ across).ravel() <= loose)
+                for i in range(0, len(near), 50_000):
+                    h, a = np.divmod(near[i : i + 50_000], len(around))
+                    h, a = mine[h], around[a]
+                    if same:
+                        h, a = h[h < a], a[h < a]
+                    apart = (y[h] - y[a]) ** 2
+                    within = np.stack([apart[:, p].sum(axis=1) for p in parts[: block + 1]], axis=1) <= budget[: block + 1]
+                    first = within[:, block] & ~within[:, :block].any(axis=1)
+                    h, a = h[first], a[first]
+                    linked = np.einsum("ij,ij->i", x[h], x[a]) >= cosine
+                    h, a = h[linked], a[linked]
+                    for u, v in ((h, a), (a, h)):
+                        np.add.at(total, u, weight[v])
+                    forest += _union(label, h, a)
     return total, forest
 
 
 def _join(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["cell", "tile"], 2000):
-            cell, sig = t["cell"].to_numpy(), t["sig"].combine_chunks()
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                role = t["role"].slice(lo, hi - lo).to_numpy()
-                if hi - lo < 2 or not (role & 1).any():
-                    continue
-                x = unit(t["vector"].slice(lo, hi - lo).to_pylist())
-                total, forest = cell_links(x, int(cell[lo]) // (_SIDE * _SIDE) % _SIDE, cosine, role, t["weight"].slice(lo, hi - lo).to_numpy())
-                some = np.flatnonzero(total)
-                a = np.concatenate([some, np.array([p[0] for p in forest], dtype=np.int64)])
-                if len(a):
-                    b = pa.array([None] * len(some) + [p[1] + lo for p in forest], pa.int64())
+        for b in batches:
+            for i in range(b.num_rows):
+                sig, weight, x = _side(b, i, "a")
+                own = other = np.arange(len(x))
+                if b.column("tile_a")[i] != b.column("tile_b")[i]:
+                    more = _side(b, i, "b")
+                    other = len(x) + np.arange(len(more[0]))
+                    sig, weight, x = sig + more[0], np.concatenate([weight, more[1]]), np.concatenate([x, more[2]])
+                total, forest = tile_links(x, own, other, cosine, weight)
+                some = np.flatnonzero(total).tolist()
+                if some:
+                    ends = [sig[j] for j in some] + [sig[j] for j, _ in forest], [None] * len(some) + [sig[j] for _, j in forest]
                     n = np.concatenate([total[some], np.zeros(len(forest), np.int64)])
-                    yield pa.RecordBatch.from_arrays([sig.take(pa.array(a + lo)), sig.take(b), pa.array(n)], ["a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(e, pa.binary()) for e in ends), pa.array(n)], ["a", "b", "n"])
 
     return run
 
@@ -245,14 +215,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     small_batches(spark)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     kind = rows.schema["id"].dataType.simpleString()
-    base = written(rows.mapInArrow(_valid, f"id {kind}, sig binary, vector binary"), "vectors")
-    classes = written(base.where("sig is not null and id is not null").groupBy("sig").agg(F.count("*").alias("weight"), F.first("vector").alias("vector"), F.min("id").alias("id")), "vector-classes")
-    # Cells are as many as the grid has, whatever the number of vectors.
-    census = classes.select("vector").mapInArrow(_census(cosine), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > TILE).collect()
-    crowded = spark.sparkContext.broadcast({r.cell: -(-r.n // TILE) for r in census})
-    dealt = classes.select("sig", "weight", "vector").mapInArrow(_deal(cosine, crowded), "cell long, tile long, role long, sig binary, weight long, vector binary")
-    sorted_cells = dealt.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "sig")
-    found = written(sorted_cells.mapInArrow(_join(cosine), "a binary, b binary, n long"), "vector-links")
+    valid = rows.mapInArrow(_valid, f"id {kind}, sig binary, dims int, vector binary")
+    base = written(valid.select("id", "sig"), "vectors")
+    taking_part = "sig is not null and id is not null"
+    classes = written(base.where(taking_part).groupBy("sig").agg(F.count("*").alias("weight"), F.min("id").alias("id")), "vector-classes")
+    known_vectors = valid.where(taking_part).groupBy("sig").agg(F.count("*").alias("weight"), F.first("dims").alias("dims"), F.first("vector").alias("vector"))
+    dealt = known_vectors.withColumn("tile", F.pmod(F.xxhash64("sig"), F.lit(tiles(classes.count()))).cast("int"))
+    packed = dealt.repartition("tile").sortWithinPartitions("dims", "tile").mapInArrow(_packed, "tile long, dims long, sigs binary, weights binary, vectors binary")
+    packed = written(packed, "vector-tiles")
+    # Tiles meet without a shuffle: each task reads its two parts of the written table again. Each pair of tiles meets once, in either order in turn.
+    a, b = (packed.select(*[F.col(c).alias(f"{c}_{side}") for c in packed.columns]) for side in "ab")
+    even = (F.col("tile_a") + F.col("tile_b")) % 2 == 0
+    once = F.when(even, F.col("tile_a") <= F.col("tile_b")).otherwise(F.col("tile_a") > F.col("tile_b"))
+    pairs = a.join(b.hint("shuffle_replicate_nl"), (F.col("dims_a") == F.col("dims_b")) & once)
+    found = written(pairs.mapInArrow(_join(cosine), "a binary, b binary, n long"), "vector-links")
+    delete(packed)
     counts = found.where("b is null").groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("vertex", "sig").join(classes.select("sig", "id"), "sig")
     linked = roots.join(roots.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("sig", F.col("component_id").alias("linked_id"))

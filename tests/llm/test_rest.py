@@ -71,6 +71,20 @@ def test_parts_lose_no_near_pair(monkeypatch):
     assert {(int(own[i]), int(other[j])) for i, j in zip(*np.nonzero(near))} <= got and len(got) < 0.8 * len(own) * len(other)
 
 
+def test_vectors_are_shuffled_and_written_once_however_many_tiles(spark, monkeypatch):
+    """Copies of a vector used to grow with the number of tiles; now only pairs of tiles do."""
+    r = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((300, 16)))]
+    rows += [(300 + i, (np.array(v) + 0.01 * r.standard_normal(16)).tolist()) for i, v in rows[:60]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sizes, written = {}, vectors.written
+    monkeypatch.setattr(vectors, "written", lambda t, name: sizes.update({name: t.count()}) or written(t, name))
+    monkeypatch.setattr(vectors, "TILE", 16)
+    got = sorted((tuple(x) for x in vectors.near_vectors(df).collect()), key=repr)
+    assert got == brute_vectors(rows)
+    assert 10 < sizes["vector-tiles"] <= vectors.tiles(len(rows))
+
+
 def test_chat_round_trip(spark):
     r = random.Random(1)
     odd = ["", None, "\\### Assistant: </turn> ok", "<turn:user>\nx</turn>\n", "\\l\\b\\g<>\\", "é漢\n\n", "a" * 50000]
