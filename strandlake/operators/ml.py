@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import svm
-from strandlake.operators.rows import held
+from strandlake.operators.rows import held, small_batches
 from strandlake.operators.svm import Svm
 from strandlake.registry import query, table
 
@@ -49,6 +49,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, gamma: float = 0.
 
 def predict_reads(shares: DataFrame, model: Svm, vector: str = "features", n_calls: str = "n_calls", least_calls: int = 1) -> DataFrame:
     """Column ``tag``: * for too few calls, - for label -1, + otherwise. The machine goes along as a broadcast variable."""
+    small_batches(shares.sparkSession)
     shared = shares.sparkSession.sparkContext.broadcast(model)
 
     def score(s: pd.Series) -> pd.Series:

@@ -17,6 +17,20 @@ COMPLEMENT = np.full(256, ord("A"), dtype=np.uint8)
 COMPLEMENT[list(b"ACGTN")] = list(b"TGCAN")
 #: Rows of a batch that is given out.
 ROWS = 1 << 14
+#: Rows and bytes of an Arrow batch handed to Python, whatever the size of a partition.
+BATCH_ROWS = 4096
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes as well as by rows: a worker's memory doesn't grow with the partitions.
+
+    The settings stay, as a result that is not yet computed reads them when it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def letters(text: str) -> np.ndarray:
@@ -78,6 +92,7 @@ def by_read(rows: DataFrame, f: Callable[[pa.RecordBatch, int], dict[str, pa.Arr
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(place)), *cols], ["read_id", *made[0]])
                     place, made, count = [], [], 0
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, f"read_id {kind}, {schema}")
 
 
