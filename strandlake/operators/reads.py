@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.functions import kinetics, sequence
-from strandlake.operators.rows import COMPLEMENT, cut, flat, quantile
+from strandlake.operators.rows import COMPLEMENT, cut, flat, quantile, small_batches
 from strandlake.plans import driver_views as views
 from strandlake.registry import query
 
@@ -46,6 +46,7 @@ def eligible(reads: DataFrame, passes: int = 3) -> DataFrame:
 
     A missing or empty signal has no median, so the ratio is null and the read goes; so does one whose intervals' medians are 0.
     """
+    small_batches(reads.sparkSession)
     full = reads.where((F.col("fn") >= passes) & (F.col("rn") >= passes))
     return full.mapInArrow(_ratios, T.StructType([*full.schema.fields, T.StructField("ratio", T.DoubleType())])).where("ratio is not null")
 
@@ -87,6 +88,7 @@ def signal_quantiles(reads: DataFrame) -> DataFrame:
             found = np.hstack([_quantiles(b.column(t), list(QUANTILES.values())) for t in TAGS])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, mask=np.isnan(c)) for c in found.T)], ["read_id", *names])
 
+    small_batches(reads.sparkSession)
     kind = reads.schema["read_id"].dataType.simpleString()
     return reads.select("read_id", *TAGS).mapInArrow(run, f"read_id {kind}, " + ", ".join(f"{n} double" for n in names))
 
@@ -140,7 +142,7 @@ def signal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Letters of sequences that are worked on at once.
-TOGETHER = 1 << 17
+TOGETHER = 1 << 15
 
 
 class _Reads:
@@ -173,6 +175,7 @@ def _by_reads(reads: DataFrame, f, schema: str) -> DataFrame:  # noqa: ANN001
                     if len(at):
                         yield pa.RecordBatch.from_arrays([r.ids.take(pa.array(r.read[at])), *columns.values()], ["read_id", *columns])
 
+    small_batches(reads.sparkSession)
     kind = reads.schema["read_id"].dataType.simpleString()
     return reads.select("read_id", "seq", *TAGS).mapInArrow(run, f"read_id {kind}, {schema}")
 
@@ -181,21 +184,23 @@ def _lists(values: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // width + 1, dtype=np.int32) * width), pa.array(values))
 
 
-def feature_rows(reads: DataFrame, k: int = 11) -> DataFrame:
+def feature_rows(reads: DataFrame, k: int = 11, made: Callable[[np.ndarray], dict[str, pa.Array | np.ndarray]] | None = None, schema: str = "features array<float>") -> DataFrame:
     """One row (read_id, strand, pos, features) for each A of either strand: its k-mer's features on the other strand, where the base is a T.
 
     Features are [A, C, G, T, ipd/255, pw/255] for each base of the window, the first or last base repeated beyond an end. Signals must be as
-    long as the sequence; a read without one of them gives no rows.
+    long as the sequence; a read without one of them gives no rows. With ``made``, the columns of ``schema`` that it makes of some rows' features
+    (rows, k, 6) in the same task take their place, so that features that are only worked on further never leave it.
     """
+    made = made or (lambda x: {"features": _lists(x.reshape(-1), 6 * k)})
 
     def of(r: _Reads):  # noqa: ANN202
         for strand, mine, other, ipd, pw in (("+", r.seq, r.other, "ri", "rp"), ("-", r.other, r.seq, "fi", "fp")):
             at = np.flatnonzero(mine == ord("A"))
             window = np.clip(r.mirror[at][:, None] + np.arange(-(k // 2), k // 2 + 1), r.first[at][:, None], r.last[at][:, None])
             each = np.column_stack([*((other == base) for base in b"ACGT"), r.signals[ipd] / 255.0, r.signals[pw] / 255.0]).astype(np.float32)
-            yield at, {"strand": pa.array([strand] * len(at)), "pos": pa.array((at - r.first[at]).astype(np.int32)), "features": _lists(each[window].reshape(-1), 6 * k)}
+            yield at, {"strand": pa.array([strand] * len(at)), "pos": pa.array((at - r.first[at]).astype(np.int32))} | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in made(each[window]).items()}
 
-    return _by_reads(reads, of, "strand string, pos int, features array<float>")
+    return _by_reads(reads, of, f"strand string, pos int, {schema}")
 
 
 def context_rows(reads: DataFrame, half: int = 10, margin: int = 50) -> DataFrame:
@@ -237,15 +242,12 @@ def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bases of each window as digits of base 4, and its signals weighted by their places."""
     powers, places = 4 ** np.arange(11), np.arange(1, 12)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, at = flat(b.column("features"))
-            x = values.reshape(b.num_rows, 11, 6)
-            kmer = (x[:, :, :4] @ np.arange(4, dtype=np.float32)).astype(np.int64) @ powers
-            ipd, pw = (np.rint(x[:, :, k] * 255).astype(np.int64) @ places for k in (4, 5))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, (np.diff(at).astype(np.int32), kmer, ipd, pw))], ["read_id", "strand", "pos", "n", "kmer", "ipd", "pw"])
+    def digest(x: np.ndarray) -> dict[str, np.ndarray]:
+        kmer = (x[:, :, :4] @ np.arange(4, dtype=np.float32)).astype(np.int64) @ powers
+        ipd, pw = (np.rint(x[:, :, k] * 255).astype(np.int64) @ places for k in (4, 5))
+        return {"n": np.full(len(x), x.shape[1] * x.shape[2], dtype=np.int32), "kmer": kmer, "ipd": ipd, "pw": pw}
 
-    return feature_rows(views.reads(spark, sf_dir)).mapInArrow(digest, "read_id long, strand string, pos int, n int, kmer long, ipd long, pw long")
+    return feature_rows(views.reads(spark, sf_dir), made=digest, schema="n int, kmer long, ipd long, pw long")
 
 
 _by_place = lambda value: "(" + " + ".join(f"{j + 11} * " + value.format(j=j) for j in range(-10, 11)) + ")::BIGINT"

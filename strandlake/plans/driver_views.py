@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators.rows import cut, flat
+from strandlake.operators.rows import cut, flat, small_batches
 from strandlake.registry import table
 
 LEAST_LENGTH = 100
@@ -50,6 +50,7 @@ def _sequences(spark: SparkSession, sf_dir: str, signals: dict[str, tuple[int, i
                 made = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(((base * x + place * y + key * z) % 256).astype(np.int32))) for x, y, z in signals.values()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), seq, *made], ["read_id", "seq", *signals]).filter(pa.array(np.diff(at) >= LEAST_LENGTH))
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(run, "read_id long, seq string" + "".join(f", {n} array<int>" for n in signals))
 
