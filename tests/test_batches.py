@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import alignment, calls, reads
-from strandlake.operators.rows import BATCH_BYTES, BATCH_ROWS, by_read
+from strandlake.operators.rows import BATCH_BYTES, BATCH_ROWS, by_read, letters
 
 NAMES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(256 << 20)}
 
@@ -31,6 +31,15 @@ def test_batches_of_reads_are_bounded_by_bytes(large_batches):
     assert most[0] * 2000 < 2 * BATCH_BYTES and most[1] == 9000
 
 
+def test_reads_joined_with_their_calls_come_in_bounded_batches(large_batches):
+    """One partition of one shuffle, as large ones have it: what a worker gets at once is bounded, and every read comes."""
+    rows = large_batches.range(0, 6000, 1, 1).select(F.col("id").alias("read_id"), F.repeat(F.lit("ACGT"), 1000).alias("seq"))
+    made = rows.select("read_id", F.explode(F.sequence(F.lit(0), F.lit(30), F.lit(3))).alias("pos"), F.lit(0.75).alias("prob"))
+    both = rows.join(calls.grouped_calls(made).hint("merge"), "read_id").repartition(1)
+    most = by_read(both, lambda b, i: {"n": pa.array([b.nbytes]), "calls": pa.array([len(calls.called(b, i, letters(b.column("seq")[i].as_py()))[0])])}, "n long, calls long")
+    assert most.agg(F.max("n") < 2 * BATCH_BYTES, F.count("*"), F.min("calls"), F.max("calls")).first()[:] == (True, 6000, 6, 6)
+
+
 @pytest.mark.parametrize("query", [reads.quantiles, reads.context, reads.kmer_features, calls.relabel_in_order, alignment.bases])
 def test_queries_over_reads_bound_their_batches(large_batches, query):
     query(large_batches, "/root/testdata/sf0.001")
