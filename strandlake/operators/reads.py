@@ -203,13 +203,18 @@ def feature_rows(reads: DataFrame, k: int = 11, made: Callable[[np.ndarray], dic
     return _by_reads(reads, of, f"strand string, pos int, {schema}")
 
 
-def context_rows(reads: DataFrame, half: int = 10, margin: int = 50) -> DataFrame:
+def context_rows(
+    reads: DataFrame, half: int = 10, margin: int = 50, made: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array | np.ndarray]] | None = None, schema: str = "ipd array<int>, pw array<int>"
+) -> DataFrame:
     """(read_id, pos, base, kmer, ipd, pw) for each A and T ``margin`` bases or more from both ends.
 
     A T's k-mer is its reverse complement, null if that has other letters than A, C, G and T. Around an A stand the reverse strand's signals at
-    the mirrored place, around a T the forward one's. Signals must be as long as the sequence; a read without one of them gives no rows.
+    the mirrored place, around a T the forward one's. Signals must be as long as the sequence; a read without one of them gives no rows. With
+    ``made``, the columns of ``schema`` that it makes of some rows' signals (rows, 2 * half + 1) in the same task take their place.
     """
     around, width = np.arange(-half, half + 1), 2 * half + 1
+    made = made or (lambda ipd, pw: {"ipd": _lists(ipd.reshape(-1), width), "pw": _lists(pw.reshape(-1), width)})
+    texts = lambda letters, n, each: pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * each), pa.py_buffer(np.ascontiguousarray(letters)))
 
     def of(r: _Reads):  # noqa: ANN202
         pos, n = np.arange(len(r.seq)) - r.first, r.last - r.first + 1
@@ -218,13 +223,13 @@ def context_rows(reads: DataFrame, half: int = 10, margin: int = 50) -> DataFram
         is_a, own = r.seq[at] == ord("A"), r.seq[at[:, None] + around]
         mer = np.where(is_a[:, None], own, COMPLEMENT[own[:, ::-1]])
         strange = ~np.isin(own, list(b"ACGT")).all(axis=1) & ~is_a
-        kmers = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(mer)))
-        kmers = pc.if_else(pa.array(strange), pa.scalar(None, pa.string()), kmers)
+        kmers = pc.if_else(pa.array(strange), pa.scalar(None, pa.string()), texts(mer, len(at), width))
         place = np.where(is_a, r.mirror[at], at)[:, None] + around
-        signal = lambda a, t: _lists(np.where(is_a[:, None], r.signals[a][place], r.signals[t][place]).astype(np.int32).reshape(-1), width)
-        yield at, {"pos": pa.array(pos[at].astype(np.int32)), "base": pa.array(np.where(is_a, "A", "T").tolist(), pa.string()), "kmer": kmers, "ipd": signal("ri", "fi"), "pw": signal("rp", "fp")}
+        signal = lambda a, t: np.where(is_a[:, None], r.signals[a][place], r.signals[t][place]).astype(np.int32)
+        columns = {"pos": pa.array(pos[at].astype(np.int32)), "base": texts(r.seq[at], len(at), 1), "kmer": kmers}
+        yield at, columns | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in made(signal("ri", "fi"), signal("rp", "fp")).items()}
 
-    return _by_reads(reads, of, "pos int, base string, kmer string, ipd array<int>, pw array<int>")
+    return _by_reads(reads, of, f"pos int, base string, kmer string, {schema}")
 
 
 _rc = "reverse(translate(seq, 'ACGT', 'TGCA'))"
@@ -262,5 +267,5 @@ _by_place = lambda value: "(" + " + ".join(f"{j + 11} * " + value.format(j=j) fo
 )
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals weighted by their places."""
-    by_place = lambda c: sum(((j + 1) * F.get(c, j) for j in range(21)), F.lit(0)).cast("long")
-    return context_rows(views.reads(spark, sf_dir)).select("read_id", "pos", "base", "kmer", by_place("ipd").alias("ipd"), by_place("pw").alias("pw"))
+    places = np.arange(1, 22)
+    return context_rows(views.reads(spark, sf_dir), made=lambda ipd, pw: {"ipd": ipd @ places, "pw": pw @ places}, schema="ipd long, pw long")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import alignment, calls, reads
 from strandlake.operators.rows import BATCH_BYTES, BATCH_ROWS, by_read, letters
+from strandlake.plans import driver_views as views
 
 NAMES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(256 << 20)}
 
@@ -49,3 +50,17 @@ def test_queries_over_reads_bound_their_batches(large_batches, query):
 def test_features_of_a_digest_stay_in_their_task(spark):
     plan = reads.kmer_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "features" not in plan
+
+
+def test_signals_of_a_digest_stay_in_their_task(spark):
+    """No list of signals leaves Python, where only its weighted sum is asked for."""
+    plan = reads.context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow") and plan.count("MapInArrow") == 2
+
+
+def test_what_is_made_of_contexts_is_what_their_lists_give(spark):
+    rows = views.reads(spark, "/root/testdata/sf0.001").where("read_id < 60")
+    made = reads.context_rows(rows, made=lambda ipd, pw: {"total": ipd.sum(axis=1) + 1000 * pw[:, 0].astype("int64")}, schema="total long")
+    total = F.aggregate("ipd", F.lit(0).cast("long"), lambda s, x: s + x) + 1000 * F.col("pw")[0].cast("long")
+    lists = reads.context_rows(rows).select("read_id", "pos", "base", "kmer", total.alias("total"))
+    assert made.count() == lists.count() > 1000 and made.exceptAll(lists).isEmpty()
