@@ -13,8 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators import svm
-from strandlake.operators.rows import held, small_batches
+from strandlake.operators import machines, svm
+from strandlake.operators.rows import dropped, held, small_batches
 from strandlake.operators.svm import Svm
 from strandlake.registry import query, table
 
@@ -304,15 +304,16 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m2_m3_train_validate")
 def train_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A machine fitted on a bounded sample of 70 % of each class, and its counts on all other rows."""
+    """A machine fitted on 70 % of each class, all of those rows, and its counts on all other rows."""
     from strandlake.operators.sources_lr import stratified_split
     from strandlake.operators.stats import binary_scores
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.when(F.col("label") >= 5, 1).otherwise(-1).alias("label"))
     split = stratified_split(rows, "label", "vec_id")
-    seen = bounded_sample(split.where("train"), "label", "vec_id").orderBy("vec_id").toPandas()
-    model = train_svm(np.stack(seen["features"].to_numpy()).astype(np.float64), seen["label"].to_numpy(dtype=np.float64))
-    return binary_scores(predict_reads(split.where("not train").withColumn("n_calls", F.lit(1)), model), "label", "decision", 0.0)
+    machine = machines.fit(split.where("train"))
+    decided = machines.decided(split.where("not train"), machine, "label")
+    dropped(machine.support)
+    return binary_scores(decided, "label", "decision", 0.0)
 
 
 @query("m12_minmax", "WITH m AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, min(l_discount) AS dlo, max(l_discount) AS dhi FROM lineitem) SELECT l_orderkey, l_linenumber, round((l_quantity - lo) / (hi - lo), 6) AS q, round((l_discount - dlo) / (dhi - dlo), 6) AS d FROM lineitem, m")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,21 @@ def held(rows: DataFrame, name: str) -> DataFrame:
     """Rows written once to the shared folder and read again: every later job sees the same ones, whatever executors are lost."""
     path = f"{shared_dir(rows.sparkSession)}/strandlake/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where tables of ``held`` lie.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of ``held`` that no later job reads."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Bits of a row's place within its partition in Spark's increasing ids.
